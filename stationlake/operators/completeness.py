@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stationlake.functions import time
@@ -13,6 +13,11 @@ from stationlake.functions.values import clean
 from stationlake.functions.vocabulary import PARAMETER_IDS, PARAMETER_NAMES, WINDOW_DAYS
 
 
+def _measures(ids: Sequence[int]) -> Callable[[Column], Column]:
+    """Condition on a sensor: its parameter is one of ``ids``."""
+    return lambda sensor: sensor["parameter"]["id"].isin(list(ids))
+
+
 def discover_locations(
     locations: DataFrame,
     groups: Mapping[str, Sequence[int]] = PARAMETER_IDS,
@@ -23,10 +28,9 @@ def discover_locations(
     Looks only at each row's own sensor list, so nothing is shuffled; ``count`` keeps
     the first locations by id.
     """
-    covered = reduce(lambda a, b: a & b, [
-        F.exists("sensors", lambda s, ids=ids: s["parameter"]["id"].isin(list(ids)))
-        for ids in groups.values()
-    ])
+    covered = reduce(
+        lambda a, b: a & b, [F.exists("sensors", _measures(ids)) for ids in groups.values()]
+    )
     found = locations.filter(covered)
     return found if count is None else found.orderBy("id").limit(count)
 
@@ -43,9 +47,7 @@ def first_sensors(
     picks = [
         F.struct(
             F.lit(group).alias("param_group"),
-            F.try_element_at(
-                F.filter("sensors", lambda s, ids=ids: s["parameter"]["id"].isin(list(ids))), F.lit(1)
-            ).alias("sensor"),
+            F.try_element_at(F.filter("sensors", _measures(ids)), F.lit(1)).alias("sensor"),
         )
         for group, ids in groups.items()
     ]

@@ -10,36 +10,50 @@ from stationlake import schemas
 from stationlake.functions import time, values
 
 REJECT = "_corrupt_record"
-_WITH_REJECT = T.StructType(schemas.LONG_CSV.fields + [T.StructField(REJECT, T.StringType())])
-_OPTIONS = {
-    "header": "true",
-    "mode": "PERMISSIVE",
-    "columnNameOfCorruptRecord": REJECT,
-    "nanValue": "nan",
-}
+# Everything is read as text and cast here. Were the reader to cast, it would only notice
+# a bad number in columns the query happens to use.
+_AS_TEXT = T.StructType(
+    [T.StructField(f.name, T.StringType()) for f in schemas.LONG_CSV.fields]
+    + [T.StructField(REJECT, T.StringType())]
+)
+_OPTIONS = {"header": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECT}
 
 
 def read_long(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, rejected lines) of long CSV files.
 
-    A line that does not fit the schema goes to the rejects with its file name; all
-    other lines are kept.
+    A line with a wrong number of fields, or an unreadable number, goes to the rejects
+    with its file name; all other lines are kept.
     """
-    rows = spark.read.options(**_OPTIONS).schema(_WITH_REJECT).csv(path)
-    rows = rows.select("*", F.col("_metadata.file_path").alias("source_file"))
-    return split_rejects(rows)
+    return split_rejects(spark.read.options(**_OPTIONS).schema(_AS_TEXT).csv(path))
 
 
 def stream_long(spark: SparkSession, path: str) -> DataFrame:
-    """The same files as a stream: each run sees only files not seen before."""
-    rows = spark.readStream.options(**_OPTIONS).schema(_WITH_REJECT).csv(path)
-    return rows.select("*", F.col("_metadata.file_path").alias("source_file"))
+    """The same files as a stream of text rows: each run sees only files not seen before."""
+    return spark.readStream.options(**_OPTIONS).schema(_AS_TEXT).csv(path)
 
 
 def split_rejects(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split rows read with the reject column into (good rows, rejected lines)."""
-    good = rows.filter(F.col(REJECT).isNull()).drop(REJECT)
-    rejects = rows.filter(F.col(REJECT).isNotNull()).select("source_file", F.col(REJECT).alias("line"))
+    """Split text rows into (typed good rows, rejected lines)."""
+    names = [f.name for f in schemas.LONG_CSV.fields]
+    unreadable = F.lit(False)
+    for field in schemas.LONG_CSV.fields:
+        if not isinstance(field.dataType, T.StringType):
+            text = F.trim(F.col(field.name))
+            cast = text.try_cast(field.dataType)
+            unreadable = unreadable | (F.coalesce(text, F.lit("")) != "") & cast.isNull()
+    flagged = rows.select(
+        *names,
+        F.col(REJECT).alias("_whole"),
+        F.col("_metadata.file_path").alias("source_file"),
+        (F.col(REJECT).isNotNull() | unreadable).alias("_bad"),
+    )
+    good = flagged.filter(~F.col("_bad")).select(
+        *[F.trim(F.col(f.name)).try_cast(f.dataType).alias(f.name) for f in schemas.LONG_CSV.fields],
+        "source_file",
+    )
+    line = F.coalesce(F.col("_whole"), F.to_csv(F.struct(*names)))
+    rejects = flagged.filter("_bad").select("source_file", line.alias("line"))
     return good, rejects
 
 
