@@ -73,13 +73,14 @@ def first_per_group(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame
 
 
 def lookup_sensor(
-    locations: DataFrame, location_id: int, names: Sequence[str] = PARAMETER_NAMES["pm25"]
+    locations: DataFrame,
+    location_id: int | None,
+    names: Sequence[str] = PARAMETER_NAMES["pm25"],
 ) -> DataFrame:
-    """One location with the id of its first sensor named (in lower case) as one of ``names``."""
+    """Id of the first sensor named (in lower case) as one of ``names``, at one location or all."""
     matching = F.filter("sensors", lambda s: F.lower(s["parameter"]["name"]).isin(list(names)))
-    return locations.filter(F.col("id") == location_id).select(
-        "id", "name", F.try_element_at(matching, F.lit(1))["id"].alias("sensor_id")
-    )
+    wanted = locations if location_id is None else locations.filter(F.col("id") == location_id)
+    return wanted.select("id", "name", F.try_element_at(matching, F.lit(1))["id"].alias("sensor_id"))
 
 
 def stations_with_all(
