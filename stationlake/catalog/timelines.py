@@ -98,35 +98,36 @@ def reconcile_orders(spark, folder):
     return rounded(_order_totals(spark, folder), "a", "b", "diff", digits=2)
 
 
-_PERIODS = """
-SELECT user_id, event_type, a, b, a - b AS diff,
+_PEAKS = """
+SELECT user_id, event_type, day, a, b, a - b AS diff,
        CASE WHEN b IS NULL THEN 'only_a' WHEN a IS NULL THEN 'only_b'
             WHEN abs(a - b) <= 0 THEN 'match' ELSE 'differ' END AS status
-FROM (SELECT user_id, event_type, max(value) AS a FROM events WHERE day(ts) <= 20 GROUP BY 1, 2)
-FULL JOIN (SELECT user_id, event_type, max(value) AS b FROM events WHERE day(ts) > 10 GROUP BY 1, 2)
-USING (user_id, event_type)
+FROM (SELECT user_id, event_type, day(ts)::INT AS day, max(value) AS a FROM events WHERE value <= 100 GROUP BY 1, 2, 3)
+FULL JOIN (SELECT user_id, event_type, day(ts)::INT AS day, max(value) AS b FROM events WHERE value > 10 GROUP BY 1, 2, 3)
+USING (user_id, event_type, day)
 """
 
 
 def _peaks(spark, folder):
-    events = table(spark, folder, "events")
-    peak = lambda part: part.groupBy("user_id", "event_type").agg(F.max("value").alias("value"))
-    day = F.dayofmonth("ts")
-    return reconcile(
-        peak(events.filter(day <= 20)), peak(events.filter(day > 10)), ["user_id", "event_type"]
-    )
+    events = table(spark, folder, "events").withColumn("day", F.dayofmonth("ts"))
+    keys = ["user_id", "event_type", "day"]
+    peak = lambda part: part.groupBy(*keys).agg(F.max("value").alias("value"))
+    return reconcile(peak(events.filter("value <= 100")), peak(events.filter("value > 10")), keys)
 
 
-@query(_PERIODS)
+@query(_PEAKS)
 def reconcile_peaks(spark, folder):
-    """Highest value per series in two overlapping periods: all four outcomes occur."""
+    """Highest reading per series and day from two sources with different ranges.
+
+    One source misses values above 100, the other those up to 10: all four outcomes occur.
+    """
     return _peaks(spark, folder)
 
 
 @query(f"""
 SELECT status, count(*) AS n, round(avg(abs(diff)), 6) AS mean_abs_diff,
        round(max(abs(diff)), 6) AS max_abs_diff
-FROM ({_PERIODS}) GROUP BY 1
+FROM ({_PEAKS}) GROUP BY 1
 """)
 def reconcile_peaks_summary(spark, folder):
     return rounded(reconcile_summary(_peaks(spark, folder)), "mean_abs_diff", "max_abs_diff")

@@ -63,13 +63,13 @@ def first_sensors(
 
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The row with the smallest ``order`` per key, for sensors kept one per row.
+    """The row with the smallest ``order`` (unique per key), for sensors kept one per row.
 
     An aggregate, not a window: a hot key is reduced to one row before the shuffle.
     """
-    rest = [c for c in df.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.col(order)).alias("_first")
-    return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest])
+    rest = [c for c in df.columns if c not in keys and c != order]
+    firsts = [F.min(order).alias(order), *[F.min_by(c, order).alias(c) for c in rest]]
+    return df.groupBy(*keys).agg(*firsts).select(*df.columns)
 
 
 def lookup_sensor(
@@ -182,15 +182,26 @@ def missing_hours(
     n_hours = F.ceil((F.unix_timestamp(last) - F.unix_timestamp(first)) / 3600).cast("long")
     hour = F.floor((F.unix_timestamp(at) - F.unix_timestamp(first)) / 3600).cast("long")
     inside = (at >= first) & (at < last)
-    # Hour -1 stands for the time before the period, so a leading gap is found as well.
-    seen = df.select(*keys, F.explode(F.array(F.lit(-1).cast("long"), F.when(inside, hour))).alias("h"))
-    hours = seen.filter(F.col("h").isNotNull()).groupBy(*keys, "h").agg(F.lit(1).alias("_one"))
-    following = F.coalesce(F.lead("h").over(Window.partitionBy(*keys).orderBy("h")), n_hours)
-    gaps = hours.withColumn("_next", following).filter(F.col("_next") > F.col("h") + 1)
+    # Hour -1 stands for all time outside, so that a key seen only there keeps a row.
+    placed = F.when(inside, hour).otherwise(F.lit(-1).cast("long"))
+    hours = df.select(*keys, placed.alias("h")).distinct()
+    by_hour = Window.partitionBy(*keys).orderBy("h")
+    around = hours.select(
+        *keys,
+        "h",
+        F.lag("h", 1, -1).over(by_hour).alias("_last"),
+        F.lead("h").over(by_hour).alias("_next"),
+    )
+    # The gap before each hour, and after the last one the gap to the end.
+    gaps = F.array(
+        F.struct((F.col("_last") + 1).alias("a"), F.col("h").alias("b")),
+        F.struct((F.col("h") + 1).alias("a"), F.when(F.col("_next").isNull(), n_hours).alias("b")),
+    )
+    found = around.select(*keys, F.inline(F.filter(gaps, lambda g: g["b"] > g["a"])))
     origin = F.unix_timestamp(first)
-    return gaps.select(
+    return found.select(
         *keys,
-        F.timestamp_seconds(origin + (F.col("h") + 1) * 3600).alias("gap_start"),
-        F.timestamp_seconds(origin + F.col("_next") * 3600).alias("gap_end"),
-        (F.col("_next") - F.col("h") - 1).alias("hours"),
+        F.timestamp_seconds(origin + F.col("a") * 3600).alias("gap_start"),
+        F.timestamp_seconds(origin + F.col("b") * 3600).alias("gap_end"),
+        (F.col("b") - F.col("a")).alias("hours"),
     )

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from stationlake.sources.shared import staged
 
+# Rows of a group that one task may hold: a few megabytes of distinct values.
+GROUP_LIMIT = 100_000
+
 
 def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join that also matches NULL keys, returning the left keys once."""
@@ -34,14 +37,16 @@ def _offsets(parts: DataFrame, by: Sequence[str], weight: Column, *more: Column)
     """
     shares = parts.groupBy("_part", *by).agg(F.sum(weight).alias("_share"), *more)
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return staged(
-        shares.select(
-            "*",
-            F.coalesce(F.sum("_share").over(earlier), F.lit(0)).alias("_before"),
-            F.sum("_share").over(Window.partitionBy(*by)).alias("_total"),
-        ).drop("_share"),
-        "offsets",
-    )
+    offsets = shares.select(
+        "*",
+        F.coalesce(F.sum("_share").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_share").over(Window.partitionBy(*by)).alias("_total"),
+    ).drop("_share")
+    if not by:
+        # Exactly one row per partition of the ranged rows: small whatever their number.
+        return F.broadcast(offsets)
+    # One row per group at least: let the size of the written table decide the join.
+    return staged(offsets, "offsets")
 
 
 def numbered(
@@ -102,14 +107,84 @@ def running_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFra
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, ps: dict[str, float], by: Sequence[str] = ()
+    df: DataFrame,
+    value: str,
+    ps: dict[str, float],
+    by: Sequence[str] = (),
+    group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one column per entry of ``ps``.
 
-    The built-in ``percentile`` gathers all distinct values of a group in one task;
-    here only the rows at the wanted ranks are aggregated.
+    The built-in ``percentile`` gathers all distinct values of a group in one task. It is
+    used for groups of at most ``group_limit`` rows; larger groups are ranked across
+    tasks. Without groups the ranks are looked for within narrow brackets.
+    """
+    if not by:
+        return bracketed_quantiles(df, value, ps)
+    data = df.select(*by, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
+    sizes = data.groupBy(*by).agg(F.count("*").alias("_size"))
+    large = staged(sizes.filter(F.col("_size") > group_limit).drop("_size"), "large")
+    if large.isEmpty():
+        return _small_quantiles(data, value, ps, by)
+    small = _small_quantiles(match_keys(data, large, by, "left_anti"), value, ps, by)
+    ranked = running_counts(match_keys(data, large, by, "left_semi"), value, by)
+    return small.unionByName(quantiles_of(ranked, value, ps, by))
+
+
+def _small_quantiles(
+    df: DataFrame, value: str, ps: dict[str, float], by: Sequence[str]
+) -> DataFrame:
+    all_at_once = F.percentile(value, list(ps.values())).alias("_q")
+    return df.groupBy(*by).agg(all_at_once).select(
+        *by, *[F.col("_q")[i].alias(name) for i, name in enumerate(ps)]
+    )
+
+
+def bracketed_quantiles(
+    df: DataFrame, value: str, ps: dict[str, float], accuracy: int = 10000, margin: float = 2.0
+) -> DataFrame:
+    """Exact quantiles of a whole column without sorting it.
+
+    A sketch gives two values around each wanted rank (``margin`` times its error apart on
+    either side). Everything outside these brackets is only counted, before the shuffle;
+    the few values inside are ranked exactly. Should a rank lie outside its bracket after
+    all, every value is ranked instead.
     """
-    ranks = running_counts(df, value, by)
+    v = F.col(value)
+    data = df.select(v.cast("double").alias(value)).filter(v.isNotNull())
+    slack = margin / accuracy
+    around = [edge for p in ps.values() for edge in (max(p - slack, 0.0), min(p + slack, 1.0))]
+    edges = data.agg(F.percentile_approx(value, around, accuracy).alias("e")).first()["e"]
+    schema = ", ".join(f"`{name}` double" for name in ps)
+    spark = df.sparkSession
+    if edges is None:
+        return spark.createDataFrame([tuple(None for _ in ps)], schema)
+    brackets: list[list[float]] = []
+    for low, high in sorted(zip(edges[::2], edges[1::2])):
+        if brackets and low <= brackets[-1][1]:
+            brackets[-1][1] = max(brackets[-1][1], high)
+        else:
+            brackets.append([low, high])
+    # Segments in value order: even ones lie outside the brackets, odd ones inside.
+    segment = F.lit(2 * len(brackets))
+    for i in reversed(range(len(brackets))):
+        low, high = brackets[i]
+        segment = F.when(v < low, 2 * i).when(v <= high, 2 * i + 1).otherwise(segment)
+    marked = data.select(segment.alias("_segment"), value)
+    counts = marked.groupBy(
+        "_segment", F.when(F.col("_segment") % 2 == 1, v).alias(value)
+    ).agg(F.count("*").alias("cnt"))
+    ranks = running_sums(counts, "cnt", ["_segment", value])
+    found = quantiles_of(ranks, value, ps).first()
+    if any(q is None for q in found):
+        return quantiles_of(running_counts(data, value), value, ps)
+    return spark.createDataFrame([tuple(found)], schema)
+
+
+def quantiles_of(
+    ranks: DataFrame, value: str, ps: dict[str, float], by: Sequence[str] = ()
+) -> DataFrame:
+    """Quantiles read off the result of ``running_counts``."""
     first = F.col("upto") - F.col("cnt")
     picks, outs = [], []
     for name, p in ps.items():

@@ -15,7 +15,14 @@ from stationlake.functions.vocabulary import (
     SURVIVAL_FLOOR,
     TAIL_QUANTILE,
 )
-from stationlake.operators.ordering import busiest, exact_quantiles, match_keys, running_counts
+from stationlake.operators.ordering import (
+    busiest,
+    exact_quantiles,
+    match_keys,
+    quantiles_of,
+    running_counts,
+)
+from stationlake.sources.shared import staged
 
 
 def positives(df: DataFrame, value: str = "value") -> DataFrame:
@@ -23,6 +30,23 @@ def positives(df: DataFrame, value: str = "value") -> DataFrame:
     return df.filter(is_positive(F.col(value)))
 
 
+def tail_ranks(df: DataFrame, value: str = "value", by: Sequence[str] = ()) -> DataFrame:
+    """Running counts of the positive values.
+
+    The statistics, curve and exceedance below all accept it as ``ranks``, so that one
+    ranged sort serves them all.
+    """
+    return running_counts(positives(df, value), value, by)
+
+
+def _tail_quantile(
+    df: DataFrame, value: str, ps: dict[str, float], by: Sequence[str], ranks: DataFrame | None
+) -> DataFrame:
+    if ranks is not None:
+        return quantiles_of(ranks, value, ps, by)
+    return exact_quantiles(positives(df, value), value, ps, by)
+
+
 def tail_stats(
     df: DataFrame,
     value: str = "value",
@@ -30,13 +54,13 @@ def tail_stats(
     limit: float = EXTREME_LIMIT,
     p: float = TAIL_QUANTILE,
     approx: bool = False,
+    ranks: DataFrame | None = None,
 ) -> DataFrame:
     """Per group, over positive values: n, p99, count and percent above the limit, skewness.
 
     The skewness is the population (biased) one. ``approx`` takes the percentile from a
     sketch in the same pass; otherwise it is exact, by distributed ranks.
     """
-    sample = positives(df, value)
     v = F.col(value)
     skew = F.skewness(v)
     aggregates = [
@@ -46,24 +70,24 @@ def tail_stats(
     ]
     if approx:
         aggregates.append(F.percentile_approx(v, p, 10000).alias("p99"))
-    stats = sample.groupBy(*by).agg(*aggregates)
+    stats = positives(df, value).groupBy(*by).agg(*aggregates)
     if not approx:
-        ranks = exact_quantiles(sample, value, {"p99": p}, by)
-        if by:
-            stats = match_keys(stats, ranks, by)
-        else:
-            stats = stats.withColumn("p99", ranks.scalar())
+        at_p = _tail_quantile(df, value, {"p99": p}, by, ranks)
+        stats = match_keys(stats, at_p, by) if by else stats.withColumn("p99", at_p.scalar())
     percent = F.coalesce(F.try_divide(F.col("count_ext"), F.col("n")) * 100, F.lit(0.0))
     return stats.select(*by, "n", "p99", "count_ext", percent.alias("pct_ext"), "skewness")
 
 
 def survival_curve(
-    df: DataFrame, value: str = "value", by: Sequence[str] = (), floor: float = SURVIVAL_FLOOR
+    df: DataFrame,
+    value: str = "value",
+    by: Sequence[str] = (),
+    floor: float = SURVIVAL_FLOOR,
+    ranks: DataFrame | None = None,
 ) -> DataFrame:
     """Empirical survival P(X > x) at every distinct positive value, kept within [floor, 1]."""
-    ranks = running_counts(positives(df, value), value, by)
     above = F.lit(1.0) - F.col("upto") / F.col("total")
-    return ranks.select(
+    return (ranks or tail_ranks(df, value, by)).select(
         *by, F.col(value).alias("x"), "cnt", clipped(above, floor, 1.0).alias("survival")
     )
 
@@ -73,9 +97,14 @@ def survival_tail(curve: DataFrame, limit: float = EXTREME_LIMIT) -> DataFrame:
     return curve.filter(F.col("x") >= limit)
 
 
-def exceedance_at(df: DataFrame, value: str = "value", p: float = TAIL_QUANTILE) -> DataFrame:
+def exceedance_at(
+    df: DataFrame,
+    value: str = "value",
+    p: float = TAIL_QUANTILE,
+    ranks: DataFrame | None = None,
+) -> DataFrame:
     """One row: the percentile of the positive values, and the share of all rows above it."""
-    quantile = exact_quantiles(positives(df, value), value, {"q": p})
+    quantile = _tail_quantile(df, value, {"q": p}, (), ranks)
     over = F.when(clean(F.col(value)) > F.col("q"), 1.0).otherwise(0.0)
     return df.select(value, quantile.scalar().alias("q")).agg(
         F.max("q").alias("q"), F.avg(over).alias("exceedance"), F.count("*").alias("n_all")
@@ -98,27 +127,27 @@ def histogram(
         width = 2 * spread / F.cbrt("n")
         count = F.ceil(F.try_divide(F.col("hi") - F.col("lo"), width))
         bounds = bounds.withColumn("k", F.greatest(F.coalesce(count, F.lit(1)), F.lit(1)))
+        # One row, kept so that the ranked values are not read again for every use of it.
+        bounds = staged(bounds, "bounds")
     else:
         bounds = bounds.withColumn("k", F.lit(int(bins)).cast("long"))
-    shape = bounds.select(
-        F.struct("lo", ((F.col("hi") - F.col("lo")) / F.col("k")).alias("width"), "k").alias("s")
-    ).scalar()
-    placed = data.select("v", shape.alias("s"))
+    width = (F.col("hi") - F.col("lo")) / F.col("k")
+    shape = bounds.select(F.struct("lo", width.alias("width"), "k").alias("s")).scalar()
     at = F.floor(F.try_divide(F.col("v") - F.col("s.lo"), F.col("s.width")))
     bin_of = F.least(F.coalesce(at, F.lit(0)), F.col("s.k") - 1).cast("int")
-    counts = placed.groupBy(bin_of.alias("bin")).agg(F.count("*").alias("n"), F.first("s").alias("s"))
-    edge = lambda i: F.col("s.lo") + i * F.col("s.width")
+    placed = data.select("v", shape.alias("s")).select(bin_of.alias("bin"))
+    counts = placed.groupBy("bin").agg(F.count("*").alias("n"))
     if fill:
         if bins == "fd":
             raise ValueError("fill needs a fixed number of bins")
         every = bounds.filter(F.col("n") > 0).select(
-            F.struct("lo", ((F.col("hi") - F.col("lo")) / F.col("k")).alias("width")).alias("s"),
-            F.explode(F.sequence(F.lit(0), F.lit(int(bins) - 1))).alias("bin"),
+            F.explode(F.sequence(F.lit(0), F.lit(int(bins) - 1))).alias("bin")
         )
-        counts = every.join(counts.select("bin", "n"), "bin", "left").withColumn(
+        counts = every.join(counts, "bin", "left").withColumn(
             "n", F.coalesce("n", F.lit(0).cast("long"))
         )
-    return counts.select(
+    edge = lambda i: F.col("s.lo") + i * F.col("s.width")
+    return counts.withColumn("s", shape).select(
         "bin", edge(F.col("bin")).alias("low"), edge(F.col("bin") + 1).alias("high"), "n"
     )
 
@@ -127,13 +156,23 @@ def kpi_tail(
     df: DataFrame,
     station: str = "location_name",
     value: str = "value",
-    target: str | None = None,
+    target: str | int | None = None,
     title_length: int = 28,
+    ranks: DataFrame | None = None,
 ) -> DataFrame:
-    """One row for the metric cards of one station (by default the one with most rows)."""
-    wanted = F.lit(target) if target is not None else busiest(df, station).select(station).scalar()
-    # The station itself is a one-row table, so that it is also named when it has no positives.
-    own = df.filter(F.col(station) == wanted)
-    return tail_stats(own, value).select(
-        text.truncated(wanted.cast("string"), title_length).alias("station"), "*"
+    """One row for the metric cards of one station (by default the one with most rows).
+
+    The station is looked up first, so that it reaches the scan as a plain filter.
+    ``ranks`` are the tail ranks of that station.
+    """
+    target = busiest_station(df, station) if target is None else target
+    own = df.filter(F.col(station) == target)
+    return tail_stats(own, value, ranks=ranks).select(
+        text.truncated(F.lit(target).cast("string"), title_length).alias("station"), "*"
     )
+
+
+def busiest_station(df: DataFrame, station: str = "location_name") -> str | int | None:
+    """Name of the station with most rows; None for an empty table."""
+    row = busiest(df, station).first()
+    return None if row is None else row[station]

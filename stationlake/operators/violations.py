@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,15 +57,13 @@ def violation_heatmap(
         monthly = monthly.join(names, station)
     labelled = monthly.withColumn("label", text.short_label(F.col(name), separator))
 
-    def rate(month: int) -> Column:
-        here = F.col("_month") == month
-        return F.sum(F.when(here, F.col("_hits"))) / F.sum(F.when(here, F.col("_n")))
-
-    wide = labelled.groupBy("label").agg(*[rate(m).alias(n) for m, n in enumerate(MONTHS, 1)])
-    known = [F.coalesce(F.col(m), F.lit(0.0)) for m in MONTHS]
-    present = [F.when(F.col(m).isNotNull(), 1).otherwise(0) for m in MONTHS]
-    add = lambda a, b: a + b
-    matrix = wide.withColumn("row_mean", F.try_divide(reduce(add, known), reduce(add, present)))
+    wide = labelled.groupBy("label").agg(*[
+        F.expr(f"sum(if(_month = {m}, _hits, null)) / sum(if(_month = {m}, _n, null))").alias(name)
+        for m, name in enumerate(MONTHS, 1)
+    ])
+    total = " + ".join(f"coalesce({m}, 0D)" for m in MONTHS)
+    present = " + ".join(f"if({m} is null, 0, 1)" for m in MONTHS)
+    matrix = wide.withColumn("row_mean", F.expr(f"try_divide({total}, {present})"))
     worst_first = [F.col("row_mean").desc(), F.col("label")]
     if rank:
         return numbered(matrix, worst_first, into="rank").orderBy("rank")

@@ -16,7 +16,6 @@ from stationlake.functions.vocabulary import (
 )
 from stationlake.operators import exposure as ex
 from stationlake.operators import pca, tails, violations, wide
-from stationlake.operators.ordering import busiest
 from stationlake.operators.timeline import rebuild_timeline
 from stationlake.sources import bare, locations, readings as tables
 from stationlake.sources.shared import staged
@@ -99,17 +98,21 @@ def tail_analysis(
     parameters: Sequence[str] = ("pm25",),
     key: str = "location_name",
 ) -> TailResult:
-    """Tail statistics of one station (by default the one with most readings)."""
+    """Tail statistics of one station (by default the one with most readings).
+
+    Curve, percentile and exceedance share one ranged sort of the station's values.
+    """
     chosen = readings.filter(F.col("parameter").isin(list(parameters)))
-    wanted = F.lit(station) if station is not None else busiest(chosen, key).select(key).scalar()
-    own = chosen.filter(F.col(key) == wanted)
-    curve = tails.survival_curve(own)
+    station = tails.busiest_station(chosen, key) if station is None else station
+    own = staged(chosen.filter(F.col(key) == station).select(key, "value"), "station")
+    ranks = staged(tails.tail_ranks(own), "ranks")
+    curve = tails.survival_curve(own, ranks=ranks)
     return TailResult(
-        tails.kpi_tail(chosen, key, target=station),
+        tails.kpi_tail(own, key, target=station, ranks=ranks),
         tails.histogram(own),
         curve,
         tails.survival_tail(curve),
-        tails.exceedance_at(own),
+        tails.exceedance_at(own, ranks=ranks),
     )
 
 

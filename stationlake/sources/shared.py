@@ -28,8 +28,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A path nobody has written to."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path nobody has written to, under this application's own folder."""
+    app = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/stationlake/{app}/{label}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

@@ -6,7 +6,7 @@ remembered in the checkpoint, so a restart neither repeats nor skips one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stationlake import schemas
@@ -56,7 +56,7 @@ def land_bare(
 
     Line numbers need a batch, so each micro-batch (which always holds whole files) is
     numbered on its own. A batch writes to its own ``batch`` folder and replaces it when
-    it is run again after a failure. Returns the files landed by this call.
+    it is run again after a failure. Returns the readings landed by this call.
     """
     lines = (
         spark.readStream.schema("line string, station string")
@@ -79,10 +79,13 @@ def land_bare(
             normalise_parameter(parameter_of(F.col("source_file")), "keep").alias("parameter"),
         )
         readings = values.conform(rebuild_timeline(named, start, step_seconds), schemas.READINGS)
-        readings.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("batch", "parameter").parquet(out)
-        landed.append(batch.select("source_file").distinct().count())
+        counted = Observation()
+        readings.withColumn("batch", F.lit(batch_id)).observe(
+            counted, F.count("*").alias("n")
+        ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "batch", "parameter"
+        ).parquet(out)
+        landed.append(counted.get["n"])
 
     query = (
         lines.writeStream.foreachBatch(land)

@@ -18,7 +18,7 @@ def test_land_bare_once(spark, tmp_path):
     raw, out, cp = tmp_path / "raw", str(tmp_path / "out"), str(tmp_path / "cp")
     write_bare(raw, "17", "pm2.5", "10\n\n30\n")
     write_bare(raw, "17", "o3", "1\n2\n")
-    assert ingest.land_bare(spark, str(raw), out, cp) == 2
+    assert ingest.land_bare(spark, str(raw), out, cp) == 4
     assert ingest.land_bare(spark, str(raw), out, cp) == 0
     write_bare(raw, "18", "pm25", "5\n")
     assert ingest.land_bare(spark, str(raw), out, cp) == 1

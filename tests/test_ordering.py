@@ -52,12 +52,14 @@ def test_one_group_equals_no_group(spark, skewed):
     assert rows(one, "v") == rows(ordering.running_counts(skewed, "v"), "v")
 
 
-@pytest.mark.parametrize("partitions", ["1", "3", "17"])
-def test_quantiles_equal_numpy(spark, skewed, conf, partitions):
+@pytest.mark.parametrize("partitions, limit", [("1", 0), ("3", 300), ("17", 0), ("5", 100_000)])
+def test_quantiles_equal_numpy(spark, skewed, conf, partitions, limit):
+    """All groups ranked, only the large ones, or none."""
     conf("spark.sql.shuffle.partitions", partitions)
     ps = {"p0": 0.0, "p25": 0.25, "p5": 0.5, "p99": 0.99, "p100": 1.0}
-    got = ordering.exact_quantiles(skewed, "v", ps, ["station"]).collect()
+    got = ordering.exact_quantiles(skewed, "v", ps, ["station"], limit).collect()
     data = skewed.toPandas()
+    assert len(got) == data.station.nunique(dropna=False)
     for r in got:
         own = data[data.station == r.station] if r.station else data[data.station.isna()]
         assert [r[k] for k in ps] == pytest.approx([np.percentile(own.v, 100 * p) for p in ps.values()])
@@ -87,3 +89,11 @@ def test_running_sums(spark):
     got = ordering.running_sums(df, "w", ["o"], ["g"])
     assert rows(got.select("g", "o", "upto", "total"), "g", "o") == [
         ("x", 1, 5, 12), ("x", 2, 12, 12), ("y", 1, 1, 1)]
+
+
+@pytest.mark.parametrize("accuracy, margin", [(10000, 2.0), (50, 2.0), (5, 0.0), (2, 0.0)])
+def test_bracketed_quantiles_stay_exact_when_the_sketch_misses(spark, skewed, accuracy, margin):
+    ps = {"p0": 0.0, "p25": 0.25, "p26": 0.26, "p99": 0.99, "p100": 1.0}
+    got = ordering.bracketed_quantiles(skewed, "v", ps, accuracy, margin)
+    data = skewed.toPandas().v
+    assert list(got.first()) == pytest.approx([np.percentile(data, 100 * p) for p in ps.values()])
