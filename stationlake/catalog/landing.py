@@ -55,6 +55,18 @@ def scan_order(spark, folder):
     return timeline.scan_positions(lines).select("rn", "value")
 
 
+def _write_bare(spark, folder):
+    """Station folders of bare text files; values above 150 are blank lines."""
+    path = new_path(spark, "bare")
+    value = F.when(F.col("value") <= 150, F.col("value").cast("string"))
+    table(spark, folder, "events").repartitionByRange("event_type", "event_id").sortWithinPartitions(
+        "event_type", "event_id"
+    ).select(
+        F.coalesce(value, F.lit("")).alias("line"), F.col("event_type").alias("station")
+    ).write.partitionBy("station").text(path)
+    return path
+
+
 _BARE = """
 SELECT event_type AS station_id, count(*) AS n_lines, count(CASE WHEN value <= 150 THEN 1 END) AS n_values,
        round(sum(CASE WHEN value <= 150 THEN value END), 6) AS total, count(*) AS numbered
@@ -69,14 +81,7 @@ def bare_folders(spark, folder):
     A station's lines may be spread over several files; ``numbered`` adds up the last
     line number of each file.
     """
-    path = new_path(spark, "bare")
-    value = F.when(F.col("value") <= 150, F.col("value").cast("string"))
-    table(spark, folder, "events").repartitionByRange("event_type", "event_id").sortWithinPartitions(
-        "event_type", "event_id"
-    ).select(
-        F.coalesce(value, F.lit("")).alias("line"), F.col("event_type").alias("station")
-    ).write.partitionBy("station").text(path)
-    raw = bare.read_bare(spark, path, file_filter="*.txt")
+    raw = bare.read_bare(spark, _write_bare(spark, folder), file_filter="*.txt")
     lines = timeline.rebuild_timeline(raw, drop_missing=False)
     per_file = lines.groupBy("station_id", "source_file").agg(
         F.count("*").alias("n_lines"), F.count("value").alias("n_values"),
@@ -158,6 +163,23 @@ def new_series(spark, folder):
     return readings.new_only(new, events.filter("value > 150"), ["user_id", "event_type"])
 
 
+@query("""
+SELECT event_type AS station_id, count(*) AS n, round(sum(value), 6) AS total, min(value) AS least,
+       (SELECT count(*) FROM events WHERE value <= 150) AS first_run, 0::BIGINT AS second_run
+FROM events WHERE value <= 150 GROUP BY 1
+""")
+def ingest_bare(spark, folder):
+    """Two landing runs over bare station folders; the second finds nothing new."""
+    raw, root = _write_bare(spark, folder), new_path(spark, "landed")
+    out, checkpoint = f"{root}/readings", f"{root}/checkpoint"
+    runs = [ingest.land_bare(spark, raw, out, checkpoint, file_filter="*.txt") for _ in range(2)]
+    return readings.read_readings(spark, out).groupBy("station_id").agg(
+        F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.min("value").alias("least")
+    ).withColumns({
+        "first_run": F.lit(runs[0]).cast("long"), "second_run": F.lit(runs[1]).cast("long")
+    })
+
+
 @query("""
 SELECT event_type AS parameter, count(*) AS n, count(DISTINCT user_id) AS n_stations, round(sum(value), 6) AS total,
        (SELECT count(*) FROM events WHERE event_type <> 'view') AS first_run, 0::BIGINT AS second_run,

@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 from stationlake.functions import time
 from stationlake.functions.values import clean
-from stationlake.functions.vocabulary import PARAMETER_IDS, PARAMETER_NAMES, WINDOW_DAYS
+from stationlake.functions.vocabulary import (
+    PARAMETER_IDS,
+    PARAMETER_NAMES,
+    WINDOW_DAYS,
+    classify_zone,
+)
 
 
 def _measures(ids: Sequence[int]) -> Callable[[Column], Column]:
@@ -109,11 +114,13 @@ def missing_report(
     parameter: str = "parameter",
     value: str = "value",
     expected: Sequence[str] | None = None,
+    ruleset: str | None = None,
 ) -> DataFrame:
     """Per station: the parameters it reports, their number, rows and valid rows.
 
     Readings are first reduced to one row per (station, parameter), so the list holds
-    parameter names, not readings. With ``expected`` the missing ones are listed too.
+    parameter names, not readings. With ``expected`` the missing ones are listed too,
+    with ``ruleset`` the zone of the station name.
     """
     per_parameter = valid_counts(df, [station, parameter], value)
     report = per_parameter.groupBy(station).agg(
@@ -122,6 +129,8 @@ def missing_report(
         F.sum("c").alias("c"),
         F.sum("valid_c").alias("valid_c"),
     )
+    if ruleset is not None:
+        report = report.withColumn("zone", classify_zone(F.col(station), ruleset))
     if expected is None:
         return report
     wanted = F.array(*[F.lit(p) for p in expected])

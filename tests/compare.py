@@ -28,7 +28,7 @@ def _cell(x):
     if x is None or (isinstance(x, float) and math.isnan(x)):
         return "NULL"
     if isinstance(x, float):
-        return repr(x + 0.0)
+        return repr(x)
     return str(x)
 
 

@@ -143,6 +143,9 @@ def test_missing_report(spark):
     got = completeness.missing_report(df, expected=["pm25", "no2"])
     assert rows(got, "location_name") == [
         ("A", ["no2", "pm25"], 2, 2, 1, []), ("B", ["no2"], 1, 1, 1, ["pm25"])]
+    zoned = completeness.missing_report(
+        df.withColumn("location_name", F.concat("location_name", F.lit(" Manali"))), ruleset="narrow")
+    assert {r.zone for r in zoned.collect()} == {"Industrial"}
 
 
 def hours(spark, station_hours):
