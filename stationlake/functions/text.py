@@ -21,6 +21,11 @@ def parameter_of(path: Column) -> Column:
     return F.regexp_extract(path, PARAMETER_PATTERN, 1)
 
 
+def decoded(path: Column) -> Column:
+    """Path with percent escapes resolved; a plus sign stands for itself."""
+    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+
+
 def short_label(name: Column, separator: str = ",") -> Column:
     """Text before the first separator."""
     return F.split_part(name, F.lit(separator), F.lit(1))

@@ -50,7 +50,4 @@ def _with_origin(lines: DataFrame) -> DataFrame:
         F.col("_metadata.file_block_start").alias("block_start"),
         F.monotonically_increasing_id().alias("line_id"),
     )
-    return with_ids.withColumn(
-        "parameter", F.coalesce(F.try_url_decode(text.parameter_of(F.col("source_file"))),
-                                text.parameter_of(F.col("source_file")))
-    )
+    return with_ids.withColumn("parameter", text.parameter_of(text.decoded(F.col("source_file"))))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stationlake import schemas
 from stationlake.functions import values
-from stationlake.functions.text import parameter_of
+from stationlake.functions.text import decoded, parameter_of
 from stationlake.functions.vocabulary import TIMELINE_START, normalise_parameter
 from stationlake.operators.timeline import rebuild_timeline
 from stationlake.sources import long
@@ -77,7 +77,7 @@ def land_bare(
         named = ids.select(
             "station_id", "source_file", "block_start", "line_id",
             values.number_of(F.col("line")).alias("value"),
-            normalise_parameter(parameter_of(F.col("source_file")), "keep").alias("parameter"),
+            normalise_parameter(parameter_of(decoded(F.col("source_file"))), "keep").alias("parameter"),
         )
         readings = values.conform(rebuild_timeline(named, start, step_seconds), schemas.READINGS)
         counted = Observation()

@@ -54,6 +54,8 @@ def test_paths(spark):
     assert one(spark, text.parameter_of(F.lit(p))) == "pm2.5"
     assert one(spark, text.parameter_of(F.lit("data\\raw\\o3.csv"))) == "o3"
     assert one(spark, text.station_of(F.lit("data/raw/Delhi_17/a.csv"))) == ""
+    assert one(spark, text.decoded(F.lit("a%20b+c.csv"))) == "a b+c.csv"
+    assert one(spark, text.decoded(F.lit("50%.csv"))) == "50%.csv"
 
 
 def test_labels(spark):

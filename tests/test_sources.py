@@ -22,7 +22,7 @@ def metadata(tmp_path):
         [(2, "pm25"), (1, "pm10"), (15, "no2"), (5, "no2"), (3, "o3"), (100, "temperature"),
          (98, "humidity"), (77, "wind")])]
     data = [
-        {"id": 17, "name": "R K Puram, Delhi", "sensors": full, "extra": 1},
+        {"id": 17, "name": "North Gate, Delhi", "sensors": full, "extra": 1},
         {"id": 18, "name": "Partial", "sensors": full[:6]},
         {"id": 19, "name": "Late, City", "sensors": full},
         {"id": 20, "name": "No sensors"},
@@ -34,7 +34,7 @@ def metadata(tmp_path):
 
 def test_locations(spark, metadata, tmp_path):
     locs = locations.read_locations(spark, metadata)
-    assert rows(locations.station_names(locs), "station_id")[0] == ("17", "R K Puram, Delhi")
+    assert rows(locations.station_names(locs), "station_id")[0] == ("17", "North Gate, Delhi")
     assert [r[2] for r in rows(locations.sensor_counts(locs), "id")] == [8, 6, 8, 0]
     assert locations.explode_sensors(locs).count() == 22
     assert [r.id for r in completeness.discover_locations(locs).orderBy("id").collect()] == [17, 19]
@@ -56,7 +56,7 @@ def test_first_sensor_and_lookup(spark, metadata):
     assert rows(by_row.select("location_id", "param_group", "sensor_id"), "location_id", "param_group") == rows(
         completeness.first_sensors(locs).select("location_id", "param_group", "sensor_id"),
         "location_id", "param_group")
-    assert rows(completeness.lookup_sensor(locs, 17)) == [(17, "R K Puram, Delhi", 10)]
+    assert rows(completeness.lookup_sensor(locs, 17)) == [(17, "North Gate, Delhi", 10)]
     assert rows(completeness.lookup_sensor(locs, 20)) == [(20, "No sensors", None)]
 
 
