@@ -13,7 +13,7 @@ from stationlake import schemas
 from stationlake.catalog.components import component_sql
 from stationlake.catalog.registry import query, rounded, table
 from stationlake.functions.values import conform
-from stationlake.functions.vocabulary import FEATURES, MONTHS
+from stationlake.functions.vocabulary import FEATURES, MONTHS, normalise_parameter
 from stationlake.plans import analyses
 from stationlake.sources.readings import attach_location
 
@@ -78,6 +78,33 @@ def pca_analysis(spark, folder):
     return rounded(cards, "variance_captured", "pc1_variance", "pc2_variance", "centroid_gap")
 
 
+_URGENCY = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_LEVELS = ["urgent", "high", "medium", "open", "low"]
+
+
+@query(f"""
+SELECT * FROM (
+  SELECT o_orderstatus AS station,
+         make_timestamp(2025, month(o_orderdate), day(o_orderdate), 0, 0, 0.0::DOUBLE) AS ts_aligned,
+         {", ".join(f"round(avg(CASE WHEN o_orderpriority = '{u}' THEN o_totalprice END), 6) AS {n}"
+                    for u, n in zip(_URGENCY, _LEVELS))}
+  FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29) GROUP BY 1, 2)
+WHERE {" AND ".join(f"{n} IS NOT NULL" for n in _LEVELS)}
+""")
+def aligned_features(spark, folder):
+    """Orders of all years as readings of one year: day by status, a column per priority."""
+    parameter = normalise_parameter(
+        F.col("o_orderpriority"), names={n: [u.lower()] for u, n in zip(_URGENCY, _LEVELS)}
+    )
+    orders = table(spark, folder, "orders").select(
+        F.col("o_orderstatus").alias("station"),
+        F.col("o_orderdate").alias("ts"),
+        parameter.alias("parameter"),
+        F.col("o_totalprice").alias("value"),
+    )
+    return rounded(analyses.aligned_features(orders, 2025, "station", _LEVELS), *_LEVELS)
+
+
 _RATES = ", ".join(
     f"avg(CASE WHEN value > 35 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (WHERE month(ts) = {m}) AS {n}"
     for m, n in enumerate(MONTHS, 1)

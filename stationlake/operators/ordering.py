@@ -80,16 +80,14 @@ def running_sums(
 
     The order key must be unique within a group.
     """
-    rows = staged(
-        df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "sums"
-    )
-    offsets = _offsets(rows, by, F.col(weight))
     inside = (
         Window.partitionBy("_part", *by)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = match_keys(rows.withColumn("_upto", F.sum(weight).over(inside)), offsets, ["_part", *by])
+    ranged = df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
+    rows = staged(ranged.withColumn("_upto", F.sum(weight).over(inside)), "sums")
+    joined = match_keys(rows, _offsets(rows, by, F.col(weight)), ["_part", *by])
     return joined.select(
         *df.columns, (F.col("_before") + F.col("_upto")).alias("upto"), F.col("_total").alias("total")
     )

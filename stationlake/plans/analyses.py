@@ -8,16 +8,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stationlake.functions.time import align_year
 from stationlake.functions.vocabulary import (
     FEATURES,
     TIMELINE_START,
+    TIMELINE_YEAR,
     classify_zone,
     normalise_parameter,
 )
 from stationlake.operators import exposure as ex
 from stationlake.operators import pca, tails, violations, wide
 from stationlake.operators.timeline import rebuild_timeline
-from stationlake.sources import bare, locations, readings as tables
+from stationlake.sources import bare, locations, long, readings as tables
 from stationlake.sources.shared import staged
 
 
@@ -36,6 +38,28 @@ def load_bare(
     return tables.attach_location(known.filter(F.col("parameter").isNotNull()), names)
 
 
+def load_long(spark: SparkSession, path: str, unmatched: str = "keep") -> tuple[DataFrame, DataFrame]:
+    """(readings, rejected lines) of long CSV files, with parameters normalised."""
+    good, rejects = long.read_long(spark, path)
+    named = long.to_readings(good).withColumn(
+        "parameter", normalise_parameter(F.col("parameter"), unmatched)
+    )
+    return named, rejects
+
+
+def aligned_features(
+    readings: DataFrame,
+    year: int = TIMELINE_YEAR,
+    station: str = "location_name",
+    features: Sequence[str] = FEATURES,
+) -> DataFrame:
+    """Complete feature rows of readings from any year, moved to one year."""
+    moved = align_year(readings, "ts", year, "ts_aligned")
+    return wide.complete_cases(
+        wide.station_pivot(moved, [station, "ts_aligned"], features=features), features
+    )
+
+
 @dataclass(frozen=True)
 class PcaResult:
     model: pca.PcaModel
@@ -105,7 +129,7 @@ def tail_analysis(
     chosen = readings.filter(F.col("parameter").isin(list(parameters)))
     station = tails.busiest_station(chosen, key) if station is None else station
     own = staged(chosen.filter(F.col(key) == station).select(key, "value"), "station")
-    ranks = staged(tails.tail_ranks(own), "ranks")
+    ranks = tails.tail_ranks(own)
     curve = tails.survival_curve(own, ranks=ranks)
     return TailResult(
         tails.kpi_tail(own, key, target=station, ranks=ranks),

@@ -43,6 +43,18 @@ def test_land_long_once(spark, tmp_path):
     assert spark.read.parquet(bad).count() == 1
 
 
+def test_load_long_and_align(spark, tmp_path):
+    hour = "2024-02-28 05:00:00"
+    write_long(tmp_path, "A_1", "all.csv", [
+        f"{hour},PM2.5,1,u,A,1", f"{hour},pm25,3,u,A,1", f"{hour},no2,5,u,A,1",
+        "2023-02-28 05:00:00,no2,7,u,A,1", "2024-02-29 05:00:00,no2,9,u,A,1", f"{hour},no2,x,u,A,1",
+        "not a time,no2,1,u,A,1", f"{hour},no2,4,u,B,2"])
+    loaded, rejects = analyses.load_long(spark, str(tmp_path / "*"))
+    assert rejects.count() == 1 and loaded.count() == 6
+    got = analyses.aligned_features(loaded, features=["pm25", "no2"])
+    assert rows(got) == [("A", datetime(2025, 2, 28, 5), 2.0, 6.0)]
+
+
 @pytest.fixture(scope="module")
 def network(spark, tmp_path_factory):
     """Three stations with six parameters over 60 hours, some lines blank."""
