@@ -152,10 +152,24 @@ SELECT o_orderkey, win::INT AS win,
 FROM (SELECT o_orderkey, floor(date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) / 30) AS win FROM orders)
 """)
 def order_windows(spark, folder):
-    """The 30-day window each order falls in, found in the list of windows."""
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderdate")
-    windows = time.period_windows("1995-01-01", "2005-01-01", 30)
-    at = F.col("o_orderdate").cast("timestamp")
-    inside = F.filter(windows, lambda w: (w["win_start"] <= at) & (at < w["win_end"]))
-    found = F.element_at(inside, 1)
-    return orders.select("o_orderkey", found["win"].alias("win"), found["win_start"].alias("win_start"))
+    """The 30-day window each order falls in."""
+    start, days = "1995-01-01", 30
+    return table(spark, folder, "orders").select(
+        "o_orderkey", time.window_index(F.col("o_orderdate"), start, days).alias("win")
+    ).withColumn("win_start", time.window_start(F.col("win"), start, days))
+
+
+@query("""
+SELECT o_orderstatus, i::INT AS win, s AS win_start, least(s + to_days(30), b) AS win_end
+FROM (SELECT o_orderstatus, i, a + to_days((i * 30)::INT) AS s, b
+      FROM (SELECT o_orderstatus, min(o_orderdate) AS a, max(o_orderdate) + to_days(1) AS b FROM orders GROUP BY 1)
+      CROSS JOIN generate_series(0, 2000) AS g(i)) WHERE s < b
+""")
+def period_windows(spark, folder):
+    """All 30-day windows between the first and the last order of each status."""
+    spans = table(spark, folder, "orders").groupBy("o_orderstatus").agg(
+        F.min("o_orderdate").cast("timestamp").alias("a"),
+        (F.max("o_orderdate").cast("timestamp") + F.expr("interval 1 day")).alias("b"),
+    )
+    windows = time.period_windows(F.col("a"), F.col("b"), 30)
+    return spans.select("o_orderstatus", F.inline(windows))

@@ -48,9 +48,23 @@ def month_name(month: Column) -> Column:
     return F.element_at(F.array(*[F.lit(m) for m in MONTHS]), month)
 
 
-def period_windows(start: str, end: str, days: int) -> Column:
+def window_index(ts: Column, start: str, days: int) -> Column:
+    """Number (from 0) of the half-open window of so many days that holds ``ts``."""
+    seconds = F.unix_timestamp(ts.cast("timestamp")) - F.unix_timestamp(F.lit(start).cast("timestamp"))
+    return F.floor(seconds / (days * 86400)).cast("int")
+
+
+def window_start(index: Column, start: str, days: int) -> Column:
+    """Start of the window with this number."""
+    origin = F.unix_timestamp(F.lit(start).cast("timestamp"))
+    return F.timestamp_seconds(origin + index.cast("long") * (days * 86400))
+
+
+def period_windows(start: str | Column, end: str | Column, days: int) -> Column:
     """Array of half-open (win, win_start, win_end) windows covering [start, end)."""
-    first, last = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+    first, last = [
+        (F.lit(edge) if isinstance(edge, str) else edge).cast("timestamp") for edge in (start, end)
+    ]
     step = F.expr(f"interval {int(days)} days")
     starts = F.filter(F.sequence(first, last, step), lambda s: s < last)
     return F.transform(

@@ -13,7 +13,7 @@ SETTINGS = {
     # Splits a hot station's shuffle partition when a dimension is too big to broadcast.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # No job hints a broadcast: Spark broadcasts a side only when its measured size is below this.
-    "spark.sql.autoBroadcastJoinThreshold": "32m",
+    "spark.sql.autoBroadcastJoinThreshold": "10m",
     # Raw folders hold many small files; pack them into fewer tasks.
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.files.openCostInBytes": "1m",

@@ -117,3 +117,7 @@ def test_period_windows(spark):
     assert wins[-1][1:] == (datetime(2025, 12, 27), datetime(2025, 12, 31))
     exact = one(spark, time.period_windows("2025-01-01", "2025-03-02", 30))
     assert len(exact) == 2
+    for win, first, end in wins:
+        for inside in (first, end - timedelta(seconds=1)):
+            assert one(spark, time.window_index(F.lit(inside), "2025-01-01", 30)) == win
+        assert one(spark, time.window_start(F.lit(win), "2025-01-01", 30)) == first

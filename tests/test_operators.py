@@ -282,3 +282,49 @@ def test_timeline_from_order(spark):
     assert rows(got.select("s", "o", "row_idx", "ts"), "s", "o") == [
         ("a", 3, 1, datetime(2024, 12, 31, 23)), ("a", 7, 2, datetime(2025, 1, 1, 0)),
         ("b", 1, 1, datetime(2024, 12, 31, 23))]
+
+
+# --- random samples against numpy -------------------------------------------
+
+def random_samples():
+    rng = np.random.default_rng(11)
+    kinds = [
+        lambda n: rng.gamma(2, 40, n).round(1),
+        lambda n: rng.integers(-3, 4, n).astype(float),
+        lambda n: np.full(n, 7.0),
+        lambda n: rng.normal(0, 1e6, n),
+        lambda n: np.where(rng.random(n) < 0.3, np.nan, rng.exponential(90, n).round(2)),
+    ]
+    return {f"g{i}": kinds[i % 5](int(rng.integers(1, 80))) for i in range(40)}
+
+
+def test_random_samples(spark):
+    samples = random_samples()
+    df = spark.createDataFrame(
+        [(g, float(x)) for g, xs in samples.items() for x in xs], "g string, value double").repartition(7)
+    stats = {r.g: r for r in tails.tail_stats(df, by=["g"]).collect()}
+    curves = {}
+    for r in tails.survival_curve(df, by=["g"]).collect():
+        curves.setdefault(r.g, {})[r.x] = r.survival
+    for g, xs in samples.items():
+        pos = xs[xs > 0]
+        if not len(pos):
+            assert g not in stats and g not in curves
+            continue
+        r, centred = stats[g], pos - pos.mean()
+        assert (r.n, r.count_ext) == (len(pos), int((pos > 200).sum()))
+        assert r.p99 == pytest.approx(np.percentile(pos, 99))
+        assert r.pct_ext == pytest.approx(100 * (pos > 200).mean())
+        if np.ptp(pos) > 0:
+            assert r.skewness == pytest.approx((centred**3).mean() / (centred**2).mean() ** 1.5, abs=1e-9)
+        assert curves[g] == {
+            x: pytest.approx(max(1e-6, 1 - (pos <= x).mean())) for x in np.unique(pos).tolist()}
+
+
+def test_row_order_and_partitions_change_nothing(spark):
+    df, _, cols = features(spark, n=200)
+    base = pca.fit_pca(df, cols)
+    for other in (df.orderBy(F.col("id").desc()).coalesce(1), df.repartition(9, "zone")):
+        model = pca.fit_pca(other, cols)
+        assert np.array(model.weights) == pytest.approx(np.array(base.weights), abs=1e-9)
+        assert model.ratios == pytest.approx(base.ratios)

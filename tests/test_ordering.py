@@ -97,3 +97,29 @@ def test_bracketed_quantiles_stay_exact_when_the_sketch_misses(spark, skewed, ac
     got = ordering.bracketed_quantiles(skewed, "v", ps, accuracy, margin)
     data = skewed.toPandas().v
     assert list(got.first()) == pytest.approx([np.percentile(data, 100 * p) for p in ps.values()])
+
+
+def test_a_hot_station_is_spread_over_partitions(spark, conf, monkeypatch):
+    """No task holds more than its share of rows though one station holds a third of them."""
+    conf("spark.sql.shuffle.partitions", "12")
+    conf("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    seen = []
+    keep = ordering.staged
+
+    def watched(df, label):
+        table = keep(df, label)
+        if "_part" in table.columns and label in ("numbered", "sums"):
+            seen.append(table)
+        return table
+
+    monkeypatch.setattr(ordering, "staged", watched)
+    df = spark.range(12000).select(
+        "id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("station"),
+        (F.col("id") * 7919 % 10007).cast("double").alias("v"))
+    ordering.numbered(df, ["id"], ["station"])
+    ordering.running_counts(df, "v", ["station"])
+    for table in seen:
+        sizes = [r["count"] for r in table.groupBy("_part").count().collect()]
+        hot = table.filter("station = 7").select("_part").distinct().count()
+        assert max(sizes) < 3 * table.count() / 12 and hot >= 3
+    assert len(seen) == 2
