@@ -16,15 +16,17 @@ from stationlake.functions.values import conform
 from stationlake.functions.vocabulary import FEATURES, MONTHS, normalise_parameter
 from stationlake.plans import analyses
 from stationlake.sources.readings import attach_location
+from stationlake.sources.shared import staged
 
 
 def _names(spark, folder):
     nation = table(spark, folder, "nation").withColumnRenamed("n_nationkey", "s_nationkey")
     industrial = F.when(F.col("n_regionkey") <= 1, " Industrial Area").otherwise("")
-    return table(spark, folder, "supplier").join(nation, "s_nationkey").select(
+    names = table(spark, folder, "supplier").join(nation, "s_nationkey").select(
         F.col("s_suppkey").cast("string").alias("station_id"),
         F.concat("n_name", industrial, F.lit(", "), "s_name").alias("location_name"),
     )
+    return staged(names, "names")
 
 
 def _readings(spark, folder):

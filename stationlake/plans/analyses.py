@@ -31,8 +31,14 @@ def load_bare(
     multiline: bool = True,
     **prune,
 ) -> DataFrame:
-    """Readings of a bare folder: timeline rebuilt, parameters normalised, names attached."""
-    names = locations.station_names(locations.read_locations(spark, metadata, multiline))
+    """Readings of a bare folder: timeline rebuilt, parameters normalised, names attached.
+
+    The names are staged, as the size of the metadata with all its sensors says nothing
+    about whether the names alone may be broadcast.
+    """
+    names = staged(
+        locations.station_names(locations.read_locations(spark, metadata, multiline)), "names"
+    )
     timeline = rebuild_timeline(bare.read_bare(spark, root, **prune), start)
     known = timeline.withColumn("parameter", normalise_parameter(F.col("parameter")))
     return tables.attach_location(known.filter(F.col("parameter").isNotNull()), names)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationlake import schemas
+from stationlake.sources.shared import staged
 
-# Names that readers see when a parameter is missing: Spark's own null folder is kept.
 _PARTITION = "parameter"
 
 
@@ -52,12 +52,18 @@ def attach_location(
     """Inner join with the (station_id, location_name) table.
 
     Carries no broadcast hint: Spark broadcasts the names when their size is below the
-    threshold and otherwise joins by shuffle, splitting a hot station (skew join).
+    threshold and otherwise joins by shuffle, splitting a hot station (skew join). Stage
+    names that come from a join or a large file: Spark guesses a join's size as the product
+    of its sides, and a guess too high would shuffle the readings for nothing.
     """
     own = readings.drop("location_name") if "location_name" in readings.columns else readings
     return own.join(names, key)
 
 
 def new_only(new: DataFrame, landed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` whose keys have not been landed yet."""
-    return new.join(landed.select(*keys).distinct(), list(keys), "left_anti")
+    """Rows of ``new`` whose keys have not been landed yet.
+
+    The landed keys are staged, so that a short list is broadcast and ``new`` stays in place.
+    """
+    known = staged(landed.select(*keys).distinct(), "landed_keys")
+    return new.join(known, list(keys), "left_anti")
