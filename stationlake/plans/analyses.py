@@ -8,7 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stationlake import schemas
 from stationlake.functions.time import align_year
+from stationlake.functions.values import conform
 from stationlake.functions.vocabulary import (
     FEATURES,
     TIMELINE_START,
@@ -18,6 +20,7 @@ from stationlake.functions.vocabulary import (
 )
 from stationlake.operators import exposure as ex
 from stationlake.operators import pca, tails, violations, wide
+from stationlake.operators.reconcile import reconcile, reconcile_summary
 from stationlake.operators.timeline import rebuild_timeline
 from stationlake.sources import bare, locations, long, readings as tables
 from stationlake.sources.shared import staged
@@ -41,7 +44,8 @@ def load_bare(
     )
     timeline = rebuild_timeline(bare.read_bare(spark, root, **prune), start)
     known = timeline.withColumn("parameter", normalise_parameter(F.col("parameter")))
-    return tables.attach_location(known.filter(F.col("parameter").isNotNull()), names)
+    named = tables.attach_location(known.filter(F.col("parameter").isNotNull()), names)
+    return conform(named, schemas.READINGS)
 
 
 def load_long(spark: SparkSession, path: str, unmatched: str = "keep") -> tuple[DataFrame, DataFrame]:
@@ -156,3 +160,16 @@ def exposure_analysis(
     """Mean of the chosen parameters per station with density and zone."""
     chosen = readings.filter(F.col("parameter").isin(list(parameters))).drop("location_name")
     return ex.exposure(ex.station_means(chosen, names=names), density, ruleset=ruleset)
+
+
+def compare_sources(
+    a: DataFrame, b: DataFrame, tolerance: float = 0.0
+) -> tuple[DataFrame, DataFrame]:
+    """Two readings tables of the same stations, hour by hour, and the summary per outcome."""
+    keys = ["station_id", "parameter", "ts"]
+    named = [
+        side.withColumn("parameter", normalise_parameter(F.col("parameter"), "keep"))
+        for side in (a, b)
+    ]
+    compared = reconcile(*named, keys, tolerance=tolerance)
+    return compared, reconcile_summary(compared)

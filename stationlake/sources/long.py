@@ -28,9 +28,12 @@ def read_long(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return split_rejects(spark.read.options(**_OPTIONS).schema(_AS_TEXT).csv(path))
 
 
-def stream_long(spark: SparkSession, path: str) -> DataFrame:
+def stream_long(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """The same files as a stream of text rows: each run sees only files not seen before."""
-    return spark.readStream.options(**_OPTIONS).schema(_AS_TEXT).csv(path)
+    reader = spark.readStream.options(**_OPTIONS).schema(_AS_TEXT)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.csv(path)
 
 
 def split_rejects(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -18,14 +18,20 @@ from stationlake.sources import long
 
 
 def land_long(
-    spark: SparkSession, raw: str, out: str, checkpoint: str, rejects: str | None = None
+    spark: SparkSession,
+    raw: str,
+    out: str,
+    checkpoint: str,
+    rejects: str | None = None,
+    max_files: int | None = None,
 ) -> int:
     """Land new long CSV files under ``raw`` into the readings table ``out``.
 
     The parquet file sink commits exactly once. Unreadable lines go to ``rejects``
-    (a stream of its own) when that folder is named. Returns the rows read by this call.
+    (a stream of its own) when that folder is named. ``max_files`` bounds the files of one
+    commit, for the first landing of a large folder. Returns the rows read by this call.
     """
-    good, bad = long.split_rejects(long.stream_long(spark, raw))
+    good, bad = long.split_rejects(long.stream_long(spark, raw, max_files))
     readings = long.to_readings(good).withColumn(
         "parameter", normalise_parameter(F.col("parameter"), "keep")
     )
@@ -40,8 +46,13 @@ def _run(rows: DataFrame, out: str, checkpoint: str, partition: list[str]) -> in
     if partition:
         writer = writer.partitionBy(*partition)
     query = writer.trigger(availableNow=True).start(out)
-    query.awaitTermination()
-    return sum(p["numInputRows"] for p in query.recentProgress)
+    # Only the latest progress reports are kept, so they are gathered while it runs.
+    rows_of_batch = {}
+    done = False
+    while not done:
+        done = query.awaitTermination(5)
+        rows_of_batch |= {p["batchId"]: p["numInputRows"] for p in query.recentProgress}
+    return sum(rows_of_batch.values())
 
 
 def land_bare(
@@ -52,6 +63,7 @@ def land_bare(
     start: str = TIMELINE_START,
     step_seconds: int = 3600,
     file_filter: str = "*.csv",
+    max_files: int | None = None,
 ) -> int:
     """Land new bare series files into ``out``, rebuilding their timeline.
 
@@ -59,9 +71,11 @@ def land_bare(
     numbered on its own. A batch writes to its own ``batch`` folder and replaces it when
     it is run again after a failure. Returns the readings landed by this call.
     """
+    reader = spark.readStream.schema("line string, station string")
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     lines = (
-        spark.readStream.schema("line string, station string")
-        .option("pathGlobFilter", file_filter)
+        reader.option("pathGlobFilter", file_filter)
         .text(raw)
         .select(
             F.col("station").alias("station_id"),

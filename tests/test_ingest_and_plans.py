@@ -43,6 +43,58 @@ def test_land_long_once(spark, tmp_path):
     assert spark.read.parquet(bad).count() == 1
 
 
+def test_landing_in_bounded_commits(spark, tmp_path):
+    raw = tmp_path / "raw"
+    for i in range(5):
+        write_bare(raw, str(i), "pm25", "1\n2\n")
+        write_long(tmp_path / "long", f"A_{i}", "pm25_sensor_1.csv", [f"2025-01-01 00:00:00,pm25,1,u,A,{i}"])
+    out = str(tmp_path / "out")
+    assert ingest.land_bare(spark, str(raw), out, str(tmp_path / "cp"), max_files=2) == 10
+    table = spark.read.parquet(out)
+    assert table.count() == 10 and table.select("batch").distinct().count() == 3
+    args = str(tmp_path / "long" / "*"), str(tmp_path / "o2"), str(tmp_path / "c2")
+    assert ingest.land_long(spark, *args, max_files=2) == 5
+    assert spark.read.parquet(args[1]).count() == 5
+
+
+def test_compare_sources(spark, tmp_path):
+    write_bare(tmp_path, "7", "pm2.5", "1\n5\n\n")
+    from stationlake.operators.timeline import rebuild_timeline
+    from stationlake.sources import bare, pages
+    local = rebuild_timeline(bare.read_bare(spark, str(tmp_path)))
+    page = {"location_id": 7, "parameter": "PM25", "results": [
+        {"value": v, "period": {"datetimeFrom": {"utc": f"2025-01-01T0{h}:00:00Z"}}}
+        for h, v in enumerate([1.0, 2.0, 3.0])]}
+    (tmp_path / "page.json").write_text(json.dumps(page))
+    landed = pages.land_measurements(pages.read_pages(spark, str(tmp_path / "page.json")))
+    compared, summary = analyses.compare_sources(landed, local)
+    assert rows(compared.select("ts", "a", "b", "status"), "ts") == [
+        (datetime(2025, 1, 1, 0), 1.0, 1.0, "match"), (datetime(2025, 1, 1, 1), 2.0, 5.0, "differ"),
+        (datetime(2025, 1, 1, 2), 3.0, None, "only_a")]
+    assert {r.status: r.n for r in summary.collect()} == {"match": 1, "differ": 1, "only_a": 1}
+
+
+def test_command_line(spark, network, monkeypatch, tmp_path, capsys):
+    from stationlake import __main__ as cli
+    loaded, *_ = network
+    raw = tmp_path / "long"
+    from stationlake.sources import long
+    long.write_long(loaded, str(raw))
+    density = str(tmp_path / "density")
+    spark.createDataFrame([("Sector 62, Noida", 5)], "location_name string, pop_density int").write.parquet(density)
+    (tmp_path / "page.json").write_text("{}")
+    monkeypatch.setattr(cli, "get_session", lambda: spark)
+    for command in cli.COMMANDS:
+        out = str(tmp_path / command)
+        monkeypatch.setattr("sys.argv", ["stationlake", command, "--layout", "long", "--raw", str(raw),
+                                         "--density", density, "--pages", str(tmp_path / "page.json"), "--out", out])
+        cli.main()
+    assert spark.read.parquet(str(tmp_path / "pca" / "kpi")).count() == 1
+    assert spark.read.parquet(str(tmp_path / "stations" / "stations")).count() == 3
+    assert spark.read.parquet(str(tmp_path / "coverage" / "coverage")).count() == 18 * 13
+    assert spark.read.parquet(str(tmp_path / "violations" / "heatmap")).count() == 3
+
+
 def test_load_long_and_align(spark, tmp_path):
     hour = "2024-02-28 05:00:00"
     write_long(tmp_path, "A_1", "all.csv", [
