@@ -19,35 +19,41 @@ def line_numbers(raw: DataFrame) -> DataFrame:
     lines are counted per split, and the counts of a file's earlier splits give the
     offset. Only the per-split table is shuffled, never the lines, so one huge file
     costs the same as many small ones.
+
+    The parsed lines are staged first: how files are cut into splits depends on the
+    cores at hand, and the counts and the lines must come from the same cut even if
+    executors are lost in between.
     """
+    lines = staged(raw, "lines")
     earlier = (
         Window.partitionBy("source_file")
         .orderBy("block_start")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    splits = _splits(raw).withColumn("n_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    return _number_lines(raw, splits, "row_idx")
+    splits = _splits(lines).withColumn("n_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    return _number_lines(lines, splits, "row_idx")
 
 
 def scan_positions(raw: DataFrame, into: str = "rn") -> DataFrame:
     """Add the global row number of each line: files in path order, lines in file order."""
-    ordered = running_sums(_splits(raw), "n", ["source_file", "block_start"])
+    lines = staged(raw, "lines")
+    ordered = running_sums(_splits(lines), "n", ["source_file", "block_start"])
     splits = ordered.withColumn("n_before", F.col("upto") - F.col("n"))
-    return _number_lines(raw, splits, into)
+    return _number_lines(lines, splits, into)
 
 
-def _splits(raw: DataFrame) -> DataFrame:
+def _splits(lines: DataFrame) -> DataFrame:
     """One row per split: its first line id and its number of lines."""
-    return raw.groupBy("source_file", "block_start").agg(
+    return lines.groupBy("source_file", "block_start").agg(
         F.min("line_id").alias("first_id"), F.count("*").alias("n")
     )
 
 
-def _number_lines(raw: DataFrame, splits: DataFrame, into: str) -> DataFrame:
+def _number_lines(lines: DataFrame, splits: DataFrame, into: str) -> DataFrame:
     offsets = staged(splits.select("source_file", "block_start", "first_id", "n_before"), "splits")
-    lines = match_keys(raw, offsets, ["source_file", "block_start"])
+    placed = match_keys(lines, offsets, ["source_file", "block_start"])
     place = F.col("n_before") + F.col("line_id") - F.col("first_id") + 1
-    return lines.withColumn(into, place).drop("n_before", "first_id")
+    return placed.withColumn(into, place).drop("n_before", "first_id")
 
 
 def rebuild_timeline(

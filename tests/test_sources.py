@@ -102,6 +102,18 @@ def test_line_numbers_do_not_depend_on_splits(spark, tmp_path, conf):
     assert whole == split
 
 
+def test_line_numbers_survive_another_cut_of_the_files(spark, tmp_path, conf):
+    """The splits may be cut differently when the result is finally read."""
+    write_bare(tmp_path, "1", "no2", "".join(f"{i}\n" for i in range(1, 20001)))
+    conf("spark.sql.files.maxPartitionBytes", "9000")
+    numbered = timeline.line_numbers(bare.read_bare(spark, str(tmp_path)))
+    scan = timeline.scan_positions(bare.read_bare(spark, str(tmp_path)))
+    conf("spark.sql.files.maxPartitionBytes", "30011")
+    conf("spark.sql.files.minPartitionNum", "3")
+    assert numbered.filter("value = row_idx").count() == 20000
+    assert scan.filter("value = rn").count() == 20000
+
+
 def test_pruning(spark, tmp_path):
     for s in ("1", "17", "2"):
         write_bare(tmp_path, s, "pm25", "1\n")
