@@ -80,31 +80,28 @@ def pca_analysis(spark, folder):
     return rounded(cards, "variance_captured", "pc1_variance", "pc2_variance", "centroid_gap")
 
 
-_URGENCY = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-_LEVELS = ["urgent", "high", "medium", "open", "low"]
+_LEVELS = {"pressing": ["1-urgent", "2-high"], "normal": ["3-medium", "4-not specified", "5-low"]}
 
 
-@query(f"""
+@query("""
 SELECT * FROM (
   SELECT o_orderstatus AS station,
          make_timestamp(2025, month(o_orderdate), day(o_orderdate), 0, 0, 0.0::DOUBLE) AS ts_aligned,
-         {", ".join(f"round(avg(CASE WHEN o_orderpriority = '{u}' THEN o_totalprice END), 6) AS {n}"
-                    for u, n in zip(_URGENCY, _LEVELS))}
+         round(avg(CASE WHEN left(o_orderpriority, 1) IN ('1', '2') THEN o_totalprice END), 6) AS pressing,
+         round(avg(CASE WHEN left(o_orderpriority, 1) IN ('3', '4', '5') THEN o_totalprice END), 6) AS normal
   FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29) GROUP BY 1, 2)
-WHERE {" AND ".join(f"{n} IS NOT NULL" for n in _LEVELS)}
+WHERE pressing IS NOT NULL AND normal IS NOT NULL
 """)
 def aligned_features(spark, folder):
-    """Orders of all years as readings of one year: day by status, a column per priority."""
-    parameter = normalise_parameter(
-        F.col("o_orderpriority"), names={n: [u.lower()] for u, n in zip(_URGENCY, _LEVELS)}
-    )
+    """Orders of all years as readings of one year: day by status, a column per urgency."""
     orders = table(spark, folder, "orders").select(
         F.col("o_orderstatus").alias("station"),
         F.col("o_orderdate").alias("ts"),
-        parameter.alias("parameter"),
+        normalise_parameter(F.col("o_orderpriority"), names=_LEVELS).alias("parameter"),
         F.col("o_totalprice").alias("value"),
     )
-    return rounded(analyses.aligned_features(orders, 2025, "station", _LEVELS), *_LEVELS)
+    features = list(_LEVELS)
+    return rounded(analyses.aligned_features(orders, 2025, "station", features), *features)
 
 
 _RATES = ", ".join(

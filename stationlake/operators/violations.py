@@ -48,14 +48,16 @@ def violation_heatmap(
     Readings are reduced to one row per (station, month) before names are joined and
     labels (text before the separator) merged, so neither the join nor a hot station
     ever sees single readings. ``row_mean`` is the mean of the months present. A month
-    without readings is a NULL column. ``rank`` numbers the rows by a ranged sort.
+    without readings is a NULL column. Without ``names`` the station itself is the name.
+    ``rank`` numbers the rows by a ranged sort.
     """
     monthly = _counted(df, value, null_as_safe).groupBy(
         F.col(station), F.month(ts).alias("_month")
     ).agg(F.sum(exceeds(F.col(value), limit)).alias("_hits"), F.count("*").alias("_n"))
     if names is not None:
         monthly = monthly.join(names, station)
-    labelled = monthly.withColumn("label", text.short_label(F.col(name), separator))
+    full_name = F.col(name if names is not None else station)
+    labelled = monthly.withColumn("label", text.short_label(full_name, separator))
 
     wide = labelled.groupBy("label").agg(*[
         F.expr(f"sum(if(_month = {m}, _hits, null)) / sum(if(_month = {m}, _n, null))").alias(name)
