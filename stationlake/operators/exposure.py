@@ -22,11 +22,13 @@ def station_means(
 
     Readings are summed per station before names are joined; stations sharing a name
     are then merged by their sums and counts, which gives the mean of all readings.
+    Without ``names`` the readings carry the name themselves.
     """
     v = clean(F.col(value))
+    if names is None:
+        return df.groupBy(name).agg(F.avg(v).alias(into))
     sums = df.groupBy(station).agg(F.sum(v).alias("_sum"), F.count(v).alias("_n"))
-    if names is not None:
-        sums = sums.join(names, station)
+    sums = sums.join(names, station)
     return sums.groupBy(name).agg(F.try_divide(F.sum("_sum"), F.sum("_n")).alias(into))
 
 

@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stationlake.functions.values import clean
 from stationlake.sources.shared import staged
 
 # Rows of a group that one task may hold: a few megabytes of distinct values.
@@ -119,7 +120,7 @@ def exact_quantiles(
     """
     if not by:
         return bracketed_quantiles(df, value, ps)
-    data = df.select(*by, F.col(value).cast("double").alias(value)).filter(F.col(value).isNotNull())
+    data = df.select(*by, clean(F.col(value)).alias(value)).filter(F.col(value).isNotNull())
     sizes = data.groupBy(*by).agg(F.count("*").alias("_size"))
     large = staged(sizes.filter(F.col("_size") > group_limit).drop("_size"), "large")
     if large.isEmpty():
@@ -149,7 +150,7 @@ def bracketed_quantiles(
     all, every value is ranked instead.
     """
     v = F.col(value)
-    data = df.select(v.cast("double").alias(value)).filter(v.isNotNull())
+    data = df.select(clean(v).alias(value)).filter(v.isNotNull())
     slack = margin / accuracy
     around = [edge for p in ps.values() for edge in (max(p - slack, 0.0), min(p + slack, 1.0))]
     edges = data.agg(F.percentile_approx(value, around, accuracy).alias("e")).first()["e"]

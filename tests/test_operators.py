@@ -56,6 +56,8 @@ def test_heatmap(spark):
     assert [(r.label, r.Jan, r.Feb, r.Mar, r.row_mean, r["rank"]) for r in got] == [
         ("North", 1.0, 0.0, None, 0.5, 1), ("South", 0.5, None, None, 0.5, 2)]
     assert len(got[0]) == 15
+    named = violations.violation_heatmap(df.withColumn("station_id", F.lit("East, City"))).collect()
+    assert [(r.label, r.Jan) for r in named] == [("East", 0.75)]
     plain = violations.violation_heatmap(df, names=names).collect()
     assert [r.label for r in plain] == ["North", "South"]
 
@@ -258,6 +260,8 @@ def test_exposure(spark):
     assert rows(got, "short_name") == [
         ("MIDC Khutala", 30.0, 900, "Industrial"), ("Sector 11", 5.0, None, "Residential")]
     assert rows(exposure.exposure(means.limit(0), density)) == []
+    carried = df.join(names, "station_id").drop("station_id")
+    assert rows(exposure.station_means(carried), "location_name") == rows(means, "location_name")
 
 
 def test_reconcile(spark):

@@ -123,3 +123,9 @@ def test_a_hot_station_is_spread_over_partitions(spark, conf, monkeypatch):
         hot = table.filter("station = 7").select("_part").distinct().count()
         assert max(sizes) < 3 * table.count() / 12 and hot >= 3
     assert len(seen) == 2
+
+
+def test_quantiles_ignore_nan_and_null(spark):
+    df = spark.createDataFrame([("a", v) for v in (1.0, 3.0, float("nan"), None)], "g string, v double")
+    assert rows(ordering.exact_quantiles(df, "v", {"q": 0.5})) == [(2.0,)]
+    assert rows(ordering.exact_quantiles(df, "v", {"q": 0.5}, ["g"])) == [("a", 2.0)]
