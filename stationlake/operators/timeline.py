@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationlake.functions import time, vocabulary
+from stationlake.functions import text, time, vocabulary
 from stationlake.operators.ordering import match_keys, numbered, running_sums
 from stationlake.sources.shared import staged
 
@@ -24,7 +24,7 @@ def line_numbers(raw: DataFrame) -> DataFrame:
     cores at hand, and the counts and the lines must come from the same cut even if
     executors are lost in between.
     """
-    lines = staged(raw, "lines")
+    lines = _staged_lines(raw)
     earlier = (
         Window.partitionBy("source_file")
         .orderBy("block_start")
@@ -36,12 +36,17 @@ def line_numbers(raw: DataFrame) -> DataFrame:
 
 def scan_positions(raw: DataFrame, into: str = "rn") -> DataFrame:
     """Add the global row number of each line: files in path order, lines in file order."""
-    lines = staged(raw, "lines")
+    lines = _staged_lines(raw)
     ordered = running_sums(_splits(lines), "n", ["source_file", "block_start"])
     splits = ordered.withColumn("n_before", F.col("upto") - F.col("n"))
     return _number_lines(lines, splits, into)
 
 
+def _staged_lines(raw: DataFrame) -> DataFrame:
+    """The lines without ``parameter``, which is taken from the path per split, not per line."""
+    return staged(raw.drop("parameter"), "lines")
+
+
 def _splits(lines: DataFrame) -> DataFrame:
     """One row per split: its first line id and its number of lines."""
     return lines.groupBy("source_file", "block_start").agg(
@@ -50,7 +55,10 @@ def _splits(lines: DataFrame) -> DataFrame:
 
 
 def _number_lines(lines: DataFrame, splits: DataFrame, into: str) -> DataFrame:
-    offsets = staged(splits.select("source_file", "block_start", "first_id", "n_before"), "splits")
+    parameter = text.parameter_of(text.decoded(F.col("source_file"))).alias("parameter")
+    offsets = staged(
+        splits.select("source_file", "block_start", "first_id", "n_before", parameter), "splits"
+    )
     placed = match_keys(lines, offsets, ["source_file", "block_start"])
     place = F.col("n_before") + F.col("line_id") - F.col("first_id") + 1
     return placed.withColumn(into, place).drop("n_before", "first_id")

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from stationlake import schemas
 from stationlake.functions import values
-from stationlake.functions.text import decoded, parameter_of
 from stationlake.functions.vocabulary import TIMELINE_START, normalise_parameter
 from stationlake.operators.timeline import rebuild_timeline
 from stationlake.sources import long
@@ -88,12 +87,14 @@ def land_bare(
 
     def land(batch: DataFrame, batch_id: int) -> None:
         ids = batch.withColumn("line_id", F.monotonically_increasing_id())
-        named = ids.select(
+        parsed = ids.select(
             "station_id", "source_file", "block_start", "line_id",
             values.number_of(F.col("line")).alias("value"),
-            normalise_parameter(parameter_of(decoded(F.col("source_file"))), "keep").alias("parameter"),
         )
-        readings = values.conform(rebuild_timeline(named, start, step_seconds), schemas.READINGS)
+        timeline = rebuild_timeline(parsed, start, step_seconds).withColumn(
+            "parameter", normalise_parameter(F.col("parameter"), "keep")
+        )
+        readings = values.conform(timeline, schemas.READINGS)
         counted = Observation()
         readings.withColumn("batch", F.lit(batch_id)).observe(
             counted, F.count("*").alias("n")
