@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationlake.llm import bpe, quality, topk, toxicity, unigram
+from stationlake.llm import bpe, chat, licenses, mixing, quality, topk, toxicity, unigram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,8 +17,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def register(job: Callable[[SparkSession, str], DataFrame]):
+def register(job: Callable[[SparkSession, str], DataFrame], sql: str | None = None):
     QUERIES[job.__name__] = job
+    if sql:
+        ORACLES[job.__name__] = sql
     return job
 
 
@@ -46,12 +48,36 @@ def byte_bpe() -> tuple[bytes, str, dict[str, int]]:
     return local_bytes(tokenizer_file("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}
 
 
+def op1_quotation_links(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.conversations(table(spark, folder, "conversations"))
+
+
+register(op1_quotation_links, chat.ORACLE)
+
+
 @register
 def op2_unigram_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return unigram.token_counts(docs, unigram_pieces(tokenizer_file("piece_bpe_32k.model")))
 
 
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The tables hold no paths: a document lies in source/lang/hundred, the first of a hundred is its LICENSE."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
+    name = F.when(F.col("doc_id") % 100 == 0, "LICENSE").otherwise(
+        F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    )
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 100).cast("string"), name)
+    found = licenses.scanned(docs.select("doc_id", path.alias("path"), "text"))
+    return found.withColumn("own_score", F.round("own_score", 6))
+
+
+register(op3_license_scan, licenses.oracle(
+    "concat_ws('/', source, lang, cast(doc_id // 100 AS VARCHAR), "
+    "CASE WHEN doc_id % 100 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END)"
+))
+
+
 @register
 def op5_bpe_chunks(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -73,6 +99,29 @@ def op6_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Target mixture: a domain is every fourth source; weights of languages hold within each domain.
+MIX_DOMAINS = {"d0": 0.4, "d1": 0.3, "d2": 0.2, "d3": 0.1}
+MIX_LANGUAGES = {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]{1,9})$", 1)
+    return docs.withColumn("domain", F.concat(F.lit("d"), F.when(number == "", 0).otherwise(number.cast("int") % 4)))
+
+
+def mix_weights() -> dict[tuple, float]:
+    weights: dict[tuple, float] = {(d,): w for d, w in MIX_DOMAINS.items()}
+    weights |= {(d, x): w for d in MIX_DOMAINS for x, w in MIX_LANGUAGES.items()}
+    return weights
+
+
+@register
+def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    docs = with_domain(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"))
+    picked = mixing.mixed(docs, ["domain", "lang", "source"], mix_weights(), max_epochs=4)
+    return picked.select("doc_id", "domain", "lang", "source", "epoch", mixing.word_tokens().alias("n_tokens"))
+
+
 @register
 def op8_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     vectors = topk.scaled(
