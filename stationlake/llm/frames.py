@@ -19,6 +19,11 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def lean_shuffles(spark: SparkSession) -> None:
+    """Shuffle files go when the query that wrote them ends; long jobs here stage what they read again."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def map_batches(
     df: DataFrame,
     schema: str | T.StructType,

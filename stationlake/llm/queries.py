@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stationlake.llm import bpe, chat, licenses, mixing, quality, topk, toxicity, unigram
+from stationlake.llm import (
+    bpe,
+    chat,
+    licenses,
+    mixing,
+    neardup,
+    quality,
+    suffix,
+    topk,
+    toxicity,
+    unigram,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,6 +89,12 @@ register(op3_license_scan, licenses.oracle(
 ))
 
 
+@register
+def op4_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return neardup.named(neardup.classes(docs))
+
+
 @register
 def op5_bpe_chunks(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -131,6 +148,18 @@ def op8_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(queries, vectors, 20)
 
 
+@register
+def op9_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    lost = F.aggregate(
+        F.zip_with("begins", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y
+    )
+    return suffix.without_repeats(docs, ["doc_id"]).select(
+        "doc_id", (F.octet_length("kept") + lost).cast("long").alias("n_bytes"), lost.alias("n_removed"),
+        F.size("begins").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @register
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
