@@ -1,15 +1,18 @@
 """Headline queries, timed: prints one JSON line.
 
 BENCH_SF_DIR names the tables (default sf0.1), BENCH_CPUS the local cores (default 8).
-Each query is run to the end with its result discarded. Before that every query runs
-once on the smallest tables (if they lie beside the folder), which warms the JVM up.
+Each query is run to the end three times with its result discarded; the median counts.
+Before that every query runs once on the smallest tables (if they lie beside the folder),
+which warms the JVM up.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -62,6 +65,7 @@ def main() -> None:
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "8g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"),
         },
     )
     spark.sparkContext.setLogLevel("OFF")
@@ -75,9 +79,12 @@ def main() -> None:
         run(name, small if os.path.isdir(small) else folder)
     times = {}
     for name in wanted:
-        began = time.perf_counter()
-        run(name, folder)
-        times[name] = round(time.perf_counter() - began, 3)
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            run(name, folder)
+            took.append(time.perf_counter() - began)
+        times[name] = round(statistics.median(took), 3)
     spark.stop()
     print(json.dumps({
         "metric": "headline queries, total wall time",

@@ -30,6 +30,7 @@ def arguments() -> argparse.Namespace:
     parser.add_argument("--start", default="2025-01-01")
     parser.add_argument("--end", default="2026-01-01")
     parser.add_argument("--out")
+    parser.add_argument("--scratch", help="folder shared by all executors, if spark.checkpoint.dir is not set")
     return parser.parse_args()
 
 
@@ -48,7 +49,7 @@ def results(spark, args) -> dict:
         names = (
             locations.station_names(locations.read_locations(spark, args.metadata))
             if args.metadata
-            else readings.select("station_id", "location_name").distinct()
+            else None  # every reading counts under the name it carries
         )
         if args.command == "violations":
             return {"heatmap": analyses.violation_analysis(readings, names)}
@@ -76,7 +77,7 @@ def results(spark, args) -> dict:
 
 def main() -> None:
     args = arguments()
-    spark = get_session()
+    spark = get_session(**({"spark.checkpoint.dir": args.scratch} if args.scratch else {}))
     for name, table in results(spark, args).items():
         if args.out:
             table.write.mode("overwrite").parquet(f"{args.out}/{name}")

@@ -229,3 +229,28 @@ def zone_classify(spark, folder):
         classify_zone(kind, "plain", rules).alias("zone"),
         classify_zone(kind, "cased", rules).alias("zone_cased"),
     )
+
+
+# Names under which a landed series of a group may stand.
+ALIASES = {"urgent": ["urgent", "asap"], "high": ["high"], "rest": ["medium", "not specified"], "low": ["low"]}
+
+
+@query(f"""
+WITH uses AS (
+  SELECT location_id, {_GROUP} AS param_group, min(sensor_id) AS sensor_id,
+         arg_min(param_id, sensor_id) AS param_id, arg_min(param_name, sensor_id) AS param_name
+  FROM ({_USES}) GROUP BY 1, 2),
+landed AS (
+  SELECT DISTINCT o_custkey AS location_id, CASE left(o_orderpriority, 1)
+    WHEN '1' THEN 'urgent' WHEN '2' THEN 'high' WHEN '5' THEN 'low' ELSE 'rest' END AS param_group
+  FROM orders WHERE o_orderstatus = 'F')
+SELECT * FROM uses ANTI JOIN landed USING (location_id, param_group)
+""")
+def sensors_to_fetch(spark, folder):
+    """Finished orders are landed series; some stand under another name or spelling."""
+    name = F.substring("o_orderpriority", 3, 20)
+    spelled = F.when(name == "URGENT", F.when(F.col("o_orderkey") % 2 == 0, "ASAP").otherwise("Urgent")).otherwise(name)
+    landed = table(spark, folder, "orders").filter("o_orderstatus = 'F'").select(
+        F.col("o_custkey").alias("location_id"), spelled.alias("parameter")
+    )
+    return c.sensors_to_fetch(customer_sensors(spark, folder), landed, GROUPS, ALIASES)

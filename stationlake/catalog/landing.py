@@ -121,6 +121,80 @@ def long_scan(spark, folder):
     )
 
 
+@query("""
+WITH k AS (SELECT *, CASE WHEN event_type = 'error' AND value > 100 THEN 'short' WHEN event_type = 'click' AND value > 100
+  THEN 'wide' WHEN event_type = 'view' AND value > 120 THEN 'no time' ELSE 'good' END AS kind FROM events)
+SELECT CASE WHEN kind = 'good' THEN 'good' ELSE 'reject' END AS kind, count(*) AS n,
+       round(sum(CASE WHEN kind = 'good' THEN value END), 6) AS total,
+       count(DISTINCT CASE WHEN kind = 'good' THEN date_trunc('second', ts) END) AS n_times
+FROM k GROUP BY 1
+""")
+def long_layouts(spark, folder):
+    """Long files with other headers, lines of the wrong length, times as objects and times that are none."""
+    path = new_path(spark, "layouts")
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    as_object = F.concat(F.lit("\"{'utc': '"), stamp, F.lit("', 'local': 'x'}\""))
+    kept = event_readings(spark, folder)
+    over = F.col("value") > 100
+    line = F.when((F.col("parameter") == "error") & over, F.concat_ws(",", stamp, "parameter", "value")).when(
+        (F.col("parameter") == "click") & over,
+        F.concat_ws(",", stamp, "parameter", "value", "units", F.lit("A"), "station_id", F.lit("more")),
+    ).when(
+        (F.col("parameter") == "view") & (F.col("value") > 120),
+        F.concat_ws(",", F.lit("no time"), "parameter", "value", "units", F.lit("A"), "station_id"),
+    ).otherwise(F.concat_ws(",", as_object, "parameter", "value", "units", F.lit("\"A, b\""), "station_id"))
+    kept.filter("parameter <> 'purchase'").select(line.alias("line")).write.text(f"{path}/usual")
+    kept.filter("parameter = 'purchase'").select(
+        F.col("station_id").alias("location_id"), "value", stamp.alias("timestamp"), "parameter"
+    ).write.option("header", True).csv(f"{path}/other")
+    good, rejects = long.read_long(spark, f"{path}/*")
+    read = long.to_readings(good).select(F.lit("good").alias("kind"), "value", "ts")
+    refused = rejects.select(
+        F.lit("reject").alias("kind"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("timestamp").alias("ts")
+    )
+    return read.unionByName(refused).groupBy("kind").agg(
+        F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"), F.count_distinct("ts").alias("n_times")
+    )
+
+
+@query("""
+SELECT event_type AS parameter, count(*) AS n, count(DISTINCT user_id) AS n_stations,
+       round(sum(CASE WHEN event_type = 'click' AND user_id % 2 = 0 THEN 2 * value ELSE value END), 6) AS total
+FROM events GROUP BY 1
+""")
+def refetch(spark, folder):
+    """Series fetched again replace themselves; other stations of the parameter stay."""
+    path = new_path(spark, "refetched")
+    first = event_readings(spark, folder)
+    readings.write_readings(first, path)
+    again = first.filter("parameter = 'click' and cast(station_id as long) % 2 = 0")
+    readings.write_readings(again.withColumn("value", 2 * F.col("value")), path)
+    return readings.read_readings(spark, path).groupBy("parameter").agg(
+        F.count("*").alias("n"), F.count_distinct("station_id").alias("n_stations"),
+        F.round(F.sum("value"), 6).alias("total"),
+    )
+
+
+@query("""
+SELECT station_id, row_idx, TIMESTAMP '2025-01-01' + INTERVAL 1 HOUR * (row_idx - 1) AS ts, value FROM (
+  SELECT concat(event_type, '-', event_id % 5) AS station_id, CASE WHEN value <= 150 THEN event_id::DOUBLE END AS value,
+         row_number() OVER (PARTITION BY event_type, event_id % 5 ORDER BY event_id) AS row_idx FROM events)
+""")
+def line_times(spark, folder):
+    """Place and hour of every line: each value is the event's id, so that no line can pass for another."""
+    path = new_path(spark, "places")
+    station = F.concat_ws("-", "event_type", (F.col("event_id") % 5).cast("string"))
+    value = F.when(F.col("value") <= 150, F.col("event_id").cast("string"))
+    # One file a station, as the fetched series are.
+    table(spark, folder, "events").select(
+        "event_id", F.coalesce(value, F.lit("")).alias("line"), station.alias("station")
+    ).repartition("station").sortWithinPartitions("station", "event_id").select("line", "station").write.partitionBy(
+        "station"
+    ).text(path)
+    raw = bare.read_bare(spark, path, file_filter="*.txt")
+    return timeline.rebuild_timeline(raw, drop_missing=False).select("station_id", "row_idx", "ts", "value")
+
+
 @query("""
 SELECT user_id::VARCHAR AS station_id, event_type AS parameter, date_trunc('second', ts)::TIMESTAMP AS ts, value
 FROM events

@@ -111,7 +111,7 @@ WITH means AS (
          avg(l_quantity) AS pm25_mean
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
   GROUP BY ALL),
-density AS (SELECT c_nationkey, count(*) AS pop_density FROM customer WHERE c_acctbal > 0 GROUP BY 1)
+density AS (SELECT c_nationkey, count(*) AS pop_density FROM customer GROUP BY 1)
 SELECT location_name, round(pm25_mean, 6) AS pm25_mean, pop_density,
        split_part(location_name, ',', 1) AS short_name,
        CASE WHEN contains(location_name, 'Ind') OR contains(location_name, 'MID')
@@ -126,8 +126,7 @@ def exposure(spark, folder):
         F.concat_ws(", ", "s_name", "n_name").alias("location_name"),
         F.col("s_nationkey").alias("c_nationkey"),
     )
-    customers = table(spark, folder, "customer").filter("c_acctbal > 0")
-    per_nation = customers.groupBy("c_nationkey").agg(F.count("*").alias("pop_density"))
+    per_nation = table(spark, folder, "customer").groupBy("c_nationkey").agg(F.count("*").alias("pop_density"))
     density = stations.join(per_nation, "c_nationkey").select("location_name", "pop_density")
     names = stations.select("l_suppkey", "location_name")
     means = ex.station_means(table(spark, folder, "lineitem"), "l_suppkey", "l_quantity", names)

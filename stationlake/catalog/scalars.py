@@ -63,7 +63,7 @@ def path_keys(spark, folder):
 
 @query("""
 SELECT c_name AS location_name, count(*) AS n, round(sum(value), 6) AS total
-FROM events JOIN customer ON c_custkey = user_id WHERE event_type IN ('click', 'view') GROUP BY 1
+FROM events JOIN customer ON c_custkey = user_id GROUP BY 1
 """)
 def expression_join(spark, folder):
     """Readings joined to names on the station id taken from a path.
@@ -73,7 +73,7 @@ def expression_join(spark, folder):
     path = F.concat(F.lit("data/raw/station="), "user_id", F.lit("/"), "event_type", F.lit(".csv"))
     readings = table(spark, folder, "events").select(
         text.station_of(path).alias("station_id"), text.parameter_of(path).alias("parameter"), "value"
-    ).filter(F.col("parameter").isin("click", "view"))
+    )
     sums = readings.groupBy("station_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     names = table(spark, folder, "customer").select(
         F.col("c_custkey").cast("string").alias("station_id"), F.col("c_name").alias("location_name")

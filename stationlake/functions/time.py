@@ -6,9 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stationlake.functions.values import utc_text
 from stationlake.functions.vocabulary import MONTHS, TIMELINE_START, TIMELINE_YEAR
 
 
+def timestamp_of(text: Column) -> Column:
+    """Timestamp of a text, or of the ``utc`` field of a JSON object given as text; else NULL."""
+    return utc_text(F.trim(text)).try_cast("timestamp")
+
+
 def parse_ts(df: DataFrame, text: str, into: str = "ts") -> DataFrame:
     """Cast text to a timestamp and drop the rows whose text is no timestamp."""
     parsed = df.withColumn(into, F.col(text).try_cast("timestamp"))

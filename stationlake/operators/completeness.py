@@ -15,6 +15,7 @@ from stationlake.functions.vocabulary import (
     PARAMETER_NAMES,
     WINDOW_DAYS,
     classify_zone,
+    normalise_parameter,
 )
 
 
@@ -67,6 +68,23 @@ def first_sensors(
     )
 
 
+def sensors_to_fetch(
+    locations: DataFrame,
+    landed: DataFrame,
+    groups: Mapping[str, Sequence[int]] = PARAMETER_IDS,
+    names: Mapping[str, Sequence[str]] = PARAMETER_NAMES,
+) -> DataFrame:
+    """First sensors of the groups that a location has not landed yet.
+
+    ``landed`` is (location_id, parameter): the series there are, under any known name of
+    their parameter. A location with every group landed gives no row.
+    """
+    present = landed.select(
+        "location_id", normalise_parameter(F.col("parameter"), "null", names).alias("param_group")
+    ).filter(F.col("param_group").isNotNull()).distinct()
+    return first_sensors(locations, groups).join(present, ["location_id", "param_group"], "left_anti")
+
+
 def first_per_group(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The row with the smallest ``order`` (unique per key), for sensors kept one per row.
 

@@ -40,8 +40,12 @@ def exposure(
     ruleset: str = "cased",
     separator: str = ",",
 ) -> DataFrame:
-    """Station means with short name, population density (NULL if unknown) and zone."""
-    return means.join(density, key, "left").withColumns({
+    """Station means with short name, population density (NULL if unknown) and zone.
+
+    A key given several densities takes the largest, so no station is repeated.
+    """
+    others = [F.max(c).alias(c) for c in density.columns if c != key]
+    return means.join(density.groupBy(key).agg(*others), key, "left").withColumns({
         "short_name": text.short_label(F.col(name), separator),
         "zone": classify_zone(F.col(name), ruleset),
     })

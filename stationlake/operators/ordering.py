@@ -9,28 +9,18 @@ the partition numbers are data and cannot change between the two reads.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stationlake.functions.values import clean
+from stationlake.sources.joins import match_keys
 from stationlake.sources.shared import staged
 
-# Rows of a group that one task may hold: a few megabytes of distinct values.
-GROUP_LIMIT = 100_000
-
-
-def match_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join that also matches NULL keys, returning the left keys once."""
-    renamed = right.select(*[
-        F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns
-    ])
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
-    return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
-
-
 def _offsets(parts: DataFrame, by: Sequence[str], weight: Column, *more: Column) -> DataFrame:
     """Per (partition, group): what the earlier partitions hold, and the group's total.
 
@@ -43,10 +33,7 @@ def _offsets(parts: DataFrame, by: Sequence[str], weight: Column, *more: Column)
         F.coalesce(F.sum("_share").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_share").over(Window.partitionBy(*by)).alias("_total"),
     ).drop("_share")
-    if not by:
-        # Exactly one row per partition of the ranged rows: small whatever their number.
-        return F.broadcast(offsets)
-    # One row per group at least: let the size of the written table decide the join.
+    # One row per partition and group: the size of the written table decides the join.
     return staged(offsets, "offsets")
 
 
@@ -81,19 +68,39 @@ def running_sums(
 
     The order key must be unique within a group.
     """
-    inside = (
-        Window.partitionBy("_part", *by)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ranged = df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
-    rows = staged(ranged.withColumn("_upto", F.sum(weight).over(inside)), "sums")
-    joined = match_keys(rows, _offsets(rows, by, F.col(weight)), ["_part", *by])
+    ranged = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    rows = staged(_summed_in_order(ranged, weight), "sums")
+    # A group is a stretch of its partition: what stands before the stretch is taken off.
+    start = F.min(F.col("_upto") - F.col(weight)).alias("_start")
+    joined = match_keys(rows, _offsets(rows, by, F.col(weight), start), ["_part", *by])
     return joined.select(
-        *df.columns, (F.col("_before") + F.col("_upto")).alias("upto"), F.col("_total").alias("total")
+        *df.columns, (F.col("_before") + F.col("_upto") - F.col("_start")).alias("upto"),
+        F.col("_total").alias("total"),
     )
 
 
+def _summed_in_order(ranged: DataFrame, weight: str) -> DataFrame:
+    """Add ``_upto``, the sum of ``weight`` from the start of the partition, and ``_part``.
+
+    A window would shuffle the rows once more to its own partitioning; they are already
+    where they belong, so each task adds them up as they come.
+    """
+    fields = ranged.withColumn("_part", F.spark_partition_id()).schema.fields
+    schema = T.StructType([*fields, T.StructField("_upto", T.LongType())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            share = batch.column(batch.schema.get_field_index(weight)).to_numpy(zero_copy_only=False)
+            upto = before + np.cumsum(share.astype(np.int64))
+            before = int(upto[-1]) if len(upto) else before
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(upto, pa.int64())], names=[*batch.schema.names, "_upto"]
+            )
+
+    return ranged.withColumn("_part", F.spark_partition_id()).mapInArrow(add, schema)
+
+
 def running_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Per group and distinct value: ``cnt`` rows, ``upto`` rows at or below it, ``total`` rows.
 
@@ -106,37 +113,18 @@ def running_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFra
 
 
 def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    ps: dict[str, float],
-    by: Sequence[str] = (),
-    group_limit: int = GROUP_LIMIT,
+    df: DataFrame, value: str, ps: dict[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one column per entry of ``ps``.
 
-    The built-in ``percentile`` gathers all distinct values of a group in one task. It is
-    used for groups of at most ``group_limit`` rows; larger groups are ranked across
-    tasks. Without groups the ranks are looked for within narrow brackets.
+    The built-in ``percentile`` gathers all distinct values of a group in one task. Here the
+    distinct values of every group, small or large, are ranked across tasks. Without
+    groups the ranks are looked for within narrow brackets.
     """
     if not by:
         return bracketed_quantiles(df, value, ps)
-    data = df.select(*by, clean(F.col(value)).alias(value)).filter(F.col(value).isNotNull())
-    sizes = data.groupBy(*by).agg(F.count("*").alias("_size"))
-    large = staged(sizes.filter(F.col("_size") > group_limit).drop("_size"), "large")
-    if large.isEmpty():
-        return _small_quantiles(data, value, ps, by)
-    small = _small_quantiles(match_keys(data, large, by, "left_anti"), value, ps, by)
-    ranked = running_counts(match_keys(data, large, by, "left_semi"), value, by)
-    return small.unionByName(quantiles_of(ranked, value, ps, by))
-
-
-def _small_quantiles(
-    df: DataFrame, value: str, ps: dict[str, float], by: Sequence[str]
-) -> DataFrame:
-    all_at_once = F.percentile(value, list(ps.values())).alias("_q")
-    return df.groupBy(*by).agg(all_at_once).select(
-        *by, *[F.col("_q")[i].alias(name) for i, name in enumerate(ps)]
-    )
+    data = df.select(*by, clean(F.col(value)).alias(value))
+    return quantiles_of(running_counts(data, value, by), value, ps, by)
 
 
 def bracketed_quantiles(

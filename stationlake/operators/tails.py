@@ -18,10 +18,10 @@ from stationlake.functions.vocabulary import (
 from stationlake.operators.ordering import (
     busiest,
     exact_quantiles,
-    match_keys,
     quantiles_of,
     running_counts,
 )
+from stationlake.sources.joins import match_keys
 from stationlake.sources.shared import staged
 
 

@@ -2,66 +2,94 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stationlake.functions import text, time, vocabulary
-from stationlake.operators.ordering import match_keys, numbered, running_sums
+from stationlake.operators.ordering import numbered, running_sums
 from stationlake.sources.shared import staged
 
 
 def line_numbers(raw: DataFrame) -> DataFrame:
     """Add ``row_idx``, the line number (from 1) within each source file.
 
-    ``raw`` comes from the readers in ``sources.bare``. A file is read in splits;
-    lines are counted per split, and the counts of a file's earlier splits give the
-    offset. Only the per-split table is shuffled, never the lines, so one huge file
-    costs the same as many small ones.
+    ``raw`` comes from the readers in ``sources.bare``. A file is read in splits, and every
+    task numbers the lines of its splits as they come. In the first split of a file that
+    is the line number; only lines of later splits, which large files alone have, look up
+    how many lines the earlier splits hold. Lines of first splits are never shuffled.
 
-    The parsed lines are staged first: how files are cut into splits depends on the
+    The numbered lines are staged first: how files are cut into splits depends on the
     cores at hand, and the counts and the lines must come from the same cut even if
     executors are lost in between.
     """
-    lines = _staged_lines(raw)
+    lines = staged(_numbered_in_split(raw.drop("parameter")), "lines")
     earlier = (
         Window.partitionBy("source_file")
         .orderBy("block_start")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    splits = _splits(lines).withColumn("n_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    return _number_lines(lines, splits, "row_idx")
+    before = _splits(lines).withColumn("n_before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    later = before.filter("block_start > 0").select("first_id", "n_before")
+    parameter = text.parameter_of(text.decoded(F.col("source_file")))
+    first = lines.filter("block_start = 0").withColumn("n_before", F.lit(0).cast("long"))
+    rest = lines.filter("block_start > 0").join(staged(later, "splits"), "first_id").select(first.columns)
+    placed = first.unionByName(rest)
+    return placed.withColumn("row_idx", F.col("n_before") + F.col("in_split")).withColumn(
+        "parameter", parameter
+    ).drop("n_before", "in_split", "first_id")
 
 
 def scan_positions(raw: DataFrame, into: str = "rn") -> DataFrame:
     """Add the global row number of each line: files in path order, lines in file order."""
-    lines = _staged_lines(raw)
+    lines = staged(_numbered_in_split(raw.drop("parameter")), "lines")
     ordered = running_sums(_splits(lines), "n", ["source_file", "block_start"])
-    splits = ordered.withColumn("n_before", F.col("upto") - F.col("n"))
-    return _number_lines(lines, splits, into)
+    offsets = staged(ordered.select("first_id", (F.col("upto") - F.col("n")).alias("n_before")), "splits")
+    # The key is the number of the split's first line: a long, whatever the paths look like.
+    placed = lines.join(offsets, "first_id")
+    return placed.withColumn(into, F.col("n_before") + F.col("in_split")).drop("n_before", "in_split", "first_id")
 
 
-def _staged_lines(raw: DataFrame) -> DataFrame:
-    """The lines without ``parameter``, which is taken from the path per split, not per line."""
-    return staged(raw.drop("parameter"), "lines")
+def _numbered_in_split(raw: DataFrame) -> DataFrame:
+    """Add ``in_split``, the number of a line in its split, and ``first_id``, its split's first line id.
 
-
-def _splits(lines: DataFrame) -> DataFrame:
-    """One row per split: its first line id and its number of lines."""
-    return lines.groupBy("source_file", "block_start").agg(
-        F.min("line_id").alias("first_id"), F.count("*").alias("n")
-    )
+    A task reads whole splits one after another, so it counts until file or block change.
+    """
+    schema = T.StructType([
+        *raw.schema.fields, T.StructField("in_split", T.LongType()), T.StructField("first_id", T.LongType())
+    ])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        last, n = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.schema.names
+            file = batch.column(names.index("source_file")).dictionary_encode()
+            code, paths = file.indices.to_numpy(), file.dictionary
+            block = batch.column(names.index("block_start")).to_numpy()
+            fresh = np.concatenate([[True], (code[1:] != code[:-1]) | (block[1:] != block[:-1])])
+            at = np.flatnonzero(fresh)
+            place = np.arange(batch.num_rows) - np.repeat(at, np.diff(np.concatenate([at, [batch.num_rows]]))) + 1
+            if (paths[int(code[0])].as_py(), int(block[0])) == last:
+                place[: at[1] if len(at) > 1 else None] += n
+            last, n = (paths[int(code[-1])].as_py(), int(block[-1])), int(place[-1])
+            ids = batch.column(names.index("line_id")).to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(place), pa.array(ids - place + 1)],
+                names=[*names, "in_split", "first_id"],
+            )
+
+    return raw.mapInArrow(count, schema)
 
 
-def _number_lines(lines: DataFrame, splits: DataFrame, into: str) -> DataFrame:
-    parameter = text.parameter_of(text.decoded(F.col("source_file"))).alias("parameter")
-    offsets = staged(
-        splits.select("source_file", "block_start", "first_id", "n_before", parameter), "splits"
-    )
-    placed = match_keys(lines, offsets, ["source_file", "block_start"])
-    place = F.col("n_before") + F.col("line_id") - F.col("first_id") + 1
-    return placed.withColumn(into, place).drop("n_before", "first_id")
+def _splits(lines: DataFrame) -> DataFrame:
+    """One row per split: its place, its first line id and its number of lines."""
+    return lines.groupBy("first_id", "source_file", "block_start").agg(F.max("in_split").alias("n"))
 
 
 def rebuild_timeline(

@@ -110,11 +110,16 @@ def pca_analysis(
 
 
 def violation_analysis(
-    readings: DataFrame, names: DataFrame, parameters: Sequence[str] = ("pm25",), **options
+    readings: DataFrame, names: DataFrame | None, parameters: Sequence[str] = ("pm25",), **options
 ) -> DataFrame:
-    """Heatmap of violation rates of the chosen parameters."""
-    chosen = readings.filter(F.col("parameter").isin(list(parameters))).drop("location_name")
-    return violations.violation_heatmap(chosen, names=names, **options)
+    """Heatmap of violation rates of the chosen parameters.
+
+    Without ``names`` every reading counts once, under the location name it carries.
+    """
+    chosen = readings.filter(F.col("parameter").isin(list(parameters)))
+    if names is None:
+        return violations.violation_heatmap(chosen, station="location_name", **options)
+    return violations.violation_heatmap(chosen.drop("location_name"), names=names, **options)
 
 
 @dataclass(frozen=True)
@@ -152,13 +157,17 @@ def tail_analysis(
 
 def exposure_analysis(
     readings: DataFrame,
-    names: DataFrame,
+    names: DataFrame | None,
     density: DataFrame,
     parameters: Sequence[str] = ("pm25",),
     ruleset: str = "cased",
 ) -> DataFrame:
-    """Mean of the chosen parameters per station with density and zone."""
-    chosen = readings.filter(F.col("parameter").isin(list(parameters))).drop("location_name")
+    """Mean of the chosen parameters per station with density and zone.
+
+    Without ``names`` every reading counts once, under the location name it carries.
+    """
+    chosen = readings.filter(F.col("parameter").isin(list(parameters)))
+    chosen = chosen if names is None else chosen.drop("location_name")
     return ex.exposure(ex.station_means(chosen, names=names), density, ruleset=ruleset)
 
 

@@ -26,7 +26,7 @@ LONG_CSV = T.StructType([
     T.StructField("value", T.DoubleType()),
     T.StructField("units", T.StringType()),
     T.StructField("location_name", T.StringType()),
-    T.StructField("location_id", T.LongType()),
+    T.StructField("location_id", T.StringType()),
 ])
 
 # One landed page of measurements. ``datetimeFrom`` arrives either as a struct

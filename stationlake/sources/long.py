@@ -1,68 +1,97 @@
-"""Long CSV files: header, one reading per line, six columns."""
+"""Long CSV files: one reading per line, columns by each file's own header."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stationlake import schemas
 from stationlake.functions import time, values
+from stationlake.sources.shared import staged
 
-REJECT = "_corrupt_record"
-# Everything is read as text and cast here. Were the reader to cast, it would only notice
-# a bad number in columns the query happens to use.
-_AS_TEXT = T.StructType(
-    [T.StructField(f.name, T.StringType()) for f in schemas.LONG_CSV.fields]
-    + [T.StructField(REJECT, T.StringType())]
-)
-_OPTIONS = {"header": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": REJECT}
+NAMES = [f.name for f in schemas.LONG_CSV.fields]
+# Lines are read as text and cut here, at the commas outside quotes. The CSV reader takes columns by
+# position, and once a query uses only some of them it no longer notices a line of the wrong length.
+_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, source_file) of long CSV files."""
+    return spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("source_file")
+    )
+
+
+def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """The same lines as a stream: each run sees only files not seen before, and those whole."""
+    reader = spark.readStream
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("source_file")
+    )
 
 
 def read_long(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, rejected lines) of long CSV files.
 
-    A line with a wrong number of fields, or an unreadable number, goes to the rejects
-    with its file name; all other lines are kept.
+    A line with another number of fields than its header, an unreadable number or an
+    unreadable time goes to the rejects with its file name; all other lines are kept. Both
+    results hold the same lines whatever columns are asked for.
     """
-    return split_rejects(spark.read.options(**_OPTIONS).schema(_AS_TEXT).csv(path))
+    return split_rejects(read_lines(spark, path))
 
 
-def stream_long(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """The same files as a stream of text rows: each run sees only files not seen before."""
-    reader = spark.readStream.options(**_OPTIONS).schema(_AS_TEXT)
-    if max_files is not None:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.csv(path)
+def _plain(field: Column) -> Column:
+    """A field without its quotes and outer blanks; empty ones are NULL."""
+    bare = F.trim(F.replace(F.regexp_replace(F.trim(field), r'^"|"$', ""), F.lit('""'), F.lit('"')))
+    return F.when(bare != "", bare)
+
+
+def _is_header(line: Column) -> Column:
+    """A line that names at least the time, the parameter and the value, each as a whole field."""
+    named = F.split(F.regexp_replace(F.lower(line), '[" \\t\\r\\ufeff]', ""), ",")
+    needed = [F.array_contains(named, n) for n in ("timestamp", "parameter", "value")]
+    return needed[0] & needed[1] & needed[2]
+
 
+def split_rejects(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split (line, source_file) rows into (typed good rows, rejected lines).
 
-def split_rejects(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split text rows into (typed good rows, rejected lines)."""
-    names = [f.name for f in schemas.LONG_CSV.fields]
-    unreadable = F.lit(False)
+    Files without a header, or with the usual one, need no lookup; only the layouts of
+    other files are collected, and their staged size decides how lines meet them.
+    """
+    named = F.split(F.regexp_replace(F.lower("line"), '[" \\t\\r\\ufeff]', ""), ",")
+    usual = F.array(*[F.lit(n) for n in NAMES])
+    marked = lines.where(F.trim("line") != "").withColumn("_header", _is_header(F.col("line")))
+    layouts = staged(
+        marked.where("_header").select("source_file", named.alias("layout")).where(F.col("layout") != usual)
+        .groupBy("source_file").agg(F.min("layout").alias("layout")),
+        "long-layouts",
+    )
+    rows = marked.where("not _header").join(layouts, "source_file", "left").withColumn(
+        "layout", F.coalesce("layout", usual)
+    ).withColumn("_fields", F.split("line", _COMMA, -1))
+
+    place = {n: F.array_position("layout", n).cast("int") for n in NAMES}
+    texts = rows.select("source_file", "line", "layout", "_fields", *[
+        F.when(place[n] > 0, _plain(F.try_element_at("_fields", place[n]))).alias(n) for n in NAMES
+    ])
+    bad = F.size("_fields") != F.size("layout")
     for field in schemas.LONG_CSV.fields:
         if not isinstance(field.dataType, T.StringType):
-            text = F.trim(F.col(field.name))
-            cast = text.try_cast(field.dataType)
-            unreadable = unreadable | (F.coalesce(text, F.lit("")) != "") & cast.isNull()
-    flagged = rows.select(
-        *names,
-        F.col(REJECT).alias("_whole"),
-        F.col("_metadata.file_path").alias("source_file"),
-        (F.col(REJECT).isNotNull() | unreadable).alias("_bad"),
-    )
-    good = flagged.filter(~F.col("_bad")).select(
-        *[F.trim(F.col(f.name)).try_cast(f.dataType).alias(f.name) for f in schemas.LONG_CSV.fields],
-        "source_file",
+            bad = bad | (F.col(field.name).isNotNull() & F.col(field.name).try_cast(field.dataType).isNull())
+    flagged = texts.withColumn("_bad", bad | time.timestamp_of(F.col("timestamp")).isNull())
+    good = flagged.where("not _bad").select(
+        *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schemas.LONG_CSV.fields], "source_file"
     )
-    line = F.coalesce(F.col("_whole"), F.to_csv(F.struct(*names)))
-    rejects = flagged.filter("_bad").select("source_file", line.alias("line"))
-    return good, rejects
+    return good, flagged.where("_bad").select("source_file", "line")
 
 
 def to_readings(rows: DataFrame) -> DataFrame:
     """Long CSV rows in the canonical columns; rows without a readable time are dropped."""
-    timed = time.parse_ts(rows, "timestamp")
+    timed = rows.withColumn("ts", time.timestamp_of(F.col("timestamp"))).where(F.col("ts").isNotNull())
     return values.conform(
         timed.withColumn("station_id", F.col("location_id").cast("string"))
         .withColumn("value", values.clean(F.col("value"))),
@@ -71,10 +100,10 @@ def to_readings(rows: DataFrame) -> DataFrame:
 
 
 def write_long(readings: DataFrame, path: str) -> None:
-    """Export as long CSV with header, blank for NULL."""
+    """Export as long CSV with header, blank for NULL; ids as text, times to the microsecond."""
     out = readings.select(
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"),
         "parameter", "value", "units", "location_name",
-        F.col("station_id").try_cast("long").alias("location_id"),
+        F.col("station_id").cast("string").alias("location_id"),
     )
-    out.write.option("header", True).csv(path)
+    out.write.option("header", True).option("escape", '"').csv(path)

@@ -4,23 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationlake import schemas
+from stationlake.sources.joins import match_keys
 from stationlake.sources.shared import staged
 
 _PARTITION = "parameter"
 
 
-def write_readings(readings: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_readings(readings: DataFrame, path: str, mode: str = "replace") -> None:
     """Write readings by parameter, clustered by station and time.
 
     Rows are ranged on (parameter, station, time): a hot station is spread over
     several files, and the row-group statistics let a station or time filter skip the
     rest. Stations get no folder of their own, which would mean one small file each.
-    ``overwrite`` replaces only the parameters present in ``readings``.
+
+    ``replace`` (the default) replaces the series, that is pairs of station and parameter,
+    present in ``readings`` and keeps all others; ``overwrite`` replaces whole parameters;
+    ``append`` adds. Only folders of parameters present are read and written again.
     """
+    if mode == "replace":
+        readings, mode = _with_untouched(readings, path), "overwrite"
     (
         readings.repartitionByRange(_PARTITION, "station_id", "ts")
         .sortWithinPartitions(_PARTITION, "station_id", "ts")
@@ -31,6 +38,25 @@ def write_readings(readings: DataFrame, path: str, mode: str = "overwrite") -> N
     )
 
 
+def _with_untouched(readings: DataFrame, path: str) -> DataFrame:
+    """The readings and, of their parameters, the landed series that they do not bring anew.
+
+    Staged, as the folders they come from are about to be replaced.
+    """
+    spark = readings.sparkSession
+    readings = staged(readings, "readings-new")
+    try:
+        before = spark.read.schema(readings.schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return readings
+    series = readings.select(_PARTITION, "station_id").distinct()
+    landed = match_keys(before, readings.select(_PARTITION).distinct(), [_PARTITION], "left_semi")
+    kept = match_keys(landed, series, [_PARTITION, "station_id"], "left_anti")
+    return staged(readings.unionByName(kept), "readings-merged")
+
+
 def read_readings(
     spark: SparkSession,
     path: str,

@@ -2,29 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folders: dict[str, str] = {}
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``.
+    """Folder named by ``spark.checkpoint.dir``, which every executor has to see.
 
-    Unset is accepted only in local mode (tests, laptops), where a temporary folder
-    is used; on a cluster every executor must see the folder, so it has to be named.
+    There is no default: a folder that only one machine sees would lose rows on a cluster.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="stationlake-")
-    return _local_folders[app]
+    return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:

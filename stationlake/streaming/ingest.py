@@ -14,6 +14,7 @@ from stationlake.functions import values
 from stationlake.functions.vocabulary import TIMELINE_START, normalise_parameter
 from stationlake.operators.timeline import rebuild_timeline
 from stationlake.sources import long
+from stationlake.sources.shared import staged
 
 
 def land_long(
@@ -26,32 +27,40 @@ def land_long(
 ) -> int:
     """Land new long CSV files under ``raw`` into the readings table ``out``.
 
-    The parquet file sink commits exactly once. Unreadable lines go to ``rejects``
-    (a stream of its own) when that folder is named. ``max_files`` bounds the files of one
-    commit, for the first landing of a large folder. Returns the rows read by this call.
+    Every micro-batch (which holds whole files) is read once and split into readings and
+    rejects, which go to ``rejects`` when that folder is named. Readings are clustered by
+    parameter and station, so a batch writes few files. A batch has a ``batch`` folder of its own
+    and replaces it when it is run again after a failure. ``max_files`` bounds the files of
+    one batch, for the first landing of a large folder. Returns the lines landed or rejected.
     """
-    good, bad = long.split_rejects(long.stream_long(spark, raw, max_files))
-    readings = long.to_readings(good).withColumn(
-        "parameter", normalise_parameter(F.col("parameter"), "keep")
+    landed: list[int] = []
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        good, bad = long.split_rejects(staged(batch, "landing"))
+        readings = long.to_readings(good).withColumn(
+            "parameter", normalise_parameter(F.col("parameter"), "keep")
+        )
+        clustered = readings.repartitionByRange("parameter", "station_id", "ts")
+        landed.append(_write_batch(clustered, out, batch_id, ["parameter"]))
+        counted = bad.agg(F.count("*")).first()[0] if rejects is None else _write_batch(bad, rejects, batch_id, [])
+        landed.append(counted)
+
+    query = (
+        long.stream_lines(spark, raw, max_files).writeStream.foreachBatch(land)
+        .option("checkpointLocation", f"{checkpoint}/readings")
+        .trigger(availableNow=True).start()
     )
-    rows = _run(readings, out, f"{checkpoint}/readings", ["parameter"])
-    if rejects is not None:
-        _run(bad, rejects, f"{checkpoint}/rejects", [])
-    return rows
-
-
-def _run(rows: DataFrame, out: str, checkpoint: str, partition: list[str]) -> int:
-    writer = rows.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-    if partition:
-        writer = writer.partitionBy(*partition)
-    query = writer.trigger(availableNow=True).start(out)
-    # Only the latest progress reports are kept, so they are gathered while it runs.
-    rows_of_batch = {}
-    done = False
-    while not done:
-        done = query.awaitTermination(5)
-        rows_of_batch |= {p["batchId"]: p["numInputRows"] for p in query.recentProgress}
-    return sum(rows_of_batch.values())
+    query.awaitTermination()
+    return sum(landed)
+
+
+def _write_batch(rows: DataFrame, out: str, batch_id: int, partition: list[str]) -> int:
+    """Write the rows of a micro-batch in place of an earlier try, and count them."""
+    counted = Observation()
+    rows.withColumn("batch", F.lit(batch_id)).observe(counted, F.count("*").alias("n")).write.mode(
+        "overwrite"
+    ).option("partitionOverwriteMode", "dynamic").partitionBy("batch", *partition).parquet(out)
+    return counted.get["n"]
 
 
 def land_bare(
@@ -95,13 +104,7 @@ def land_bare(
             "parameter", normalise_parameter(F.col("parameter"), "keep")
         )
         readings = values.conform(timeline, schemas.READINGS)
-        counted = Observation()
-        readings.withColumn("batch", F.lit(batch_id)).observe(
-            counted, F.count("*").alias("n")
-        ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "batch", "parameter"
-        ).parquet(out)
-        landed.append(counted.get["n"])
+        landed.append(_write_batch(readings, out, batch_id, ["parameter"]))
 
     query = (
         lines.writeStream.foreachBatch(land)

@@ -83,7 +83,7 @@ def test_command_line(spark, network, monkeypatch, tmp_path, capsys):
     density = str(tmp_path / "density")
     spark.createDataFrame([("Sector 62, Noida", 5)], "location_name string, pop_density int").write.parquet(density)
     (tmp_path / "page.json").write_text("{}")
-    monkeypatch.setattr(cli, "get_session", lambda: spark)
+    monkeypatch.setattr(cli, "get_session", lambda **_: spark)
     for command in cli.COMMANDS:
         out = str(tmp_path / command)
         monkeypatch.setattr("sys.argv", ["stationlake", command, "--layout", "long", "--raw", str(raw),
@@ -102,7 +102,7 @@ def test_load_long_and_align(spark, tmp_path):
         "2023-02-28 05:00:00,no2,7,u,A,1", "2024-02-29 05:00:00,no2,9,u,A,1", f"{hour},no2,x,u,A,1",
         "not a time,no2,1,u,A,1", f"{hour},no2,4,u,B,2"])
     loaded, rejects = analyses.load_long(spark, str(tmp_path / "*"))
-    assert rejects.count() == 1 and loaded.count() == 6
+    assert rejects.count() == 2 and loaded.count() == 6
     got = analyses.aligned_features(loaded, features=["pm25", "no2"])
     assert rows(got) == [("A", datetime(2025, 2, 28, 5), 2.0, 6.0)]
 

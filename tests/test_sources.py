@@ -150,8 +150,8 @@ def test_long_csv_keeps_good_rows_and_reports_bad_ones(spark, tmp_path):
         "2025-01-01 04:00:00,pm25,,u,\"A, City\",1",
     ])
     good, rejects = long.read_long(spark, str(tmp_path / "*"))
-    assert good.count() == 4
-    assert [r.line.split(",")[2] for r in rejects.collect()] == ["abc"]
+    assert good.count() == 3
+    assert sorted(r.line.split(",")[0] for r in rejects.collect()) == ["2025-01-01 01:00:00", "oops"]
     table = long.to_readings(good)
     assert rows(table.select("station_id", "location_name", "ts", "value"), "ts") == [
         ("1", "A, City", datetime(2025, 1, 1, 0), 10.5),
@@ -194,12 +194,42 @@ def test_readings_table(spark, tmp_path):
     plan = pruned._jdf.queryExecution().executedPlan().toString()
     assert "pm25" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
     assert "EqualTo(station_id,2)" in plan or "In(station_id" in plan
-    # A re-fetched parameter replaces its own folder only.
-    readings.write_readings(conform(table(spark, [("9", "no2", t, 9.0)]), schemas.READINGS), path)
+    # A re-fetched series replaces itself only.
+    again = table(spark, [("9", "no2", t, 9.0), ("2", "pm25", t, 8.0)])
+    readings.write_readings(conform(again, schemas.READINGS), path)
+    landed = readings.read_readings(spark, path).select("station_id", "parameter", "value")
+    assert rows(landed, "station_id", "parameter") == [
+        ("1", "no2", 3.0), ("1", "pm25", 1.0), ("2", "pm25", 8.0), ("9", "no2", 9.0)]
+    # "overwrite" replaces the folders of its parameters.
+    readings.write_readings(conform(table(spark, [("9", "no2", t, 9.0)]), schemas.READINGS), path, "overwrite")
     assert rows(readings.read_readings(spark, path).select("station_id", "parameter"), "station_id") == [
         ("1", "pm25"), ("2", "pm25"), ("9", "no2")]
 
 
+def test_long_csv_is_the_same_for_any_columns_and_header(spark, tmp_path):
+    write_long(tmp_path, "A_1", "a.csv", [
+        "2025-01-01 00:00:00,pm25,5,u,A,S-17", "2025-01-01 01:00:00,pm25,5", "a,b,c,d,e,f,g,h",
+        "2025-01-01 02:00:00,pm25,5,u,A,1,extra",
+    ])
+    swapped = tmp_path / "B_2"
+    swapped.mkdir()
+    (swapped / "b.csv").write_text(
+        "location_id,units,value,timestamp,parameter\n"
+        "2,ug,7,\"{'utc': '2025-01-01T03:00:00Z', 'local': 'x'}\",no2\n2,ug,8,2025-01-01 04:00:00.250,no2\n"
+    )
+    good, rejects = long.read_long(spark, str(tmp_path / "*"))
+    assert good.count() == len(good.collect()) == 3 and rejects.count() == len(rejects.collect()) == 3
+    assert good.agg({"value": "sum"}).first()[0] == 20.0
+    read = long.to_readings(good)
+    assert rows(read.select("station_id", "parameter", "value", "units"), "value") == [
+        ("S-17", "pm25", 5.0, "u"), ("2", "no2", 7.0, "ug"), ("2", "no2", 8.0, "ug")]
+    out = str(tmp_path / "export")
+    long.write_long(read, out)
+    again = long.to_readings(long.read_long(spark, out)[0])
+    assert rows(again.select("station_id", "ts", "value"), "value") == rows(
+        read.select("station_id", "ts", "value"), "value")
+
+
 def test_new_only_and_attach(spark):
     t = datetime(2025, 1, 1)
     new = table(spark, [("1", "pm25", t, 1.0), ("2", "pm25", t, 2.0)])
