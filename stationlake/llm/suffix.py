@@ -39,7 +39,7 @@ from stationlake.sources.shared import staged
 
 LENGTH, WINDOW, GRAM = 400, 128, 16
 NEED = LENGTH - 2 * WINDOW - GRAM + 2
-BUCKET_ROWS = 2_000_000
+BUCKET_ROWS, BLOCK_BYTES = 2_000_000, 1_500_000
 MOST_PARTITIONS = 1_000_000
 
 
@@ -161,9 +161,12 @@ def counted_before(rows: DataFrame, keys: list[str], tie: list[str]) -> DataFram
     """
     bounded_batches(rows.sparkSession)
     dealt = rows.repartitionByRange(*keys, *tie).sortWithinPartitions(*keys, *tie)
-    added = T.StructType.fromDDL("before0 bigint, before1 bigint, alone boolean, part int, part_first boolean")
+    added = T.StructType.fromDDL(
+        "before0 bigint, before1 bigint, alone boolean, part int, part_first boolean, edge int, n0 bigint, n1 bigint"
+    )
     schema = T.StructType(rows.schema.fields + added.fields)
     want = to_arrow_schema(schema)
+    names = [f.name for f in rows.schema.fields]
 
     def count(batches):
         from pyspark import TaskContext
@@ -180,41 +183,44 @@ def counted_before(rows: DataFrame, keys: list[str], tie: list[str]) -> DataFram
         kind = table.column("kind").to_numpy().astype(np.int64)
         group = np.cumsum(new) - 1
         at = np.flatnonzero(new)
-        ones = np.concatenate([[0], np.cumsum(kind)])[at]
-        columns = [table.column(f.name) for f in rows_fields]
-        columns += [pa.array((at - ones)[group]), pa.array(ones[group]),
-                    pa.array(np.diff(np.concatenate([at, [n]]))[group] == 1),
-                    pa.array(np.full(n, TaskContext.get().partitionId(), np.int32)), pa.array(group == 0)]
+        ones = np.concatenate([[0], np.cumsum(kind)])
+        edge = np.zeros(n, np.int32)
+        edge[0] += 1
+        edge[-1] += 2
+        whole = lambda v: pa.array(np.full(n, v))
+        columns = [table.column(c) for c in names]
+        columns += [
+            pa.array((at - ones[at])[group]), pa.array(ones[at][group]),
+            pa.array(np.diff(np.concatenate([at, [n]]))[group] == 1),
+            pa.array(np.full(n, TaskContext.get().partitionId(), np.int32)), pa.array(group == 0),
+            pa.array(edge), whole(n - int(ones[-1])), whole(int(ones[-1])),
+        ]
         for batch in pa.table(columns, names=want.names).to_batches(max_chunksize=50_000):
             yield pa.RecordBatch.from_arrays([batch.column(k).cast(f.type) for k, f in enumerate(want)], schema=want)
 
-    rows_fields = list(rows.schema.fields)
     local = staged(dealt.mapInArrow(count, schema), "suffix-order")
-    key = F.struct(*keys)
-    edge = F.col("before0") + F.col("before1")
-    parts = bounded_rows(
-        local.groupBy("part").agg(
-            F.count("*").alias("n"), F.sum(F.col("kind").cast("long")).alias("ones"),
-            F.min_by(key, edge).alias("first"), F.max_by(key, edge).alias("last"),
-            F.max_by(F.struct("before0", "before1"), edge).alias("to_last"),
-        ), MOST_PARTITIONS,
+    ends_of = bounded_rows(
+        local.where("edge > 0").select("part", "edge", "before0", "before1", "n0", "n1", *keys), 2 * MOST_PARTITIONS
     )
-    parts.sort(key=lambda r: r["part"])
+    first = {r["part"]: tuple(r[k] for k in keys) for r in ends_of if r["edge"] & 1}
+    final = {r["part"]: r for r in ends_of if r["edge"] & 2}
+    order = sorted(first)
     offsets, ends = [], []
     total0 = total1 = 0
     tail, tail0, tail1 = None, 0, 0  # the key that ended the partitions so far, and its rows
-    for k, p in enumerate(parts):
-        n0, n1 = p["n"] - p["ones"], p["ones"]
-        goes_on = tail is not None and p["first"] == tail
-        offsets.append((p["part"], total0, total1, tail0 if goes_on else 0, tail1 if goes_on else 0))
-        within0, within1 = n0 - p["to_last"]["before0"], n1 - p["to_last"]["before1"]
-        single = goes_on and p["first"] == p["last"]
+    for k, part in enumerate(order):
+        p = final[part]
+        last_key = tuple(p[c] for c in keys)
+        goes_on = first[part] == tail
+        offsets.append((part, total0, total1, tail0 if goes_on else 0, tail1 if goes_on else 0))
+        within0, within1 = p["n0"] - p["before0"], p["n1"] - p["before1"]
+        single = goes_on and first[part] == last_key
         tail0, tail1 = (tail0 + within0, tail1 + within1) if single else (within0, within1)
-        tail = p["last"]
-        total0, total1 = total0 + n0, total1 + n1
+        tail = last_key
+        total0, total1 = total0 + p["n0"], total1 + p["n1"]
         # A key that goes on in the next partition is not alone; its last row cannot know.
-        if k + 1 < len(parts) and parts[k + 1]["first"] == tail:
-            ends.append((p["part"], *tail))
+        if k + 1 < len(order) and first[order[k + 1]] == tail:
+            ends.append((part, *tail))
     spark = rows.sparkSession
     moved = spark.createDataFrame(offsets, "part int, off0 bigint, off1 bigint, tail0 bigint, tail1 bigint")
     end_fields = [T.StructField(f"end_{k}", rows.schema[k].dataType) for k in keys]
@@ -232,34 +238,44 @@ def counted_before(rows: DataFrame, keys: list[str], tie: list[str]) -> DataFram
     )
 
 
+class Flat:
+    """The strings of a batch, end to end: symbols, and for each its string, place and what follows."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        syms = column_of(batch, "syms")
+        lengths = syms.value_lengths().to_numpy()
+        self.lengths = lengths
+        self.starts = np.concatenate([[0], np.cumsum(lengths)])
+        self.syms = syms.flatten().to_numpy()
+        self.sizes = column_of(batch, "sizes").flatten().to_numpy().astype(np.int64)
+        self.owner = np.repeat(np.arange(len(lengths)), lengths)
+        self.seq = column_of(batch, "seq").to_numpy()[self.owner] if len(lengths) else np.zeros(0, np.int64)
+        self.i = np.arange(len(self.syms)) - self.starts[self.owner]
+        self.left = lengths[self.owner] - self.i  # symbols from here to the end of the string
+        self.weight = np.concatenate([[0], np.cumsum(self.sizes)])
+
+    def after(self, values: np.ndarray, k: int) -> np.ndarray:
+        """Values ``k`` places on, 0 past the end of the string."""
+        moved = np.concatenate([values[k:], np.zeros(min(k, len(values)), values.dtype)])
+        return np.where(self.left > k, moved, 0)
+
+
 def sampled_triples(seqs: DataFrame) -> DataFrame:
     """(seq, i, a, b, c, size, kind): triples at places 1 and 2 modulo 3; 0 past the end, size -1 there."""
 
     def job(batch: pa.RecordBatch):
-        out: list[list[np.ndarray]] = [[] for _ in range(6)]
-        for seq, syms, sizes in rows_of(batch):
-            n = len(syms)
-            s = np.concatenate([syms, np.zeros(3, np.int64)])
-            w = np.concatenate([[0], np.cumsum(sizes)])
-            i = np.arange(n)[np.arange(n) % 3 != 0]
-            size = np.where(i + 3 <= n, w[np.minimum(i + 3, n)] - w[i], -1)
-            for column, v in zip(out, (np.full(len(i), seq), i, s[i], s[i + 1], s[i + 2], size)):
-                column.append(v)
-        seq, i, a, b, c, size = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-        return {"seq": seq, "i": i, "a": a, "b": b, "c": c, "size": size, "kind": np.zeros(len(seq), np.int64)}
+        f = Flat(batch)
+        at = np.flatnonzero(f.i % 3 != 0)
+        end = np.minimum(np.arange(len(f.syms)) + 3, len(f.syms))
+        size = np.where(f.left >= 3, f.weight[end] - f.weight[:-1], -1)
+        return {
+            "seq": f.seq[at], "i": f.i[at], "a": f.syms[at], "b": f.after(f.syms, 1)[at],
+            "c": f.after(f.syms, 2)[at], "size": size[at], "kind": np.zeros(len(at), np.int64),
+        }
 
     return map_batches(seqs, "seq bigint, i int, a bigint, b bigint, c bigint, size int, kind int", job)
 
 
-def rows_of(batch: pa.RecordBatch):
-    """(seq, syms, sizes) of each row as arrays."""
-    syms, sizes = column_of(batch, "syms"), column_of(batch, "sizes")
-    bounds = np.concatenate([[0], np.cumsum(syms.value_lengths().to_numpy())])
-    s, w = syms.flatten().to_numpy(), sizes.flatten().to_numpy()
-    for seq, a, b in zip(column_of(batch, "seq").to_pylist(), bounds, bounds[1:]):
-        yield seq, s[a:b], w[a:b]
-
-
 def place_lists(rows: DataFrame, values: list[str]) -> DataFrame:
     """Values of the places of each string, in the order of places (a string is one row)."""
     return rows.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("i", *values))).alias("places"))
@@ -310,20 +326,20 @@ def ranked(seqs: DataFrame, depth: int = 0) -> DataFrame:
         )
     parts = seqs.select("seq", "syms", "sizes").join(place_lists(samples, ["name", "sub"]), "seq", "left")
     keyed = staged(merge_keys(parts), "suffix-merge")
-    places = []
-    for pair, keys in ((0, ["s", "n", "m"]), (1, ["s", "t", "n", "m"]), (2, ["n", "m"])):
-        rows = keyed.where(F.col("pair") == pair).select("seq", "i", "kind", *keys)
-        counted = counted_before(rows, keys, ["seq", "i"])
-        # In the pairs (0, 1) and (0, 2) kind 0 is place 0: a sample takes only those, a place
-        # 0 counts its own once (in the first pair) and the samples of either pair.
-        if pair == 0:
-            share = F.when(F.col("kind") == 0, F.col("before0") + F.col("before1")).otherwise(F.col("before0"))
-        elif pair == 1:
-            share = F.when(F.col("kind") == 0, F.col("before1")).otherwise(F.col("before0"))
-        else:
-            share = F.col("before0") + F.col("before1")
-        places.append(counted.select("seq", "i", share.alias("share")))
-    shares = places[0].unionByName(places[1]).unionByName(places[2])
+    # The three sorts run as one, with the pair as the first key; what earlier pairs hold is taken off.
+    counted = counted_before(keyed, ["pair", "s", "t", "n", "m"], ["seq", "i"])
+    held = {(r["pair"], r["kind"]): r["n"] for r in keyed.groupBy("pair", "kind").agg(F.count("*").alias("n")).collect()}
+
+    def own(kind: int):
+        earlier = [sum(held.get((q, kind), 0) for q in range(pair)) for pair in range(3)]
+        return F.col(f"before{kind}") - F.element_at(F.array(*[F.lit(n) for n in earlier]), F.col("pair") + 1)
+
+    # In the pairs (0, 1) and (0, 2) kind 0 is place 0: a sample takes only those, a place
+    # 0 counts its own once (in the first pair) and the samples of either pair.
+    share = F.when((F.col("pair") == 2) | ((F.col("pair") == 0) & (F.col("kind") == 0)), own(0) + own(1)).otherwise(
+        F.when(F.col("kind") == 0, own(1)).otherwise(own(0))
+    )
+    shares = counted.select("seq", "i", share.alias("share"))
     return staged(shares.groupBy("seq", "i").agg(F.sum("share").alias("rank")), "suffix-ranks")
 
 
@@ -331,32 +347,25 @@ def merge_keys(parts: DataFrame) -> DataFrame:
     """(pair, kind, seq, i, s, t, n, m): the keys of the three sorts that merge all suffixes."""
 
     def job(batch: pa.RecordBatch):
+        f = Flat(batch)
+        places = column_of(batch, "places")
+        name, sub = np.zeros(len(f.syms), np.int64), np.zeros(len(f.syms), np.int64)
+        flat = places.flatten()
+        counts = places.value_lengths().fill_null(0).to_numpy()
+        at = np.repeat(f.starts[:-1], counts) + flat.field(0).to_numpy()
+        name[at], sub[at] = flat.field(1).to_numpy(), flat.field(2).to_numpy()
+        none, kind = np.zeros(len(f.syms), np.int64), f.i % 3
+        one = (f.syms, none, f.after(name, 1), f.after(sub, 1))
+        two = (f.syms, f.after(f.syms, 1), f.after(name, 2), f.after(sub, 2))
         out: list[list[np.ndarray]] = [[] for _ in range(8)]
-        lists = column_of(batch, "places").to_pylist()
-        for (seq, syms, _), places in zip(rows_of(batch), lists):
-            n = len(syms)
-            s = np.concatenate([syms, np.zeros(2, np.int64)])
-            name, sub = np.zeros(n + 3, np.int64), np.zeros(n + 3, np.int64)
-            if places:
-                i = np.array([p["i"] for p in places])
-                name[i] = [p["name"] for p in places]
-                sub[i] = [p["sub"] for p in places]
-            i = np.arange(n)
-            zero, one, two = i[i % 3 == 0], i[i % 3 == 1], i[i % 3 == 2]
-            none = lambda x: np.zeros(len(x), np.int64)
-            for pair, kind, x, key in (
-                (0, 0, zero, (s[zero], none(zero), name[zero + 1], sub[zero + 1])),
-                (0, 1, one, (s[one], none(one), name[one + 1], sub[one + 1])),
-                (1, 0, zero, (s[zero], s[zero + 1], name[zero + 2], sub[zero + 2])),
-                (1, 1, two, (s[two], s[two + 1], name[two + 2], sub[two + 2])),
-                (2, 0, one, (none(one), none(one), name[one], sub[one])),
-                (2, 1, two, (none(two), none(two), name[two], sub[two])),
-            ):
-                full = lambda v: np.full(len(x), v, np.int64)  # noqa: B023, E731
-                for column, v in zip(out, (full(pair), full(kind), full(seq), x, *key)):
-                    column.append(v)
+        for pair, second, keys in ((0, 1, one), (1, 2, two), (2, 2, (none, none, name, sub))):
+            first = 1 if pair == 2 else 0
+            rows = np.flatnonzero((kind == first) | (kind == second))
+            columns = (np.full(len(rows), pair), (kind[rows] == second).astype(np.int64), f.seq[rows], f.i[rows])
+            for held, v in zip(out, (*columns, *(k[rows] for k in keys))):
+                held.append(v)
         names = ("pair", "kind", "seq", "i", "s", "t", "n", "m")
-        return {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in zip(names, out)}
+        return {k: np.concatenate(v) for k, v in zip(names, out)}
 
     schema = "pair int, kind int, seq bigint, i int, s bigint, t bigint, n bigint, m bigint"
     return map_batches(parts, schema, job)
@@ -366,17 +375,14 @@ def candidates(runs: DataFrame, ranks: DataFrame) -> DataFrame:
     """(tid, anchors): anchors whose suffix shares ``NEED`` bytes with a neighbour in suffix order."""
 
     def prefixes(batch: pa.RecordBatch):
-        out: list[list[np.ndarray]] = [[] for _ in range(3)]
-        for seq, syms, sizes in rows_of(batch):
-            sums = prefix_values(syms)
-            w = np.concatenate([[0], np.cumsum(sizes)])
-            end = np.searchsorted(w, w[:-1] + NEED)
-            i = np.flatnonzero(end <= len(syms))
-            back = shingles.powers(shingles._INVERSE, len(sums) + 1)
-            key = shingles.mix((sums[end[i]] - sums[i]) * back[i] + (end[i] - i).astype(np.uint64))
-            for column, v in zip(out, (np.full(len(i), seq), i, key.view(np.int64))):
-                column.append(v)
-        return {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in zip(("seq", "i", "prefix"), out)}
+        f = Flat(batch)
+        sums = prefix_values(f.syms)
+        # The first place by which NEED bytes have gone by, if the string reaches so far.
+        end = np.searchsorted(f.weight, f.weight[:-1] + NEED)
+        at = np.flatnonzero(end <= np.arange(len(f.syms)) + f.left)
+        back = shingles.powers(shingles._INVERSE, len(sums) + 1)
+        key = shingles.mix((sums[end[at]] - sums[at]) * back[at] + (end[at] - at).astype(np.uint64))
+        return {"seq": f.seq[at], "i": f.i[at], "prefix": key.view(np.int64)}
 
     long = map_batches(runs.select("seq", "syms", "sizes"), "seq bigint, i int, prefix bigint", prefixes)
     rows = long.join(ranks, ["seq", "i"])
@@ -435,17 +441,30 @@ def windows(texts: DataFrame, buckets: int) -> DataFrame:
     row (block, bucket -1, data) that tells which strings they are."""
     import io
 
+    def slices(batches):
+        """Rows of about ``BLOCK_BYTES`` of text at a time."""
+        held, size = [], 0
+        for batch in batches:
+            for row in zip(
+                column_of(batch, "tid").to_pylist(), raws_of(batch), column_of(batch, "anchors").to_pylist()
+            ):
+                held.append(row)
+                size += len(row[1])
+                if size >= BLOCK_BYTES:
+                    yield held
+                    held, size = [], 0
+        if held:
+            yield held
+
     shift = np.uint64(64 - buckets.bit_length() + 1) if buckets > 1 else np.uint64(63)
 
     def run(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        for number, batch in enumerate(batches):
+        for number, rows in enumerate(slices(batches)):
             tids, texts_at, starts, hashes = [], [], [], []
-            for tid, raw, anchors in zip(
-                column_of(batch, "tid").to_pylist(), raws_of(batch), column_of(batch, "anchors").to_pylist()
-            ):
+            for tid, raw, anchors in rows:
                 data = np.frombuffer(raw, np.uint8)
                 owner = first_anchors(data)[: len(data) - LENGTH + 1]
                 i = np.flatnonzero(np.isin(owner, anchors))
@@ -453,8 +472,6 @@ def windows(texts: DataFrame, buckets: int) -> DataFrame:
                 texts_at.append(np.full(len(i), len(tids) - 1, np.int32))
                 starts.append(i.astype(np.int32))
                 hashes.append(span_hashes(prefix_sums(data, 23), i, i + LENGTH))
-            if not tids:
-                continue
             h = np.concatenate(hashes)
             bucket = (h >> shift).astype(np.int32) if buckets > 1 else np.zeros(len(h), np.int32)
             told = io.BytesIO()
