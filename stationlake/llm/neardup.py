@@ -41,7 +41,7 @@ from stationlake.llm.frames import bounded_batches, bounded_rows, column_of, lea
 from stationlake.llm.links import components
 from stationlake.sources.shared import staged
 
-SLOT_BITS, SLICES, SALTS = 20, 64, 16
+SLOT_BITS, MARK_BITS, SLICES, SALTS = 20, 23, 64, 16
 BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
 THRESHOLD = 0.8
@@ -300,11 +300,70 @@ def jaccard(a: bytes, b: bytes, idf: np.ndarray) -> float:
     return float(both) / float(total) if total else 0.0
 
 
-def verified(links: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """(a, b, similar) of the links, by the texts of their nodes."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    pairs = links.select("a", "b").join(left, "a").join(right, "b")
+def marks_of(nodes: DataFrame) -> np.ndarray:
+    """A table of fixed size (one megabyte of bits) with a mark for every node.
+
+    It only spares texts that no link needs from the shuffle: a text whose mark is set by
+    another node is sent in vain and falls out of the join. A table that fills up spares none.
+    """
+
+    def mark(batches):
+        table = np.zeros(1 << MARK_BITS, bool)
+        for batch in batches:
+            for at in column_of(batch, "node").to_pylist():
+                table[mark_of(at)] = True
+        yield from packed(table)
+
+    def packed(table: np.ndarray):
+        for k, part in enumerate(np.split(table, SLICES)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int32()), pa.array([zlib.compress(np.packbits(part).tobytes(), 1)], pa.binary())],
+                    names=["slice", "bits"],
+                )
+
+    def either(batches):
+        table = np.zeros((SLICES, (1 << MARK_BITS) // SLICES), bool)
+        for batch in batches:
+            for k, bits in zip(column_of(batch, "slice").to_pylist(), column_of(batch, "bits").to_pylist()):
+                table[k] |= np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8)).astype(bool)
+        yield from packed(table.reshape(-1))
+
+    bounded_batches(nodes.sparkSession)
+    marks = nodes.mapInArrow(mark, "slice int, bits binary")
+    rows = bounded_rows(marks.repartition("slice").mapInArrow(either, "slice int, bits binary"), SLICES)
+    table = np.zeros((SLICES, (1 << MARK_BITS) // SLICES), bool)
+    for r in rows:
+        table[r["slice"]] = np.unpackbits(np.frombuffer(zlib.decompress(bytes(r["bits"])), np.uint8)).astype(bool)
+    return np.packbits(table.reshape(-1))
+
+
+def mark_of(node: bytes) -> int:
+    return int.from_bytes(node[:4], "little") >> (32 - MARK_BITS)
+
+
+def texts_of_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes, one text each."""
+    marks = marks_of(nodes)
+
+    def job(batch: pa.RecordBatch):
+        keys = [node_of(r) for r in prepared(batch)]
+        kept = [k for k, key in enumerate(keys) if key and marks[mark_of(key) >> 3] >> (7 - mark_of(key) % 8) & 1]
+        return {"node": [keys[k] for k in kept], "text": column_of(batch, "text").take(pa.array(kept, pa.int64()))}
+
+    noded = map_batches(docs.select("text"), "node binary, text string", job)
+    return noded.groupBy("node").agg(F.first("text").alias("text")).join(nodes, "node", "left_semi")
+
+
+def verified(
+    links: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float, many: bool = False
+) -> DataFrame:
+    """(a, b, similar) of the links, by the texts of their nodes: each text moves once a link."""
+    ends = links.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    # Many links mean a join by shuffle at any size; few ones may be sent to the texts.
+    pairs = (ends.hint("merge") if many else ends).join(texts, "node").groupBy("a", "b").agg(
+        F.min_by("text", "node").alias("text_a"), F.max_by("text", "node").alias("text_b")
+    )
 
     def job(batch: pa.RecordBatch):
         scores = [
@@ -318,6 +377,19 @@ def verified(links: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
     return map_batches(pairs, "a binary, b binary, similar boolean, score double", job)
 
 
+def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links between them: only the labels that these links touch are relabelled."""
+    moves = components(links.select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))).select(
+        F.col("node").alias("label"), F.col("label").alias("lower")
+    )
+    known = labels.join(moves, "label", "left").select("node", F.coalesce("lower", "label").alias("label"))
+    # A node without links so far was its own label.
+    fresh = moves.join(labels.select(F.col("node").alias("label")), "label", "left_anti").select(
+        F.col("label").alias("node"), F.col("lower").alias("label")
+    )
+    return staged(known.unionByName(fresh), "near-labels")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, node, label): the class of every document; ``label`` is null without links.
 
@@ -333,46 +405,39 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         "near-nodes",
     )
     links = staged(proposed(nodes), "near-links")
-    wanted = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-
-    def job(batch: pa.RecordBatch):
-        return {"node": [node_of(r) for r in prepared(batch)], "text": column_of(batch, "text")}
-
-    noded = map_batches(docs.select("text"), "node binary, text string", job)
-    texts = staged(
-        noded.groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node", "left_semi"),
-        "near-texts",
-    )
-    labels = None
-    accepted = None
-    tried = None
+    wanted = staged(links.select(F.col("a").alias("node")).union(links.select("b")).distinct(), "near-wanted")
+    texts = staged(texts_of_nodes(docs, wanted), "near-texts")
+    # First the best link of every node.
+    ends = links.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("end"))
+    best = ends.groupBy("end").agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+    done = staged(verified(best, texts, idf, threshold, many=True), "near-verified")
+    labels = components(done.where("similar").select("a", "b"))
+    rest = links.join(done.select("a", "b"), ["a", "b"], "left_anti")
     while True:
-        if labels is None:
-            ends = links.select("a", "b", "agree").withColumn("end", F.explode(F.array("a", "b")))
-            order = F.struct("agree", "a", "b")
-            chosen = ends.groupBy("end").agg(F.max(order).alias("m")).select("m.a", "m.b").distinct()
-        else:
-            label = lambda side: labels.select(
-                F.col("node").alias(side), F.col("label").alias(f"label_{side}")
-            )
-            open_ = links.join(tried.select("a", "b"), ["a", "b"], "left_anti").join(label("a"), "a", "left").join(
-                label("b"), "b", "left"
-            ).withColumns({
+        # Then the best link between any two classes, until no link between classes is untried.
+        label = lambda side: labels.select(  # noqa: B023, E731
+            F.col("node").alias(side), F.col("label").alias(f"label_{side}")
+        )
+        rest = staged(
+            rest.drop("label_a", "label_b").join(label("a"), "a", "left").join(label("b"), "b", "left").withColumns({
                 "label_a": F.coalesce("label_a", "a"), "label_b": F.coalesce("label_b", "b"),
-            }).where("label_a <> label_b")
-            between = F.array_sort(F.array("label_a", "label_b"))
-            chosen = open_.groupBy(between.alias("between")).agg(
-                F.max(F.struct("agree", "a", "b")).alias("m")
-            ).select("m.a", "m.b")
-        done = staged(verified(chosen, texts, idf, threshold), "near-verified")
-        if done.isEmpty():
+            }).where("label_a <> label_b"),
+            "near-open",
+        )
+        between = F.array_sort(F.array("label_a", "label_b"))
+        chosen = staged(
+            rest.groupBy(between.alias("between")).agg(
+                F.max(F.struct("agree", "a", "b", "label_a", "label_b")).alias("m")
+            ).select("m.*"),
+            "near-chosen",
+        )
+        if chosen.isEmpty():
             break
-        tried = done if tried is None else tried.unionByName(done)
-        if labels is None or not done.where("similar").isEmpty():
-            accepted = tried.where("similar").select("a", "b")
-            labels = components(accepted)
-    if labels is None:
-        return signatures.select("doc_id", "node", F.lit(None).cast("binary").alias("label"))
+        done = staged(verified(chosen, texts, idf, threshold), "near-verified")
+        accepted = staged(chosen.join(done.where("similar"), ["a", "b"], "left_semi"), "near-accepted")
+        if not accepted.isEmpty():
+            labels = merged_labels(labels, accepted)
+        rest = rest.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
     return signatures.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", "label")
 
 
