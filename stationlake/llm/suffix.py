@@ -436,33 +436,34 @@ def prefix_values(syms: np.ndarray) -> np.ndarray:
     return np.concatenate([[np.uint64(0)], np.cumsum(spread)])
 
 
-def windows(texts: DataFrame, buckets: int) -> DataFrame:
-    """Blocks of candidate strings: (block, bucket, data) rows with hashes of one bucket, and one
-    row (block, bucket -1, data) that tells which strings they are."""
+def windows(texts: DataFrame, buckets: int, told: bool) -> DataFrame:
+    """Candidate strings of (block, tid, text, anchors), block by block.
+
+    (block, bucket, data) rows hold the hashes of one bucket, in the order of the block;
+    with ``told`` the rows are (block, -1, data) and say which strings a block holds, and in which
+    bucket each is. Both are worked out from the text, as the hashes are large to keep.
+    """
     import io
 
-    def slices(batches):
-        """Rows of about ``BLOCK_BYTES`` of text at a time."""
-        held, size = [], 0
+    def blocks(batches):
+        block, held = None, []
         for batch in batches:
             for row in zip(
-                column_of(batch, "tid").to_pylist(), raws_of(batch), column_of(batch, "anchors").to_pylist()
+                column_of(batch, "block").to_pylist(), column_of(batch, "tid").to_pylist(), raws_of(batch),
+                column_of(batch, "anchors").to_pylist(),
             ):
-                held.append(row)
-                size += len(row[1])
-                if size >= BLOCK_BYTES:
-                    yield held
-                    held, size = [], 0
+                if row[0] != block:
+                    if held:
+                        yield block, held
+                    block, held = row[0], []
+                held.append(row[1:])
         if held:
-            yield held
+            yield block, held
 
-    shift = np.uint64(64 - buckets.bit_length() + 1) if buckets > 1 else np.uint64(63)
+    shift = np.uint64(64 - buckets.bit_length() + 1)
 
     def run(batches):
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        for number, rows in enumerate(slices(batches)):
+        for block, rows in blocks(batches):
             tids, texts_at, starts, hashes = [], [], [], []
             for tid, raw, anchors in rows:
                 data = np.frombuffer(raw, np.uint8)
@@ -473,28 +474,28 @@ def windows(texts: DataFrame, buckets: int) -> DataFrame:
                 starts.append(i.astype(np.int32))
                 hashes.append(span_hashes(prefix_sums(data, 23), i, i + LENGTH))
             h = np.concatenate(hashes)
-            bucket = (h >> shift).astype(np.int32) if buckets > 1 else np.zeros(len(h), np.int32)
-            told = io.BytesIO()
-            at, start = np.concatenate(texts_at), np.concatenate(starts)
-            fresh = np.concatenate([[True], (np.diff(at) != 0) | (np.diff(start) != 1)]) if len(at) else np.zeros(0, bool)
-            cut = np.flatnonzero(fresh)
-            np.savez_compressed(
-                told, tids=np.array(tids, np.int64), at=at[cut], start=start[cut],
-                length=np.diff(np.concatenate([cut, [len(at)]])), bucket=bucket.astype("<i4"),
-            )
-            block = (part << 24) | number
-            out = [(block, -1, told.getvalue())]
-            order = np.argsort(bucket, kind="stable")
-            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in np.unique(bucket):
-                out.append((block, int(b), h[order[bounds[b]:bounds[b + 1]]].astype("<u8").tobytes()))
+            bucket = (h >> shift).astype(np.int32)
+            if told:
+                at, start = np.concatenate(texts_at), np.concatenate(starts)
+                cut = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 0) | (np.diff(start) != 1)])[: len(at)])
+                kept = io.BytesIO()
+                np.savez_compressed(
+                    kept, tids=np.array(tids, np.int64), at=at[cut], start=start[cut],
+                    length=np.diff(np.concatenate([cut, [len(at)]])), bucket=bucket.astype("<i4"),
+                )
+                out = [(-1, kept.getvalue())]
+            else:
+                order = np.argsort(bucket, kind="stable")
+                bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                out = [(int(b), h[order[bounds[b]:bounds[b + 1]]].astype("<u8").tobytes()) for b in np.unique(bucket)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int32()),
-                 pa.array([r[2] for r in out], pa.binary())], names=["block", "bucket", "data"],
+                [pa.array([block] * len(out), pa.int64()), pa.array([r[0] for r in out], pa.int32()),
+                 pa.array([r[1] for r in out], pa.binary())], names=["block", "bucket", "data"],
             )
 
     bounded_batches(texts.sparkSession)
-    return texts.mapInArrow(run, "block bigint, bucket int, data binary")
+    dealt = texts.repartition("block").sortWithinPartitions("block", "tid")
+    return dealt.mapInArrow(run, "block bigint, bucket int, data binary")
 
 
 def repeated_bits(hashes: DataFrame) -> DataFrame:
@@ -588,13 +589,16 @@ def repeats(docs: DataFrame) -> DataFrame:
     keyed = map_batches(docs.select("text"), "key binary, text string", job)
     once = keyed.groupBy("key").agg(F.first("text").alias("text"))
     whole = staged(once.join(places, "key").select("tid", "key", "text", "anchors"), "suffix-windows")
-    size = whole.agg(F.sum(F.size("anchors").cast("long")).alias("n")).first()["n"] or 0
+    size = whole.agg(
+        F.sum(F.size("anchors").cast("long")).alias("anchors"), F.sum(F.octet_length("text").cast("long")).alias("bytes")
+    ).first()
     buckets = 64
-    while buckets * BUCKET_ROWS < size * WINDOW // 2:
+    while buckets * BUCKET_ROWS < (size["anchors"] or 0) * WINDOW // 2:
         buckets *= 2
-    blocks = staged(windows(whole.select("tid", "text", "anchors"), buckets), "suffix-blocks")
-    bits = staged(repeated_bits(blocks.where("bucket >= 0")), "suffix-bits")
-    spans = removed_spans(blocks.where("bucket < 0"), bits)
+    block = F.pmod(F.xxhash64("tid"), F.lit(1 + (size["bytes"] or 0) // BLOCK_BYTES))
+    blocked = whole.select(block.alias("block"), "tid", "text", "anchors")
+    bits = staged(repeated_bits(windows(blocked, buckets, told=False)), "suffix-bits")
+    spans = removed_spans(windows(blocked, buckets, told=True), bits)
     return staged(
         texts.select("tid", "key", "copies").join(spans, "tid", "left")
         .where("copies > 1 or begins is not null").select("key", "copies", "begins", "ends"),
