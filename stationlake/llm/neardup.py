@@ -14,8 +14,11 @@ so what is sent to the tasks never grows (shingles that share a slot share the s
    forest over the share of equal samples proposes links, one fewer than members; the
    centres of a bucket's groups are joined the same way. No bucket emits all its pairs.
 4. Proposed links are verified by exact weighted Jaccard similarity of the texts: first
-   each node's best one, then the best one between any two classes not joined yet, until
-   none is left. Classes are the connected components of the verified links.
+   each node's best one, then the best ones between any two classes not joined yet, more of
+   them every round, until none is left. Classes are the connected components of the verified links.
+5. Buckets that were split and still hold more than one class are compared whole, block
+   against block, but for pairs within a class and pairs refuted before; what is left of them is
+   verified in the same way, so no pair that shares a bucket is passed over.
 
 Two texts of similarity s meet in a bucket with probability 1 - (1 - s^3)^12, 0.9998 at 0.8.
 
@@ -48,6 +51,9 @@ THRESHOLD = 0.8
 GROUP = 400
 #: A pair whose share of equal samples is lower is not proposed: below a chance of 1e-5 at 0.8.
 LEAST_AGREEMENT = 0.5
+#: Open buckets are compared from the likely pairs down, so that classes are joined before the next step.
+STEPS = [(0.7, 1.1), (LEAST_AGREEMENT, 0.7)]
+FLUSH_ROWS = 20_000
 
 
 def prepared(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
@@ -289,6 +295,112 @@ def linked_groups(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
+def open_buckets(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, label, band, key, others, most, top): members of buckets of more than one class.
+
+    ``top`` is the largest class of the bucket with ``most`` members; ``others`` are not in it.
+    """
+    members = (
+        nodes.select("node", F.posexplode("bands").alias("band", "key")).join(labels, "node", "left")
+        .withColumn("label", F.coalesce("label", "node"))
+    )
+    sizes = members.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
+    found = sizes.groupBy("band", "key").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("classes")
+    ).where((F.col("classes") > 1) & (F.col("n") > GROUP)).select(
+        "band", "key", (F.col("n") - F.col("top.n")).alias("others"), F.col("top.n").alias("most"),
+        F.col("top.label").alias("top"),
+    )
+    return members.join(found, ["band", "key"])
+
+
+def block_jobs(members: DataFrame) -> DataFrame:
+    """(band, key, kind, x, y, side, node, label): members dealt to the jobs that compare them.
+
+    A bucket of up to ``GROUP`` members is one job (kind 0). Of a larger one the largest class
+    and the other members are cut into blocks; other blocks meet each other (kind 2) and
+    all blocks of the largest class (kind 1), whose own blocks need no comparison.
+    """
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(GROUP)).cast("int")
+    in_top = F.col("label") == F.col("top")
+    dealt = members.withColumns({"o": blocks("others"), "d": blocks("most"), "in_top": in_top}).withColumn(
+        "block", F.pmod(F.xxhash64("node", "band"), F.when(F.col("in_top"), F.col("d")).otherwise(F.col("o"))).cast("int")
+    )
+
+    def job(kind: int, x, y):
+        return F.struct(F.lit(kind).alias("kind"), x.cast("int").alias("x"), y.cast("int").alias("y"))
+
+    block, first = F.col("block"), F.lit(0)
+    others = F.sequence(first, F.col("o") - 1)
+    jobs = (
+        F.when(F.col("others") + F.col("most") <= GROUP, F.array(job(0, first, first)))
+        .when(F.col("in_top"), F.transform(others, lambda i: job(1, i, block)))
+        .otherwise(F.concat(
+            F.transform(others, lambda i: job(2, F.least(i, block), F.greatest(i, block))),
+            F.transform(F.sequence(first, F.col("d") - 1), lambda j: job(1, block, j)),
+        ))
+    )
+    side = F.when(F.col("job.kind") == 1, F.col("in_top").cast("int")).otherwise(F.col("block"))
+    return dealt.withColumn("job", F.explode(jobs)).select("band", "key", "job.*", side.alias("side"), "node", "label")
+
+
+def unlinked_pairs(jobs: DataFrame, least: float, below: float) -> DataFrame:
+    """(a, b, agree): pairs of different classes with an agreement from ``least`` to under ``below``.
+
+    ``jobs`` is (band, key, kind, x, y, side, node, label, signature). One job is held at a time.
+    """
+    bounded_batches(jobs.sparkSession)
+    schema = T.StructType.fromDDL("a binary, b binary, agree float")
+    want = to_arrow_schema(schema)
+    key_columns = ["band", "key", "kind", "x", "y"]
+
+    def pairs_of(key: tuple, held: list[tuple]):
+        if len(held) < 2:
+            return
+        _, _, kind, x, y = key
+        apart = kind == 1 or x < y
+        codes: dict[bytes, int] = {}
+        label = np.array([codes.setdefault(h[1], len(codes)) for h in held])
+        side = np.array([h[3] for h in held])
+        signatures = np.frombuffer(b"".join(h[2] for h in held), "<u4").reshape(len(held), -1)
+        for i in range(len(held) - 1):
+            other = label[i + 1:] != label[i]
+            if apart:
+                other &= side[i + 1:] != side[i]
+            js = np.flatnonzero(other) + i + 1
+            agree = (signatures[js] == signatures[i]).mean(1)
+            for j, w in zip(js[(agree >= least) & (agree < below)], agree[(agree >= least) & (agree < below)]):
+                yield min(held[i][0], held[j][0]), max(held[i][0], held[j][0]), float(w)
+
+    def groups(batches):
+        key, held = None, []
+        for batch in batches:
+            columns = (column_of(batch, c).to_pylist() for c in (*key_columns, "node", "label", "signature", "side"))
+            for row in zip(*columns):
+                if row[:5] != key:
+                    yield key, held
+                    key, held = row[:5], []
+                held.append(row[5:])
+        yield key, held
+
+    def run(batches):
+        out: list[tuple] = []
+        for key, held in groups(batches):
+            for pair in pairs_of(key, held):
+                out.append(pair)
+                if len(out) >= FLUSH_ROWS:
+                    yield as_batch(out)
+                    out = []
+        yield as_batch(out)
+
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [[]] * len(want)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, want)], schema=want)
+
+    dealt = jobs.repartition(*key_columns).sortWithinPartitions(*key_columns)
+    return dealt.mapInArrow(run, schema).groupBy("a", "b").agg(F.first("agree").alias("agree"))
+
+
 def jaccard(a: bytes, b: bytes, idf: np.ndarray) -> float:
     """Weighted Jaccard similarity of two prepared texts."""
     owner, hashes, times = shingles.sorted_by_text(*shingles.shingle_hashes([a, b]))
@@ -390,31 +502,21 @@ def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     return staged(known.unionByName(fresh), "near-labels")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, node, label): the class of every document; ``label`` is null without links.
+def wanted_texts(docs: DataFrame, links: DataFrame) -> DataFrame:
+    wanted = staged(links.select(F.col("a").alias("node")).union(links.select("b")).distinct(), "near-wanted")
+    return staged(texts_of_nodes(docs, wanted), "near-texts")
 
-    ``docs`` is (doc_id, text). Documents of one node, or of one label, are one class.
+
+def joined(
+    labels: DataFrame, rest: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float
+) -> tuple[DataFrame, list[DataFrame]]:
+    """Labels after every link of ``rest`` between two classes is tried, and the pairs refuted.
+
+    Each round tries the best links between any two classes, twice as many as before: one
+    in each share of their pairs, dealt by hash. Links within a class are dropped untried.
     """
-    lean_shuffles(docs.sparkSession)
-    idf, _ = frequency_table(docs)
-    signatures = staged(signed(docs, idf), "near-signatures")
-    nodes = staged(
-        signatures.where("node is not null").groupBy("node").agg(
-            F.first(F.struct("bands", "signature")).alias("s")
-        ).select("node", "s.bands", "s.signature"),
-        "near-nodes",
-    )
-    links = staged(proposed(nodes), "near-links")
-    wanted = staged(links.select(F.col("a").alias("node")).union(links.select("b")).distinct(), "near-wanted")
-    texts = staged(texts_of_nodes(docs, wanted), "near-texts")
-    # First the best link of every node.
-    ends = links.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("end"))
-    best = ends.groupBy("end").agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-    done = staged(verified(best, texts, idf, threshold, many=True), "near-verified")
-    labels = components(done.where("similar").select("a", "b"))
-    rest = links.join(done.select("a", "b"), ["a", "b"], "left_anti")
+    refuted, tries = [], 1
     while True:
-        # Then the best link between any two classes, until no link between classes is untried.
         label = lambda side: labels.select(  # noqa: B023, E731
             F.col("node").alias(side), F.col("label").alias(f"label_{side}")
         )
@@ -425,19 +527,59 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             "near-open",
         )
         between = F.array_sort(F.array("label_a", "label_b"))
+        share = F.pmod(F.xxhash64("a", "b"), F.lit(tries))
         chosen = staged(
-            rest.groupBy(between.alias("between")).agg(
+            rest.groupBy(between.alias("between"), share.alias("share")).agg(
                 F.max(F.struct("agree", "a", "b", "label_a", "label_b")).alias("m")
             ).select("m.*"),
             "near-chosen",
         )
         if chosen.isEmpty():
-            break
+            return labels, refuted
         done = staged(verified(chosen, texts, idf, threshold), "near-verified")
+        refuted.append(done.where(~F.col("similar")).select("a", "b"))
         accepted = staged(chosen.join(done.where("similar"), ["a", "b"], "left_semi"), "near-accepted")
         if not accepted.isEmpty():
             labels = merged_labels(labels, accepted)
         rest = rest.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
+        tries *= 2
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, node, label): the class of every document; ``label`` is null without links.
+
+    ``docs`` is (doc_id, text). Documents of one node, or of one label, are one class.
+    """
+    lean_shuffles(docs.sparkSession)
+    idf, _ = frequency_table(docs)
+    signatures = staged(signed(docs, idf), "near-signatures")
+    nodes = staged(
+        signatures.where("node is not null").groupBy("node").agg(
+            F.first(F.struct("bands", "signature")).alias("s")
+        ).select("node", "s.bands", "s.signature"),
+        "near-nodes",
+    )
+    links = staged(proposed(nodes), "near-links")
+    texts = wanted_texts(docs, links)
+    # First the best link of every node.
+    ends = links.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("end"))
+    best = ends.groupBy("end").agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+    done = staged(verified(best, texts, idf, threshold, many=True), "near-verified")
+    labels = components(done.where("similar").select("a", "b"))
+    rest = links.join(done.select("a", "b"), ["a", "b"], "left_anti")
+    # Then the best links between any two classes, until no link between classes is untried.
+    labels, refuted = joined(labels, rest, texts, idf, threshold)
+    refuted.append(done.where(~F.col("similar")).select("a", "b"))
+    for least, below in STEPS:
+        members = staged(open_buckets(nodes, labels), "near-open-buckets")
+        if members.isEmpty():
+            break
+        jobs = block_jobs(members).join(nodes.select("node", "signature"), "node")
+        tried = reduce(DataFrame.unionByName, refuted)
+        rest = staged(unlinked_pairs(jobs, least, below).join(tried, ["a", "b"], "left_anti"), "near-unlinked")
+        if not rest.isEmpty():
+            labels, more = joined(labels, rest, wanted_texts(docs, rest), idf, threshold)
+            refuted += more
     return signatures.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", "label")
 
 

@@ -114,6 +114,34 @@ def test_split_buckets_stay_one_class(documents, monkeypatch):
     assert {x["class_id"] for x in got} == {0} and all(x["class_size"] == 120 for x in got)
 
 
+def plain_classes(texts, idf):
+    """Classes of all pairs by exact similarity."""
+    raws = [t.lower().encode() for t in texts]
+    pairs = [(i, j) for i in range(len(raws)) for j in range(i) if neardup.jaccard(raws[i], raws[j], idf) >= 0.8]
+    return pairs, union(pairs, range(len(texts)))
+
+
+def edited(r, base, n):
+    """``base`` with ``n`` words changed, far enough apart that each changes five shingles."""
+    w = list(base)
+    for k in r.sample(range(len(w) // 6), n):
+        w[6 * k + 3] = f"x{r.randrange(10**9)}"
+    return " ".join(w)
+
+
+def test_hub_with_more_spokes_than_ten_groups(documents, monkeypatch):
+    monkeypatch.setattr(neardup, "GROUP", 6)
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(base)] + [edited(r, base, 7) for _ in range(90)]
+    docs = documents(texts)
+    idf, _ = neardup.frequency_table(docs)
+    pairs, want = plain_classes(texts, idf)
+    assert len(pairs) == 90 and all(j == 0 for _, j in pairs)  # only the hub links the spokes
+    got = {x["doc_id"]: x["class_id"] for x in neardup.named(neardup.classes(docs)).collect()}
+    assert got == want
+
+
 def test_no_documents_and_repeated_rows(documents):
     assert neardup.named(neardup.classes(documents(["x"]).limit(0))).count() == 0
     rows = [(5, "same words in every row of these"), (5, "same words in every row of these"), (None, "same words in every row of these")]
