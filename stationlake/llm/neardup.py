@@ -16,9 +16,9 @@ so what is sent to the tasks never grows (shingles that share a slot share the s
 4. Proposed links are verified by exact weighted Jaccard similarity of the texts: first
    each node's best one, then the best ones between any two classes not joined yet, more of
    them every round, until none is left. Classes are the connected components of the verified links.
-5. Buckets that were split and still hold more than one class are compared whole, block
-   against block, but for pairs within a class and pairs refuted before; what is left of them is
-   verified in the same way, so no pair that shares a bucket is passed over.
+5. Buckets that still hold more than one class are compared whole, large ones block against
+   block, but for pairs within a class and pairs refuted before; what is left of them is verified in
+   the same way. So no pair of a bucket is passed over because its forest, or its group, lacks it.
 
 Two texts of similarity s meet in a bucket with probability 1 - (1 - s^3)^12, 0.9998 at 0.8.
 
@@ -307,7 +307,7 @@ def open_buckets(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     sizes = members.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
     found = sizes.groupBy("band", "key").agg(
         F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("classes")
-    ).where((F.col("classes") > 1) & (F.col("n") > GROUP)).select(
+    ).where("classes > 1").select(
         "band", "key", (F.col("n") - F.col("top.n")).alias("others"), F.col("top.n").alias("most"),
         F.col("top.label").alias("top"),
     )
@@ -512,7 +512,7 @@ def joined(
 ) -> tuple[DataFrame, list[DataFrame]]:
     """Labels after every link of ``rest`` between two classes is tried, and the pairs refuted.
 
-    Each round tries the best links between any two classes, twice as many as before: one
+    Each round tries the best links between any two classes, eight times as many as before: one
     in each share of their pairs, dealt by hash. Links within a class are dropped untried.
     """
     refuted, tries = [], 1
@@ -542,7 +542,7 @@ def joined(
         if not accepted.isEmpty():
             labels = merged_labels(labels, accepted)
         rest = rest.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
-        tries *= 2
+        tries *= 8
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -142,6 +142,23 @@ def test_hub_with_more_spokes_than_ten_groups(documents, monkeypatch):
     assert got == want
 
 
+def test_pairs_among_many_texts_just_under_the_threshold(documents):
+    r = random.Random(9)
+    page = [f"w{r.randrange(10**6)}" for _ in range(400)]
+    texts = []
+    for k in range(100):
+        own = [f"t{r.randrange(10**9)}" for _ in range(42)]
+        texts.append(" ".join(page + own))
+        if k % 10 == 0:  # a pair of its own, a little nearer than the page makes all others
+            texts.append(" ".join(page + own[:20] + [f"t{r.randrange(10**9)}" for _ in range(22)]))
+    docs = documents(texts)
+    idf, _ = neardup.frequency_table(docs)
+    pairs, want = plain_classes(texts, idf)
+    assert len(pairs) == 10
+    got = {x["doc_id"]: x["class_id"] for x in neardup.named(neardup.classes(docs)).collect()}
+    assert got == want
+
+
 def test_no_documents_and_repeated_rows(documents):
     assert neardup.named(neardup.classes(documents(["x"]).limit(0))).count() == 0
     rows = [(5, "same words in every row of these"), (5, "same words in every row of these"), (None, "same words in every row of these")]
