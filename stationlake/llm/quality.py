@@ -1,12 +1,12 @@
 """Quality rules: counts within a document, and lines that too many documents of a host share.
 
 Lines are normalised (case, white space, digits) and hashed; for each host the distinct
-texts holding a line are counted, so exact copies count once. A line above the limit
+documents holding a line are counted, copies of a text among them. A line above the limit
 of its host is removed everywhere on that host, and a document that loses too much is
 rejected. The limit is the larger of a number of documents and a share of the host's.
 
 Defined cases: a null text has no words and no lines; a null host is a host of its own;
-repeated rows are judged alike, each row stays; documents failing the base rules are
+repeated rows (of one id and text) are one document, each row stays; documents failing the base rules are
 rejected whatever their lines.
 """
 
@@ -114,17 +114,23 @@ def profiled(docs: DataFrame) -> DataFrame:
     return map_batches(slim, T.StructType(own + added.fields), job)
 
 
-def common_lines(profiles: DataFrame, host: str, least: int, share: float) -> DataFrame:
+def common_lines(profiles: DataFrame, host: str, least: int, share: float, document: str = "doc_id") -> DataFrame:
     """(host, line_hash, n_docs) of the lines above the limit of their host.
 
-    Copies of a text on a host are one document. Their number per host is at most the
-    lines of a document divided by ``share``, or their occurrences by ``least``.
+    Lines of equal texts are taken apart once, weighted by the documents of that text. Their
+    number per host is at most the lines of a document divided by ``share``, or their
+    occurrences by ``least``.
     """
     once = profiles.groupBy(host, "text_hash").agg(F.first("line_hash").alias("line_hash"))
-    sizes = profiles.select(host, "text_hash").distinct().groupBy(host).agg(F.count("*").alias("host_docs"))
+    copies = (
+        profiles.select(F.col(host).alias("_on"), F.col("text_hash").alias("_text"), document).distinct()
+        .groupBy("_on", "_text").agg(F.count("*").alias("docs"))
+    )
+    sizes = copies.groupBy(F.col("_on").alias(host)).agg(F.sum("docs").alias("host_docs"))
+    weighted = once.join(copies, once[host].eqNullSafe(copies["_on"]) & (F.col("text_hash") == F.col("_text")))
     counted = (
-        once.select(host, F.explode("line_hash").alias("line_hash"))
-        .groupBy(host, "line_hash").agg(F.count("*").alias("n_docs"))
+        weighted.select(host, "docs", F.explode("line_hash").alias("line_hash"))
+        .groupBy(host, "line_hash").agg(F.sum("docs").alias("n_docs"))
         .where(F.col("n_docs") > least)
     )
     return (

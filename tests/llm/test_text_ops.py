@@ -140,6 +140,23 @@ def test_quality_removes_lines_above_the_limit(documents):
     assert by[300, "b"]["kept"] and by[300, "b"]["n_lost_words"] == 0
 
 
+def test_quality_counts_documents_not_texts(documents):
+    r = random.Random(6)
+    words = ["".join(r.choice("bcdfgaeiou") for _ in range(7)) for _ in range(4000)]
+    bodies = [" ".join(r.sample(words, 40)) for _ in range(40)]
+    legal = "legal notice all rights kept by us"
+    rows = [(k, f"{legal}\n{bodies[k % 2]}", "en", "c") for k in range(16)]  # two texts, sixteen documents
+    rows += [(0, f"{legal}\n{bodies[0]}", "en", "c")] * 5
+    rows += [(100 + k, f"{legal}\n{bodies[k + 2]}", "en", "d") for k in range(11)]
+    rows += [(200 + k, bodies[30], "en", "d") for k in range(600)]  # copies count for the size of a host
+    rows += [(900 + k, f"{legal}\n{bodies[k % 2]}", "en", None) for k in range(16)]
+    got = quality.judged(documents(rows), least=10, share=0.02).collect()
+    assert len(got) == len(rows)
+    lost = {(x["doc_id"], x["source"]): x["n_lost_words"] for x in got}
+    assert all(lost[k, "c"] == 7 and lost[900 + k, None] == 7 for k in range(16))
+    assert all(lost[100 + k, "d"] == 0 for k in range(11))
+
+
 def test_toxicity_learns_terms_disguises_and_exceptions(spark, documents):
     r = random.Random(1)
     plain = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)]
