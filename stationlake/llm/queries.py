@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stationlake.llm import (
     bpe,
     chat,
+    fim,
     licenses,
     mixing,
     neardup,
@@ -171,3 +172,14 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         F.col("toxic_score").alias("score"),
         (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    done = fim.restored(fim.filled(table(spark, folder, "documents").select("doc_id", "text")))
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256).alias(f"{c}_sha256")
+    return done.select(
+        "doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", digest("output"), digest("restored")
+    )
+
+
+register(op12_fill_in_middle, fim.ORACLE)
