@@ -11,6 +11,7 @@ from stationlake.llm import (
     bpe,
     chat,
     fim,
+    langid,
     licenses,
     mixing,
     neardup,
@@ -183,3 +184,12 @@ def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
 
 
 register(op12_fill_in_middle, fim.ORACLE)
+
+
+@register
+def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = langid.fit(docs.select("doc_id", "text", "lang"))
+    return langid.identified(docs.select("doc_id", "text"), found).select(
+        "doc_id", F.coalesce(langid.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "entropy", "rejected"
+    )
