@@ -105,12 +105,15 @@ def rearranged(texts: pa.Array, cuts: tuple[pa.Array, pa.Array], form_draws: tup
     }
 
 
-def filled(docs: DataFrame, id_column: str = "doc_id", seed: int = 42, rates: Rates = Rates()) -> DataFrame:
+def filled(
+    docs: DataFrame, id_column: str = "doc_id", seed: int = 42, rates: Rates = Rates(), with_restored: bool = False
+) -> DataFrame:
     """``docs`` with ``n_units``, ``form``, ``output``, ``prefix_chars`` and ``middle_chars``.
 
     One map over the texts, no shuffle. The numbers of characters are null where the form is plain.
+    ``with_restored`` adds ``restored``, rebuilt from output and form in the same map.
     """
-    added = T.StructType.fromDDL(ADDED).fields
+    added = T.StructType.fromDDL(ADDED + (", restored string" if with_restored else "")).fields
     own = [f for f in docs.schema if f.name not in {a.name for a in added}]
     drawn = F.struct(*[d.alias(f"d{k}") for k, d in enumerate(draws(id_column, seed))])
     # The draws travel beside the row, under a place that no column name can clash with.
@@ -119,9 +122,10 @@ def filled(docs: DataFrame, id_column: str = "doc_id", seed: int = 42, rates: Ra
 
     def job(batch: pa.RecordBatch):
         row, d = column_of(batch, "row"), column_of(batch, "drawn").flatten()
-        return {"row": row, "filled": pa.StructArray.from_arrays(
-            *_columns(rearranged(row.field(text), (d[0], d[1]), (d[2], d[3]), rates), added)
-        )}
+        found = rearranged(row.field(text), (d[0], d[1]), (d[2], d[3]), rates)
+        if with_restored:
+            found["restored"] = text_of(found["output"], found["form"])
+        return {"row": row, "filled": pa.StructArray.from_arrays(*_columns(found, added))}
 
     schema = T.StructType([
         T.StructField("row", T.StructType(own)), T.StructField("filled", T.StructType(added)),

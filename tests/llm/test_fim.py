@@ -31,6 +31,8 @@ def plain_version(doc_id, text):
 def check(spark, rows, schema="doc_id long, text string", parts=3):
     df = spark.createDataFrame(rows, schema).repartition(parts)
     got = fim.restored(fim.filled(df)).collect()
+    at_once = fim.filled(df, with_restored=True).select(*got[0].asDict() if got else ["text"]).collect()
+    assert sorted(map(str, at_once)) == sorted(map(str, got))
     want = sorted((str((r[0], r[1], *plain_version(r[0], r[1]), r[1] or "")) for r in rows))
     assert sorted(str((g["doc_id"], g["text"], g["n_units"], g["form"], g["output"], g["prefix_chars"],
                        g["middle_chars"], g["restored"])) for g in got) == want
