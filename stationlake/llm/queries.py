@@ -20,7 +20,9 @@ from stationlake.llm import (
     topk,
     toxicity,
     unigram,
+    vectorcodes,
 )
+from stationlake.sources.shared import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -176,7 +178,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
-    done = fim.restored(fim.filled(table(spark, folder, "documents").select("doc_id", "text")))
+    done = fim.filled(table(spark, folder, "documents").select("doc_id", "text"), with_restored=True)
     digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256).alias(f"{c}_sha256")
     return done.select(
         "doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", digest("output"), digest("restored")
@@ -193,3 +195,15 @@ def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identified(docs.select("doc_id", "text"), found).select(
         "doc_id", F.coalesce(langid.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "entropy", "rejected"
     )
+
+
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = vectorcodes.compressed(table(spark, folder, "embeddings"))
+    done = vectorcodes.with_label_error(staged(coded, "vector-codes"))
+    return done.select(
+        "vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error",
+        F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256"),
+    )
+
+
+register(op11_vector_codes, vectorcodes.ORACLE)
