@@ -35,7 +35,8 @@ def clipped(value: Column, low: float, high: float) -> Column:
 
 def utc_text(field: Column) -> Column:
     """``utc`` of a JSON object given as text; plain text is returned as it is."""
-    return F.coalesce(F.get_json_object(field, "$.utc"), field)
+    given = F.coalesce(F.get_json_object(field, "$.utc"), field)
+    return F.when(F.contains(field, F.lit("{")), given).otherwise(field)
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:

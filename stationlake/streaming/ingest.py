@@ -36,7 +36,7 @@ def land_long(
     landed: list[int] = []
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        good, bad = long.split_rejects(staged(batch, "landing"))
+        good, bad = long.split_parsed(staged(long.parsed_lines(staged(batch, "landing")), "landing-parsed"))
         readings = long.to_readings(good).withColumn(
             "parameter", normalise_parameter(F.col("parameter"), "keep")
         )
