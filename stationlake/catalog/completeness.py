@@ -183,7 +183,7 @@ def missing_params(spark, folder):
 START, END = "2024-01-01 00:00:00", "2024-01-31 00:00:00"
 
 
-@query(f"""
+COVERAGE_SQL = f"""
 WITH wins AS (SELECT i::INT AS win, TIMESTAMP '{START}' + to_days((i * 7)::INT) AS win_start,
                      least(TIMESTAMP '{START}' + to_days((i * 7 + 7)::INT), TIMESTAMP '{END}') AS win_end
               FROM generate_series(0, 4) AS s(i)),
@@ -196,7 +196,10 @@ counts AS (SELECT grid.user_id, win, win_start, win_end, count(h) AS observed,
            GROUP BY ALL)
 SELECT *, CASE WHEN observed = 0 THEN 'missing' WHEN observed < expected THEN 'partial' ELSE 'full' END AS status
 FROM counts
-""")
+"""
+
+
+@query(COVERAGE_SQL)
 def coverage(spark, folder):
     events = table(spark, folder, "events")
     return c.coverage(events, START, END, ["user_id"], "ts", window_days=7)

@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stationlake import schemas
-from stationlake.catalog.completeness import customer_sensors
-from stationlake.catalog.registry import query, table
+from stationlake.catalog.completeness import COVERAGE_SQL, END, START, customer_sensors
+from stationlake.catalog.registry import query, rounded, table
 from stationlake.functions.values import conform
 from stationlake.operators import timeline
-from stationlake.sources import bare, locations, long, pages, readings
-from stationlake.sources.shared import new_path
-from stationlake.streaming import ingest
+from stationlake.sources import bare, locations, long, pages, readings, snapshots
+from stationlake.sources.shared import new_path, staged
+from stationlake.streaming import daily, ingest
 
 
 def event_readings(spark, folder):
@@ -276,3 +276,87 @@ def ingest_increment(spark, folder):
         F.count_distinct("station_id").alias("n_stations"),
         F.round(F.sum("value"), 6).alias("total"),
     ).withColumns({"first_run": first, "second_run": second, "third_run": third})
+
+
+@query("""
+SELECT 1 AS version, event_type AS parameter, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 2
+UNION ALL
+SELECT 2, event_type, count(*), round(sum(CASE WHEN event_type = 'click' AND user_id % 2 = 0 THEN 2 * value ELSE value END), 6)
+FROM events GROUP BY 2
+""")
+def refetch_versions(spark, folder):
+    """A table before and after series were fetched again: both versions stay whole."""
+    path = new_path(spark, "versions")
+    first = event_readings(spark, folder)
+    readings.write_readings(first, path)
+    again = first.filter("parameter = 'click' and cast(station_id as long) % 2 = 0")
+    readings.write_readings(again.withColumn("value", 2 * F.col("value")), path)
+    both = [readings.read_readings(spark, path, version=v).withColumn("version", F.lit(v)) for v in (1, 2)]
+    return both[0].unionByName(both[1]).groupBy("version", "parameter").agg(
+        F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total")
+    )
+
+
+#: Batches of the queries on landing; every event is in one of them.
+BATCHES = 9
+
+
+def _batches(spark, folder):
+    events = event_readings(spark, folder)
+    number = F.pmod(F.xxhash64("ts", "station_id"), F.lit(BATCHES))
+    parted = staged(events.withColumn("number", number), "batches")
+    return [parted.where(F.col("number") == k).drop("number") for k in range(BATCHES)]
+
+
+@query("""
+SELECT event_type AS parameter, count(*) AS n, count(DISTINCT user_id) AS n_stations, round(sum(value), 6) AS total,
+       true AS few_folders FROM events GROUP BY 1
+""")
+def landing_compacted(spark, folder):
+    """Small batches landed twice each and merged as they pile up: every reading once, few folders."""
+    path = new_path(spark, "compacted")
+    for k, batch in enumerate(_batches(spark, folder)):
+        for _ in range(2):
+            snapshots.land(spark, path, batch, "parameter", "events", k)
+        readings.compact_readings(spark, path, fan=3)
+    held = snapshots.snapshot(spark, path)
+    few = spark.createDataFrame([(p, len(held.of([p])) <= 4) for p in {e.value for e in held.entries}],
+                                "parameter string, few_folders boolean")
+    return readings.read_readings(spark, path).groupBy("parameter").agg(
+        F.count("*").alias("n"), F.count_distinct("station_id").alias("n_stations"), F.round(F.sum("value"), 6).alias("total"),
+    ).join(few, "parameter")
+
+
+def _daily(spark, folder):
+    """Daily sums of the events, added batch by batch, one of them twice."""
+    path = new_path(spark, "daily")
+    batches = _batches(spark, folder)
+    for k, batch in enumerate(batches):
+        daily.land_daily(batch, path, "events", k, fan=4)
+    daily.land_daily(batches[2], path, "events", 2)
+    return path
+
+
+@query("""
+SELECT event_type AS parameter, user_id::VARCHAR AS station_id, month(ts)::INT AS month,
+       avg(CASE WHEN value > 35 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS violation_rate, count(*) AS n
+FROM events WHERE value IS NOT NULL GROUP BY 1, 2, 3
+""")
+def daily_violation_rates(spark, folder):
+    held = daily.read_daily(spark, _daily(spark, folder))
+    return daily.violation_rates(held, ["parameter", "station_id", F.month("day").alias("month")])
+
+
+@query("""
+SELECT concat('Station, ', user_id) AS location_name, round(avg(value), 6) AS pm25_mean
+FROM events WHERE event_type = 'view' GROUP BY 1
+""")
+def daily_station_means(spark, folder):
+    held = daily.read_daily(spark, _daily(spark, folder), ["view"])
+    return rounded(daily.means(held), "pm25_mean")
+
+
+@query(COVERAGE_SQL.replace("user_id", "station_id").replace("FROM events", "FROM (SELECT user_id::VARCHAR AS station_id, ts FROM events)"))
+def daily_coverage(spark, folder):
+    held = daily.read_daily(spark, _daily(spark, folder))
+    return daily.covered(held, START, END, window_days=7)

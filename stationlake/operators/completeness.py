@@ -168,7 +168,6 @@ def coverage(
     Every key seen gets every window, also the empty ones: its per-window counts (at
     most one per window) are spread over the window list, with no grid join.
     """
-    windows = time.period_windows(start, end, window_days)
     first, last = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
     at = F.col(ts).cast("timestamp")
     inside = (at >= first) & (at < last)
@@ -179,6 +178,14 @@ def coverage(
     per_window = hours.groupBy(
         *keys, F.floor(F.col("_hour") / (24 * window_days)).cast("int").alias("_win")
     ).agg(F.count("_hour").alias("_n"))
+    return spread_windows(per_window, start, end, keys, window_days)
+
+
+def spread_windows(
+    per_window: DataFrame, start: str, end: str, keys: Sequence[str], window_days: int = WINDOW_DAYS
+) -> DataFrame:
+    """Coverage from (keys, ``_win``, ``_n``): hours seen per window; ``_win`` is NULL outside the period."""
+    windows = time.period_windows(start, end, window_days)
     per_key = per_window.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.when(F.col("_win").isNotNull(), F.struct("_win", "_n"))))
         .alias("_seen")

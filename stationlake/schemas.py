@@ -52,3 +52,16 @@ READINGS = T.StructType([
     T.StructField("row_idx", T.LongType()),
     T.StructField("source_file", T.StringType()),
 ])
+
+# One row a parameter, station and day; rows of the same key are added up, their hours united.
+DAILY = T.StructType([
+    T.StructField("station_id", T.StringType()),
+    T.StructField("location_name", T.StringType()),
+    T.StructField("parameter", T.StringType()),
+    T.StructField("day", T.DateType()),
+    T.StructField("n_rows", T.LongType()),
+    T.StructField("n", T.LongType()),
+    T.StructField("total", T.DoubleType()),
+    T.StructField("hits", T.LongType()),
+    T.StructField("hours", T.IntegerType()),
+])

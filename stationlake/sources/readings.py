@@ -1,22 +1,22 @@
-"""The canonical readings table: parquet, one folder per parameter."""
+"""The canonical readings table: parquet, one folder per parameter, under a manifest of snapshots."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationlake import schemas
-from stationlake.sources.joins import match_keys
+from stationlake.sources import snapshots
 from stationlake.sources.shared import staged
 
 _PARTITION = "parameter"
+_ORDER = ["station_id", "ts"]
 
 
 def write_readings(readings: DataFrame, path: str, mode: str = "replace") -> None:
-    """Write readings by parameter, clustered by station and time.
+    """Write readings by parameter, clustered by station and time, as the next version of the table.
 
     Rows are ranged on (parameter, station, time): a hot station is spread over
     several files, and the row-group statistics let a station or time filter skip the
@@ -24,37 +24,16 @@ def write_readings(readings: DataFrame, path: str, mode: str = "replace") -> Non
 
     ``replace`` (the default) replaces the series, that is pairs of station and parameter,
     present in ``readings`` and keeps all others; ``overwrite`` replaces whole parameters;
-    ``append`` adds. Only folders of parameters present are read and written again.
+    ``append`` adds. Only folders of parameters present are read and written again. A write that
+    fails anywhere leaves the table as it was; if another writer changed the same parameters
+    meanwhile, ``snapshots.Conflict`` is raised and nothing is lost.
     """
-    if mode == "replace":
-        readings, mode = _with_untouched(readings, path), "overwrite"
-    (
-        readings.repartitionByRange(_PARTITION, "station_id", "ts")
-        .sortWithinPartitions(_PARTITION, "station_id", "ts")
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(_PARTITION)
-        .parquet(path)
-    )
-
-
-def _with_untouched(readings: DataFrame, path: str) -> DataFrame:
-    """The readings and, of their parameters, the landed series that they do not bring anew.
-
-    Staged, as the folders they come from are about to be replaced.
-    """
-    spark = readings.sparkSession
-    readings = staged(readings, "readings-new")
-    try:
-        before = spark.read.schema(readings.schema).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return readings
-    series = readings.select(_PARTITION, "station_id").distinct()
-    landed = match_keys(before, readings.select(_PARTITION).distinct(), [_PARTITION], "left_semi")
-    kept = match_keys(landed, series, [_PARTITION, "station_id"], "left_anti")
-    return staged(readings.unionByName(kept), "readings-merged")
+    snapshots.write(readings, path, schemas.READINGS, _PARTITION, _ORDER, ["station_id"], mode)
+
+
+def compact_readings(spark: SparkSession, path: str, fan: int = snapshots.FAN) -> int:
+    """Merge the small folders of each parameter into sorted files; returns the rounds of merging."""
+    return snapshots.compact(spark, path, schemas.READINGS, _PARTITION, _ORDER, fan)
 
 
 def read_readings(
@@ -62,9 +41,17 @@ def read_readings(
     path: str,
     parameters: Sequence[str] | None = None,
     stations: Sequence[str | int] | None = None,
+    version: int | None = None,
 ) -> DataFrame:
-    """Readings of the wanted parameters (folders pruned) and stations (pushed to the scan)."""
-    table = spark.read.schema(schemas.READINGS).parquet(path)
+    """Readings of the wanted parameters (folders pruned) and stations (pushed to the scan).
+
+    The last committed version, or the one asked for; a folder without a manifest is read as it lies.
+    """
+    held = snapshots.snapshot(spark, path, version)
+    if held is None:
+        table = spark.read.schema(schemas.READINGS).parquet(path)
+    else:
+        table = snapshots.read_entries(spark, path, schemas.READINGS, held.of(parameters))
     if parameters is not None:
         table = table.filter(F.col(_PARTITION).isin(list(parameters)))
     if stations is not None:
