@@ -10,6 +10,7 @@ the partition numbers are data and cannot change between the two reads.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -118,13 +119,10 @@ def exact_quantiles(
     """Exact quantiles with linear interpolation, one column per entry of ``ps``.
 
     The built-in ``percentile`` gathers all distinct values of a group in one task. Here the
-    distinct values of every group, small or large, are ranked across tasks. Without
-    groups the ranks are looked for within narrow brackets.
+    ranks are looked for within narrow brackets, of the whole column or of each group, and only
+    the values inside a bracket are ranked, across tasks.
     """
-    if not by:
-        return bracketed_quantiles(df, value, ps)
-    data = df.select(*by, clean(F.col(value)).alias(value))
-    return quantiles_of(running_counts(data, value, by), value, ps, by)
+    return bracketed_by_group(df, value, ps, by) if by else bracketed_quantiles(df, value, ps)
 
 
 def bracketed_quantiles(
@@ -139,13 +137,30 @@ def bracketed_quantiles(
     """
     v = F.col(value)
     data = df.select(clean(v).alias(value)).filter(v.isNotNull())
+    edges = data.agg(bracket_edges(value, ps, accuracy, margin).alias("e")).first()["e"]
+    return quantiles_between(data, value, ps, edges)[0]
+
+
+def bracket_edges(value: str, ps: dict[str, float], accuracy: int = 10000, margin: float = 2.0) -> Column:
+    """Aggregate: a value below and one above each wanted rank, from a sketch; NULL without values."""
     slack = margin / accuracy
     around = [edge for p in ps.values() for edge in (max(p - slack, 0.0), min(p + slack, 1.0))]
-    edges = data.agg(F.percentile_approx(value, around, accuracy).alias("e")).first()["e"]
+    return F.percentile_approx(F.col(value), around, accuracy)
+
+
+def quantiles_between(
+    data: DataFrame, value: str, ps: dict[str, float], edges: Sequence[float] | None
+) -> tuple[DataFrame, DataFrame | None]:
+    """(one row of quantiles, the ranks they are read from) given the edges around their ranks.
+
+    The ranks are (value, cnt, upto, total): the values inside the brackets, and rows with a NULL
+    value for what lies between and outside.
+    """
+    v = F.col(value)
     schema = ", ".join(f"`{name}` double" for name in ps)
-    spark = df.sparkSession
+    spark = data.sparkSession
     if edges is None:
-        return spark.createDataFrame([tuple(None for _ in ps)], schema)
+        return spark.createDataFrame([tuple(None for _ in ps)], schema), None
     brackets: list[list[float]] = []
     for low, high in sorted(zip(edges[::2], edges[1::2])):
         if brackets and low <= brackets[-1][1]:
@@ -164,8 +179,46 @@ def bracketed_quantiles(
     ranks = running_sums(counts, "cnt", ["_segment", value])
     found = quantiles_of(ranks, value, ps).first()
     if any(q is None for q in found):
-        return quantiles_of(running_counts(data, value), value, ps)
-    return spark.createDataFrame([tuple(found)], schema)
+        ranks = running_counts(data, value)
+        found = quantiles_of(ranks, value, ps).first()
+    return spark.createDataFrame([tuple(found)], schema), ranks
+
+
+def bracketed_by_group(
+    df: DataFrame, value: str, ps: dict[str, float], by: Sequence[str], accuracy: int = 1000, margin: float = 2.0
+) -> DataFrame:
+    """Exact quantiles of each group without ranking all of its values.
+
+    A sketch per group brackets the wanted ranks; the table of brackets, one row a group, is staged, and
+    its size decides how it meets the values. Values outside the brackets of their group are only
+    counted, before the shuffle; those inside are ranked across tasks. A group of fewer values than
+    ``accuracy`` has exact brackets. Groups with a rank outside its bracket after all are ranked whole.
+    """
+    v = F.col(value)
+    data = df.select(*by, clean(v).alias(value)).filter(v.isNotNull())
+    edges = bracket_edges(value, ps, accuracy, margin)
+    brackets = staged(data.groupBy(*by).agg(edges.alias("_edges")), "group-brackets")
+    marked = match_keys(data, brackets, by)
+    pairs = range(len(ps))
+    low = lambda i: F.col("_edges")[2 * i]
+    high = lambda i: F.col("_edges")[2 * i + 1]
+    # Brackets may overlap: a value inside any keeps its place, others only count between the edges.
+    inside = F.lit(False)
+    for i in pairs:
+        inside = inside | ((v >= low(i)) & (v <= high(i)))
+    below = sum((v > high(i)).cast("int") for i in pairs)
+    counts = marked.groupBy(
+        *by, F.when(~inside, below).alias("_gap"), F.when(inside, v).alias(value)
+    ).agg(F.count("*").alias("cnt"), F.min(v).alias("_at"))
+    ranks = running_sums(counts, "cnt", ["_at"], by)
+    found = staged(quantiles_of(ranks, value, ps, by), "group-quantiles")
+    missed = found.where(reduce(lambda a, b: a | b, [F.col(name).isNull() for name in ps])).select(*by)
+    if missed.isEmpty():
+        return found
+    whole = match_keys(data, missed, by, "left_semi")
+    return match_keys(found, missed, by, "left_anti").unionByName(
+        quantiles_of(running_counts(whole, value, by), value, ps, by)
+    )
 
 
 def quantiles_of(

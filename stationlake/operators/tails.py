@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationlake.functions import text
@@ -16,13 +16,14 @@ from stationlake.functions.vocabulary import (
     TAIL_QUANTILE,
 )
 from stationlake.operators.ordering import (
+    bracket_edges,
     busiest,
     exact_quantiles,
+    quantiles_between,
     quantiles_of,
     running_counts,
 )
 from stationlake.sources.joins import match_keys
-from stationlake.sources.shared import staged
 
 
 def positives(df: DataFrame, value: str = "value") -> DataFrame:
@@ -47,6 +48,23 @@ def _tail_quantile(
     return exact_quantiles(positives(df, value), value, ps, by)
 
 
+def _in_two_passes(
+    data: DataFrame, value: str, ps: dict[str, float], aggregates: list[Column], counted: Column | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(one row of aggregates, one row of exact quantiles, their ranks): the sketch is one more aggregate.
+
+    Quantiles are those of the rows where ``counted`` holds; the aggregates are those of all rows.
+    """
+    number = F.col(value) if counted is None else F.when(counted, F.col(value))
+    names = data.withColumn("_number", number)
+    first = names.agg(*aggregates, bracket_edges("_number", ps).alias("_edges"))
+    row = first.first()
+    kept = data if counted is None else data.where(counted)
+    found, ranks = quantiles_between(kept.select(value), value, ps, row["_edges"])
+    stats = data.sparkSession.createDataFrame([row], first.schema).drop("_edges")
+    return stats, found, ranks
+
+
 def tail_stats(
     df: DataFrame,
     value: str = "value",
@@ -59,7 +77,8 @@ def tail_stats(
     """Per group, over positive values: n, p99, count and percent above the limit, skewness.
 
     The skewness is the population (biased) one. ``approx`` takes the percentile from a
-    sketch in the same pass; otherwise it is exact, by distributed ranks.
+    sketch in the same pass; otherwise it is exact, by distributed ranks. Without groups the data
+    are read twice: one aggregate gives the statistics and the sketch, one counts around it.
     """
     v = F.col(value)
     skew = F.skewness(v)
@@ -70,8 +89,13 @@ def tail_stats(
     ]
     if approx:
         aggregates.append(F.percentile_approx(v, p, 10000).alias("p99"))
-    stats = positives(df, value).groupBy(*by).agg(*aggregates)
-    if not approx:
+    data = positives(df, value)
+    if not (by or approx or ranks):
+        stats, at_p, _ = _in_two_passes(data, value, {"p99": p}, aggregates)
+        stats = stats.withColumn("p99", at_p.scalar())
+    else:
+        stats = data.groupBy(*by).agg(*aggregates)
+    if (by or ranks) and not approx:
         at_p = _tail_quantile(df, value, {"p99": p}, by, ranks)
         stats = match_keys(stats, at_p, by) if by else stats.withColumn("p99", at_p.scalar())
     percent = F.coalesce(F.try_divide(F.col("count_ext"), F.col("n")) * 100, F.lit(0.0))
@@ -104,6 +128,8 @@ def exceedance_at(
     ranks: DataFrame | None = None,
 ) -> DataFrame:
     """One row: the percentile of the positive values, and the share of all rows above it."""
+    if ranks is None:
+        return _exceedance_in_two_passes(df, value, p)
     quantile = _tail_quantile(df, value, {"q": p}, (), ranks)
     over = F.when(clean(F.col(value)) > F.col("q"), 1.0).otherwise(0.0)
     return df.select(value, quantile.scalar().alias("q")).agg(
@@ -111,6 +137,23 @@ def exceedance_at(
     )
 
 
+def _exceedance_in_two_passes(df: DataFrame, value: str, p: float) -> DataFrame:
+    """The same without another pass: the rows above the percentile are those that rank above it."""
+    data = df.select(clean(F.col(value)).alias(value))
+    stats, at_p, ranks = _in_two_passes(
+        data, value, {"q": p}, [F.count("*").alias("n_all")], is_positive(F.col(value))
+    )
+    if ranks is None:
+        none = F.when(F.col("n_all") > 0, 0.0)
+        return stats.select(F.lit(None).cast("double").alias("q"), none.alias("exceedance"), "n_all")
+    placed = ranks.select(value, "upto", "total", at_p.scalar().alias("q"))
+    above = placed.agg(
+        F.max("q").alias("q"), (F.max("total") - F.max(F.when(F.col(value) <= F.col("q"), F.col("upto")))).alias("above")
+    )
+    both = stats.select("n_all", above.select(F.struct("q", "above")).scalar().alias("s"))
+    return both.select("s.q", (F.col("s.above") / F.col("n_all")).alias("exceedance"), "n_all")
+
+
 def histogram(
     df: DataFrame, value: str = "value", bins: int | str = HISTOGRAM_BINS, fill: bool = False
 ) -> DataFrame:
@@ -120,17 +163,16 @@ def histogram(
     are left out unless ``fill`` is set (fixed number of bins only).
     """
     data = df.select(clean(F.col(value)).alias("v")).filter(F.col("v").isNotNull())
-    bounds = data.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    ends = [F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")]
     if bins == "fd":
-        quartiles = exact_quantiles(data, "v", {"q25": 0.25, "q75": 0.75})
+        # Ends and sketch in one pass, quartiles in the next, bins in the last.
+        bounds, quartiles, _ = _in_two_passes(data, "v", {"q25": 0.25, "q75": 0.75}, ends)
         spread = quartiles.select(F.col("q75") - F.col("q25")).scalar()
         width = 2 * spread / F.cbrt("n")
         count = F.ceil(F.try_divide(F.col("hi") - F.col("lo"), width))
         bounds = bounds.withColumn("k", F.greatest(F.coalesce(count, F.lit(1)), F.lit(1)))
-        # One row, kept so that the ranked values are not read again for every use of it.
-        bounds = staged(bounds, "bounds")
     else:
-        bounds = bounds.withColumn("k", F.lit(int(bins)).cast("long"))
+        bounds = data.agg(*ends).withColumn("k", F.lit(int(bins)).cast("long"))
     width = (F.col("hi") - F.col("lo")) / F.col("k")
     shape = bounds.select(F.struct("lo", width.alias("width"), "k").alias("s")).scalar()
     at = F.floor(F.try_divide(F.col("v") - F.col("s.lo"), F.col("s.width")))

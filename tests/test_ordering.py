@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stationlake.operators import ordering
+from stationlake.operators import ordering, tails
 from tests.conftest import rows
 
 
@@ -147,3 +147,76 @@ def test_a_hot_station_is_summed_by_many_tasks(spark, skewed, conf):
     ranged = distinct.repartitionByRange("station", "v").sortWithinPartitions("station", "v")
     per_task = [r["count"] for r in ordering._summed_in_order(ranged, "cnt").groupBy("_part").count().collect()]
     assert len(per_task) == 8 and max(per_task) < 2 * sum(per_task) / 8
+
+
+def counted_rows(spark, df):
+    """The table with a count of the rows that tasks read of it."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(count, df.schema), read
+
+
+def test_group_quantiles_rank_only_what_is_inside_the_brackets(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    data = [("hot", float(x)) for x in rng.gamma(2, 40, 30000)] + [(f"s{k % 40}", float(x)) for k, x in enumerate(rng.normal(size=4000))]
+    data += [(None, float(x)) for x in rng.normal(size=500)] + [("same", 7.0)] * 3000 + [("few", 1.0), ("few", 2.0), ("none", None)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(5)
+    ps = {"q25": 0.25, "q50": 0.5, "q99": 0.99, "q0": 0.0, "q1": 1.0}
+    ranked, sums = [], ordering.running_sums
+
+    def spy(counts, *more):
+        ranked.append(counts.count())
+        return sums(counts, *more)
+
+    monkeypatch.setattr(ordering, "running_sums", spy)
+    got = {r["g"]: r for r in ordering.exact_quantiles(df, "v", ps, ["g"]).collect()}
+    assert len(ranked) == 1 and ranked[0] < 6500 < 34000  # all but the hot group have exact or small brackets
+    for g in {g for g, v in data if v is not None}:
+        own = [v for h, v in data if h == g and v is not None]
+        for name, p in ps.items():
+            assert got[g][name] == pytest.approx(np.percentile(own, 100 * p), rel=1e-12)
+    assert "none" not in got
+
+
+@pytest.mark.parametrize("accuracy,margin", [(3, 0.0), (10, 0.1), (50, 1.0)])
+def test_group_quantiles_stay_exact_when_the_sketch_misses(spark, accuracy, margin):
+    rng = np.random.default_rng(6)
+    data = [(f"s{k % 3}", float(round(x))) for k, x in enumerate(rng.gamma(2, 40, 3000))]
+    df = spark.createDataFrame(data, "g string, v double").repartition(4)
+    ps = {"a": 0.5, "b": 0.51, "c": 0.99}
+    for r in ordering.bracketed_by_group(df, "v", ps, ["g"], accuracy, margin).collect():
+        own = [v for g, v in data if g == r["g"]]
+        assert [r[n] for n in ps] == pytest.approx([np.percentile(own, 100 * p) for p in ps.values()])
+
+
+def test_summaries_read_the_data_twice(spark):
+    rng = np.random.default_rng(7)
+    values = [float(x) for x in rng.gamma(2, 80, 5000)] + [-3.0, 0.0, None, float("nan")] * 50
+    df = spark.createDataFrame([(x,) for x in values], "value double").repartition(3)
+    good = np.array([x for x in values if x is not None and x > 0])
+    q = np.percentile(good, 99)
+
+    data, read = counted_rows(spark, df)
+    stats = tails.tail_stats(data).first()
+    assert read.value == 2 * len(values)
+    assert (stats.n, stats.count_ext) == (len(good), (good > 200).sum()) and stats.p99 == pytest.approx(q, rel=1e-12)
+
+    data, read = counted_rows(spark, df)
+    got = tails.exceedance_at(data).first()
+    assert read.value == 2 * len(values)
+    assert got.q == pytest.approx(q, rel=1e-12) and got.n_all == len(values)
+    assert got.exceedance == (good > got.q).sum() / len(values)
+
+    data, read = counted_rows(spark, df)
+    assert tails.histogram(data, bins="fd").agg({"n": "sum"}).first()[0] == len(values) - 100
+    assert read.value == 3 * len(values)  # the bins need the quartiles
+
+    for empty in (df.limit(0), df.where("value < 0")):
+        got, n = tails.exceedance_at(empty).first(), empty.count()
+        assert got.q is None and got.n_all == n and got.exceedance == (0.0 if n else None)
+        assert tails.tail_stats(empty).first().n == 0 and tails.histogram(empty.limit(0), bins="fd").count() == 0
