@@ -14,11 +14,17 @@ so what is sent to the tasks never grows (shingles that share a slot share the s
    forest over the share of equal samples proposes links, one fewer than members; the
    centres of a bucket's groups are joined the same way. No bucket emits all its pairs.
 4. Proposed links are verified by exact weighted Jaccard similarity of the texts: first
-   each node's best one, then the best ones between any two classes not joined yet, more of
-   them every round, until none is left. Classes are the connected components of the verified links.
-5. Buckets that still hold more than one class are compared whole, large ones block against
-   block, but for pairs within a class and pairs refuted before; what is left of them is verified in
-   the same way. So no pair of a bucket is passed over because its forest, or its group, lacks it.
+   each node's best one, then, in two rounds, the best ones between any two classes not joined yet.
+   Classes are the connected components of the verified links.
+5. Buckets that still hold more than one class are compared whole, large ones block against block, in two
+   passes. The first compares samples and names the members that have a likely partner of another
+   class; the second gets the texts of these alone, verifies the likely pairs exactly inside the task, and
+   puts out only links that join two classes there: fewer than the classes it holds. A pair is
+   looked at in the first bucket that it shares. So no likely pair of a bucket is passed over because its
+   forest, or its group, lacks it, and no list of pairs ever leaves a task.
+
+A pair is likely if at least ``LEAST_AGREEMENT`` of its samples are equal: at a similarity of 0.8 fewer
+are with a chance of 1e-5. ``GROUP`` and ``BLOCK`` only decide which way finds a pair, not whether it is found.
 
 Two texts of similarity s meet in a bucket with probability 1 - (1 - s^3)^12, 0.9998 at 0.8.
 
@@ -51,9 +57,10 @@ THRESHOLD = 0.8
 GROUP = 400
 #: A pair whose share of equal samples is lower is not proposed: below a chance of 1e-5 at 0.8.
 LEAST_AGREEMENT = 0.5
-#: Open buckets are compared from the likely pairs down, so that classes are joined before the next step.
-STEPS = [(0.7, 1.1), (LEAST_AGREEMENT, 0.7)]
-FLUSH_ROWS = 20_000
+#: Members of a bucket in a block of those that are compared whole.
+BLOCK = 200
+#: Rounds in which links of the forests are tried; what they leave is found in the open buckets.
+ROUNDS_OF_LINKS = 2
 
 
 def prepared(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
@@ -82,8 +89,10 @@ def frequency_table(docs: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches):
         total, n = np.zeros(1 << SLOT_BITS, np.int64), 0
         for batch in batches:
-            _, hashes, _ = shingles.sorted_by_text(*shingles.shingle_hashes(prepared(batch)))
-            total += np.bincount(slots(hashes), minlength=1 << SLOT_BITS)
+            raws = prepared(batch)
+            for a, b in shingles.groups(raws):
+                _, hashes, _ = shingles.sorted_by_text(*shingles.shingle_hashes(raws[a:b]))
+                np.add.at(total, slots(hashes), 1)
             n += batch.num_rows
         if n:
             yield from pieces(total, n)
@@ -182,18 +191,19 @@ def signed(docs: DataFrame, idf: np.ndarray) -> DataFrame:
         if not sampler:
             sampler.append(Sampler())
         raws = prepared(batch)
-        owner, hashes, times = shingles.sorted_by_text(*shingles.shingle_hashes(raws))
         bands: list = [[]] * len(raws)
         signatures: list = [None] * len(raws)
-        if len(hashes):
+        for a, b in shingles.groups(raws):
+            owner, hashes, times = shingles.sorted_by_text(*shingles.shingle_hashes(raws[a:b]))
+            if not len(hashes):
+                continue
             weight = np.log(times * idf[slots(hashes)]).astype(np.float32)
-            samples = sampler[0].samples(owner, hashes, weight, len(raws))
+            samples = sampler[0].samples(owner, hashes, weight, b - a)
             short = (samples & np.uint64(0xFFFFFFFF)).astype("<u4")
-            for k, text in enumerate(np.unique(owner)):
-                signatures[text] = short[k].tobytes()
             keys = band_keys(samples)
             for k, text in enumerate(np.unique(owner)):
-                bands[text] = keys[k]
+                signatures[a + text] = short[k].tobytes()
+                bands[a + text] = keys[k]
         return {
             "doc_id": column_of(batch, "doc_id"), "node": [node_of(r) for r in raws],
             "bands": bands, "signature": signatures,
@@ -317,11 +327,11 @@ def open_buckets(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 def block_jobs(members: DataFrame) -> DataFrame:
     """(band, key, kind, x, y, side, node, label): members dealt to the jobs that compare them.
 
-    A bucket of up to ``GROUP`` members is one job (kind 0). Of a larger one the largest class
+    A bucket of up to two blocks is one job (kind 0). Of a larger one the largest class
     and the other members are cut into blocks; other blocks meet each other (kind 2) and
     all blocks of the largest class (kind 1), whose own blocks need no comparison.
     """
-    blocks = lambda n: F.ceil(F.col(n) / F.lit(GROUP)).cast("int")
+    blocks = lambda n: F.ceil(F.col(n) / F.lit(BLOCK)).cast("int")
     in_top = F.col("label") == F.col("top")
     dealt = members.withColumns({"o": blocks("others"), "d": blocks("most"), "in_top": in_top}).withColumn(
         "block", F.pmod(F.xxhash64("node", "band"), F.when(F.col("in_top"), F.col("d")).otherwise(F.col("o"))).cast("int")
@@ -333,7 +343,7 @@ def block_jobs(members: DataFrame) -> DataFrame:
     block, first = F.col("block"), F.lit(0)
     others = F.sequence(first, F.col("o") - 1)
     jobs = (
-        F.when(F.col("others") + F.col("most") <= GROUP, F.array(job(0, first, first)))
+        F.when(F.col("others") + F.col("most") <= 2 * BLOCK, F.array(job(0, first, first)))
         .when(F.col("in_top"), F.transform(others, lambda i: job(1, i, block)))
         .otherwise(F.concat(
             F.transform(others, lambda i: job(2, F.least(i, block), F.greatest(i, block))),
@@ -344,61 +354,128 @@ def block_jobs(members: DataFrame) -> DataFrame:
     return dealt.withColumn("job", F.explode(jobs)).select("band", "key", "job.*", side.alias("side"), "node", "label")
 
 
-def unlinked_pairs(jobs: DataFrame, least: float, below: float) -> DataFrame:
-    """(a, b, agree): pairs of different classes with an agreement from ``least`` to under ``below``.
+JOB = ["band", "key", "kind", "x", "y"]
 
-    ``jobs`` is (band, key, kind, x, y, side, node, label, signature). One job is held at a time.
-    """
-    bounded_batches(jobs.sparkSession)
-    schema = T.StructType.fromDDL("a binary, b binary, agree float")
-    want = to_arrow_schema(schema)
-    key_columns = ["band", "key", "kind", "x", "y"]
 
-    def pairs_of(key: tuple, held: list[tuple]):
-        if len(held) < 2:
-            return
-        _, _, kind, x, y = key
-        apart = kind == 1 or x < y
+class Members:
+    """The members of one job, and the pairs of them that are to be looked at."""
+
+    def __init__(self, key: tuple, rows: list[dict]):
+        self.band, _, kind, x, y = key
+        self.rows = rows
+        self.apart = kind == 1 or x < y
         codes: dict[bytes, int] = {}
-        label = np.array([codes.setdefault(h[1], len(codes)) for h in held])
-        side = np.array([h[3] for h in held])
-        signatures = np.frombuffer(b"".join(h[2] for h in held), "<u4").reshape(len(held), -1)
-        for i in range(len(held) - 1):
-            other = label[i + 1:] != label[i]
-            if apart:
-                other &= side[i + 1:] != side[i]
-            js = np.flatnonzero(other) + i + 1
-            agree = (signatures[js] == signatures[i]).mean(1)
-            for j, w in zip(js[(agree >= least) & (agree < below)], agree[(agree >= least) & (agree < below)]):
-                yield min(held[i][0], held[j][0]), max(held[i][0], held[j][0]), float(w)
-
-    def groups(batches):
-        key, held = None, []
-        for batch in batches:
-            columns = (column_of(batch, c).to_pylist() for c in (*key_columns, "node", "label", "signature", "side"))
-            for row in zip(*columns):
-                if row[:5] != key:
-                    yield key, held
-                    key, held = row[:5], []
-                held.append(row[5:])
-        yield key, held
+        self.label = np.array([codes.setdefault(r["label"], len(codes)) for r in rows])
+        self.labels = list(codes)
+        self.side = np.array([r["side"] for r in rows])
+        self.signature = np.frombuffer(b"".join(r["signature"] for r in rows), "<u4").reshape(len(rows), -1)
+        self.bands = np.array([r["bands"] for r in rows], np.int64)[:, :self.band]
+
+    def likely(self, i: int, classes: np.ndarray) -> np.ndarray:
+        """Later members of other classes that agree with member ``i``, and share no earlier bucket with it."""
+        other = classes[i + 1:] != classes[i]
+        if self.apart:
+            other &= self.side[i + 1:] != self.side[i]
+        js = np.flatnonzero(other) + i + 1
+        js = js[~(self.bands[js] == self.bands[i]).any(1)]
+        return js[(self.signature[js] == self.signature[i]).mean(1) >= LEAST_AGREEMENT]
+
+
+def by_job(rows: DataFrame, columns: list[str], schema: str, work) -> DataFrame:
+    """Apply ``work(key, rows)`` to the rows of each job; one job is held at a time."""
+    bounded_batches(rows.sparkSession)
+    want = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches):
-        out: list[tuple] = []
-        for key, held in groups(batches):
-            for pair in pairs_of(key, held):
-                out.append(pair)
-                if len(out) >= FLUSH_ROWS:
-                    yield as_batch(out)
-                    out = []
-        yield as_batch(out)
+        key, held, out = None, [], []
+        for batch in batches:
+            names = batch.schema.names
+            for row in batch.to_pylist():
+                now = tuple(row[c] for c in JOB)
+                if now != key:
+                    out += work(key, held) if len(held) > 1 else []
+                    key, held = now, []
+                held.append({c: row[c] for c in names if c not in JOB})
+            yield pa.RecordBatch.from_pylist(out, schema=want)
+            out = []
+        yield pa.RecordBatch.from_pylist(work(key, held) if len(held) > 1 else [], schema=want)
+
+    dealt = rows.select(*JOB, *columns).repartition(*JOB).sortWithinPartitions(*JOB)
+    return dealt.mapInArrow(run, schema)
+
+
+def with_partner(jobs: DataFrame) -> DataFrame:
+    """(job, side, node, label) of the members that have a likely partner of another class."""
+
+    def work(key: tuple, rows: list[dict]) -> list[dict]:
+        members, some = Members(key, rows), np.zeros(len(rows), bool)
+        for i in range(len(rows) - 1):
+            js = members.likely(i, members.label)
+            some[js] = True
+            some[i] |= len(js) > 0
+        job = dict(zip(JOB, key))
+        return [job | {c: rows[k][c] for c in ("side", "node", "label")} for k in np.flatnonzero(some)]
+
+    return by_job(
+        jobs, ["side", "node", "label", "signature", "bands"],
+        "band int, key bigint, kind int, x int, y int, side int, node binary, label binary", work,
+    )
 
-    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*rows) if rows else [[]] * len(want)
-        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, want)], schema=want)
 
-    dealt = jobs.repartition(*key_columns).sortWithinPartitions(*key_columns)
-    return dealt.mapInArrow(run, schema).groupBy("a", "b").agg(F.first("agree").alias("agree"))
+def joining_links(jobs: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """(label_a, label_b): links between classes by exact weighted Jaccard similarity, verified in the jobs.
+
+    ``jobs`` is (job, side, node, label, signature, bands, text). A job puts out fewer links than it has classes.
+    """
+
+    def work(key: tuple, rows: list[dict]) -> list[dict]:
+        members = Members(key, rows)
+        weights = Weights([(r["text"] or "").lower().encode("utf-8") for r in rows], idf)
+        classes, out = members.label.copy(), []
+        for i in range(len(rows) - 1):
+            js = members.likely(i, classes)
+            js = js[weights.may_reach(i, js, threshold)]
+            if len(js):
+                for j in js[weights.similarity(i, js) >= threshold - 1e-9]:
+                    if classes[j] != classes[i]:
+                        out.append({"label_a": rows[i]["label"], "label_b": rows[j]["label"]})
+                        classes[classes == classes[j]] = classes[i]
+        return out
+
+    return by_job(
+        jobs, ["side", "node", "label", "signature", "bands", "text"], "label_a binary, label_b binary", work
+    )
+
+
+class Weights:
+    """Shingle weights of the texts of a job, for similarities of one text with many."""
+
+    def __init__(self, raws: list[bytes], idf: np.ndarray):
+        parts = []
+        for a, b in shingles.groups(raws):
+            owner, hashes, times = shingles.sorted_by_text(*shingles.shingle_hashes(raws[a:b]))
+            parts.append((owner + a, hashes, times * idf[slots(hashes)].astype(np.int64)))
+        owner, hashes, self.weight = (np.concatenate(c) for c in zip(*parts))
+        kinds, self.kind = np.unique(hashes, return_inverse=True)
+        self.start = np.searchsorted(owner, np.arange(len(raws) + 1))
+        self.total = np.bincount(owner, self.weight, len(raws)).astype(np.int64)
+        self.own = np.zeros(len(kinds), np.int64)
+
+    def may_reach(self, i: int, js: np.ndarray, threshold: float) -> np.ndarray:
+        """What is shared is at most the smaller sum, and the union at least the larger."""
+        small, large = np.minimum(self.total[i], self.total[js]), np.maximum(self.total[i], self.total[js])
+        return small >= (threshold - 1e-9) * large
+
+    def similarity(self, i: int, js: np.ndarray) -> np.ndarray:
+        mine = slice(self.start[i], self.start[i + 1])
+        self.own[self.kind[mine]] = self.weight[mine]
+        n = self.start[js + 1] - self.start[js]
+        at = np.repeat(self.start[js], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        least = np.minimum(self.own[self.kind[at]], self.weight[at])
+        shared = np.bincount(np.repeat(np.arange(len(js)), n), least, len(js))
+        self.own[self.kind[mine]] = 0
+        union = self.total[i] + self.total[js] - shared
+        return np.where(union > 0, shared / np.maximum(union, 1), 0.0)
 
 
 def jaccard(a: bytes, b: bytes, idf: np.ndarray) -> float:
@@ -502,21 +579,18 @@ def merged_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
     return staged(known.unionByName(fresh), "near-labels")
 
 
-def wanted_texts(docs: DataFrame, links: DataFrame) -> DataFrame:
-    wanted = staged(links.select(F.col("a").alias("node")).union(links.select("b")).distinct(), "near-wanted")
-    return staged(texts_of_nodes(docs, wanted), "near-texts")
+def wanted_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    return staged(texts_of_nodes(docs, staged(nodes, "near-wanted")), "near-texts")
 
 
-def joined(
-    labels: DataFrame, rest: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float
-) -> tuple[DataFrame, list[DataFrame]]:
-    """Labels after every link of ``rest`` between two classes is tried, and the pairs refuted.
+def joined(labels: DataFrame, rest: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Labels after the best links of ``rest`` between any two classes are tried.
 
-    Each round tries the best links between any two classes, eight times as many as before: one
-    in each share of their pairs, dealt by hash. Links within a class are dropped untried.
+    Each round tries eight times as many as before: one in each share of the links between two classes, dealt
+    by hash. Links within a class are dropped untried.
     """
-    refuted, tries = [], 1
-    while True:
+    tries = 1
+    for _ in range(ROUNDS_OF_LINKS):
         label = lambda side: labels.select(  # noqa: B023, E731
             F.col("node").alias(side), F.col("label").alias(f"label_{side}")
         )
@@ -535,14 +609,32 @@ def joined(
             "near-chosen",
         )
         if chosen.isEmpty():
-            return labels, refuted
+            return labels
         done = staged(verified(chosen, texts, idf, threshold), "near-verified")
-        refuted.append(done.where(~F.col("similar")).select("a", "b"))
         accepted = staged(chosen.join(done.where("similar"), ["a", "b"], "left_semi"), "near-accepted")
         if not accepted.isEmpty():
             labels = merged_labels(labels, accepted)
         rest = rest.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
         tries *= 8
+    return labels
+
+
+def linked_in_buckets(
+    docs: DataFrame, nodes: DataFrame, labels: DataFrame, idf: np.ndarray, threshold: float
+) -> DataFrame:
+    """Labels after every likely pair of different classes in any bucket is verified."""
+    members = staged(open_buckets(nodes, labels), "near-open-buckets")
+    if members.isEmpty():
+        return labels
+    marks = nodes.select("node", "signature", "bands")
+    likely = staged(with_partner(block_jobs(members).join(marks, "node")), "near-likely")
+    if likely.isEmpty():
+        return labels
+    texts = wanted_texts(docs, likely.select("node").distinct())
+    links = staged(
+        joining_links(likely.join(marks, "node").join(texts, "node"), idf, threshold).distinct(), "near-joining"
+    )
+    return labels if links.isEmpty() else merged_labels(labels, links)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -560,26 +652,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         "near-nodes",
     )
     links = staged(proposed(nodes), "near-links")
-    texts = wanted_texts(docs, links)
+    texts = wanted_texts(docs, links.select(F.col("a").alias("node")).union(links.select("b")).distinct())
     # First the best link of every node.
     ends = links.select("a", "b", "agree", F.explode(F.array("a", "b")).alias("end"))
     best = ends.groupBy("end").agg(F.max(F.struct("agree", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
     done = staged(verified(best, texts, idf, threshold, many=True), "near-verified")
     labels = components(done.where("similar").select("a", "b"))
     rest = links.join(done.select("a", "b"), ["a", "b"], "left_anti")
-    # Then the best links between any two classes, until no link between classes is untried.
-    labels, refuted = joined(labels, rest, texts, idf, threshold)
-    refuted.append(done.where(~F.col("similar")).select("a", "b"))
-    for least, below in STEPS:
-        members = staged(open_buckets(nodes, labels), "near-open-buckets")
-        if members.isEmpty():
-            break
-        jobs = block_jobs(members).join(nodes.select("node", "signature"), "node")
-        tried = reduce(DataFrame.unionByName, refuted)
-        rest = staged(unlinked_pairs(jobs, least, below).join(tried, ["a", "b"], "left_anti"), "near-unlinked")
-        if not rest.isEmpty():
-            labels, more = joined(labels, rest, wanted_texts(docs, rest), idf, threshold)
-            refuted += more
+    # Then the best links between any two classes, and last what the buckets hold besides.
+    labels = joined(labels, rest, texts, idf, threshold)
+    labels = linked_in_buckets(docs, nodes, labels, idf, threshold)
     return signatures.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", "label")
 
 
@@ -615,16 +697,25 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     counted = found.join(keepers, (found["node"] == keepers["node"]) & found["doc_id"].eqNullSafe(keepers["doc_id"]),
                          "left_semi").groupBy("doc_id", "node").agg(F.count("*").alias("rows"))
     names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("_node", T.BinaryType())])
+    node, own_id, own_node, rows = (_fresh(c, names) for c in ("_node", "_id", "_n", "_rows"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(node, T.BinaryType())])
 
     def job(batch: pa.RecordBatch):
         kept = {c: batch.column(k) for k, c in enumerate(names)}
-        return kept | {"_node": [node_of(r) for r in prepared(batch)]}
+        return kept | {node: [node_of(r) for r in prepared(batch)]}
 
     noded = map_batches(docs, schema, job)
-    wordless = noded.where("_node is null").drop("_node")
-    k = counted.select(F.col("doc_id").alias("_id"), F.col("node").alias("_n"), F.col("rows").alias("_rows"))
-    kept = noded.join(k, (noded["_node"] == k["_n"]) & noded["doc_id"].eqNullSafe(k["_id"]))
-    single = kept.where("_rows = 1").select(*names)
-    repeated = kept.where("_rows > 1").dropDuplicates(["_n", "_id"]).select(*names)
+    wordless = noded.where(F.col(node).isNull()).drop(node)
+    k = counted.select(F.col("doc_id").alias(own_id), F.col("node").alias(own_node), F.col("rows").alias(rows))
+    kept = noded.join(k, (noded[node] == k[own_node]) & noded["doc_id"].eqNullSafe(k[own_id]))
+    columns = [F.col(f"`{c}`") for c in names]
+    single = kept.where(F.col(rows) == 1).select(*columns)
+    repeated = kept.where(F.col(rows) > 1).dropDuplicates([own_node, own_id]).select(*columns)
     return single.unionByName(repeated).unionByName(wordless)
+
+
+def _fresh(name: str, taken: list[str]) -> str:
+    """A column name that is not taken."""
+    while name in taken:
+        name += "_"
+    return name

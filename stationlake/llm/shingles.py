@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 
 SHINGLE = 5
 HASH_BITS = 53
+PIECE, KEPT_POWERS = 1 << 20, 1 << 21
+_SPACE = re.compile(rb"[\t-\r ]")
 _POWERS: dict[int, np.ndarray] = {}
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -21,16 +26,55 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base to the powers 0 to n - 1, modulo 2 to the 64."""
-    if len(_POWERS.get(base, ())) < n:
-        out = np.full(max(n, 1), base, np.uint64)
-        out[0] = 1
-        _POWERS[base] = np.cumprod(out)
-    return _POWERS[base][:n]
+    """base to the powers 0 to n - 1, modulo 2 to the 64; tables of up to ``KEPT_POWERS`` are kept."""
+    if len(_POWERS.get(base, ())) >= n:
+        return _POWERS[base][:n]
+    out = np.full(max(n, 1), base, np.uint64)
+    out[0] = 1
+    out = np.cumprod(out)
+    if n <= KEPT_POWERS:
+        _POWERS[base] = out
+    return out[:n]
+
+
+def groups(raws: list[bytes], size: int = PIECE, most: int = 1 << (63 - HASH_BITS)) -> Iterator[tuple[int, int]]:
+    """Runs of texts of at most ``most`` texts, and ``size`` bytes unless one text is longer."""
+    start, held = 0, 0
+    for k, raw in enumerate(raws):
+        if k > start and (held + len(raw) > size or k - start >= most):
+            yield start, k
+            start, held = k, 0
+        held += len(raw)
+    if start < len(raws):
+        yield start, len(raws)
+
+
+def pieces(raw: bytes, size: int = PIECE) -> Iterator[bytes]:
+    """A text cut at white space about every ``size`` bytes."""
+    at = 0
+    while len(raw) - at > size:
+        cut = _SPACE.search(raw, at + size)
+        end = cut.start() if cut else len(raw)
+        yield raw[at:end]
+        at = end
+    yield raw[at:]
 
 
 def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, words in each text); words end at ASCII white space."""
+    """(hash of each word, words in each text); words end at ASCII white space.
+
+    Worked out over about a megabyte at a time: the numbers beside a byte take many times its room.
+    """
+    owned = [(k, piece) for k, raw in enumerate(raws) for piece in pieces(raw)]
+    counts, words = np.zeros(len(raws), np.int64), [np.zeros(0, np.uint64)]
+    for a, b in groups([piece for _, piece in owned]):
+        found, per_piece = _word_hashes([piece for _, piece in owned[a:b]])
+        words.append(found)
+        np.add.at(counts, [k for k, _ in owned[a:b]], per_piece)
+    return np.concatenate(words), counts
+
+
+def _word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     joined = np.frombuffer(b"\n".join(raws) + b"\n", np.uint8)
     space = (joined == 32) | ((joined >= 9) & (joined <= 13))
     edge = np.diff(np.concatenate([[True], space]).astype(np.int8))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from stationlake.llm import links, neardup, shingles
@@ -129,8 +130,10 @@ def edited(r, base, n):
     return " ".join(w)
 
 
-def test_hub_with_more_spokes_than_ten_groups(documents, monkeypatch):
+@pytest.mark.parametrize("block", [8, 200])
+def test_hub_with_more_spokes_than_ten_groups(documents, monkeypatch, block):
     monkeypatch.setattr(neardup, "GROUP", 6)
+    monkeypatch.setattr(neardup, "BLOCK", block)
     r = random.Random(8)
     base = [f"w{r.randrange(10**6)}" for _ in range(400)]
     texts = [" ".join(base)] + [edited(r, base, 7) for _ in range(90)]
@@ -142,7 +145,17 @@ def test_hub_with_more_spokes_than_ten_groups(documents, monkeypatch):
     assert got == want
 
 
-def test_pairs_among_many_texts_just_under_the_threshold(documents):
+@pytest.mark.parametrize("block", [9, 200])
+def test_pairs_among_many_texts_just_under_the_threshold(documents, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    put_out, work = [], neardup.joining_links
+
+    def counted(jobs, *more):
+        out = work(jobs, *more)
+        put_out.append((jobs.select(*neardup.JOB, "label").distinct().count(), out.count()))
+        return out
+
+    monkeypatch.setattr(neardup, "joining_links", counted)
     r = random.Random(9)
     page = [f"w{r.randrange(10**6)}" for _ in range(400)]
     texts = []
@@ -157,6 +170,28 @@ def test_pairs_among_many_texts_just_under_the_threshold(documents):
     assert len(pairs) == 10
     got = {x["doc_id"]: x["class_id"] for x in neardup.named(neardup.classes(docs)).collect()}
     assert got == want
+    # Thousands of pairs are looked at; what leaves the jobs is a part of their classes.
+    assert all(links < classes for classes, links in put_out)
+
+
+def test_weights_equal_single_comparisons():
+    r = random.Random(4)
+    raws = [" ".join(r.choice("abcde") for _ in range(r.randrange(0, 60))).encode() for _ in range(40)]
+    idf = np.random.default_rng(0).integers(100, 151, 1 << neardup.SLOT_BITS).astype(np.uint8)
+    weights = neardup.Weights(raws, idf)
+    for i in range(40):
+        js = np.array([j for j in range(40) if j != i])
+        want = np.array([neardup.jaccard(raws[i], raws[j], idf) for j in js])
+        assert np.allclose(weights.similarity(i, js), want)
+        assert weights.may_reach(i, js, 0.8)[want >= 0.8].all()
+
+
+def test_columns_that_clash(documents):
+    docs = documents(["one two three four five six", "one two three four five six", "", "other words that stand alone here"])
+    for c in ("node", "_node", "_id", "_n", "_rows", "label", "bands"):
+        docs = docs.withColumn(c, F.lit("x"))
+    kept = neardup.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3]
 
 
 def test_no_documents_and_repeated_rows(documents):
