@@ -10,11 +10,15 @@ exact scores are computed for what is left. A pair is ruled out only when its bo
 below that score by more than the rounding of the bound, so results are exact.
 
 Work is dealt out as pairs of a block of candidates and a block of queries; every task keeps
-k rows a query, and a ranking over those gives the result.
+k rows a query, with its score to beat over all blocks that the task meets, and a ranking over those
+gives the result. Blocks of candidates move once for every group of queries: all pairs are
+asked for, so the work grows with queries times candidates, and what moves with their blocks.
 
 Defined cases: vectors that are null, or hold a null or a number that is not finite, take
-no part; vectors of different lengths are never compared; a repeated id is one candidate per
-row; a query with fewer candidates than k gets them all; ids that are null take no part.
+no part; vectors of different lengths are never compared. Every row has a number of its own: a query meets
+every row but its own one, so rows that share its id are candidates, a repeated id is one candidate a
+row, and a query id that stands twice has two results. A null id is a candidate like others, last
+among ties. A query with fewer candidates than k gets them all.
 """
 
 from __future__ import annotations
@@ -25,18 +29,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from stationlake.llm.frames import column_of, map_batches
+from stationlake.llm.frames import bounded_batches, column_of, map_batches
+from stationlake.sources.shared import staged
 
 ROW_BLOCK, QUERY_BLOCK, SPREAD, LEVELS = 4096, 512, 8, (2, 4, 8, 16)
+#: Groups of queries that a task keeps at a time.
+GROUPS_HELD = 64
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
-    """(vec_id, vector as doubles) of the vectors that take part."""
+    """(vec_id, vector as doubles, row) of the vectors that take part; staged, so that rows keep their numbers."""
     v = F.col(vector_column).cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.select(F.col(id_column).cast("long").alias("vec_id"), v.alias("vector")).where(
-        F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & ~F.coalesce(bad, F.lit(False))
-    )
+    kept = vectors.where(v.isNotNull() & ~F.coalesce(bad, F.lit(False)))
+    return staged(kept.select(
+        F.col(id_column).cast("long").alias("vec_id"), v.alias("vector"), F.monotonically_increasing_id().alias("row")
+    ), "vectors")
 
 
 def scaled(vectors: DataFrame, by: float) -> DataFrame:
@@ -48,11 +56,16 @@ def packed(vectors: DataFrame, size: int, group: str) -> DataFrame:
     """Rows packed into blocks (group, dim, kind, ids, data) of about ``size`` rows.
 
     A block holds rows of one partition, one dimension and one value of ``group``, in the
-    smallest number type (``kind``) that holds its components.
+    smallest number type (``kind``) that holds its components. ``ids`` holds, for each row, whether its id is
+    null, the id, and its number.
     """
 
     def job(batch: pa.RecordBatch):
-        ids = column_of(batch, "vec_id").to_numpy(zero_copy_only=False)
+        given = column_of(batch, "vec_id")
+        ids = np.stack([
+            given.is_null().to_numpy(zero_copy_only=False).astype(np.int64), given.fill_null(0).to_numpy(),
+            column_of(batch, "row").to_numpy(),
+        ], axis=1)
         groups = column_of(batch, group).to_numpy(zero_copy_only=False)
         column = column_of(batch, "vector")
         lengths = column.value_lengths().to_numpy(zero_copy_only=False)
@@ -100,13 +113,13 @@ class Best:
     """The k best candidates so far of each query of one block."""
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
-        self.ids, self.q, self.k = ids, q, k
+        self.ids, self.q, self.k = ids, q, k  # ids as in ``packed``: null, id, row
         self.levels = [p for p in LEVELS if p <= max(q.shape[1] // 2, 1)] or [1]
         self.features = [segment_features(q, p) for p in self.levels]
         self.norms = np.sqrt((q * q).sum(1))
         self.beat = np.full(len(ids), -np.inf)
         self.found: list[tuple[np.ndarray, np.ndarray]] = [
-            (np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids
+            (np.zeros((0, 3), np.int64), np.zeros(0, np.int64)) for _ in ids
         ]
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
@@ -116,7 +129,7 @@ class Best:
         # Rounding of a bound is far below this share of the product of the norms.
         slack = 1e-9 * (self.norms[:, None] * norms[None, :] + 1.0)
         bounds = self.features[0] @ features[0].T + slack
-        bounds[self.ids[:, None] == ids[None, :]] = -np.inf
+        bounds[self.ids[:, None, 2] == ids[None, :, 2]] = -np.inf
         for a in np.flatnonzero((bounds >= self.beat[:, None]).any(1) & (bounds > -np.inf).any(1)):
             bound = bounds[a]
             if self.beat[a] == -np.inf and len(bound) > 4 * self.k:
@@ -139,28 +152,28 @@ class Best:
         all_ids = np.concatenate([had_ids, ids[rows]])
         scores = np.concatenate([had, exact_scores(self.q[a], x[rows])])
         if scores.dtype == object:
-            order = sorted(range(len(scores)), key=lambda r: (-scores[r], all_ids[r]))[: self.k]
+            order = sorted(range(len(scores)), key=lambda r: (-scores[r], *all_ids[r]))[: self.k]
         else:
-            order = np.lexsort((all_ids, -scores))[: self.k]
+            order = np.lexsort((*all_ids.T[::-1], -scores))[: self.k]
         self.found[a] = all_ids[order], scores[order]
         if len(order) == self.k:
             self.beat[a] = float(scores[order[-1]])
 
     def rows(self):
-        for qid, (ids, scores) in zip(self.ids, self.found):
-            for i, s in zip(ids, scores):
-                yield int(qid), int(i), int(s)
+        for (none, qid, row), (ids, scores) in zip(self.ids.tolist(), self.found):
+            for (null, i, number), s in zip(ids.tolist(), scores):
+                yield None if none else qid, row, None if null else i, number, int(s)
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products.
 
-    Both inputs are (vec_id, vector) of whole numbers. A row is no candidate for a query
-    of its own id; ties go to the smaller id. A block of candidates is sent once to every
-    group of queries, by an equi-join on the group's number and a salt.
+    Both inputs are (vec_id, vector, row) of whole numbers; a row is no candidate for itself; ties
+    go to the smaller id. A block of candidates is sent once to every group of queries, by
+    an equi-join on the group's number and a salt.
     """
     groups = max(1, -(-queries.count() // QUERY_BLOCK))
-    at = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("long")
+    at = F.pmod(F.xxhash64("row"), F.lit(groups)).cast("long")
     asked = packed(
         queries.withColumn("asked", at).repartition(F.col("asked")), QUERY_BLOCK, "asked"
     ).select(
@@ -174,25 +187,34 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     )
     pairs = rows.join(asked, ["dim", "asked", "salt"])
 
-    def job(batch: pa.RecordBatch):
-        met: dict[bytes, Best] = {}
-        for dim, kind, ids, data, q_kind, q_ids, q_data in zip(*(
-            column_of(batch, c).to_pylist()
-            for c in ("dim", "kind", "ids", "data", "q_kind", "q_ids", "q_data")
-        )):
-            key = q_ids + b"/" + str(dim).encode()
-            i = np.frombuffer(ids, "<i8")
-            if key not in met:
-                qi = np.frombuffer(q_ids, "<i8")
-                q = np.frombuffer(q_data, q_kind).reshape(len(qi), dim).astype(float)
-                met[key] = Best(qi, q if dim else np.zeros((len(qi), 1)), k)
-            x = np.frombuffer(data, kind).reshape(len(i), dim).astype(float)
-            met[key].add(i, x if dim else np.zeros((len(i), 1)))
-        out = [r for best in met.values() for r in best.rows()]
-        return {"query_id": [r[0] for r in out], "vec_id": [r[1] for r in out], "score": [r[2] for r in out]}
-
-    found = map_batches(pairs, "query_id bigint, vec_id bigint, score bigint", job)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    def run(batches):
+        met: dict[tuple, Best] = {}
+        for batch in batches:
+            for asked_at, dim, kind, ids, data, q_kind, q_ids, q_data in zip(*(
+                column_of(batch, c).to_pylist()
+                for c in ("asked", "dim", "kind", "ids", "data", "q_kind", "q_ids", "q_data")
+            )):
+                if (asked_at, dim, q_ids) not in met:
+                    if len(met) >= GROUPS_HELD:
+                        yield as_batch(met)
+                        met = {}
+                    qi = np.frombuffer(q_ids, "<i8").reshape(-1, 3)
+                    q = np.frombuffer(q_data, q_kind).reshape(len(qi), dim).astype(float)
+                    met[asked_at, dim, q_ids] = Best(qi, q if dim else np.zeros((len(qi), 1)), k)
+                i = np.frombuffer(ids, "<i8").reshape(-1, 3)
+                x = np.frombuffer(data, kind).reshape(len(i), dim).astype(float)
+                met[asked_at, dim, q_ids].add(i, x if dim else np.zeros((len(i), 1)))
+        yield as_batch(met)
+
+    names = ["query_id", "query_row", "vec_id", "row", "score"]
+
+    def as_batch(met: dict) -> pa.RecordBatch:
+        out = list(zip(*[r for best in met.values() for r in best.rows()])) or [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in out], names=names)
+
+    bounded_batches(pairs.sparkSession)
+    found = pairs.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
     return (
         found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")

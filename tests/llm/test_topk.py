@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -10,28 +11,28 @@ from stationlake.llm import topk
 
 
 def brute(rows, k, by=64):
-    import math
-
+    """(query id, rank, id, score) as a sorted list, with every row a candidate but the query's own."""
     clean = [
         (i, [math.floor(by * float(x)) for x in v]) for i, v in rows
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
+        if v is not None and all(x is not None and math.isfinite(x) for x in v)
     ]
-    out = set()
-    for q, a in clean:
-        if q % 20:
+    out = []
+    for n, (q, a) in enumerate(clean):
+        if q is None or q % 20:
             continue
         scored = sorted(
-            (-sum(x * y for x, y in zip(a, b)), i) for i, b in clean if i != q and len(b) == len(a)
+            (-sum(x * y for x, y in zip(a, b)), i is None, i or 0)
+            for m, (i, b) in enumerate(clean) if m != n and len(b) == len(a)
         )[:k]
-        out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)}
-    return out
+        out += [(q, r + 1, None if none else i, -s) for r, (s, none, i) in enumerate(scored)]
+    return sorted(out, key=str)
 
 
 def run(spark, rows, k):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
     vectors = topk.scaled(topk.usable(df, "vec_id", "embedding"), 64.0)
     got = topk.top_k(vectors.where("vec_id % 20 = 0"), vectors, k).collect()
-    return {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got}, len(got)
+    return sorted([(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got], key=str), len(got)
 
 
 def test_topk_with_ties_nulls_lengths_and_small_groups(spark):
@@ -46,6 +47,18 @@ def test_topk_with_ties_nulls_lengths_and_small_groups(spark):
     assert got == want and n == len(want)
 
 
+def test_topk_of_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(topk, "ROW_BLOCK", 16)
+    r = random.Random(11)
+    f = lambda x: float(np.float32(x))
+    v = lambda: [f(r.choice((-0.5, 0.0, 0.25, 0.7))) for _ in range(6)]
+    rows = [(r.choice([None, 0, 20, 20, 40, 7, 8]), v(), 0) for _ in range(120)] + [(20, [0.5] * 6, 1)] * 30
+    got, n = run(spark, rows, 20)
+    want = brute([x[:2] for x in rows], 20)
+    assert got == want and n > 40 * 20 and any(x[2] is None for x in got) and any(x[0] == x[2] for x in got)
+
+
 def test_topk_prunes_clustered_vectors_exactly(spark):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(6, 64))
