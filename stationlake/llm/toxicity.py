@@ -193,16 +193,20 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Lexicon:
     place = {t: k for k, t in enumerate(terms)}
 
     def job(batch: pa.RecordBatch):
-        hits, words, near = [], [], []
+        hits, times, words, near = [], [], [], []
         for text in texts_of(batch, "folded"):
             found = matches(text, machine)
-            hits.append([place[t] for _, _, t in found][:2000])
+            counts: dict[int, int] = {}
+            for _, _, t in found:
+                counts[place[t]] = counts.get(place[t], 0) + 1
+            hits.append(list(counts))
+            times.append(list(counts.values()))
             words.append(len(WORD.findall(text)))
-            near.append([x for s, e, t in found[:50] for x in neighbours(text, s, e)])
-        return {"toxic": column_of(batch, "toxic"), "hits": hits, "words": words, "near": near}
+            near.append(sorted({x for s, e, t in found for x in neighbours(text, s, e)}))
+        return {"toxic": column_of(batch, "toxic"), "hits": hits, "times": times, "words": words, "near": near}
 
     rows = bounded_rows(
-        map_batches(sample, "toxic int, hits array<int>, words int, near array<string>", job), size
+        map_batches(sample, "toxic int, hits array<int>, times array<int>, words int, near array<string>", job), size
     )
     return learn(terms, rows)
 
@@ -252,7 +256,7 @@ def learn(terms: list[str], rows: list) -> Lexicon:
     cancelled = set(exceptions)
     x = []
     for r in rows:
-        total = 0.0 if cancelled & set(r["near"]) else sum(wanted[k] for k in r["hits"])
+        total = 0.0 if cancelled & set(r["near"]) else sum(wanted[k] * n for k, n in zip(r["hits"], r["times"]))
         x.append([1.0, *features(total, r["words"])])
     beta = logistic(np.array(x), y.astype(float))
     lexicon.intercept, lexicon.slopes = float(beta[0]), (float(beta[1]), float(beta[2]))
