@@ -7,7 +7,7 @@ rejected. The limit is the larger of a number of documents and a share of the ho
 
 Defined cases: a null text has no words and no lines; a null host is a host of its own;
 repeated rows (of one id and text) are one document, each row stays; documents failing the base rules are
-rejected whatever their lines.
+rejected whatever their lines; an empty table gives none; columns named as the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -80,13 +80,11 @@ def counts_of(text: str) -> tuple[int, int, int, int, int]:
 
 def lines_of(text: str) -> tuple[list[int], list[int]]:
     """Hashes of the distinct normalised lines that hold a word, and the words lost with each."""
-    import xxhash
-
     found: dict[int, int] = {}
     for line in text.split("\n"):
         words = len(WORD.findall(line))
         if words:
-            key = int.from_bytes(xxhash.xxh64_digest(normalised(line).encode("utf-8")), "big", signed=True)
+            key = line_key(line)
             found[key] = found.get(key, 0) + words
     return list(found), list(found.values())
 
@@ -140,44 +138,87 @@ def common_lines(profiles: DataFrame, host: str, least: int, share: float, docum
     )
 
 
-def judged(
-    docs: DataFrame, host: str = "source", least: int = 10, share: float = 0.02, deplete: float = 0.5,
-    min_words: int = 10, max_repeat_pct: int = 20,
-) -> DataFrame:
-    """``docs`` without texts, with the counts, ``base_failed``, ``n_lost_words`` and ``kept``."""
-    profiles = staged(
-        profiled(docs).withColumn("_row", F.monotonically_increasing_id()), "quality-profiles"
-    )
+ADDED = ("base_failed", "n_lost_words", "kept")
+_ROW, _HOST = "_quality_row", "_quality_host"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` without columns named as the added ones, with a number for each row."""
+    return docs.drop(*ADDED).withColumn(_ROW, F.monotonically_increasing_id())
+
+
+def _lost_lines(profiles: DataFrame, host: str, least: int, share: float) -> DataFrame:
+    """(row, line_hash, line_words): the lines of each document that stand above the limit of its host."""
     common = staged(common_lines(profiles, host, least, share), "quality-common-lines")
     lines = profiles.select(
-        "_row", F.col(host).alias("_host"),
-        F.explode(F.arrays_zip("line_hash", "line_words")).alias("line"),
-    )
-    lost = (
-        lines.join(
-            common,
-            lines["_host"].eqNullSafe(common[host]) & (F.col("line.line_hash") == common["line_hash"]),
-        )
-        .groupBy("_row").agg(F.sum("line.line_words").alias("n_lost_words"))
+        _ROW, F.col(f"`{host}`").alias(_HOST), F.explode(F.arrays_zip("line_hash", "line_words")).alias("line"),
     )
+    return lines.join(
+        common, lines[_HOST].eqNullSafe(common[host]) & (F.col("line.line_hash") == common["line_hash"])
+    ).select(_ROW, "line.line_hash", "line.line_words")
+
+
+def _verdicts(
+    profiles: DataFrame, lost: DataFrame, deplete: float, min_words: int, max_repeat_pct: int
+) -> DataFrame:
+    """Profiles with the added columns."""
+    words = lost.groupBy(_ROW).agg(F.sum("line_words").alias("n_lost_words"))
     failed = (F.col("n_words") < min_words) | (
         100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words")
     )
     left = F.col("n_words") - F.col("n_lost_words")
     depleted = (left < min_words) | (left < deplete * F.col("n_words"))
     return (
-        profiles.drop("line_hash", "line_words", "text_hash").join(lost, "_row", "left").drop("_row")
+        profiles.drop("line_hash", "line_words", "text_hash").join(words, _ROW, "left")
         .withColumn("n_lost_words", F.coalesce("n_lost_words", F.lit(0).cast("long")))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~(failed | ((F.col("n_lost_words") > 0) & depleted)))
     )
 
 
-def cleaned_text(text: str, common: set[int]) -> str:
-    """A text without the lines whose normalised hash is in ``common``."""
+def judged(
+    docs: DataFrame, host: str = "source", least: int = 10, share: float = 0.02, deplete: float = 0.5,
+    min_words: int = 10, max_repeat_pct: int = 20,
+) -> DataFrame:
+    """``docs`` without texts, with the counts, ``base_failed``, ``n_lost_words`` and ``kept``."""
+    profiles = staged(profiled(_numbered(docs)), "quality-profiles")
+    lost = _lost_lines(profiles, host, least, share)
+    return _verdicts(profiles, lost, deplete, min_words, max_repeat_pct).drop(_ROW)
+
+
+def cleaned(
+    docs: DataFrame, host: str = "source", least: int = 10, share: float = 0.02, deplete: float = 0.5,
+    min_words: int = 10, max_repeat_pct: int = 20,
+) -> DataFrame:
+    """The documents that are kept, with the lines above the limit of their host removed from ``text``.
+
+    The other columns are those of ``docs``. The rows are staged with their numbers; what joins
+    them are the hashes of each document's own removed lines.
+    """
+    numbered = staged(_numbered(docs), "quality-documents")
+    profiles = staged(profiled(numbered), "quality-profiles")
+    lost = staged(_lost_lines(profiles, host, least, share), "quality-lost-lines")
+    kept = _verdicts(profiles, lost, deplete, min_words, max_repeat_pct).where("kept").select(_ROW)
+    removed = lost.groupBy(_ROW).agg(F.collect_list("line_hash").alias("_quality_removed"))
+    left = numbered.join(kept, _ROW).join(removed, _ROW, "left").drop(_ROW)
+    own = [f for f in numbered.schema if f.name != _ROW]
+
+    def job(batch: pa.RecordBatch):
+        out = {f.name: batch.column(batch.schema.get_field_index(f.name)) for f in own}
+        removed = batch.column(batch.schema.get_field_index("_quality_removed")).to_pylist()
+        out["text"] = [cleaned_text(t, set(r)) if r else t for t, r in zip(out["text"].to_pylist(), removed)]
+        return out
+
+    return map_batches(left, T.StructType(own), job)
+
+
+def line_key(line: str) -> int:
+    """Hash of a normalised line."""
     import xxhash
 
-    def key(line: str) -> int:
-        return int.from_bytes(xxhash.xxh64_digest(normalised(line).encode("utf-8")), "big", signed=True)
+    return int.from_bytes(xxhash.xxh64_digest(normalised(line).encode("utf-8")), "big", signed=True)
+
 
-    return "\n".join(x for x in text.split("\n") if not WORD.search(x) or key(x) not in common)
+def cleaned_text(text: str, common: set[int]) -> str:
+    """A text without the lines whose normalised hash is in ``common``."""
+    return "\n".join(x for x in text.split("\n") if not WORD.search(x) or line_key(x) not in common)

@@ -157,6 +157,55 @@ def test_quality_counts_documents_not_texts(documents):
     assert all(lost[100 + k, "d"] == 0 for k in range(11))
 
 
+def plain_quality(rows, least, share, deplete=0.5):
+    """{row number: (lost words, kept, text without the lines)} straight from the rules."""
+    parts = lambda t: (t or "").split("\n")
+    holders, hosts = {}, {}
+    for i, text, _, host in rows:
+        hosts.setdefault(host, set()).add((i, text or ""))
+        for line in parts(text):
+            if quality.WORD.search(line):
+                holders.setdefault((host, quality.normalised(line)), set()).add((i, text or ""))
+    common = {k for k, d in holders.items() if len(d) > least and len(d) > share * len(hosts[k[0]])}
+    out = []
+    for i, text, _, host in rows:
+        gone = [x for x in parts(text) if quality.WORD.search(x) and (host, quality.normalised(x)) in common]
+        lost = sum(len(quality.WORD.findall(x)) for x in gone)
+        n, *_, repeats = brute_counts(text or "")
+        failed = n < 10 or 100 * repeats > 20 * n
+        kept = not failed and not (lost and (n - lost < 10 or n - lost < deplete * n))
+        out.append((i, host, lost, kept, "\n".join(x for x in parts(text) if x not in gone)))
+    return out
+
+
+def test_quality_verdicts_and_cleaned_texts_equal_the_rules(documents):
+    r = random.Random(12)
+    words = ["".join(r.choice("bcdfgaeiou") for _ in range(7)) for _ in range(3000)]
+    common = [" ".join(r.sample(words, r.randint(3, 9))) for _ in range(6)]
+    rows = []
+    for k in range(300):
+        lines = [" ".join(r.sample(words, r.randint(1, 15))) for _ in range(r.randint(0, 4))]
+        lines += [r.choice((x, x.upper(), f"  {x}")) for x in r.sample(common, r.randint(0, 4))] + ["", " "] * r.randint(0, 1)
+        r.shuffle(lines)
+        rows.append((k, r.choice(("\n".join(lines), "\n".join(lines), None if k % 50 == 0 else "")), "en", r.choice(("a", "a", "b", None))))
+    rows += r.choices(rows, k=60) + [(None, rows[3][1], "en", "a")] * 2
+    docs = documents(rows).withColumns({c: queries.F.lit("x") for c in ("n_lost_words", "_row", "kept", "_host", "removed")})
+    want = plain_quality(rows, 10, 0.02)
+    assert any(w[2] for w in want) and len({w[3] for w in want}) == 2
+    got = quality.judged(docs, least=10, share=0.02).collect()
+    assert sorted(map(str, ((x["doc_id"], x["source"], x["n_lost_words"], x["kept"]) for x in got))) == sorted(str(w[:4]) for w in want)
+    clean = quality.cleaned(docs, least=10, share=0.02)
+    assert clean.columns == [c for c in docs.columns if c not in ("n_lost_words", "kept")]
+    assert sorted(str((x["doc_id"], x["source"], x["text"])) for x in clean.collect()) == sorted(
+        str((w[0], w[1], w[4])) for w in want if w[3])
+
+
+def test_quality_and_bpe_of_no_documents(documents):
+    none = documents(["x"]).limit(0)
+    assert quality.judged(none).count() == quality.cleaned(none).count() == 0
+    assert bpe.encoded(none, *queries.byte_bpe(), keep=["doc_id"]).count() == 0
+
+
 def test_toxicity_learns_terms_disguises_and_exceptions(spark, documents):
     r = random.Random(1)
     plain = [f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200)]
