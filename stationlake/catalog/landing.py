@@ -6,6 +6,8 @@ then read back by the readers; their size grows with the tables.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stationlake import schemas
@@ -13,7 +15,7 @@ from stationlake.catalog.completeness import COVERAGE_SQL, END, START, customer_
 from stationlake.catalog.registry import query, rounded, table
 from stationlake.functions.values import conform
 from stationlake.operators import timeline
-from stationlake.sources import bare, locations, long, pages, readings, snapshots
+from stationlake.sources import bare, colocated, locations, long, pages, readings, snapshots
 from stationlake.sources.shared import new_path, staged
 from stationlake.streaming import daily, ingest
 
@@ -360,3 +362,32 @@ def daily_station_means(spark, folder):
 def daily_coverage(spark, folder):
     held = daily.read_daily(spark, _daily(spark, folder))
     return daily.covered(held, START, END, window_days=7)
+
+
+def _bucketed(spark, folder):
+    name = f"readings_{uuid.uuid4().hex}"
+    colocated.write_colocated(event_readings(spark, folder), name, 16, new_path(spark, "bucketed"))
+    return colocated.read_colocated(spark, name)
+
+
+@query("""
+SELECT user_id::VARCHAR AS station_id, ts::TIMESTAMP AS ts, round(avg(CASE WHEN event_type = 'click' THEN value END), 6) AS click,
+       round(avg(CASE WHEN event_type = 'view' THEN value END), 6) AS view
+FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2
+""")
+def colocated_features(spark, folder):
+    """Feature rows of a bucketed table: no shuffle after the write."""
+    return rounded(colocated.features(_bucketed(spark, folder), ["click", "view"]), "click", "view")
+
+
+@query("""
+SELECT user_id::VARCHAR AS station_id, event_type AS parameter, ts::DATE AS day, count(*) AS n,
+       round(sum(value), 6) AS total, count(*) FILTER (WHERE value > 35) AS hits, count(DISTINCT hour(ts)) AS n_hours
+FROM events WHERE value IS NOT NULL GROUP BY 1, 2, 3
+""")
+def colocated_daily_sums(spark, folder):
+    """Daily sums of a bucketed table, with the number of hours seen."""
+    held = colocated.sums(_bucketed(spark, folder))
+    return rounded(held.where("n > 0").select(
+        "station_id", "parameter", "day", "n", "total", "hits", F.bit_count("hours").cast("long").alias("n_hours")
+    ), "total")
