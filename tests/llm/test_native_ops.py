@@ -105,6 +105,53 @@ def test_licenses_found_and_inherited(spark):
     assert got["d/f/COPYING"]["own_license"] in {"CC-BY-NC-4.0", "MIT"}
 
 
+def wrapped(text, width, before="", after=""):
+    import textwrap
+
+    return "\n".join(f"{before}{line}{after}" for line in textwrap.wrap(text, width))
+
+
+def full_texts():
+    """(path, text, licence): licence files and headers as they usually stand, in several comment styles."""
+    by = {}
+    for name, text in licenses.TEMPLATES:
+        if len(text) > len(by.get(name, "")):
+            by[name] = text
+    as_is = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY"
+    code = "\n\nint main() {\n  return call(1, 2);\n}\n" * 20
+    rows = [
+        ("m/LICENSE", f"MIT License\n\nCopyright (c) 2020 Some Body\n\n{wrapped(by['MIT'], 78)}\n\nThe above copyright notice shall be "
+                      f"included in all copies.\n\n{wrapped(as_is, 70)}\n", "MIT"),
+        ("m/src/deep/file.c", f"no header here{code}", "MIT"),
+        ("b/COPYING", f"Copyright 2019 Some Body\nAll rights reserved.\n\n{wrapped(by['BSD-3-Clause'], 60)}\n\n1. Redistributions of source "
+                      f"code must retain the notice.\n\n{wrapped(as_is, 70)}", "BSD-3-Clause"),
+        ("a/LICENSE.txt", "                                 Apache License\n                           Version 2.0, January 2004\n"
+                          "                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE\n\n   1. Definitions.\n\n"
+                          + wrapped(as_is * 6, 70, "      "), "Apache-2.0"),
+        ("g/LICENSE", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007\n\n"
+                      + wrapped(as_is * 6, 70), "GPL-3.0"),
+    ]
+    styles = {"c": (" * ", "", "/*\n", "\n */"), "sh": ("# ", "", "#!/bin/sh\n#\n", ""), "js": ("// ", "", "", ""), "sql": ("-- ", "", "", ""),
+              "html": ("   ", "", "<!--\n\n", "\n-->"), "box": ("/* ", " */", "", ""), "lisp": (";; ", "", "", ""), "tex": ("% ", "", "", "")}
+    for k, (style, (before, after, head, tail)) in enumerate(styles.items()):
+        for name in ("Apache-2.0", "GPL-3.0", "GPL-2.0", "MIT", "MPL-2.0", "ISC", "LGPL-2.1"):
+            body = wrapped(by[name], 50 + 4 * k, before, after)
+            more = wrapped(as_is, 60, before, after)
+            blank = f"\n{before.strip()}{after}\n"
+            rows.append((f"x/{style}/{name}.src", f"{head}{body}{blank}{more}{tail}{code}", name))
+    return rows + [("x/none.c", code + "use of this copy is free to any person and the rights are yours", None)]
+
+
+def test_licenses_of_wrapped_headers_and_full_texts(spark):
+    rows = full_texts()
+    df = spark.createDataFrame([(k, p, t) for k, (p, t, _) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r["path"]: r for r in licenses.scanned(df).collect()}
+    assert {p: got[p]["license"] for p, _, _ in rows} == {p: want for p, _, want in rows}
+    assert got["m/src/deep/file.c"]["inherited_from"] == "m" and got["m/src/deep/file.c"]["own_license"] is None
+    table_against_sql(licenses.scanned(df).withColumn("own_score", F.round("own_score", 6)).drop("text"),
+                      licenses.oracle("path"), documents=df.toPandas())
+
+
 def test_licenses_keep_rows_and_clashing_columns(spark):
     df = files_frame(spark).withColumn("license", F.lit("x")).withColumn("square", F.lit(1))
     assert licenses.scanned(df).count() == len(FILES)
