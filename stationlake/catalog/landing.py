@@ -391,3 +391,24 @@ def colocated_daily_sums(spark, folder):
     return rounded(held.where("n > 0").select(
         "station_id", "parameter", "day", "n", "total", "hits", F.bit_count("hours").cast("long").alias("n_hours")
     ), "total")
+
+
+@query("""
+SELECT event_type AS parameter, month(ts)::INT AS month, count(*) AS n, count(DISTINCT user_id) AS n_stations, true AS within_bound
+FROM events WHERE value IS NOT NULL GROUP BY 1, 2
+""")
+def sketched_stations(spark, folder):
+    """Distinct stations by month from sketches added batch by batch, held against the exact count."""
+    path = new_path(spark, "sketches")
+    batches = _batches(spark, folder)
+    for k, batch in enumerate(batches):
+        daily.land_sketches(batch, path, "events", k, fan=4)
+    month = F.month("day").alias("month")
+    held = daily.distinct_stations(spark, path, ["parameter", month]).withColumnRenamed("n_stations", "about")
+    exact = event_readings(spark, folder).where("value is not null").groupBy("parameter", F.month("ts").alias("month")).agg(
+        F.count_distinct("station_id").alias("n_stations")
+    )
+    return held.join(exact, ["parameter", "month"]).select(
+        "parameter", "month", "n", "n_stations",
+        (F.abs(F.col("about") - F.col("n_stations")) <= 0.02 * F.col("n_stations") + 0.5).alias("within_bound"),
+    )

@@ -65,3 +65,11 @@ DAILY = T.StructType([
     T.StructField("hits", T.LongType()),
     T.StructField("hours", T.IntegerType()),
 ])
+
+# One row a parameter and day: a sketch of the stations that reported a number; sketches are united.
+STATION_SKETCHES = T.StructType([
+    T.StructField("parameter", T.StringType()),
+    T.StructField("day", T.DateType()),
+    T.StructField("n", T.LongType()),
+    T.StructField("stations", T.BinaryType()),
+])

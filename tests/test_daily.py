@@ -90,3 +90,25 @@ def test_landing_keeps_the_state_up(spark, tmp_path):
     ingest.land_long(*args, daily_out=state)
     got = rows(daily.read_daily(spark, state).drop("day"), "parameter")
     assert got == [("1", "A", "no2", 1, 0, 0.0, 0, 1), ("1", "A", "pm25", 3, 3, 100.0, 2, 1 | 1 << 5)]
+
+
+def test_station_sketches_stay_within_their_error(spark, tmp_path):
+    path = str(tmp_path / "s")
+    ids = spark.range(0, 60000).selectExpr(
+        "cast(id % 20011 as string) AS station_id", "'A' AS location_name", "if(id % 2 = 0, 'pm25', 'no2') AS parameter",
+        "timestamp'2025-01-01' + make_interval(0, 0, 0, cast(id % 40 as int)) AS ts",
+        "if(id % 10 = 9, cast(null as double), 1.0) AS value")
+    df = conform(ids, schemas.READINGS)
+    for k in range(5):
+        assert daily.land_sketches(df.where(F.expr(f"cast(station_id as int) % 5 = {k}")), path, "s", k, fan=2)
+    assert not daily.land_sketches(df, path, "s", 4)
+    valid = df.where("value is not null")
+    for keys, exact_keys in ((["parameter"], ["parameter"]), (["parameter", F.month("day").alias("m")], ["parameter", F.month("ts").alias("m")])):
+        got = {tuple(r)[:-2]: tuple(r)[-2:] for r in daily.distinct_stations(spark, path, keys).collect()}
+        want = {tuple(r)[:-2]: tuple(r)[-2:] for r in valid.groupBy(*exact_keys).agg(
+            F.count("*").alias("n"), F.count_distinct("station_id").alias("s")).collect()}
+        assert got.keys() == want.keys()
+        for key, (n, stations) in want.items():
+            assert got[key][0] == n and abs(got[key][1] - stations) <= 0.015 * stations
+    assert all(len(snapshots.snapshot(spark, path).of([p])) <= 3 for p in ("pm25", "no2"))
+    assert daily.distinct_stations(spark, str(tmp_path / "none")).count() == 0
