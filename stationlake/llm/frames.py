@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -24,6 +25,28 @@ def lean_shuffles(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker is used again, and would keep the most it ever held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def mapped(
+    df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | T.StructType
+) -> DataFrame:
+    """``df.mapInArrow`` with small batches and workers that give memory back."""
+    bounded_batches(df.sparkSession)
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def map_batches(
     df: DataFrame,
     schema: str | T.StructType,
@@ -34,7 +57,6 @@ def map_batches(
 
     With ``gather`` batches of a partition are joined until they hold that many rows.
     """
-    bounded_batches(df.sparkSession)
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     want = to_arrow_schema(schema)
 
@@ -58,7 +80,7 @@ def map_batches(
                     [_column(found[f.name], f.type) for f in want], schema=want
                 )
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def _column(values, kind):

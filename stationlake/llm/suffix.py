@@ -26,6 +26,8 @@ documents; copies of a text of 400 bytes or more are removed whole; shorter text
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +36,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from stationlake.llm import shingles
-from stationlake.llm.frames import bounded_batches, bounded_rows, column_of, lean_shuffles, map_batches, texts_of
+from stationlake.llm.frames import bounded_batches, bounded_rows, column_of, lean_shuffles, map_batches, mapped, texts_of
 from stationlake.sources.shared import staged
 
 LENGTH, WINDOW, GRAM = 400, 128, 16
@@ -69,9 +71,18 @@ def first_anchors(raw: np.ndarray) -> np.ndarray:
     return (low - (key & low)).astype(np.int64)
 
 
+def changes(sorted_values: np.ndarray) -> np.ndarray:
+    """The distinct values of a sorted array; anchors of windows never go back, so they are sorted."""
+    return sorted_values[np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])[: len(sorted_values)]]
+
+
+@cache
+def byte_codes(seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
 def prefix_sums(raw: np.ndarray, seed: int) -> np.ndarray:
-    codes = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64)
-    return np.concatenate([[np.uint64(0)], np.cumsum(codes[raw] * shingles.powers(shingles._BASE, len(raw)))])
+    return np.concatenate([[np.uint64(0)], np.cumsum(byte_codes(seed)[raw] * shingles.powers(shingles._BASE, len(raw)))])
 
 
 def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -99,7 +110,7 @@ def chunked(docs: DataFrame) -> DataFrame:
             if len(raw) < LENGTH:
                 continue
             data = np.frombuffer(raw, np.uint8)
-            starts = np.unique(first_anchors(data))
+            starts = changes(first_anchors(data))
             # Positive numbers: 0 stands for the end of a string, below every chunk.
             hashes = np.maximum(span_hashes(prefix_sums(data, 11), starts[:-1], starts[1:]) >> np.uint64(1), 1)
             out["key"].append(key_of(raw))
@@ -198,7 +209,7 @@ def counted_before(rows: DataFrame, keys: list[str], tie: list[str]) -> DataFram
         for batch in pa.table(columns, names=want.names).to_batches(max_chunksize=50_000):
             yield pa.RecordBatch.from_arrays([batch.column(k).cast(f.type) for k, f in enumerate(want)], schema=want)
 
-    local = staged(dealt.mapInArrow(count, schema), "suffix-order")
+    local = staged(mapped(dealt, count, schema), "suffix-order")
     ends_of = bounded_rows(
         local.where("edge > 0").select("part", "edge", "before0", "before1", "n0", "n1", *keys), 2 * MOST_PARTITIONS
     )
@@ -411,7 +422,7 @@ def candidates(runs: DataFrame, ranks: DataFrame) -> DataFrame:
         ).to_batches(max_chunksize=50_000)
 
     bounded_batches(runs.sparkSession)
-    compared = staged(dealt.mapInArrow(compare, schema), "suffix-neighbours")
+    compared = staged(mapped(dealt, compare, schema), "suffix-neighbours")
     ends = bounded_rows(compared.where("edge > 0").select("part", "edge", "prefix"), 2 * MOST_PARTITIONS)
     ends = sorted(ends, key=lambda r: (r["part"], r["edge"]))
     first = {r["part"]: r["prefix"] for r in ends if r["edge"] & 1}
@@ -461,6 +472,8 @@ def windows(texts: DataFrame, buckets: int, told: bool) -> DataFrame:
             yield block, held
 
     shift = np.uint64(64 - buckets.bit_length() + 1)
+    # Numbers of at most 16 bits are sorted by counting.
+    kind = "<u2" if buckets <= 1 << 16 else "<u4"
 
     def run(batches):
         for block, rows in blocks(batches):
@@ -468,25 +481,27 @@ def windows(texts: DataFrame, buckets: int, told: bool) -> DataFrame:
             for tid, raw, anchors in rows:
                 data = np.frombuffer(raw, np.uint8)
                 owner = first_anchors(data)[: len(data) - LENGTH + 1]
-                i = np.flatnonzero(np.isin(owner, anchors))
+                wanted = np.zeros(len(data), bool)
+                wanted[anchors] = True
+                i = np.flatnonzero(wanted[owner])
                 tids.append(tid)
                 texts_at.append(np.full(len(i), len(tids) - 1, np.int32))
                 starts.append(i.astype(np.int32))
                 hashes.append(span_hashes(prefix_sums(data, 23), i, i + LENGTH))
             h = np.concatenate(hashes)
-            bucket = (h >> shift).astype(np.int32)
+            bucket = (h >> shift).astype(kind)
             if told:
                 at, start = np.concatenate(texts_at), np.concatenate(starts)
                 cut = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 0) | (np.diff(start) != 1)])[: len(at)])
                 kept = io.BytesIO()
-                np.savez_compressed(
+                np.savez(  # buckets of hashes look random: packing them takes long and saves little
                     kept, tids=np.array(tids, np.int64), at=at[cut], start=start[cut],
-                    length=np.diff(np.concatenate([cut, [len(at)]])), bucket=bucket.astype("<i4"),
+                    length=np.diff(np.concatenate([cut, [len(at)]])), bucket=bucket,
                 )
                 out = [(-1, kept.getvalue())]
             else:
                 order = np.argsort(bucket, kind="stable")
-                bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                bounds = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
                 out = [(int(b), h[order[bounds[b]:bounds[b + 1]]].astype("<u8").tobytes()) for b in np.unique(bucket)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block] * len(out), pa.int64()), pa.array([r[0] for r in out], pa.int32()),
@@ -495,7 +510,7 @@ def windows(texts: DataFrame, buckets: int, told: bool) -> DataFrame:
 
     bounded_batches(texts.sparkSession)
     dealt = texts.repartition("block").sortWithinPartitions("block", "tid")
-    return dealt.mapInArrow(run, "block bigint, bucket int, data binary")
+    return mapped(dealt, run, "block bigint, bucket int, data binary")
 
 
 def repeated_bits(hashes: DataFrame) -> DataFrame:
@@ -531,7 +546,7 @@ def repeated_bits(hashes: DataFrame) -> DataFrame:
 
     bounded_batches(hashes.sparkSession)
     dealt = hashes.repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "block bigint, bucket int, bits binary")
+    return mapped(dealt, run, "block bigint, bucket int, bits binary")
 
 
 def removed_spans(told: DataFrame, bits: DataFrame) -> DataFrame:
@@ -547,8 +562,9 @@ def removed_spans(told: DataFrame, bits: DataFrame) -> DataFrame:
             bucket = block["bucket"]
             hit = np.zeros(len(bucket), bool)
             order = np.argsort(bucket, kind="stable")
+            bounds = np.concatenate([[0], np.cumsum(np.bincount(bucket))])
             for answer in answers or []:
-                a, b = np.searchsorted(bucket[order], [answer["bucket"], answer["bucket"] + 1])
+                a, b = bounds[answer["bucket"]:answer["bucket"] + 2]
                 hit[order[a:b]] = np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=b - a).astype(bool)
             length = block["length"]
             at = np.repeat(block["at"], length)
