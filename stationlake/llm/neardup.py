@@ -46,7 +46,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from stationlake.llm import shingles
-from stationlake.llm.frames import bounded_batches, bounded_rows, column_of, lean_shuffles, map_batches, texts_of
+from stationlake.llm.frames import bounded_batches, bounded_rows, column_of, lean_shuffles, map_batches, mapped, texts_of
 from stationlake.llm.links import components
 from stationlake.sources.shared import staged
 
@@ -123,9 +123,9 @@ def frequency_table(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     bounded_batches(docs.sparkSession)
     schema = "slice int, n bigint, counts binary"
-    tables = docs.select("text").mapInArrow(count, schema)
+    tables = mapped(docs.select("text"), count, schema)
     salted = tables.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(SALTS))).repartition("slice", "salt")
-    added = salted.drop("salt").mapInArrow(add, schema).repartition("slice").mapInArrow(add, schema)
+    added = mapped(mapped(salted.drop("salt"), add, schema).repartition("slice"), add, schema)
     parts = {r["slice"]: r for r in bounded_rows(added, SLICES)}
     n = parts[0]["n"] if parts else 0
     df = np.concatenate([
@@ -302,7 +302,7 @@ def linked_groups(members: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, want)], schema=want)
 
     dealt = members.repartition("band", "key", "salt").sortWithinPartitions("band", "key", "salt", "node")
-    return dealt.mapInArrow(run, schema)
+    return mapped(dealt, run, schema)
 
 
 def open_buckets(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -401,7 +401,7 @@ def by_job(rows: DataFrame, columns: list[str], schema: str, work) -> DataFrame:
         yield pa.RecordBatch.from_pylist(work(key, held) if len(held) > 1 else [], schema=want)
 
     dealt = rows.select(*JOB, *columns).repartition(*JOB).sortWithinPartitions(*JOB)
-    return dealt.mapInArrow(run, schema)
+    return mapped(dealt, run, schema)
 
 
 def with_partner(jobs: DataFrame) -> DataFrame:
@@ -519,8 +519,8 @@ def marks_of(nodes: DataFrame) -> np.ndarray:
         yield from packed(table.reshape(-1))
 
     bounded_batches(nodes.sparkSession)
-    marks = nodes.mapInArrow(mark, "slice int, bits binary")
-    rows = bounded_rows(marks.repartition("slice").mapInArrow(either, "slice int, bits binary"), SLICES)
+    marks = mapped(nodes, mark, "slice int, bits binary")
+    rows = bounded_rows(mapped(marks.repartition("slice"), either, "slice int, bits binary"), SLICES)
     table = np.zeros((SLICES, (1 << MARK_BITS) // SLICES), bool)
     for r in rows:
         table[r["slice"]] = np.unpackbits(np.frombuffer(zlib.decompress(bytes(r["bits"])), np.uint8)).astype(bool)
