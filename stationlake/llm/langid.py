@@ -9,13 +9,14 @@ less. The models are sorted arrays of 64-bit hashes, one for each length, with a
 logarithms for each language, looked up by binary search. The language of the lowest cross-entropy
 an event is chosen.
 
-Fitting. Counts are summed in Spark over a sample of labelled rows: per language at most
-``ROWS`` distinct texts and, but for the last of them, ``CHARS`` characters, chosen by hash, four
-fifths of them for the counts. So the models are bounded by the sample, whatever the number of documents:
-languages times grams of the sample, in practice below 5 MB for four languages. The other
-fifth calibrates, as whole texts and as runs of 1 to 64 words: a logistic curve turns the lead over the
-second language into the score, and the spread of cross-entropies gives, per language, the limit
-beyond which a text counts as none of the languages (``rejected``).
+Fitting. Counts are summed in Spark over every labelled text that may be learned from; only the
+counts of grams reach the driver, so the models grow with the number of different grams of up to
+five letters, not with the documents. A fifth of the texts (by hash, so copies stay together) calibrates:
+models of the other four fifths score them, as whole texts and as runs of 1 to 64 words; a
+logistic curve, fitted by Newton steps of one aggregate each, turns the lead over the second
+language into the score, and the spread of cross-entropies gives, per language, the limit beyond which
+a text counts as none of the languages (``rejected``). The models that are used then count all five
+fifths. Asked for by ``rows`` and ``chars``, a bounded sample is learned from instead.
 
 Scoring. Every distinct token between white space is scored once a task and kept in a table
 bounded in size; a document adds up its tokens. One map over the texts, no shuffle.
@@ -23,16 +24,18 @@ bounded in size; a document adds up its tokens. One map over the texts, no shuff
 Defined cases: a null text, or one without a letter, has no language (``und``, score 0, no
 entropy); so has every text when nothing was learned. With one learned language its score is 1.
 Equal cross-entropies go to the language first in order. A null id is neither learned from nor held
-out; copies of a text count once in the sample; a text of any length is read whole, in pieces cut
+out; copies of a text count as often as they stand; a text of any length is read whole, in pieces cut
 between words. Columns named as the added ones are replaced.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +44,14 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from stationlake.llm.frames import column_of, map_batches, texts_of
+from stationlake.llm.frames import column_of, map_batches, mapped, texts_of
 from stationlake.llm.shingles import mix
-from stationlake.llm.toxicity import logistic
+from stationlake.operators.ordering import exact_quantiles
 from stationlake.sources.shared import staged
 
 ORDER = 5
-ROWS, CHARS = 500, 1_000_000
 UNKNOWN = "und"
 #: Words in the runs that calibrate, beside whole texts.
 RUNS = (1, 2, 4, 8, 16, 64)
@@ -57,6 +60,8 @@ REJECTED = 0.005
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 BETWEEN = regex.compile(r"[^\p{L}\p{M}]")
 PIECE, KEPT_TOKENS, KEPT_LENGTH, BLOCK = 1 << 20, 400_000, 48, 1 << 18
+#: Different tokens and bytes of words that a task of the fit holds before it passes on their counts.
+TOKENS_COUNTED, WORDS_GATHERED = 200_000, 2 << 20
 _START, _END = 1, 2
 ADDED = "lang_pred string, score double, entropy double, rejected boolean"
 
@@ -71,6 +76,10 @@ def tokens_of(text: str) -> Iterator[list[str]]:
         at = end
 
 
+def words_in(token: str) -> list[str]:
+    return [token] if token.isascii() and token.isalpha() else WORD.findall(token)
+
+
 @dataclass
 class Signs:
     """Signs of a list of words, each between a start and an end sign."""
@@ -181,7 +190,7 @@ class Identifier:
         """(tokens, languages + 1): log probability by language of a token's words, and their events."""
         out = np.zeros((len(tokens), len(self.languages) + 1))
         for a, b in _blocks(tokens):
-            words = [WORD.findall(t) for t in tokens[a:b]]
+            words = [words_in(t) for t in tokens[a:b]]
             token = np.repeat(np.arange(a, b), [len(w) for w in words])
             signs = Signs.of([w for some in words for w in some])
             if not len(token):
@@ -250,36 +259,38 @@ class TokenTable:
     def sums(self, texts: list[str]) -> np.ndarray:
         """(texts, languages + 1): sums over the tokens of each text."""
         total = np.zeros((len(texts), self.scores.shape[1]))
-        held: list[tuple[int, Counter]] = []
-        new: dict[str, None] = {}
-        signs = 0
+        held: list[tuple[int, list[str]]] = []
+        size = 0
         for k, text in enumerate(texts):
             for tokens in tokens_of(text):
-                counted = Counter(tokens)
-                held.append((k, counted))
-                fresh = [t for t in counted if t not in self.place and t not in new]
-                new.update(dict.fromkeys(fresh))
-                signs += sum(map(len, fresh)) + len(counted)
-                if signs > BLOCK:
-                    self._add(total, held, list(new))
-                    held, new, signs = [], {}, 0
-        self._add(total, held, list(new))
+                if not tokens:
+                    continue
+                held.append((k, tokens))
+                size += sum(map(len, tokens))
+                if size > 4 * BLOCK:
+                    self._add(total, held)
+                    held, size = [], 0
+        if held:
+            self._add(total, held)
         return total
 
-    def _add(self, total: np.ndarray, held: list[tuple[int, Counter]], new: list[str]) -> None:
-        new = sorted(new, key=len)  # the long ones, which go again, are last
+    def _add(self, total: np.ndarray, held: list[tuple[int, list[str]]]) -> None:
+        coded = pa.array(chain.from_iterable(tokens for _, tokens in held), pa.large_string()).dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        new = sorted((t for t in known if t not in self.place), key=len)  # the long ones, which go again, are last
         size = len(self.place)
         need = size + len(new)
         if need > len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros((max(need, size), self.scores.shape[1]))])
         self.scores[size:need] = self.identifier.word_scores(new)
         self.place.update(zip(new, range(size, need)))
-        for k, counted in held:
-            at = np.fromiter(map(self.place.__getitem__, counted), np.int64, len(counted))
-            total[k] += np.fromiter(counted.values(), float, len(counted)) @ self.scores[at]
-        for token in new:
-            if len(token) > KEPT_LENGTH:
-                del self.place[token]
+        at = np.fromiter(map(self.place.__getitem__, known), np.int64, len(known))[coded.indices.to_numpy()]
+        first = np.cumsum([0, *[len(tokens) for _, tokens in held[:-1]]])
+        np.add.at(total, [k for k, _ in held], np.add.reduceat(self.scores[at], first, axis=0))
+        for token in reversed(new):
+            if len(token) <= KEPT_LENGTH:
+                break
+            del self.place[token]
         if need > KEPT_TOKENS:
             self._clear()
 
@@ -289,6 +300,12 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
 
 
+def labelled(docs: DataFrame) -> DataFrame:
+    """(lang, text, calibrates): every text that may be learned from, copies of a text on one side."""
+    train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    return train.select("lang", "text", (F.pmod(F.xxhash64("text"), F.lit(5)) == 0).alias("calibrates"))
+
+
 def labelled_sample(docs: DataFrame, rows: int, chars: int) -> DataFrame:
     """(lang, text, calibrates): distinct labelled texts, the first by hash in each language."""
     train = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
@@ -316,68 +333,130 @@ def labelled_sample(docs: DataFrame, rows: int, chars: int) -> DataFrame:
     )
 
 
-def gram_counts(sample: DataFrame) -> DataFrame:
-    """(lang, size, gram, context, suffix, n) with Kneser-Ney counts, added up in Spark."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(lang, calibrates, word, n) of (lang, text, calibrates), added up in Spark."""
 
-    def words(batch: pa.RecordBatch):
-        found: Counter = Counter()
-        for lang, text in zip(column_of(batch, "lang").to_pylist(), texts_of(batch)):
-            for piece in tokens_of(text):
-                found.update((lang, w) for t in piece for w in WORD.findall(t))
-        return {"lang": [k[0] for k in found], "word": [k[1] for k in found], "n": list(found.values())}
-
-    def grams(batch: pa.RecordBatch):
-        signs = Signs.of(column_of(batch, "word").to_pylist())
-        hashes, n = signs.hashes(), column_of(batch, "n").to_numpy()
-        langs = column_of(batch, "lang")
-        out: dict[str, list] = {c: [] for c in ("word", "size", "gram", "context", "suffix", "first", "n")}
+    want = pa.schema([("lang", pa.string()), ("calibrates", pa.bool_()), ("word", pa.string()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens: dict[tuple, Counter] = defaultdict(Counter)
+        for batch in batches:
+            for lang, calibrates, text in zip(
+                column_of(batch, "lang").to_pylist(), column_of(batch, "calibrates").to_pylist(), texts_of(batch)
+            ):
+                for piece in tokens_of(text):
+                    tokens[lang, calibrates].update(piece)
+            if sum(map(len, tokens.values())) > TOKENS_COUNTED:
+                yield from summed(tokens)
+                tokens.clear()
+        yield from summed(tokens)
+
+    def summed(tokens: dict[tuple, Counter]) -> Iterator[pa.RecordBatch]:
+        for (lang, calibrates), counted in tokens.items():
+            found: Counter = Counter()
+            for token, n in counted.items():
+                for word in words_in(token):
+                    found[word] += n
+            yield pa.RecordBatch.from_arrays([
+                pa.array([lang] * len(found), pa.string()), pa.array([calibrates] * len(found), pa.bool_()),
+                pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64()),
+            ], schema=want)
+
+    counted = mapped(texts.select("lang", "calibrates", "text"), run, "lang string, calibrates boolean, word string, n bigint")
+    return counted.groupBy("lang", "calibrates", "word").agg(F.sum("n").alias("n"))
+
+
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """(lang, size, gram, context, suffix, n) with Kneser-Ney counts of (lang, text)."""
+    return grams_of(word_counts(texts.withColumn("calibrates", F.lit(False))))
+
+
+def grams_of(words: DataFrame) -> DataFrame:
+    """(lang, size, gram, context, suffix, n, rest): Kneser-Ney counts of (lang, calibrates, word, n), added up in Spark.
+
+    ``n`` counts all words, ``rest`` those of the texts that do not calibrate; 0 where these lack the gram.
+    """
+    schema = "lang string, size int, gram bigint, context bigint, suffix bigint, first boolean, n bigint, rest bigint"
+    want = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= WORDS_GATHERED:
+                yield from grams(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield from grams(pa.Table.from_batches(held))
+
+    def grams(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        signs = Signs.of(table.column("word").to_pylist())
+        langs = table.column("lang").combine_chunks().dictionary_encode()
+        hashes, lang = signs.hashes(), langs.indices.to_numpy().astype(np.uint64)
+        n, rest = (table.column(c).to_numpy().astype(float) for c in ("n", "rest"))
         for k in range(1, ORDER + 1):
             at = signs.events[signs.depth[signs.events] >= k]
-            out["word"].append(signs.word[at])
-            out["size"].append(np.full(len(at), k, np.int32))
-            out["gram"].append(hashes[k][at].view(np.int64))
-            out["context"].append(hashes[k - 1][at - 1].view(np.int64))
-            out["suffix"].append(hashes[k - 1][at].view(np.int64))
-            out["first"].append(signs.depth[at] == k)
-            out["n"].append(n[signs.word[at]])
-        flat = {c: np.concatenate(v) for c, v in out.items()}
-        return {"lang": langs.take(pa.array(flat.pop("word")))} | {c: pa.array(v) for c, v in flat.items()}
-
-    counted = map_batches(sample.select("lang", "text"), "lang string, word string, n bigint", words)
-    counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+            word = signs.word[at]
+            # Equal grams of a language are added up here: far fewer rows leave the task.
+            _, once, which = np.unique(
+                mix(hashes[k][at] + lang[word] * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_inverse=True
+            )
+            one = at[once]
+            yield pa.RecordBatch.from_arrays([
+                langs.dictionary.take(pa.array(lang[word[once]].astype(np.int64))),
+                pa.array(np.full(len(one), k, np.int32)), pa.array(hashes[k][one].view(np.int64)),
+                pa.array(hashes[k - 1][one - 1].view(np.int64)), pa.array(hashes[k - 1][one].view(np.int64)),
+                pa.array(signs.depth[one] == k),
+                *[pa.array(np.bincount(which, v[word], len(one)).astype(np.int64)) for v in (n, rest)],
+            ], schema=want)
+
+    counted = words.groupBy("lang", "word").agg(
+        F.sum("n").alias("n"), F.sum(F.when(~F.col("calibrates"), F.col("n")).otherwise(0)).alias("rest")
+    )
     all_grams = staged(
-        map_batches(
-            counted,
-            "lang string, size int, gram bigint, context bigint, suffix bigint, first boolean, n bigint", grams,
-        ).groupBy("lang", "size", "gram", "context", "suffix", "first").agg(F.sum("n").alias("n")),
+        mapped(counted, run, schema).groupBy("lang", "size", "gram", "context", "suffix", "first")
+        .agg(F.sum("n").alias("n"), F.sum("rest").alias("rest")),
         "language-grams",
     )
     before = all_grams.groupBy("lang", (F.col("size") - 1).alias("size"), F.col("suffix").alias("gram")).agg(
-        F.count("*").alias("before")
+        F.count("*").alias("before_n"), F.count_if(F.col("rest") > 0).alias("before_rest")
     )
     as_it_occurs = F.col("first") | (F.col("size") == ORDER)
     return all_grams.join(before, ["lang", "size", "gram"], "left").select(
-        "lang", "size", "gram", "context", "suffix", F.when(as_it_occurs, F.col("n")).otherwise(F.col("before")).alias("n")
+        "lang", "size", "gram", "context", "suffix",
+        *[F.when(as_it_occurs, F.col(c)).otherwise(F.col(f"before_{c}")).alias(c) for c in ("n", "rest")],
     )
 
 
-def fit(docs: DataFrame, rows: int = ROWS, chars: int = CHARS) -> Identifier:
-    """Learn from (doc_id, text, lang); ``rows`` and ``chars`` bound the sample of each language."""
-    sample = staged(labelled_sample(docs, rows, chars), "language-sample")
-    counts = gram_counts(sample.where(~F.col("calibrates"))).toArrow()
-    languages = sorted(counts.column("lang").unique().to_pylist())
+def fit(docs: DataFrame, rows: int | None = None, chars: int | None = None) -> Identifier:
+    """Learn from all of (doc_id, text, lang); with ``rows`` and ``chars`` from a sample of each language."""
+    bounded = rows is not None and chars is not None
+    texts = staged(labelled_sample(docs, rows, chars), "language-sample") if bounded else labelled(docs)
+    words = staged(word_counts(texts), "language-words")
+    languages = sorted(r["lang"] for r in words.select("lang").distinct().collect())
     if not languages:
         return Identifier()
+    counts = grams_of(words).toArrow()
+    found = modelled(counts, "n", languages)
+    found.curve, found.usual = calibration(modelled(counts, "rest", languages), texts)
+    return found
+
+
+def modelled(counts: pa.Table, count: str, languages: list[str]) -> Identifier:
+    """Models of the counts in one column of ``grams_of``, without a curve or limits."""
+    counts = counts.filter(pc.greater(counts.column(count), 0))
     codes = pc.index_in(counts.column("lang"), pa.array(languages)).to_numpy()
     size = counts.column("size").to_numpy()
-    columns = {c: counts.column(c).to_numpy() for c in ("gram", "context", "suffix", "n")}
+    columns = {c: counts.column(c).to_numpy() for c in ("gram", "context", "suffix")}
+    n = counts.column(count).to_numpy().astype(float)
     by_size = []
     for s in range(1, ORDER + 1):
         own = np.flatnonzero(size == s)
         part = {c: columns[c][own].view(np.uint64) for c in ("gram", "context", "suffix")}
-        by_size.append(part | {"lang": codes[own], "n": columns["n"][own].astype(float)})
+        by_size.append(part | {"lang": codes[own], "n": n[own]})
     orders, unseen = interpolated(by_size, len(languages))
-    return calibrated(Identifier(languages, orders, unseen, usual=np.tile([0.0, 1.0, np.inf], (len(languages), 1))), sample)
+    return Identifier(languages, orders, unseen, usual=np.tile([0.0, 1.0, np.inf], (len(languages), 1)))
 
 
 def runs_of(text: str) -> list[str]:
@@ -388,44 +467,83 @@ def runs_of(text: str) -> list[str]:
     return [text, *[" ".join(words[a:a + n]) for a, n in starts]]
 
 
-def calibrated(found: Identifier, sample: DataFrame) -> Identifier:
-    """With the score's curve and the limits, from the texts that gave no counts and from runs of their words."""
+def calibration(found: Identifier, texts: DataFrame) -> tuple[tuple[float, float, float], np.ndarray]:
+    """The score's curve and the limits, from the texts that gave no counts and from runs of their words."""
     k = len(found.languages)
 
     def job(batch: pa.RecordBatch):
-        langs, runs = [], []
+        truth, runs = [], []
         for lang, text in zip(column_of(batch, "lang").to_pylist(), texts_of(batch)):
             some = runs_of(text)
-            langs += [lang] * len(some)
+            truth += [found.languages.index(lang) if lang in found.languages else -1] * len(some)
             runs += some
-        return {"lang": langs, "sums": list(TokenTable(found).sums(runs))}
-
-    rows = map_batches(sample.where("calibrates").select("lang", "text"), "lang string, sums array<double>", job).toArrow()
-    sums = np.array(rows.column("sums").to_pylist()).reshape(-1, k + 1)
-    true = np.array([found.languages.index(x) if x in found.languages else -1 for x in rows.column("lang").to_pylist()])
-    some = sums[:, -1] > 0
-    sums, true = sums[some], true[some]
-    if not len(sums):
-        return found
-    n = sums[:, -1]
-    entropy = -sums[:, :-1] / n[:, None]
-    right = entropy.argmin(1) == true
-    if k > 1:
-        ahead = lead(entropy)
-        beta = logistic(np.stack([np.ones(len(n)), np.log1p(ahead * n), ahead], 1), right.astype(float))
-        found.curve = float(beta[0]), max(float(beta[1]), 0.0), max(float(beta[2]), 0.0)
-    for lang in range(k):
-        own = right & (true == lang)
-        if own.sum() >= 5:
-            e, m = entropy[own, lang], n[own]
-            mean = float((e * m).sum() / m.sum())
-            spread = float(np.sqrt(np.mean((e - mean) ** 2 * m)))
-            distance = np.sort((e - mean) * np.sqrt(m) / max(spread, 1e-9))
+        sums = TokenTable(found).sums(runs)
+        some = sums[:, -1] > 0
+        n = sums[some, -1]
+        entropy = -sums[some, :-1] / n[:, None]
+        best = entropy.argmin(1)
+        ahead = lead(entropy) if k > 1 else np.zeros(len(n))
+        return {
+            "best": best, "correct": best == np.array(truth)[some], "events": n, "entropy": entropy[np.arange(len(best)), best],
+            "grown": np.log1p(ahead * n), "ahead": ahead,
+        }
+
+    rows = staged(map_batches(
+        texts.where("calibrates").select("lang", "text"),
+        "best int, correct boolean, events double, entropy double, grown double, ahead double", job,
+    ), "language-calibration")
+    curve, usual = found.curve, found.usual.copy()
+    if k > 1 and not rows.isEmpty():
+        beta = logistic(rows, ["grown", "ahead"], "correct")
+        curve = float(beta[0]), max(float(beta[1]), 0.0), max(float(beta[2]), 0.0)
+    right = rows.where("correct")
+    e, m = F.col("entropy"), F.col("events")
+    means = {r["best"]: r["mean"] for r in right.groupBy("best").agg((F.sum(e * m) / F.sum(m)).alias("mean")).collect()}
+    if not means:
+        return curve, usual
+    # (language, value) pairs: as many as there are languages.
+    by_language = lambda values: F.element_at(F.create_map(*[F.lit(x) for v in values.items() for x in v]), F.col("best"))
+    off = e - by_language(means)
+    spreads = {
+        r["best"]: max(r["spread"], 1e-9)
+        for r in right.groupBy("best").agg(F.sqrt(F.avg(off * off * m)).alias("spread")).collect()
+    }
+    far = staged(right.select("best", (off * F.sqrt(m) / by_language(spreads)).alias("distance")), "language-distances")
+    most = {r["best"]: r for r in far.groupBy("best").agg(F.count("*").alias("n"), F.max("distance").alias("most")).collect()}
+    limits = {r["best"]: r["limit"] for r in exact_quantiles(far, "distance", {"limit": 1 - REJECTED}, ["best"]).collect()}
+    for lang, r in most.items():
+        if r["n"] >= 5:
             # Beyond the farthest seen by half, as long as the share asked for is less than one of them.
-            at = int(np.ceil((len(distance) + 1) * (1 - REJECTED))) - 1
-            limit = distance[at] if at < len(distance) else 1.5 * max(distance[-1], 1.0)
-            found.usual[lang] = mean, max(spread, 1e-9), limit
-    return found
+            limit = limits[lang] if r["n"] * REJECTED >= 1 else 1.5 * max(r["most"], 1.0)
+            usual[lang] = means[lang], spreads[lang], limit
+    return curve, usual
+
+
+def logistic(rows: DataFrame, columns: list[str], hit: str, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
+    """Newton steps of a lightly penalised logistic regression, each one aggregate over the rows."""
+    x = [F.lit(1.0), *[F.col(c) for c in columns]]
+    y = F.col(hit).cast("double")
+    n, hits = rows.agg(F.count("*"), F.sum(y)).first()
+    beta = np.zeros(len(x))
+    beta[0] = math.log((hits + 0.5) / (n - hits + 0.5))
+    keep = ridge * np.diag([0.0] + [1.0] * len(columns)) + 1e-9 * np.eye(len(x))
+    pairs = [(a, b) for a in range(len(x)) for b in range(a, len(x))]
+    for _ in range(steps):
+        z = sum((F.lit(float(b)) * c for b, c in zip(beta, x)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+        given = rows.select(*[c.alias(f"x{a}") for a, c in enumerate(x)], (y - p).alias("off"), (p * (1 - p)).alias("w"))
+        sums = given.agg(
+            *[F.sum(F.col(f"x{a}") * F.col("off")) for a in range(len(x))],
+            *[F.sum(F.col(f"x{a}") * F.col(f"x{b}") * F.col("w")) for a, b in pairs],
+        ).first()
+        gradient, curved = np.array(sums[: len(x)]), np.zeros((len(x), len(x)))
+        for (a, b), v in zip(pairs, sums[len(x):]):
+            curved[a, b] = curved[b, a] = v
+        step = np.linalg.solve(curved + keep, gradient - keep @ beta)
+        beta += np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-6:
+            break
+    return beta
 
 
 def identified(docs: DataFrame, found: Identifier) -> DataFrame:

@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from stationlake.llm import langid
+from stationlake.llm import langid, toxicity
 
 SAMPLE = "/root/testdata/sf0.01"
 
@@ -144,6 +144,35 @@ def test_nothing_or_one_language_learned(spark):
     assert (g["lang_pred"], g["score"]) == ("en", 1.0)
 
 
+def test_every_labelled_text_is_learned_from(spark):
+    letters = "abcdefghij"
+    spelt = lambda k: "".join(letters[int(d)] for d in f"{k * 7919 % 100000:05d}")
+    ids = trained()[:2400]
+    rows = [(k, spelt(k), ("en", "de")[k % 2]) for k in ids]
+    rows += [(k, "жщыюэ", "en") for k in range(4000) if k not in set(trained())]
+    found = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    known = lambda words: np.isin(langid.Signs.of(words).hashes()[-1], found.orders[-1].grams)
+    own = langid.Signs.of([spelt(k) for k in ids])
+    assert known([spelt(k) for k in ids])[own.depth >= langid.ORDER].all()
+    assert not known(["жщыюэ"]).any()
+
+
+def test_calibration_follows_every_text(spark):
+    r = random.Random(5)
+    spell = {"en": "the and of to in house water bread", "de": "der und die das haus wasser brot the of"}
+    rows = [(k, " ".join(r.choice(spell[lang].split()) for _ in range(3)) + f" {k}", lang)
+            for k in trained()[:1500] for lang in spell]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = langid.grams_of(langid.word_counts(langid.labelled(df))).toArrow()
+    curve, usual = langid.calibration(langid.modelled(counts, "rest", ["de", "en"]), langid.labelled(df))
+    assert curve[1] + curve[2] > 0 and np.isfinite(usual).all() and (usual[:, 1:] > 0).all()
+    points = [(r.gauss(0, 1), r.gauss(0, 2)) for _ in range(300)]
+    hits = [bool(r.random() < 1 / (1 + math.exp(-(0.4 + a - 0.5 * b)))) for a, b in points]
+    given = spark.createDataFrame([(a, b, h) for (a, b), h in zip(points, hits)], "a double, b double, hit boolean")
+    x = np.array([(1.0, a, b) for a, b in points])
+    assert np.allclose(langid.logistic(given, ["a", "b"], "hit"), toxicity.logistic(x, np.array(hits, float)), atol=1e-6)
+
+
 def test_sample_is_bounded_and_does_not_depend_on_layout(spark):
     ids = trained()[:3000]
     rows = [(k, f"text number {k} of many", ("en", "de")[k % 7 == 0]) for k in ids] + [(k, "copy", "en") for k in ids]
