@@ -33,6 +33,8 @@ from stationlake.llm.frames import bounded_batches, column_of, map_batches
 from stationlake.sources.shared import staged
 
 ROW_BLOCK, QUERY_BLOCK, SPREAD, LEVELS = 4096, 512, 8, (2, 4, 8, 16)
+#: Single pairs scored at a time.
+PAIRS = 1 << 15
 #: Groups of queries that a task keeps at a time.
 GROUPS_HELD = 64
 
@@ -101,10 +103,15 @@ def segment_features(x: np.ndarray, parts: int) -> np.ndarray:
     return np.stack(out, axis=1) if out else np.zeros((len(x), 1))
 
 
+def in_machine_numbers(q: np.ndarray, x: np.ndarray) -> bool:
+    """Whether inner products of whole numbers, and all sums on the way, are exact as doubles."""
+    largest = float(np.abs(q).max(initial=0.0)) * float(np.abs(x).max(initial=0.0)) * max(q.shape[-1], 1)
+    return largest < 2.0**53
+
+
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products of whole numbers, as Python or machine integers without rounding."""
-    largest = float(np.abs(q).max(initial=0.0)) * float(np.abs(x).max(initial=0.0)) * max(q.shape[-1], 1)
-    if largest < 2.0**53:
+    if in_machine_numbers(q, x):
         return (x @ q).astype(np.int64)
     return np.array([sum(int(a) * int(b) for a, b in zip(q, row)) for row in x], dtype=object)
 
@@ -129,28 +136,53 @@ class Best:
         # Rounding of a bound is far below this share of the product of the norms.
         slack = 1e-9 * (self.norms[:, None] * norms[None, :] + 1.0)
         bounds = self.features[0] @ features[0].T + slack
-        bounds[self.ids[:, None, 2] == ids[None, :, 2]] = -np.inf
-        for a in np.flatnonzero((bounds >= self.beat[:, None]).any(1) & (bounds > -np.inf).any(1)):
-            bound = bounds[a]
-            if self.beat[a] == -np.inf and len(bound) > 4 * self.k:
-                # The most promising ones first: they give the score to beat.
-                first = np.argpartition(-bound, 4 * self.k)[: 4 * self.k]
-                self._take(a, ids, x, first[bound[first] > -np.inf])
-                bound = bound.copy()
-                bound[first] = -np.inf
-            left = np.flatnonzero((bound >= self.beat[a]) & (bound > -np.inf))
-            for own, theirs in zip(self.features[1:], features[1:]):
-                if not len(left) or self.beat[a] == -np.inf:
-                    break
-                left = left[theirs[left] @ own[a] + slack[a, left] >= self.beat[a]]
-            self._take(a, ids, x, left)
-
-    def _take(self, a: int, ids: np.ndarray, x: np.ndarray, rows: np.ndarray) -> None:
-        if not len(rows):
+        free = self.ids[:, None, 2] != ids[None, :, 2]
+        new = np.flatnonzero(self.beat == -np.inf)
+        if len(new) and len(x) > 4 * self.k:
+            # The most promising ones first: they give the score to beat.
+            most = np.argpartition(-np.where(free[new], bounds[new], -np.inf), 4 * self.k, axis=1)[:, : 4 * self.k]
+            first = np.zeros_like(free)
+            first[new[:, None], most] = True
+            first &= free
+            self._take(ids, x, first)
+            free &= ~first
+        left = free & (bounds >= self.beat[:, None])
+        for own, theirs in zip(self.features[1:], features[1:]):
+            if not left.any():
+                break
+            left &= own @ theirs.T + slack >= self.beat[:, None]
+        self._take(ids, x, left)
+
+    def _take(self, ids: np.ndarray, x: np.ndarray, wanted: np.ndarray) -> None:
+        """Score the ``wanted`` pairs of a block, all queries together while machine numbers hold the scores."""
+        queries = np.flatnonzero(wanted.any(1))
+        if not len(queries):
+            return
+        if not in_machine_numbers(self.q, x):
+            for a in queries:
+                rows = np.flatnonzero(wanted[a])
+                self._keep(a, ids[rows], exact_scores(self.q[a], x[rows]))
             return
+        if wanted.sum() * 8 > wanted.size:
+            scores = self.q[queries] @ x.T
+            a, b = np.nonzero(wanted[queries] & (scores >= self.beat[queries, None]))
+            scores, a = scores[a, b], queries[a]
+        else:
+            a, b = np.nonzero(wanted)
+            scores = np.concatenate([
+                np.einsum("ij,ij->i", self.q[a[s:s + PAIRS]], x[b[s:s + PAIRS]]) for s in range(0, len(a), PAIRS)
+            ])
+            good = scores >= self.beat[a]
+            a, b, scores = a[good], b[good], scores[good]
+        scores = scores.astype(np.int64)
+        bounds = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]])) if len(a) else []
+        for s, e in zip(bounds, bounds[1:]):
+            self._keep(a[s], ids[b[s:e]], scores[s:e])
+
+    def _keep(self, a: int, ids: np.ndarray, scores: np.ndarray) -> None:
         had_ids, had = self.found[a]
-        all_ids = np.concatenate([had_ids, ids[rows]])
-        scores = np.concatenate([had, exact_scores(self.q[a], x[rows])])
+        all_ids = np.concatenate([had_ids, ids])
+        scores = np.concatenate([had, scores])
         if scores.dtype == object:
             order = sorted(range(len(scores)), key=lambda r: (-scores[r], *all_ids[r]))[: self.k]
         else:

@@ -70,6 +70,23 @@ def test_topk_prunes_clustered_vectors_exactly(spark):
     assert got == brute([x[:2] for x in rows], 20) and n == 75 * 20
 
 
+def test_topk_scores_blocks_of_queries_together(monkeypatch):
+    rng = np.random.default_rng(4)
+    q, x = rng.integers(-20, 21, (60, 32)).astype(float), rng.integers(-20, 21, (1000, 32)).astype(float)
+    ids = lambda n, at: np.stack([np.zeros(n, np.int64), np.arange(n) // 2, np.arange(at, at + n)], axis=1)
+    monkeypatch.setattr(topk, "exact_scores", None)  # one query at a time is for numbers beyond 2**53
+    best = topk.Best(ids(60, 100), q, 20)
+    rows = ids(1000, 0)
+    best.add(rows[:700], x[:700])
+    best.add(rows[700:], x[700:])
+    scores = (q @ x.T).astype(int)
+    want = [
+        (a // 2, a + 100, int(rows[b, 1]), int(b), int(scores[a, b])) for a in range(60)
+        for b in sorted((b for b in range(1000) if b != a + 100), key=lambda b: (-scores[a, b], rows[b, 1], b))[:20]
+    ]
+    assert list(best.rows()) == want
+
+
 def test_topk_large_components_do_not_overflow():
     q = np.array([3.0e9, -1.0e9])
     x = np.array([[2.0e9, 1.0], [1.0, 3.0e9]])
