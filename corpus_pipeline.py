@@ -9,10 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from stationlake.llm import bpe, mixing, neardup, queries, suffix, toxicity
-from stationlake.llm.frames import column_of, map_batches
 from stationlake.sources.shared import staged
 
 
@@ -30,17 +28,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated passages; documents that had words and have none left go."""
     names = [c for c in docs.columns if c != "text"]
-    cut = suffix.without_repeats(docs, names)
-    schema = T.StructType([*[docs.schema[n] for n in names], T.StructField("text", T.StringType()),
-                           T.StructField("_lost", T.BooleanType())])
 
-    def as_text(batch):
+    def as_text(found):
         # Half a character may be left where a passage was cut out.
-        texts = [b.decode("utf-8", "ignore") for b in column_of(batch, "kept").to_pylist()]
-        lost = [len(b) > 0 for b in column_of(batch, "begins").to_pylist()]
-        return {n: column_of(batch, n) for n in names} | {"text": texts, "_lost": lost}
+        return {"text": [b.decode("utf-8", "ignore") for b in found["kept"]], "_lost": [len(b) > 0 for b in found["begins"]]}
 
-    texts = map_batches(cut, schema, as_text).where(~(F.col("_lost") & (F.trim(F.translate("text", "\n\t\r", "   ")) == "")))
+    texts = suffix.without_repeats(docs, names, as_text, "text string, _lost boolean").where(~(F.col("_lost") & (F.trim(F.translate("text", "\n\t\r", "   ")) == "")))
     shown = texts.withColumn("n_chars", F.when(F.col("_lost"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return shown.select(*docs.columns)
 

@@ -26,6 +26,7 @@ documents; copies of a text of 400 bytes or more are removed whole; shorter text
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -622,8 +623,15 @@ def repeats(docs: DataFrame) -> DataFrame:
     )
 
 
-def without_repeats(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of the documents with ``kept`` (the bytes left), ``begins`` and ``ends``."""
+def without_repeats(
+    docs: DataFrame, keep: list[str], shape: Callable[[dict[str, list]], dict[str, list]] | None = None,
+    shaped: str = "kept binary, begins array<int>, ends array<int>",
+) -> DataFrame:
+    """Columns ``keep`` of the documents with ``kept`` (the bytes left), ``begins`` and ``ends``.
+
+    ``shape`` makes columns ``shaped`` of these in the same map: a map of its own would take a second
+    Python worker for each task.
+    """
     found = repeats(docs)
     fields = [f for f in docs.schema if f.name in keep]
     names = [f.name for f in fields]
@@ -638,7 +646,7 @@ def without_repeats(docs: DataFrame, keep: list[str]) -> DataFrame:
         found.select(F.col("key").alias("_key"), F.col("copies").alias("_copies"),
                      F.col("begins").alias("_begins"), F.col("ends").alias("_ends")), "_key", "left",
     ).select(*[F.col(f"`{n}`") for n in names], "_text", "_copies", "_begins", "_ends")
-    out_schema = T.StructType(fields + T.StructType.fromDDL("kept binary, begins array<int>, ends array<int>").fields)
+    out_schema = T.StructType(fields + T.StructType.fromDDL(shaped).fields)
 
     def cut(batch: pa.RecordBatch):
         out = {n: batch.column(k) for k, n in enumerate(names)}
@@ -652,6 +660,7 @@ def without_repeats(docs: DataFrame, keep: list[str]) -> DataFrame:
             kept.append(b"".join(raw[x:y] for x, y in zip([0, *e], [*b, len(raw)])))
             begins.append(b)
             ends.append(e)
-        return out | {"kept": kept, "begins": begins, "ends": ends}
+        found = {"kept": kept, "begins": begins, "ends": ends}
+        return out | (shape(found) if shape else found)
 
     return map_batches(joined, out_schema, cut)

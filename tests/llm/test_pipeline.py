@@ -52,6 +52,13 @@ def texts_by_id(df):
     return {x["doc_id"]: x["text"] for x in df.collect()}
 
 
+def test_passages_take_one_worker_a_task(spark, corpus):
+    docs = queries.table(spark, corpus, "documents")
+    cut = corpus_pipeline.repeated_passages(spark, docs, corpus)
+    # Keys before the join and texts after it: a second map after it would start a second worker.
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+
+
 def test_stages_equal_plain_versions(spark, corpus):
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "toxicity", "near_duplicates", "repeated_passages", "source_mix", "token_ids"]
