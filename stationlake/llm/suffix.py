@@ -8,8 +8,8 @@ chunks they share measure at least ``NEED`` bytes. So the suffix array is built
 1. Chunks that stand once cannot be inside a match. Runs of other chunks of ``NEED`` bytes and
    more are the strings to sort.
 2. Difference cover modulo 3: the triples of chunks at places 1 and 2 (mod 3) are sorted and
-   named by their order; where a name is neither alone nor long enough, the names are
-   strings themselves and the step recurs on them. The other suffixes are merged by two
+   named by their order, short ones with the triple after them; where a name is neither alone nor
+   long enough, the names are strings themselves and the step recurs on them. The other suffixes are merged by two
    sorts, with samples of one kind each: (chunk, rank of the next place) and (two chunks,
    rank of the one after); every suffix counts those before it, which gives its place.
 3. Neighbours in suffix order are compared; a suffix that shares ``NEED`` bytes with a
@@ -273,19 +273,28 @@ class Flat:
 
 
 def sampled_triples(seqs: DataFrame) -> DataFrame:
-    """(seq, i, a, b, c, size, kind): triples at places 1 and 2 modulo 3; 0 past the end, size -1 there."""
+    """(seq, i, a to f, size, cover, kind): triples at places 1 and 2 modulo 3; 0 past the end, size -1 there.
+
+    A triple of less than ``NEED`` bytes goes on to the next one (d, e, f, else 0), which spares most
+    strings the recursion; ``cover`` is the size of what is named, -1 if it reaches the end.
+    """
 
     def job(batch: pa.RecordBatch):
         f = Flat(batch)
         at = np.flatnonzero(f.i % 3 != 0)
         end = np.minimum(np.arange(len(f.syms)) + 3, len(f.syms))
         size = np.where(f.left >= 3, f.weight[end] - f.weight[:-1], -1)
+        short = (size >= 0) & (size < NEED)
+        twice = np.where(f.left >= 6, f.weight[np.minimum(end + 3, len(f.syms))] - f.weight[:-1], -1)
+        more = {c: np.where(short, f.after(f.syms, k), 0)[at] for k, c in ((3, "d"), (4, "e"), (5, "f"))}
         return {
             "seq": f.seq[at], "i": f.i[at], "a": f.syms[at], "b": f.after(f.syms, 1)[at],
-            "c": f.after(f.syms, 2)[at], "size": size[at], "kind": np.zeros(len(at), np.int64),
-        }
+            "c": f.after(f.syms, 2)[at], "size": size[at], "cover": np.where(short, twice, size)[at],
+            "kind": np.zeros(len(at), np.int64),
+        } | more
 
-    return map_batches(seqs, "seq bigint, i int, a bigint, b bigint, c bigint, size int, kind int", job)
+    symbols = ", ".join(f"{c} bigint" for c in "abcdef")
+    return map_batches(seqs, f"seq bigint, i int, {symbols}, size int, cover int, kind int", job)
 
 
 def place_lists(rows: DataFrame, values: list[str]) -> DataFrame:
@@ -298,10 +307,10 @@ def ranked(seqs: DataFrame, depth: int = 0) -> DataFrame:
 
     ``seqs`` is (seq, syms, sizes), all symbols above 0. Suffixes that agree in ``NEED`` bytes may share a rank.
     """
-    triples = counted_before(sampled_triples(seqs), ["a", "b", "c"], ["seq", "i"])
+    triples = counted_before(sampled_triples(seqs), [*"abcdef"], ["seq", "i"])
     named = staged(
         triples.select("seq", "i", (F.col("before0") + 1).alias("name"), "size",
-                       (~F.col("alone") & F.col("size").between(0, NEED - 1)).alias("unsure")),
+                       (~F.col("alone") & F.col("cover").between(0, NEED - 1)).alias("unsure")),
         "suffix-names",
     )
     if named.where("unsure").isEmpty():

@@ -89,6 +89,18 @@ def test_ranks_equal_plain_sorting(spark):
     assert [prefix[p] for p in ordered] == sorted(prefix.values())
 
 
+def test_short_triples_do_not_recur(spark, monkeypatch):
+    plain, depths = suffix.ranked, []
+    monkeypatch.setattr(suffix, "ranked", lambda seqs, depth=0: (depths.append(depth), plain(seqs, depth))[1])
+    # Triples of 90 bytes are below the needed length, two of them are above it.
+    rows = [(k, [5, 7, 9, 11, 13, 15, 17, 19, 21], [30] * 9) for k in range(4)]
+    rows += [(4, [5, 7, 9, 11, 13, 15, 16, 19, 21], [30] * 9)]
+    got = suffix.ranked(spark.createDataFrame(rows, "seq bigint, syms array<bigint>, sizes array<int>")).collect()
+    assert len(got) == 45 and depths == [0]
+    at = {(x["seq"], x["i"]): x["rank"] for x in got}
+    assert at[4, 2] < min(at[k, 2] for k in range(4))
+
+
 def test_order_counts_across_partitions(spark, conf):
     r = random.Random(5)
     rows = [(k, r.choice((1, 2, 2, 2, 2, 3, 9)), r.randint(0, 1)) for k in range(500)]
