@@ -26,14 +26,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated passages; documents that had words and have none left go."""
+    """Texts without their repeated passages, of 400 bytes or of over 50 words; documents that had words and have none left go."""
     names = [c for c in docs.columns if c != "text"]
 
     def as_text(found):
         # Half a character may be left where a passage was cut out.
         return {"text": [b.decode("utf-8", "ignore") for b in found["kept"]], "_lost": [len(b) > 0 for b in found["begins"]]}
 
-    texts = suffix.without_repeats(docs, names, as_text, "text string, _lost boolean").where(~(F.col("_lost") & (F.trim(F.translate("text", "\n\t\r", "   ")) == "")))
+    texts = suffix.without_repeats(docs, names, as_text, "text string, _lost boolean", words=True).where(~(F.col("_lost") & (F.trim(F.translate("text", "\n\t\r", "   ")) == "")))
     shown = texts.withColumn("n_chars", F.when(F.col("_lost"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return shown.select(*docs.columns)
 

@@ -22,12 +22,18 @@ partitions pass on their counts only. Nothing but one row a partition reaches th
 
 Defined cases: a null text is empty; texts are bytes of UTF-8 and matches never cross
 documents; copies of a text of 400 bytes or more are removed whole; shorter texts stay.
+
+Runs of ``WORDS`` equal words can be looked for as well (``without_repeats(..., words=True)``): words are
+hashed and stand where bytes stand above, chunks and exact check are the same. There are few of them, so
+every place of a run of repeated chunks is a candidate and nothing is sorted. White space between
+words does not count; what goes is all from the first byte of the first word to the last byte of the last.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,31 +48,47 @@ from stationlake.sources.shared import staged
 
 LENGTH, WINDOW, GRAM = 400, 128, 16
 NEED = LENGTH - 2 * WINDOW - GRAM + 2
+WORDS = 51
 BUCKET_ROWS, BLOCK_BYTES = 2_000_000, 1_500_000
 MOST_PARTITIONS = 1_000_000
 
 
-def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """Hash of the ``GRAM`` bytes from each place on."""
+class Unit(NamedTuple):
+    """What a text is a string of, the least length of a match and the windows that give anchors, in these units."""
+
+    symbols: Callable[[bytes], np.ndarray]
+    codes: Callable[[np.ndarray, int], np.ndarray]
+    length: int
+    window: int
+    gram: int
+    name: str
+
+    @property
+    def need(self) -> int:
+        return self.length - 2 * self.window - self.gram + 2
+
+
+def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    """Hash of the ``gram`` symbols from each place on."""
     h = raw.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     step = 1
-    while step < GRAM:
+    while step < gram:
         h = h[:-step] * np.uint64(0xBF58476D1CE4E5B9 + 2 * step) + h[step:]
         h ^= h >> np.uint64(31)
         step *= 2
     return h
 
 
-def first_anchors(raw: np.ndarray) -> np.ndarray:
+def first_anchors(raw: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
     """For each window of places its anchor: the last of the smallest hashes in it."""
-    if len(raw) < WINDOW + GRAM:
+    if len(raw) < window + gram:
         return np.zeros(0, np.int64)
-    h = gram_hashes(raw)
+    h = gram_hashes(raw, gram)
     low = np.uint64(0xFFFFFFFF)
     key = (h & ~low) | (low - np.arange(len(h), dtype=np.uint64))
     width = 1
-    while width < WINDOW:
+    while width < window:
         key = np.minimum(key[:-width], key[width:])
         width *= 2
     return (low - (key & low)).astype(np.int64)
@@ -82,8 +104,8 @@ def byte_codes(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-def prefix_sums(raw: np.ndarray, seed: int) -> np.ndarray:
-    return np.concatenate([[np.uint64(0)], np.cumsum(byte_codes(seed)[raw] * shingles.powers(shingles._BASE, len(raw)))])
+def prefix_sums(codes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[np.uint64(0)], np.cumsum(codes * shingles.powers(shingles._BASE, len(codes)))])
 
 
 def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -92,6 +114,35 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return shingles.mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
 
 
+def bytes_of(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8)
+
+
+def codes_of_bytes(data: np.ndarray, seed: int) -> np.ndarray:
+    return byte_codes(seed)[data]
+
+
+def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words ``[^\\x20\\x09-\\x0D]+`` begin and end."""
+    data = bytes_of(raw)
+    gap = np.ones(len(data) + 2, np.int8)
+    gap[1:-1] = (data == 32) | ((data >= 9) & (data <= 13))
+    edges = np.diff(gap)
+    return np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+
+
+def words_of(raw: bytes) -> np.ndarray:
+    return shingles.word_hashes([raw])[0]
+
+
+def codes_of_words(words: np.ndarray, seed: int) -> np.ndarray:
+    return shingles.mix(words + np.uint64(seed))
+
+
+BYTE = Unit(bytes_of, codes_of_bytes, LENGTH, WINDOW, GRAM, "bytes")
+WORD = Unit(words_of, codes_of_words, WORDS, 16, 2, "words")
+
+
 def key_of(raw: bytes) -> bytes:
     import xxhash
 
@@ -102,31 +153,34 @@ def raws_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [t.encode("utf-8") for t in texts_of(batch, column)]
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """(key, copies, tid, starts, hashes): distinct texts of ``LENGTH`` bytes, by their chunks."""
+def chunked(docs: DataFrame, unit: Unit = BYTE) -> DataFrame:
+    """(key, copies, tid, units, starts, hashes): distinct texts long enough for a match, by their chunks."""
 
     def job(batch: pa.RecordBatch):
-        out: dict[str, list] = {"key": [], "starts": [], "hashes": []}
+        out: dict[str, list] = {"key": [], "units": [], "starts": [], "hashes": []}
         for raw in raws_of(batch):
-            if len(raw) < LENGTH:
+            data = unit.symbols(raw)
+            if len(data) < unit.length:
                 continue
-            data = np.frombuffer(raw, np.uint8)
-            starts = changes(first_anchors(data))
+            starts = changes(first_anchors(data, unit.window, unit.gram))
             # Positive numbers: 0 stands for the end of a string, below every chunk.
-            hashes = np.maximum(span_hashes(prefix_sums(data, 11), starts[:-1], starts[1:]) >> np.uint64(1), 1)
+            hashes = np.maximum(span_hashes(prefix_sums(unit.codes(data, 11)), starts[:-1], starts[1:]) >> np.uint64(1), 1)
             out["key"].append(key_of(raw))
+            out["units"].append(len(data))
             out["starts"].append(starts.astype(np.int32))
             out["hashes"].append(hashes.astype(np.int64))
         return out
 
-    found = map_batches(docs.select("text"), "key binary, starts array<int>, hashes array<bigint>", job)
+    found = map_batches(docs.select("text"), "key binary, units int, starts array<int>, hashes array<bigint>", job)
     distinct = found.groupBy("key").agg(
-        F.count("*").alias("copies"), F.first(F.struct("starts", "hashes")).alias("c")
+        F.count("*").alias("copies"), F.first(F.struct("units", "starts", "hashes")).alias("c")
+    )
+    return distinct.select(
+        "key", "copies", F.monotonically_increasing_id().alias("tid"), "c.units", "c.starts", "c.hashes"
     )
-    return distinct.select("key", "copies", F.monotonically_increasing_id().alias("tid"), "c.starts", "c.hashes")
 
 
-def repeated_runs(texts: DataFrame) -> DataFrame:
+def repeated_runs(texts: DataFrame, need: int = NEED) -> DataFrame:
     """(seq, tid, starts, syms, sizes): runs of chunks that stand elsewhere too."""
     flat = texts.select("tid", "starts", F.posexplode("hashes").alias("pos", "hash")).select(
         "tid", "hash", F.element_at("starts", F.col("pos") + 1).alias("start"),
@@ -148,7 +202,7 @@ def repeated_runs(texts: DataFrame) -> DataFrame:
             s, e = start[order], end[order]
             cut = np.concatenate([[0], np.flatnonzero(s[1:] != e[:-1]) + 1, [len(order)]])
             for x, y in zip(cut, cut[1:]):
-                if e[y - 1] - s[x] >= NEED:
+                if e[y - 1] - s[x] >= need:
                     out["tid"].append(tid)
                     out["starts"].append(s[x:y])
                     out["syms"].append(sym[order[x:y]])
@@ -452,12 +506,19 @@ def candidates(runs: DataFrame, ranks: DataFrame) -> DataFrame:
     return anchors.groupBy("tid").agg(F.collect_set("anchor").alias("anchors"))
 
 
+def every_place(runs: DataFrame, need: int) -> DataFrame:
+    """(tid, anchors): all anchors from which a run of repeated chunks goes on for ``need`` units."""
+    end = F.element_at("starts", -1) + F.element_at("sizes", -1)
+    left = runs.select("tid", F.filter("starts", lambda s: end - s >= need).alias("anchors"))
+    return left.groupBy("tid").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
+
+
 def prefix_values(syms: np.ndarray) -> np.ndarray:
     spread = shingles.mix(syms.view(np.uint64)) * shingles.powers(shingles._BASE, len(syms))
     return np.concatenate([[np.uint64(0)], np.cumsum(spread)])
 
 
-def windows(texts: DataFrame, buckets: int, told: bool) -> DataFrame:
+def windows(texts: DataFrame, buckets: int, told: bool, unit: Unit = BYTE) -> DataFrame:
     """Candidate strings of (block, tid, text, anchors), block by block.
 
     (block, bucket, data) rows hold the hashes of one bucket, in the order of the block;
@@ -489,15 +550,15 @@ def windows(texts: DataFrame, buckets: int, told: bool) -> DataFrame:
         for block, rows in blocks(batches):
             tids, texts_at, starts, hashes = [], [], [], []
             for tid, raw, anchors in rows:
-                data = np.frombuffer(raw, np.uint8)
-                owner = first_anchors(data)[: len(data) - LENGTH + 1]
+                data = unit.symbols(raw)
+                owner = first_anchors(data, unit.window, unit.gram)[: len(data) - unit.length + 1]
                 wanted = np.zeros(len(data), bool)
                 wanted[anchors] = True
                 i = np.flatnonzero(wanted[owner])
                 tids.append(tid)
                 texts_at.append(np.full(len(i), len(tids) - 1, np.int32))
                 starts.append(i.astype(np.int32))
-                hashes.append(span_hashes(prefix_sums(data, 23), i, i + LENGTH))
+                hashes.append(span_hashes(prefix_sums(unit.codes(data, 23)), i, i + unit.length))
             h = np.concatenate(hashes)
             bucket = (h >> shift).astype(kind)
             if told:
@@ -559,8 +620,8 @@ def repeated_bits(hashes: DataFrame) -> DataFrame:
     return mapped(dealt, run, "block bigint, bucket int, bits binary")
 
 
-def removed_spans(told: DataFrame, bits: DataFrame) -> DataFrame:
-    """(tid, begins, ends): the maximal removed runs of bytes of each text."""
+def removed_spans(told: DataFrame, bits: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(tid, begins, ends): the maximal removed runs of units of each text."""
     answers = bits.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
 
     def job(batch: pa.RecordBatch):
@@ -576,16 +637,16 @@ def removed_spans(told: DataFrame, bits: DataFrame) -> DataFrame:
             for answer in answers or []:
                 a, b = bounds[answer["bucket"]:answer["bucket"] + 2]
                 hit[order[a:b]] = np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=b - a).astype(bool)
-            length = block["length"]
-            at = np.repeat(block["at"], length)
-            first = np.repeat(block["start"] - np.concatenate([[0], np.cumsum(length)[:-1]]), length) if len(length) else at
+            many = block["length"]
+            at = np.repeat(block["at"], many)
+            first = np.repeat(block["start"] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) if len(many) else at
             start = first + np.arange(len(at))
             at, start = at[hit], start[hit]
             if not len(at):
                 continue
-            fresh = np.concatenate([[True], (np.diff(at) != 0) | (np.diff(start) > LENGTH)])
+            fresh = np.concatenate([[True], (np.diff(at) != 0) | (np.diff(start) > length)])
             cut = np.flatnonzero(fresh)
-            begin, end = start[cut], start[np.concatenate([cut[1:], [len(at)]]) - 1] + LENGTH
+            begin, end = start[cut], start[np.concatenate([cut[1:], [len(at)]]) - 1] + length
             owner = at[cut]
             edges = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             for a, b in zip(edges, [*edges[1:], len(owner)]):
@@ -598,16 +659,19 @@ def removed_spans(told: DataFrame, bits: DataFrame) -> DataFrame:
     return map_batches(joined, "tid bigint, begins array<int>, ends array<int>", job)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(key, copies, begins, ends): what to remove of each distinct text that loses something.
+def repeats(docs: DataFrame, unit: Unit = BYTE) -> DataFrame:
+    """(key, begins, ends): what to remove of each distinct text that loses something, in units.
 
     ``key`` is the 128-bit hash of the text's bytes; a text with copies loses all of it.
     """
     lean_shuffles(docs.sparkSession)
-    texts = staged(chunked(docs), "suffix-texts")
-    runs = staged(repeated_runs(texts.select("tid", "starts", "hashes")), "suffix-runs")
-    ranks = ranked(runs.select("seq", "syms", "sizes"))
-    places = texts.select("tid", "key").join(candidates(runs, ranks), "tid")
+    texts = staged(chunked(docs, unit), f"suffix-{unit.name}-texts")
+    runs = staged(repeated_runs(texts.select("tid", "starts", "hashes"), unit.need), f"suffix-{unit.name}-runs")
+    if unit is BYTE:
+        found = candidates(runs, ranked(runs.select("seq", "syms", "sizes")))
+    else:
+        found = every_place(runs, unit.need)
+    places = texts.select("tid", "key").join(found, "tid")
 
     def job(batch: pa.RecordBatch):
         return {"key": [key_of(r) for r in raws_of(batch)], "text": column_of(batch, "text")}
@@ -619,29 +683,50 @@ def repeats(docs: DataFrame) -> DataFrame:
         F.sum(F.size("anchors").cast("long")).alias("anchors"), F.sum(F.octet_length("text").cast("long")).alias("bytes")
     ).first()
     buckets = 64
-    while buckets * BUCKET_ROWS < (size["anchors"] or 0) * WINDOW // 2:
+    while buckets * BUCKET_ROWS < (size["anchors"] or 0) * unit.window // 2:
         buckets *= 2
     block = F.pmod(F.xxhash64("tid"), F.lit(1 + (size["bytes"] or 0) // BLOCK_BYTES))
     blocked = whole.select(block.alias("block"), "tid", "text", "anchors")
-    bits = staged(repeated_bits(windows(blocked, buckets, told=False)), "suffix-bits")
-    spans = removed_spans(windows(blocked, buckets, told=True), bits)
+    bits = staged(repeated_bits(windows(blocked, buckets, told=False, unit=unit)), "suffix-bits")
+    spans = removed_spans(windows(blocked, buckets, told=True, unit=unit), bits, unit.length)
+    whole = F.col("copies") > 1
     return staged(
-        texts.select("tid", "key", "copies").join(spans, "tid", "left")
-        .where("copies > 1 or begins is not null").select("key", "copies", "begins", "ends"),
+        texts.select("tid", "key", "copies", "units").join(spans, "tid", "left").where(whole | F.col("begins").isNotNull()).select(
+            "key", F.when(whole, F.array(F.lit(0))).otherwise(F.col("begins")).alias("begins"),
+            F.when(whole, F.array("units")).otherwise(F.col("ends")).alias("ends"),
+        ),
         "suffix-spans",
     )
 
 
+def joined_spans(raw: bytes, begins: list, ends: list, first: list, last: list) -> tuple[list, list]:
+    """Spans of bytes, and of words from ``first`` to before ``last`` each, as maximal spans of bytes."""
+    start, end = word_bounds(raw)
+    spans = sorted([*zip(begins, ends), *((int(start[a]), int(end[b - 1])) for a, b in zip(first, last))])
+    out = [[], []]
+    for b, e in spans:
+        if out[1] and b <= out[1][-1]:
+            out[1][-1] = max(out[1][-1], e)
+        else:
+            out[0].append(b)
+            out[1].append(e)
+    return out[0], out[1]
+
+
 def without_repeats(
     docs: DataFrame, keep: list[str], shape: Callable[[dict[str, list]], dict[str, list]] | None = None,
-    shaped: str = "kept binary, begins array<int>, ends array<int>",
+    shaped: str = "kept binary, begins array<int>, ends array<int>", words: bool = False,
 ) -> DataFrame:
     """Columns ``keep`` of the documents with ``kept`` (the bytes left), ``begins`` and ``ends``.
 
     ``shape`` makes columns ``shaped`` of these in the same map: a map of its own would take a second
-    Python worker for each task.
+    Python worker for each task. With ``words`` repeated runs of ``WORDS`` words go as well, however short.
     """
-    found = repeats(docs)
+    named = lambda found, b, e: found.select(F.col("key").alias("_key"), F.col("begins").alias(b), F.col("ends").alias(e))
+    found, spans = named(repeats(docs), "_begins", "_ends"), ["_begins", "_ends"]
+    if words:
+        found = found.join(named(repeats(docs, WORD), "_first", "_last"), "_key", "full")
+        spans += ["_first", "_last"]
     fields = [f for f in docs.schema if f.name in keep]
     names = [f.name for f in fields]
     slim = docs.select(*[F.col(f"`{n}`") for n in names], F.col("text").alias("_text"))
@@ -651,21 +736,18 @@ def without_repeats(
         out = {n: batch.column(k) for k, n in enumerate([*names, "_text"])}
         return out | {"_key": [key_of(r) for r in raws_of(batch, "_text")]}
 
-    joined = map_batches(slim, keyed_schema, with_key).join(
-        found.select(F.col("key").alias("_key"), F.col("copies").alias("_copies"),
-                     F.col("begins").alias("_begins"), F.col("ends").alias("_ends")), "_key", "left",
-    ).select(*[F.col(f"`{n}`") for n in names], "_text", "_copies", "_begins", "_ends")
+    joined = map_batches(slim, keyed_schema, with_key).join(found, "_key", "left").select(
+        *[F.col(f"`{n}`") for n in names], "_text", *spans
+    )
     out_schema = T.StructType(fields + T.StructType.fromDDL(shaped).fields)
 
     def cut(batch: pa.RecordBatch):
         out = {n: batch.column(k) for k, n in enumerate(names)}
         kept, begins, ends = [], [], []
-        for raw, copies, b, e in zip(raws_of(batch, "_text"), *(
-            column_of(batch, c).to_pylist() for c in ("_copies", "_begins", "_ends")
-        )):
-            if copies is not None and copies > 1:
-                b, e = [0], [len(raw)]
+        for raw, b, e, *more in zip(raws_of(batch, "_text"), *(column_of(batch, c).to_pylist() for c in spans)):
             b, e = b or [], e or []
+            if more and more[0]:
+                b, e = joined_spans(raw, b, e, *more)
             kept.append(b"".join(raw[x:y] for x, y in zip([0, *e], [*b, len(raw)])))
             begins.append(b)
             ends.append(e)

@@ -116,6 +116,17 @@ def test_stages_equal_plain_versions(spark, corpus):
         assert bytes(x["ids"]) == struct.pack(f"<{len(ids)}I", *ids) and x["n_tokens"] == len(ids)
 
 
+def test_passages_of_over_50_words_go_however_short(spark, corpus, documents):
+    r = random.Random(7)
+    passage, fewer = (" ".join(w[:5] for w in words(r, n).split()) for n in (51, 50))
+    own = [words(r, 20) for _ in range(8)]
+    texts = [f"{a} {passage} {b}" for a, b in zip(own[:2], own[2:4])] + [f"{a} {fewer} {b}" for a, b in zip(own[4:6], own[6:])]
+    texts += [passage, own[0]]
+    assert len(passage) < 400
+    cut = texts_by_id(corpus_pipeline.repeated_passages(spark, documents(texts), corpus))
+    assert cut == {0: f"{own[0]}  {own[2]}", 1: f"{own[1]}  {own[3]}", 2: texts[2], 3: texts[3], 5: own[0]}
+
+
 def test_no_documents(spark, corpus, tmp_path):
     queries.table(spark, corpus, "documents").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     queries.table(spark, corpus, "labels").limit(0).write.parquet(f"{tmp_path}/labels.parquet")

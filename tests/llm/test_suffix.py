@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -116,3 +117,48 @@ def test_nothing_to_remove(documents):
     got = suffix.without_repeats(documents(["a b c", None]), ["doc_id"]).collect()
     assert sorted((x["doc_id"], bytes(x["kept"])) for x in got) == [(0, b"a b c"), (1, b"")]
     assert suffix.without_repeats(documents(["a"]).limit(0), ["doc_id"]).count() == 0
+
+
+def brute_words(texts, length=51):
+    """Bytes in runs of ``length`` words that start twice, from the first word to the last, and in 400-byte strings."""
+    raws = [(t or "").encode() for t in texts]
+    found = [[(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", r)] for r in raws]
+    lists = [[r[a:b] for a, b in w] for r, w in zip(raws, found)]
+    seen = Counter(tuple(w[i:i + length]) for w in lists for i in range(len(w) - length + 1))
+    out = []
+    for r, w, at, (_, begins, ends) in zip(raws, lists, found, brute(texts)):
+        hit = np.zeros(len(r) + 2, int)
+        for b, e in zip(begins, ends):
+            hit[b + 1:e + 1] = 1
+        for i in range(len(w) - length + 1):
+            if seen[tuple(w[i:i + length])] > 1:
+                hit[at[i][0] + 1:at[i + length - 1][1] + 1] = 1
+        edges = np.diff(hit)
+        begins, ends = np.flatnonzero(edges == 1).tolist(), np.flatnonzero(edges == -1).tolist()
+        out.append((b"".join(r[x:y] for x, y in zip([0, *ends], [*begins, len(r)])), begins, ends))
+    return out
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_short_passages_of_many_words(documents, seed):
+    r = random.Random(seed)
+    texts = passages(r)
+    for n in (50, 51, 52, 60):  # of under 400 bytes, in other white space
+        short = [w[:4] for w in words(r, n).split()]
+        for gap in (" ", "\n", " \t"):
+            texts.append(words(r, r.randint(0, 40)) + " " + gap.join(short) + " " + words(r, r.randint(0, 40)))
+    texts += ["a " * 51, "a " * 50, " b\x0bc" * 26, " b\x0bc" * 26, words(r, 70) + " é" * 80, "q " * 51 + "end", "\x1c" + "q " * 51]
+    got = suffix.without_repeats(documents(texts, 4), ["doc_id"], words=True).collect()
+    assert len(got) == len(texts)
+    want, plain = brute_words(texts), brute(texts)
+    for row in got:
+        assert (bytes(row["kept"]), row["begins"], row["ends"]) == want[row["doc_id"]], row["doc_id"]
+    assert sum(a != b for a, b in zip(want, plain)) >= 9
+
+
+def test_one_short_passage_in_many_texts(documents):
+    r = random.Random(6)
+    short = " ".join(w[:4] for w in words(r, 55).split())
+    texts = [words(r, 12) + " " + short + " " + words(r, 12) for _ in range(900)]
+    got = suffix.without_repeats(documents(texts, 4), ["doc_id"], words=True).collect()
+    assert len(short) < 400 and all(short not in bytes(x["kept"]).decode() and x["begins"] for x in got)
