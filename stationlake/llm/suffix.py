@@ -23,9 +23,10 @@ partitions pass on their counts only. Nothing but one row a partition reaches th
 Defined cases: a null text is empty; texts are bytes of UTF-8 and matches never cross
 documents; copies of a text of 400 bytes or more are removed whole; shorter texts stay.
 
-Runs of ``WORDS`` equal words can be looked for as well (``without_repeats(..., words=True)``): words are
-hashed and stand where bytes stand above, chunks and exact check are the same. There are few of them, so
-every place of a run of repeated chunks is a candidate and nothing is sorted. White space between
+Runs of ``WORDS`` equal words can be looked for as well (``without_repeats(..., words=True)``), in the same
+passes over the texts: every run holds an anchor, so its ``WORD_GRAM`` words from there on stand twice if the run
+does. Anchors whose words stand once are dropped, the runs of the others take the exact check of step 4 as
+strings of word hashes. There are few of them, so nothing is sorted. White space between
 words does not count; what goes is all from the first byte of the first word to the last byte of the last.
 """
 
@@ -33,7 +34,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cache
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -48,26 +48,11 @@ from stationlake.sources.shared import staged
 
 LENGTH, WINDOW, GRAM = 400, 128, 16
 NEED = LENGTH - 2 * WINDOW - GRAM + 2
-WORDS = 51
+WORDS, WORD_WINDOW, WORD_GRAM = 51, 32, 16
 BUCKET_ROWS, BLOCK_BYTES = 2_000_000, 1_500_000
 MOST_PARTITIONS = 1_000_000
 
 
-class Unit(NamedTuple):
-    """What a text is a string of, the least length of a match and the windows that give anchors, in these units."""
-
-    symbols: Callable[[bytes], np.ndarray]
-    codes: Callable[[np.ndarray, int], np.ndarray]
-    length: int
-    window: int
-    gram: int
-    name: str
-
-    @property
-    def need(self) -> int:
-        return self.length - 2 * self.window - self.gram + 2
-
-
 def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """Hash of the ``gram`` symbols from each place on."""
     h = raw.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -84,7 +69,11 @@ def first_anchors(raw: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np
     """For each window of places its anchor: the last of the smallest hashes in it."""
     if len(raw) < window + gram:
         return np.zeros(0, np.int64)
-    h = gram_hashes(raw, gram)
+    return smallest(gram_hashes(raw, gram), window)
+
+
+def smallest(h: np.ndarray, window: int) -> np.ndarray:
+    """For each window the place of its smallest hash, of the last such."""
     low = np.uint64(0xFFFFFFFF)
     key = (h & ~low) | (low - np.arange(len(h), dtype=np.uint64))
     width = 1
@@ -118,10 +107,6 @@ def bytes_of(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint8)
 
 
-def codes_of_bytes(data: np.ndarray, seed: int) -> np.ndarray:
-    return byte_codes(seed)[data]
-
-
 def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where the words ``[^\\x20\\x09-\\x0D]+`` begin and end."""
     data = bytes_of(raw)
@@ -131,56 +116,83 @@ def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
 
 
-def words_of(raw: bytes) -> np.ndarray:
-    return shingles.word_hashes([raw])[0]
-
-
-def codes_of_words(words: np.ndarray, seed: int) -> np.ndarray:
-    return shingles.mix(words + np.uint64(seed))
+class Words:
+    """The hashed words of some texts, end to end, and the runs of ``WORDS`` of them within a text.
 
+    ``run`` is where each run begins, ``anchor`` its anchor; ``owner`` is the text of each word, ``begin`` where
+    the words of each text begin.
+    """
 
-BYTE = Unit(bytes_of, codes_of_bytes, LENGTH, WINDOW, GRAM, "bytes")
-WORD = Unit(words_of, codes_of_words, WORDS, 16, 2, "words")
+    def __init__(self, raws: list[bytes]):
+        self.hashes, counts = shingles.word_hashes(raws)
+        self.counts = counts
+        ends = np.cumsum(counts)
+        self.begin = ends - counts
+        self.owner = np.repeat(np.arange(len(raws)), counts)
+        self.grams, first = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if len(self.hashes) >= WORDS:
+            self.grams = gram_hashes(self.hashes, WORD_GRAM)
+            first = smallest(self.grams, WORD_WINDOW)
+        at = np.arange(len(first))
+        self.run = at[at + WORDS <= ends[self.owner[: len(first)]]]
+        self.anchor = first[self.run]
 
+    def run_hashes(self, run: np.ndarray) -> np.ndarray:
+        return span_hashes(prefix_sums(shingles.mix(self.hashes + np.uint64(23))), run, run + WORDS)
 
-def key_of(raw: bytes) -> bytes:
-    import xxhash
 
-    return xxhash.xxh3_128_digest(raw)
+def key_of(text: str):
+    """128 bits that stand for a text, null as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
 def raws_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [t.encode("utf-8") for t in texts_of(batch, column)]
 
 
-def chunked(docs: DataFrame, unit: Unit = BYTE) -> DataFrame:
-    """(key, copies, tid, units, starts, hashes): distinct texts long enough for a match, by their chunks."""
+def chunked(docs: DataFrame, words: bool = False) -> DataFrame:
+    """(key, copies, tid, units, starts, hashes): distinct texts long enough for a match, by their chunks.
+
+    With ``words`` also (n_words, places, grams): the anchors among the words and the hash of the words from there on.
+    """
 
     def job(batch: pa.RecordBatch):
-        out: dict[str, list] = {"key": [], "units": [], "starts": [], "hashes": []}
-        for raw in raws_of(batch):
-            data = unit.symbols(raw)
-            if len(data) < unit.length:
+        out: dict[str, list] = {"key": [], "units": [], "starts": [], "hashes": [], "n_words": [], "places": [], "grams": []}
+        raws = raws_of(batch)
+        found = Words(raws if words else [])
+        anchors = changes(found.anchor)
+        bounds = np.searchsorted(anchors, np.concatenate([found.begin, [len(found.hashes)]]))
+        grams = found.grams[anchors].view(np.int64)
+        for k, (key, raw) in enumerate(zip(column_of(batch, "key").to_pylist(), raws)):
+            n_words = int(found.counts[k]) if words else 0
+            if len(raw) < LENGTH and n_words < WORDS:
                 continue
-            starts = changes(first_anchors(data, unit.window, unit.gram))
-            # Positive numbers: 0 stands for the end of a string, below every chunk.
-            hashes = np.maximum(span_hashes(prefix_sums(unit.codes(data, 11)), starts[:-1], starts[1:]) >> np.uint64(1), 1)
-            out["key"].append(key_of(raw))
-            out["units"].append(len(data))
+            starts, hashes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if len(raw) >= LENGTH:
+                data = bytes_of(raw)
+                starts = changes(first_anchors(data))
+                # Positive numbers: 0 stands for the end of a string, below every chunk.
+                hashes = np.maximum(span_hashes(prefix_sums(byte_codes(11)[data]), starts[:-1], starts[1:]) >> np.uint64(1), 1)
+            out["key"].append(key)
+            out["units"].append(len(raw))
             out["starts"].append(starts.astype(np.int32))
             out["hashes"].append(hashes.astype(np.int64))
+            if words:
+                own = slice(bounds[k], bounds[k + 1])
+                out["n_words"].append(n_words)
+                out["places"].append((anchors[own] - found.begin[k]).astype(np.int32))
+                out["grams"].append(grams[own])
         return out
 
-    found = map_batches(docs.select("text"), "key binary, units int, starts array<int>, hashes array<bigint>", job)
-    distinct = found.groupBy("key").agg(
-        F.count("*").alias("copies"), F.first(F.struct("units", "starts", "hashes")).alias("c")
-    )
-    return distinct.select(
-        "key", "copies", F.monotonically_increasing_id().alias("tid"), "c.units", "c.starts", "c.hashes"
-    )
+    fields = ["units int", "starts array<int>", "hashes array<bigint>"]
+    fields += ["n_words int", "places array<int>", "grams array<bigint>"] if words else []
+    names = [f.split()[0] for f in fields]
+    found = map_batches(docs.select("key", "text"), ", ".join(["key binary", *fields]), job)
+    distinct = found.groupBy("key").agg(F.count("*").alias("copies"), F.first(F.struct(*names)).alias("c"))
+    return distinct.select("key", "copies", F.monotonically_increasing_id().alias("tid"), *[f"c.{n}" for n in names])
 
 
-def repeated_runs(texts: DataFrame, need: int = NEED) -> DataFrame:
+def repeated_runs(texts: DataFrame) -> DataFrame:
     """(seq, tid, starts, syms, sizes): runs of chunks that stand elsewhere too."""
     flat = texts.select("tid", "starts", F.posexplode("hashes").alias("pos", "hash")).select(
         "tid", "hash", F.element_at("starts", F.col("pos") + 1).alias("start"),
@@ -202,7 +214,7 @@ def repeated_runs(texts: DataFrame, need: int = NEED) -> DataFrame:
             s, e = start[order], end[order]
             cut = np.concatenate([[0], np.flatnonzero(s[1:] != e[:-1]) + 1, [len(order)]])
             for x, y in zip(cut, cut[1:]):
-                if e[y - 1] - s[x] >= need:
+                if e[y - 1] - s[x] >= NEED:
                     out["tid"].append(tid)
                     out["starts"].append(s[x:y])
                     out["syms"].append(sym[order[x:y]])
@@ -506,11 +518,13 @@ def candidates(runs: DataFrame, ranks: DataFrame) -> DataFrame:
     return anchors.groupBy("tid").agg(F.collect_set("anchor").alias("anchors"))
 
 
-def every_place(runs: DataFrame, need: int) -> DataFrame:
-    """(tid, anchors): all anchors from which a run of repeated chunks goes on for ``need`` units."""
-    end = F.element_at("starts", -1) + F.element_at("sizes", -1)
-    left = runs.select("tid", F.filter("starts", lambda s: end - s >= need).alias("anchors"))
-    return left.groupBy("tid").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
+def repeated_grams(texts: DataFrame) -> DataFrame:
+    """(tid, word_anchors): anchors among the words whose words stand elsewhere too."""
+    flat = texts.select("tid", F.inline(F.arrays_zip("places", "grams"))).toDF("tid", "place", "gram")
+    often = staged(
+        flat.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "suffix-grams"
+    )
+    return flat.join(often, "gram").groupBy("tid").agg(F.collect_list("place").alias("word_anchors"))
 
 
 def prefix_values(syms: np.ndarray) -> np.ndarray:
@@ -518,8 +532,8 @@ def prefix_values(syms: np.ndarray) -> np.ndarray:
     return np.concatenate([[np.uint64(0)], np.cumsum(spread)])
 
 
-def windows(texts: DataFrame, buckets: int, told: bool, unit: Unit = BYTE) -> DataFrame:
-    """Candidate strings of (block, tid, text, anchors), block by block.
+def windows(texts: DataFrame, buckets: int, told: bool) -> DataFrame:
+    """Candidate strings of (block, tid, text, anchors, word_anchors), block by block.
 
     (block, bucket, data) rows hold the hashes of one bucket, in the order of the block;
     with ``told`` the rows are (block, -1, data) and say which strings a block holds, and in which
@@ -532,7 +546,7 @@ def windows(texts: DataFrame, buckets: int, told: bool, unit: Unit = BYTE) -> Da
         for batch in batches:
             for row in zip(
                 column_of(batch, "block").to_pylist(), column_of(batch, "tid").to_pylist(), raws_of(batch),
-                column_of(batch, "anchors").to_pylist(),
+                column_of(batch, "anchors").to_pylist(), column_of(batch, "word_anchors").to_pylist(),
             ):
                 if row[0] != block:
                     if held:
@@ -548,17 +562,31 @@ def windows(texts: DataFrame, buckets: int, told: bool, unit: Unit = BYTE) -> Da
 
     def run(batches):
         for block, rows in blocks(batches):
+            # Texts are told as strings of bytes first, then as strings of words.
             tids, texts_at, starts, hashes = [], [], [], []
-            for tid, raw, anchors in rows:
-                data = unit.symbols(raw)
-                owner = first_anchors(data, unit.window, unit.gram)[: len(data) - unit.length + 1]
+            for tid, raw, anchors, _ in rows:
+                if not anchors:
+                    continue
+                data = bytes_of(raw)
+                owner = first_anchors(data)[: len(data) - LENGTH + 1]
                 wanted = np.zeros(len(data), bool)
                 wanted[anchors] = True
                 i = np.flatnonzero(wanted[owner])
                 tids.append(tid)
                 texts_at.append(np.full(len(i), len(tids) - 1, np.int32))
                 starts.append(i.astype(np.int32))
-                hashes.append(span_hashes(prefix_sums(unit.codes(data, 23)), i, i + unit.length))
+                hashes.append(span_hashes(prefix_sums(byte_codes(23)[data]), i, i + LENGTH))
+            of_bytes, worded = len(tids), [row for row in rows if row[3]]
+            if worded:
+                words = Words([raw for _, raw, _, _ in worded])
+                wanted = np.zeros(len(words.hashes), bool)
+                for begin, (_, _, _, places) in zip(words.begin, worded):
+                    wanted[begin + np.array(places)] = True
+                run = words.run[wanted[words.anchor]]
+                tids += [tid for tid, _, _, _ in worded]
+                texts_at.append((of_bytes + words.owner[run]).astype(np.int32))
+                starts.append((run - words.begin[words.owner[run]]).astype(np.int32))
+                hashes.append(words.run_hashes(run))
             h = np.concatenate(hashes)
             bucket = (h >> shift).astype(kind)
             if told:
@@ -566,7 +594,7 @@ def windows(texts: DataFrame, buckets: int, told: bool, unit: Unit = BYTE) -> Da
                 cut = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 0) | (np.diff(start) != 1)])[: len(at)])
                 kept = io.BytesIO()
                 np.savez(  # buckets of hashes look random: packing them takes long and saves little
-                    kept, tids=np.array(tids, np.int64), at=at[cut], start=start[cut],
+                    kept, tids=np.array(tids, np.int64), of_bytes=of_bytes, at=at[cut], start=start[cut],
                     length=np.diff(np.concatenate([cut, [len(at)]])), bucket=bucket,
                 )
                 out = [(-1, kept.getvalue())]
@@ -620,14 +648,14 @@ def repeated_bits(hashes: DataFrame) -> DataFrame:
     return mapped(dealt, run, "block bigint, bucket int, bits binary")
 
 
-def removed_spans(told: DataFrame, bits: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(tid, begins, ends): the maximal removed runs of units of each text."""
+def removed_spans(told: DataFrame, bits: DataFrame) -> DataFrame:
+    """(tid, begins, ends, first, last): the maximal removed runs of each text, of bytes and of words."""
     answers = bits.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
 
     def job(batch: pa.RecordBatch):
         import io
 
-        out: dict[str, list] = {"tid": [], "begins": [], "ends": []}
+        out: dict[str, list] = {"tid": [], "begins": [], "ends": [], "first": [], "last": []}
         for data, answers in zip(column_of(batch, "data").to_pylist(), column_of(batch, "answers").to_pylist()):
             block = np.load(io.BytesIO(data))
             bucket = block["bucket"]
@@ -644,59 +672,68 @@ def removed_spans(told: DataFrame, bits: DataFrame, length: int = LENGTH) -> Dat
             at, start = at[hit], start[hit]
             if not len(at):
                 continue
-            fresh = np.concatenate([[True], (np.diff(at) != 0) | (np.diff(start) > length)])
+            length = np.where(at < block["of_bytes"], LENGTH, WORDS)
+            fresh = np.concatenate([[True], (np.diff(at) != 0) | (np.diff(start) > length[1:])])
             cut = np.flatnonzero(fresh)
-            begin, end = start[cut], start[np.concatenate([cut[1:], [len(at)]]) - 1] + length
+            last = np.concatenate([cut[1:], [len(at)]]) - 1
+            begin, end = start[cut], start[last] + length[last]
             owner = at[cut]
             edges = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            found: dict[int, dict[str, np.ndarray]] = {}
             for a, b in zip(edges, [*edges[1:], len(owner)]):
-                out["tid"].append(int(block["tids"][owner[a]]))
-                out["begins"].append(begin[a:b])
-                out["ends"].append(end[a:b])
+                names = ("begins", "ends") if owner[a] < block["of_bytes"] else ("first", "last")
+                found.setdefault(int(block["tids"][owner[a]]), {}).update(zip(names, (begin[a:b], end[a:b])))
+            for tid, spans in found.items():
+                out["tid"].append(tid)
+                for name in ("begins", "ends", "first", "last"):
+                    out[name].append(spans.get(name))
         return out
 
     joined = told.join(answers, "block", "left").select("data", "answers")
-    return map_batches(joined, "tid bigint, begins array<int>, ends array<int>", job)
+    lists = ", ".join(f"{c} array<int>" for c in ("begins", "ends", "first", "last"))
+    return map_batches(joined, f"tid bigint, {lists}", job)
 
 
-def repeats(docs: DataFrame, unit: Unit = BYTE) -> DataFrame:
-    """(key, begins, ends): what to remove of each distinct text that loses something, in units.
+def repeats(docs: DataFrame, words: bool = False) -> DataFrame:
+    """(key, begins, ends, first, last): what to remove of each distinct text that loses something.
 
-    ``key`` is the 128-bit hash of the text's bytes; a text with copies loses all of it.
+    Bytes from ``begins`` to ``ends`` and, with ``words``, words from ``first`` to ``last``, else null; a text with
+    copies loses all of it that is long enough.
     """
     lean_shuffles(docs.sparkSession)
-    texts = staged(chunked(docs, unit), f"suffix-{unit.name}-texts")
-    runs = staged(repeated_runs(texts.select("tid", "starts", "hashes"), unit.need), f"suffix-{unit.name}-runs")
-    if unit is BYTE:
-        found = candidates(runs, ranked(runs.select("seq", "syms", "sizes")))
+    docs = docs.select("text", key_of("text").alias("key"))
+    texts = staged(chunked(docs, words), "suffix-texts")
+    runs = staged(repeated_runs(texts.select("tid", "starts", "hashes")), "suffix-runs")
+    found = candidates(runs, ranked(runs.select("seq", "syms", "sizes")))
+    if words:
+        found = found.join(repeated_grams(texts.select("tid", "places", "grams")), "tid", "full")
     else:
-        found = every_place(runs, unit.need)
+        found = found.withColumn("word_anchors", F.lit(None).cast("array<int>"))
     places = texts.select("tid", "key").join(found, "tid")
-
-    def job(batch: pa.RecordBatch):
-        return {"key": [key_of(r) for r in raws_of(batch)], "text": column_of(batch, "text")}
-
-    keyed = map_batches(docs.select("text"), "key binary, text string", job)
-    once = keyed.groupBy("key").agg(F.first("text").alias("text"))
-    whole = staged(once.join(places, "key").select("tid", "key", "text", "anchors"), "suffix-windows")
+    once = docs.groupBy("key").agg(F.first("text").alias("text"))
+    whole = staged(once.join(places, "key").select("tid", "text", "anchors", "word_anchors"), "suffix-windows")
+    many = lambda c: F.coalesce(F.sum(F.size(c).cast("long")), F.lit(0))
     size = whole.agg(
-        F.sum(F.size("anchors").cast("long")).alias("anchors"), F.sum(F.octet_length("text").cast("long")).alias("bytes")
+        (many(F.coalesce("anchors", F.array())) * WINDOW + many(F.coalesce("word_anchors", F.array())) * WORD_WINDOW).alias("strings"),
+        F.sum(F.octet_length("text").cast("long")).alias("bytes"),
     ).first()
     buckets = 64
-    while buckets * BUCKET_ROWS < (size["anchors"] or 0) * unit.window // 2:
+    while buckets * BUCKET_ROWS < size["strings"] // 2:
         buckets *= 2
     block = F.pmod(F.xxhash64("tid"), F.lit(1 + (size["bytes"] or 0) // BLOCK_BYTES))
-    blocked = whole.select(block.alias("block"), "tid", "text", "anchors")
-    bits = staged(repeated_bits(windows(blocked, buckets, told=False, unit=unit)), "suffix-bits")
-    spans = removed_spans(windows(blocked, buckets, told=True, unit=unit), bits, unit.length)
-    whole = F.col("copies") > 1
-    return staged(
-        texts.select("tid", "key", "copies", "units").join(spans, "tid", "left").where(whole | F.col("begins").isNotNull()).select(
-            "key", F.when(whole, F.array(F.lit(0))).otherwise(F.col("begins")).alias("begins"),
-            F.when(whole, F.array("units")).otherwise(F.col("ends")).alias("ends"),
-        ),
-        "suffix-spans",
+    blocked = whole.select(block.alias("block"), "tid", "text", "anchors", "word_anchors")
+    bits = staged(repeated_bits(windows(blocked, buckets, told=False)), "suffix-bits")
+    spans = removed_spans(windows(blocked, buckets, told=True), bits)
+
+    def or_whole(begin: str, end: str, size, least: int):
+        whole = (F.col("copies") > 1) & (size >= least)
+        return [F.when(whole, F.array(at)).otherwise(F.col(c)).alias(c) for c, at in ((begin, F.lit(0)), (end, size))]
+
+    every = texts.join(spans, "tid", "left").select(
+        "key", *or_whole("begins", "ends", F.col("units"), LENGTH),
+        *or_whole("first", "last", F.col("n_words") if words else F.lit(0), WORDS),
     )
+    return staged(every.where("begins is not null or first is not null"), "suffix-spans")
 
 
 def joined_spans(raw: bytes, begins: list, ends: list, first: list, last: list) -> tuple[list, list]:
@@ -720,38 +757,31 @@ def without_repeats(
     """Columns ``keep`` of the documents with ``kept`` (the bytes left), ``begins`` and ``ends``.
 
     ``shape`` makes columns ``shaped`` of these in the same map: a map of its own would take a second
-    Python worker for each task. With ``words`` repeated runs of ``WORDS`` words go as well, however short.
+    Python worker for each task. With ``words`` repeated runs of ``WORDS`` words go as well, however short; ``shape``
+    is then also told what goes without them, as ``byte_kept``, ``byte_begins`` and ``byte_ends``.
     """
-    named = lambda found, b, e: found.select(F.col("key").alias("_key"), F.col("begins").alias(b), F.col("ends").alias(e))
-    found, spans = named(repeats(docs), "_begins", "_ends"), ["_begins", "_ends"]
-    if words:
-        found = found.join(named(repeats(docs, WORD), "_first", "_last"), "_key", "full")
-        spans += ["_first", "_last"]
+    spans = ["_begins", "_ends", "_first", "_last"]
+    found = repeats(docs, words).toDF("_key", *spans)
     fields = [f for f in docs.schema if f.name in keep]
     names = [f.name for f in fields]
-    slim = docs.select(*[F.col(f"`{n}`") for n in names], F.col("text").alias("_text"))
-    keyed_schema = T.StructType([*slim.schema.fields, T.StructField("_key", T.BinaryType())])
-
-    def with_key(batch: pa.RecordBatch):
-        out = {n: batch.column(k) for k, n in enumerate([*names, "_text"])}
-        return out | {"_key": [key_of(r) for r in raws_of(batch, "_text")]}
-
-    joined = map_batches(slim, keyed_schema, with_key).join(found, "_key", "left").select(
-        *[F.col(f"`{n}`") for n in names], "_text", *spans
-    )
+    slim = docs.select(*[F.col(f"`{n}`") for n in names], F.col("text").alias("_text"), key_of("text").alias("_key"))
+    joined = slim.join(found, "_key", "left").drop("_key")
     out_schema = T.StructType(fields + T.StructType.fromDDL(shaped).fields)
 
+    def left(raw: bytes, begins: list, ends: list) -> bytes:
+        return b"".join(raw[x:y] for x, y in zip([0, *ends], [*begins, len(raw)])) if begins else raw
+
     def cut(batch: pa.RecordBatch):
         out = {n: batch.column(k) for k, n in enumerate(names)}
-        kept, begins, ends = [], [], []
-        for raw, b, e, *more in zip(raws_of(batch, "_text"), *(column_of(batch, c).to_pylist() for c in spans)):
-            b, e = b or [], e or []
-            if more and more[0]:
-                b, e = joined_spans(raw, b, e, *more)
-            kept.append(b"".join(raw[x:y] for x, y in zip([0, *e], [*b, len(raw)])))
-            begins.append(b)
-            ends.append(e)
-        found = {"kept": kept, "begins": begins, "ends": ends}
+        columns = ("kept", "begins", "ends", "byte_kept", "byte_begins", "byte_ends")
+        found: dict[str, list] = {c: [] for c in columns}
+        for raw, b, e, first, last in zip(raws_of(batch, "_text"), *(column_of(batch, c).to_pylist() for c in spans)):
+            plain = both = (left(raw, b or [], e or []), b or [], e or [])
+            if first:
+                b, e = joined_spans(raw, b or [], e or [], first, last)
+                both = (left(raw, b, e), b, e)
+            for c, value in zip(columns, (*both, *plain)):
+                found[c].append(value)
         return out | (shape(found) if shape else found)
 
     return map_batches(joined, out_schema, cut)

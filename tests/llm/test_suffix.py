@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -162,3 +163,25 @@ def test_one_short_passage_in_many_texts(documents):
     texts = [words(r, 12) + " " + short + " " + words(r, 12) for _ in range(900)]
     got = suffix.without_repeats(documents(texts, 4), ["doc_id"], words=True).collect()
     assert len(short) < 400 and all(short not in bytes(x["kept"]).decode() and x["begins"] for x in got)
+
+
+def test_query_tells_short_passages_of_many_words(spark, documents, tmp_path):
+    from stationlake.llm import queries
+
+    r = random.Random(7)
+    short = [" ".join(w[:4] for w in words(r, n).split()) for n in (50, 51, 55)]
+    texts = [words(r, 12) + " " + p + " " + words(r, 12) for p in short for _ in range(3)]
+    texts += [words(r, 30) + " " + words(random.Random(8), 120) + " " + words(r, 30) for _ in range(2)]
+    texts += [words(r, 90), None, "", *["q " * 51] * 2]
+    documents(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(queries.op9_repeated_passages(spark, str(tmp_path)).collect(), key=lambda x: x["doc_id"])
+    assert max(map(len, short)) < 400
+
+    def told(kept, begins, ends):
+        return sum(ends) - sum(begins), len(begins), hashlib.sha256(kept).hexdigest()
+
+    for x, text, plain, more in zip(got, texts, brute(texts), brute_words(texts), strict=True):
+        assert x["n_bytes"] == len((text or "").encode())
+        assert (x["n_removed"], x["n_spans"], x["kept_sha256"]) == told(*plain)
+        assert (x["with_words_n_removed"], x["with_words_n_spans"], x["with_words_kept_sha256"]) == told(*more)
+    assert [x["with_words_n_spans"] - x["n_spans"] for x in got] == [0] * 3 + [1] * 6 + [0] * 5 + [1] * 2
