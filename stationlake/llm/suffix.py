@@ -49,13 +49,13 @@ from stationlake.sources.shared import staged
 LENGTH, WINDOW, GRAM = 400, 128, 16
 NEED = LENGTH - 2 * WINDOW - GRAM + 2
 WORDS, WORD_WINDOW, WORD_GRAM = 51, 32, 16
-BUCKET_ROWS, BLOCK_BYTES = 2_000_000, 1_500_000
+BUCKET_ROWS, BLOCK_BYTES, GROUP_BYTES = 2_000_000, 1_500_000, 1 << 16
 MOST_PARTITIONS = 1_000_000
 
 
-def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """Hash of the ``gram`` symbols from each place on."""
-    h = raw.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def gram_hashes(symbols: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the ``gram`` 64-bit symbols from each place on."""
+    h = symbols * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     step = 1
     while step < gram:
@@ -65,24 +65,41 @@ def gram_hashes(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return h
 
 
-def first_anchors(raw: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
-    """For each window of places its anchor: the last of the smallest hashes in it."""
-    if len(raw) < window + gram:
-        return np.zeros(0, np.int64)
-    return smallest(gram_hashes(raw, gram), window)
-
-
-def smallest(h: np.ndarray, window: int) -> np.ndarray:
-    """For each window the place of its smallest hash, of the last such."""
-    low = np.uint64(0xFFFFFFFF)
-    key = (h & ~low) | (low - np.arange(len(h), dtype=np.uint64))
+def smallest(key: np.ndarray, window: int) -> np.ndarray:
     width = 1
     while width < window:
         key = np.minimum(key[:-width], key[width:])
         width *= 2
+    return key
+
+
+def anchors_of_grams(grams: np.ndarray) -> np.ndarray:
+    """For each window of words its anchor: the last of the smallest hashes in it."""
+    low = np.uint64(0xFFFFFFFF)
+    key = smallest((grams & ~low) | (low - np.arange(len(grams), dtype=np.uint64)), WORD_WINDOW)
     return (low - (key & low)).astype(np.int64)
 
 
+def first_anchors(data: np.ndarray) -> np.ndarray:
+    """For each window of bytes its anchor: the last of the smallest hashes in it.
+
+    Hash and place share 32 bits, so a piece has at most 65,536 places. Equal hashes do not harm: the place decides.
+    """
+    low, step = np.uint32(0xFFFF), (1 << 16) - WINDOW + 1
+    out = [np.zeros(0, np.int64)]
+    for at in range(0, max(len(data) - WINDOW - GRAM + 2, 0), step):
+        h = data[at:at + step + WINDOW + GRAM - 2].astype(np.uint32) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+        width = 1
+        while width < GRAM:
+            h = h[:-width] * np.uint32(0x85EBCA6B + 2 * width) + h[width:]
+            h ^= h >> np.uint32(13)
+            width *= 2
+        key = smallest((h & ~low) | (low - np.arange(len(h), dtype=np.uint32)), WINDOW)
+        out.append(at + (low - (key & low)).astype(np.int64))
+    return np.concatenate(out)
+
+
 def changes(sorted_values: np.ndarray) -> np.ndarray:
     """The distinct values of a sorted array; anchors of windows never go back, so they are sorted."""
     return sorted_values[np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])[: len(sorted_values)]]
@@ -107,6 +124,16 @@ def bytes_of(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint8)
 
 
+class Bytes:
+    """Some texts end to end: for each window of places its anchor (``first``), for each text where it begins."""
+
+    def __init__(self, raws: list[bytes], seed: int):
+        data = bytes_of(b"".join(raws))
+        self.begin = np.cumsum([0, *map(len, raws)])
+        self.first = first_anchors(data)
+        self.sums = prefix_sums(byte_codes(seed).take(data))
+
+
 def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Where the words ``[^\\x20\\x09-\\x0D]+`` begin and end."""
     data = bytes_of(raw)
@@ -132,7 +159,7 @@ class Words:
         self.grams, first = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if len(self.hashes) >= WORDS:
             self.grams = gram_hashes(self.hashes, WORD_GRAM)
-            first = smallest(self.grams, WORD_WINDOW)
+            first = anchors_of_grams(self.grams)
         at = np.arange(len(first))
         self.run = at[at + WORDS <= ends[self.owner[: len(first)]]]
         self.anchor = first[self.run]
@@ -158,21 +185,26 @@ def chunked(docs: DataFrame, words: bool = False) -> DataFrame:
 
     def job(batch: pa.RecordBatch):
         out: dict[str, list] = {"key": [], "units": [], "starts": [], "hashes": [], "n_words": [], "places": [], "grams": []}
-        raws = raws_of(batch)
-        found = Words(raws if words else [])
+        keys, raws = column_of(batch, "key").to_pylist(), raws_of(batch)
+        for a, b in shingles.groups(raws, GROUP_BYTES):
+            add(out, keys[a:b], raws[a:b])
+        return out
+
+    def add(out: dict[str, list], keys: list[bytes], raws: list[bytes]) -> None:
+        whole, found = Bytes(raws, 11), Words(raws if words else [])
         anchors = changes(found.anchor)
         bounds = np.searchsorted(anchors, np.concatenate([found.begin, [len(found.hashes)]]))
         grams = found.grams[anchors].view(np.int64)
-        for k, (key, raw) in enumerate(zip(column_of(batch, "key").to_pylist(), raws)):
+        for k, (key, raw, begin) in enumerate(zip(keys, raws, whole.begin)):
             n_words = int(found.counts[k]) if words else 0
             if len(raw) < LENGTH and n_words < WORDS:
                 continue
             starts, hashes = np.zeros(0, np.int64), np.zeros(0, np.int64)
             if len(raw) >= LENGTH:
-                data = bytes_of(raw)
-                starts = changes(first_anchors(data))
+                starts = changes(whole.first[begin:begin + len(raw) - WINDOW - GRAM + 2])
                 # Positive numbers: 0 stands for the end of a string, below every chunk.
-                hashes = np.maximum(span_hashes(prefix_sums(byte_codes(11)[data]), starts[:-1], starts[1:]) >> np.uint64(1), 1)
+                hashes = np.maximum(span_hashes(whole.sums, starts[:-1], starts[1:]) >> np.uint64(1), 1)
+                starts = starts - begin
             out["key"].append(key)
             out["units"].append(len(raw))
             out["starts"].append(starts.astype(np.int32))
@@ -182,7 +214,6 @@ def chunked(docs: DataFrame, words: bool = False) -> DataFrame:
                 out["n_words"].append(n_words)
                 out["places"].append((anchors[own] - found.begin[k]).astype(np.int32))
                 out["grams"].append(grams[own])
-        return out
 
     fields = ["units int", "starts array<int>", "hashes array<bigint>"]
     fields += ["n_words int", "places array<int>", "grams array<bigint>"] if words else []
@@ -564,27 +595,26 @@ def windows(texts: DataFrame, buckets: int, told: bool) -> DataFrame:
         for block, rows in blocks(batches):
             # Texts are told as strings of bytes first, then as strings of words.
             tids, texts_at, starts, hashes = [], [], [], []
-            for tid, raw, anchors, _ in rows:
-                if not anchors:
-                    continue
-                data = bytes_of(raw)
-                owner = first_anchors(data)[: len(data) - LENGTH + 1]
-                wanted = np.zeros(len(data), bool)
-                wanted[anchors] = True
-                i = np.flatnonzero(wanted[owner])
-                tids.append(tid)
-                texts_at.append(np.full(len(i), len(tids) - 1, np.int32))
-                starts.append(i.astype(np.int32))
-                hashes.append(span_hashes(prefix_sums(byte_codes(23)[data]), i, i + LENGTH))
+            matched = [row for row in rows if row[2]]
+            for a, b in shingles.groups([row[1] for row in matched], GROUP_BYTES):
+                whole = Bytes([raw for _, raw, _, _ in matched[a:b]], 23)
+                wanted = np.zeros(whole.begin[-1], bool)
+                for begin, (tid, raw, anchors, _) in zip(whole.begin, matched[a:b]):
+                    wanted[begin + np.array(anchors)] = True
+                    i = np.flatnonzero(wanted[whole.first[begin:begin + len(raw) - LENGTH + 1]])
+                    texts_at.append(np.full(len(i), len(tids), np.int32))
+                    tids.append(tid)
+                    starts.append(i.astype(np.int32))
+                    hashes.append(span_hashes(whole.sums, begin + i, begin + i + LENGTH))
             of_bytes, worded = len(tids), [row for row in rows if row[3]]
-            if worded:
-                words = Words([raw for _, raw, _, _ in worded])
+            for a, b in shingles.groups([row[1] for row in worded], GROUP_BYTES):
+                words = Words([raw for _, raw, _, _ in worded[a:b]])
                 wanted = np.zeros(len(words.hashes), bool)
-                for begin, (_, _, _, places) in zip(words.begin, worded):
+                for begin, (_, _, _, places) in zip(words.begin, worded[a:b]):
                     wanted[begin + np.array(places)] = True
                 run = words.run[wanted[words.anchor]]
-                tids += [tid for tid, _, _, _ in worded]
-                texts_at.append((of_bytes + words.owner[run]).astype(np.int32))
+                texts_at.append((len(tids) + words.owner[run]).astype(np.int32))
+                tids += [tid for tid, _, _, _ in worded[a:b]]
                 starts.append((run - words.begin[words.owner[run]]).astype(np.int32))
                 hashes.append(words.run_hashes(run))
             h = np.concatenate(hashes)
