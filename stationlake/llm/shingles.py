@@ -27,7 +27,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(base: int, n: int) -> np.ndarray:
     """base to the powers 0 to n - 1, modulo 2 to the 64; tables of up to ``KEPT_POWERS`` are kept."""
-    if len(_POWERS.get(base, ())) >= n:
+    if base in _POWERS and len(_POWERS[base]) >= n:
         return _POWERS[base][:n]
     out = np.full(max(n, 1), base, np.uint64)
     out[0] = 1

@@ -11,7 +11,8 @@ chunks they share measure at least ``NEED`` bytes. So the suffix array is built
    named by their order, short ones with the triple after them; where a name is neither alone nor
    long enough, the names are strings themselves and the step recurs on them. The other suffixes are merged by two
    sorts, with samples of one kind each: (chunk, rank of the next place) and (two chunks,
-   rank of the one after); every suffix counts those before it, which gives its place.
+   rank of the one after); every suffix counts those before it, which gives its place. A sample's name tells the
+   samples before it, so samples are not sorted again among themselves.
 3. Neighbours in suffix order are compared; a suffix that shares ``NEED`` bytes with a
    neighbour is a candidate, no other one can start a match.
 4. Exact check: the 400-byte strings whose first anchor is a candidate are hashed (64 bits)
@@ -261,21 +262,27 @@ def whole_partition(batches) -> pa.Table | None:
     return pa.Table.from_batches(held).combine_chunks() if held else None
 
 
-def counted_before(rows: DataFrame, keys: list[str], tie: list[str]) -> DataFrame:
+def counted_before(rows: DataFrame, keys: list[str], tie: list[str], keep: list[str] | None = None) -> DataFrame:
     """``rows`` (with a 0/1 column ``kind``) in the order of ``keys``, with ``before0`` and
     ``before1``: the rows of each kind whose keys are smaller; and ``alone``: no equal key.
 
     Rows are dealt by range of keys and ``tie``, so equal keys may span partitions; each
     partition reports its totals, its first and last key and how many rows share the last.
+    Columns ``keep`` (all, if None) are given back; a key that is not among them is written for those ends only.
     """
+    import pyarrow.compute as pc
+
     bounded_batches(rows.sparkSession)
     dealt = rows.repartitionByRange(*keys, *tie).sortWithinPartitions(*keys, *tie)
+    names = rows.columns if keep is None else keep
+    kept = [rows.schema[c] for c in names]
+    ends = [T.StructField(f"end_{k}", rows.schema[k].dataType) for k in keys]
     added = T.StructType.fromDDL(
-        "before0 bigint, before1 bigint, alone boolean, part int, part_first boolean, edge int, n0 bigint, n1 bigint"
+        "before0 bigint, before1 bigint, alone boolean, part int, part_first boolean, part_last boolean, "
+        "edge int, n0 bigint, n1 bigint"
     )
-    schema = T.StructType(rows.schema.fields + added.fields)
+    schema = T.StructType([*kept, *added.fields, *ends])
     want = to_arrow_schema(schema)
-    names = [f.name for f in rows.schema.fields]
 
     def count(batches):
         from pyspark import TaskContext
@@ -296,54 +303,53 @@ def counted_before(rows: DataFrame, keys: list[str], tie: list[str]) -> DataFram
         edge = np.zeros(n, np.int32)
         edge[0] += 1
         edge[-1] += 2
-        whole = lambda v: pa.array(np.full(n, v))
+        inner = edge == 0
+        whole = lambda v: pa.array(np.full(n, v), mask=inner)
         columns = [table.column(c) for c in names]
         columns += [
             pa.array((at - ones[at])[group]), pa.array(ones[at][group]),
             pa.array(np.diff(np.concatenate([at, [n]]))[group] == 1),
             pa.array(np.full(n, TaskContext.get().partitionId(), np.int32)), pa.array(group == 0),
-            pa.array(edge), whole(n - int(ones[-1])), whole(int(ones[-1])),
+            pa.array(group == group[-1]), pa.array(edge), whole(n - int(ones[-1])), whole(int(ones[-1])),
         ]
+        columns += [pc.if_else(pa.array(~inner), table.column(k), pa.scalar(None, table.column(k).type)) for k in keys]
         for batch in pa.table(columns, names=want.names).to_batches(max_chunksize=50_000):
             yield pa.RecordBatch.from_arrays([batch.column(k).cast(f.type) for k, f in enumerate(want)], schema=want)
 
     local = staged(mapped(dealt, count, schema), "suffix-order")
     ends_of = bounded_rows(
-        local.where("edge > 0").select("part", "edge", "before0", "before1", "n0", "n1", *keys), 2 * MOST_PARTITIONS
+        local.where("edge > 0").select("part", "edge", "before0", "before1", "n0", "n1", *[f.name for f in ends]),
+        2 * MOST_PARTITIONS,
     )
-    first = {r["part"]: tuple(r[k] for k in keys) for r in ends_of if r["edge"] & 1}
+    key_of_end = lambda r: tuple(r[f.name] for f in ends)
+    first = {r["part"]: key_of_end(r) for r in ends_of if r["edge"] & 1}
     final = {r["part"]: r for r in ends_of if r["edge"] & 2}
     order = sorted(first)
-    offsets, ends = [], []
+    offsets = []
     total0 = total1 = 0
     tail, tail0, tail1 = None, 0, 0  # the key that ended the partitions so far, and its rows
     for k, part in enumerate(order):
         p = final[part]
-        last_key = tuple(p[c] for c in keys)
+        last_key = key_of_end(p)
         goes_on = first[part] == tail
-        offsets.append((part, total0, total1, tail0 if goes_on else 0, tail1 if goes_on else 0))
+        # A key that goes on in the next partition is not alone; its last row cannot know.
+        more = k + 1 < len(order) and first[order[k + 1]] == last_key
+        offsets.append((part, total0, total1, tail0 if goes_on else 0, tail1 if goes_on else 0, more))
         within0, within1 = p["n0"] - p["before0"], p["n1"] - p["before1"]
         single = goes_on and first[part] == last_key
         tail0, tail1 = (tail0 + within0, tail1 + within1) if single else (within0, within1)
         tail = last_key
         total0, total1 = total0 + p["n0"], total1 + p["n1"]
-        # A key that goes on in the next partition is not alone; its last row cannot know.
-        if k + 1 < len(order) and first[order[k + 1]] == tail:
-            ends.append((part, *tail))
-    spark = rows.sparkSession
-    moved = spark.createDataFrame(offsets, "part int, off0 bigint, off1 bigint, tail0 bigint, tail1 bigint")
-    end_fields = [T.StructField(f"end_{k}", rows.schema[k].dataType) for k in keys]
-    ends = spark.createDataFrame(ends, T.StructType([T.StructField("part", T.IntegerType()), *end_fields]))
-    out = local.join(F.broadcast(moved), "part").join(F.broadcast(ends), "part", "left")
-    last = F.lit(True)
-    for k in keys:
-        last = last & F.col(k).eqNullSafe(F.col(f"end_{k}"))
-    first = F.col("part_first")
+    moved = rows.sparkSession.createDataFrame(
+        offsets, "part int, off0 bigint, off1 bigint, tail0 bigint, tail1 bigint, more boolean"
+    )
+    out = local.join(F.broadcast(moved), "part")
+    first, last = F.col("part_first"), F.col("part_last")
     return out.select(
-        *rows.columns,
+        *names,
         (F.col("before0") + F.col("off0") - F.when(first, F.col("tail0")).otherwise(0)).alias("before0"),
         (F.col("before1") + F.col("off1") - F.when(first, F.col("tail1")).otherwise(0)).alias("before1"),
-        (F.col("alone") & ~(first & ((F.col("tail0") + F.col("tail1")) > 0)) & ~F.coalesce(last, F.lit(False))).alias("alone"),
+        (F.col("alone") & ~(first & ((F.col("tail0") + F.col("tail1")) > 0)) & ~(last & F.col("more"))).alias("alone"),
     )
 
 
@@ -395,23 +401,24 @@ def sampled_triples(seqs: DataFrame) -> DataFrame:
 
 
 def place_lists(rows: DataFrame, values: list[str]) -> DataFrame:
-    """Values of the places of each string, in the order of places (a string is one row)."""
-    return rows.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("i", *values))).alias("places"))
+    """Values of the places of each string, in any order (a string is one row)."""
+    return rows.groupBy("seq").agg(F.collect_list(F.struct("i", *values)).alias("places"))
 
 
 def ranked(seqs: DataFrame, depth: int = 0) -> DataFrame:
-    """(seq, i, rank): how many suffixes are smaller, for every place of every string.
+    """(seq, i, rank, prefix): how many suffixes are smaller, for every place of every string.
 
-    ``seqs`` is (seq, syms, sizes), all symbols above 0. Suffixes that agree in ``NEED`` bytes may share a rank.
+    ``seqs`` is (seq, syms, sizes), all symbols above 0. Suffixes that agree in ``NEED`` bytes may share a rank;
+    ``prefix`` is the hash of the symbols by which these have gone by, null if the string ends before.
     """
-    triples = counted_before(sampled_triples(seqs), [*"abcdef"], ["seq", "i"])
+    triples = counted_before(sampled_triples(seqs), [*"abcdef"], ["seq", "i"], ["seq", "i", "size", "cover"])
     named = staged(
         triples.select("seq", "i", (F.col("before0") + 1).alias("name"), "size",
                        (~F.col("alone") & F.col("cover").between(0, NEED - 1)).alias("unsure")),
         "suffix-names",
     )
     if named.where("unsure").isEmpty():
-        samples = named.select("seq", "i", "name", F.lit(0).cast("bigint").alias("sub"))
+        samples = named.select("seq", "i", "name")
     else:
         # Strings with an unsure name recur: the names at places 1, then those at places 2.
         again = named.join(named.where("unsure").select("seq").distinct(), "seq", "left_semi")
@@ -436,74 +443,81 @@ def ranked(seqs: DataFrame, depth: int = 0) -> DataFrame:
             .otherwise(3 * (F.col("i") - F.col("n1") - 1) + 2).cast("int").alias("i"),
             (F.col("rank") + 1).alias("sub"),
         )
-        samples = staged(
-            named.select("seq", "i", "name", "unsure").join(at, ["seq", "i"], "left").select(
-                "seq", "i", "name", F.when(F.col("unsure"), F.col("sub")).otherwise(F.lit(0)).cast("bigint").alias("sub")
-            ),
-            "suffix-samples",
-        )
-    parts = seqs.select("seq", "syms", "sizes").join(place_lists(samples, ["name", "sub"]), "seq", "left")
+        # Places of one name lie together among the inner suffixes, the first of them at ``base``.
+        inner_order = staged(named.where("unsure").select("seq", "i", "name").join(at, ["seq", "i"]), "suffix-unsure")
+        base = inner_order.groupBy("name").agg(F.min("sub").alias("base"))
+        settled = inner_order.join(base, "name").select("seq", "i", (F.col("name") + F.col("sub") - F.col("base")).alias("name"))
+        samples = staged(named.where("not unsure").select("seq", "i", "name").unionByName(settled), "suffix-samples")
+    parts = seqs.select("seq", "syms", "sizes").join(place_lists(samples, ["name"]), "seq", "left")
     keyed = staged(merge_keys(parts), "suffix-merge")
-    # The three sorts run as one, with the pair as the first key; what earlier pairs hold is taken off.
-    counted = counted_before(keyed, ["pair", "s", "t", "n", "m"], ["seq", "i"])
-    held = {(r["pair"], r["kind"]): r["n"] for r in keyed.groupBy("pair", "kind").agg(F.count("*").alias("n")).collect()}
+    # The two sorts run as one, with the pair as the first key; what the earlier pair holds is taken off.
+    counted = counted_before(
+        keyed, ["pair", "s", "t", "n"], ["seq", "i"], ["pair", "kind", "seq", "i", "samples", "prefix"]
+    )
+    held = {r["kind"]: r["n"] for r in keyed.where("pair = 0").groupBy("kind").agg(F.count("*").alias("n")).collect()}
 
     def own(kind: int):
-        earlier = [sum(held.get((q, kind), 0) for q in range(pair)) for pair in range(3)]
-        return F.col(f"before{kind}") - F.element_at(F.array(*[F.lit(n) for n in earlier]), F.col("pair") + 1)
+        return F.col(f"before{kind}") - F.when(F.col("pair") == 1, F.lit(held.get(kind, 0))).otherwise(0)
 
-    # In the pairs (0, 1) and (0, 2) kind 0 is place 0: a sample takes only those, a place
+    # Kind 0 is place 0: a sample adds only those to the smaller samples, which its name tells; a place
     # 0 counts its own once (in the first pair) and the samples of either pair.
-    share = F.when((F.col("pair") == 2) | ((F.col("pair") == 0) & (F.col("kind") == 0)), own(0) + own(1)).otherwise(
-        F.when(F.col("kind") == 0, own(1)).otherwise(own(0))
-    )
-    shares = counted.select("seq", "i", share.alias("share"))
-    return staged(shares.groupBy("seq", "i").agg(F.sum("share").alias("rank")), "suffix-ranks")
+    share = F.when(F.col("kind") == 1, own(0) + F.col("samples")).when(F.col("pair") == 0, own(0) + own(1)).otherwise(own(1))
+    shares = counted.select("seq", "i", "kind", share.alias("rank"), "prefix")
+    both = shares.where("kind = 0").groupBy("seq", "i").agg(F.sum("rank").alias("rank"), F.max("prefix").alias("prefix"))
+    return staged(shares.where("kind = 1").select("seq", "i", "rank", "prefix").unionByName(both), "suffix-ranks")
 
 
 def merge_keys(parts: DataFrame) -> DataFrame:
-    """(pair, kind, seq, i, s, t, n, m): the keys of the three sorts that merge all suffixes."""
+    """(pair, kind, seq, i, s, t, n, samples, prefix): the keys of the two sorts that merge all suffixes.
+
+    ``samples`` are the samples before a sample; ``prefix`` is told in the first row of a place.
+    """
 
     def job(batch: pa.RecordBatch):
         f = Flat(batch)
         places = column_of(batch, "places")
-        name, sub = np.zeros(len(f.syms), np.int64), np.zeros(len(f.syms), np.int64)
+        name = np.zeros(len(f.syms), np.int64)
         flat = places.flatten()
         counts = places.value_lengths().fill_null(0).to_numpy()
         at = np.repeat(f.starts[:-1], counts) + flat.field(0).to_numpy()
-        name[at], sub[at] = flat.field(1).to_numpy(), flat.field(2).to_numpy()
+        name[at] = flat.field(1).to_numpy()
+        long, prefix = prefixes(f)
         none, kind = np.zeros(len(f.syms), np.int64), f.i % 3
-        one = (f.syms, none, f.after(name, 1), f.after(sub, 1))
-        two = (f.syms, f.after(f.syms, 1), f.after(name, 2), f.after(sub, 2))
-        out: list[list[np.ndarray]] = [[] for _ in range(8)]
-        for pair, second, keys in ((0, 1, one), (1, 2, two), (2, 2, (none, none, name, sub))):
-            first = 1 if pair == 2 else 0
-            rows = np.flatnonzero((kind == first) | (kind == second))
-            columns = (np.full(len(rows), pair), (kind[rows] == second).astype(np.int64), f.seq[rows], f.i[rows])
+        one = (f.syms, none, f.after(name, 1))
+        two = (f.syms, f.after(f.syms, 1), f.after(name, 2))
+        out: list[list[np.ndarray]] = [[] for _ in range(10)]
+        for pair, second, keys in ((0, 1, one), (1, 2, two)):
+            rows = np.flatnonzero((kind == 0) | (kind == second))
+            sample = kind[rows] == second
+            told = long[rows] & (sample | (pair == 0))
+            columns = (np.full(len(rows), pair), sample.astype(np.int64), f.seq[rows], f.i[rows],
+                       np.where(sample, name[rows] - 1, 0), prefix[rows], told)
             for held, v in zip(out, (*columns, *(k[rows] for k in keys))):
                 held.append(v)
-        names = ("pair", "kind", "seq", "i", "s", "t", "n", "m")
-        return {k: np.concatenate(v) for k, v in zip(names, out)}
+        names = ("pair", "kind", "seq", "i", "samples", "prefix", "told", "s", "t", "n")
+        done = {k: np.concatenate(v) for k, v in zip(names, out)}
+        return done | {"prefix": pa.array(done["prefix"], mask=~done.pop("told"))}
 
-    schema = "pair int, kind int, seq bigint, i int, s bigint, t bigint, n bigint, m bigint"
+    schema = "pair int, kind int, seq bigint, i int, s bigint, t bigint, n bigint, samples bigint, prefix bigint"
     return map_batches(parts, schema, job)
 
 
+def prefixes(f: Flat) -> tuple[np.ndarray, np.ndarray]:
+    """For each place whether ``NEED`` bytes follow in its string, and the hash of the symbols by which they have gone by."""
+    sums = prefix_values(f.syms)
+    end = np.searchsorted(f.weight, f.weight[:-1] + NEED)
+    at = np.arange(len(f.syms))
+    long = end <= at + f.left
+    end = np.where(long, end, at)
+    back = shingles.powers(shingles._INVERSE, len(sums) + 1)
+    key = shingles.mix((sums[end] - sums[:-1]) * back[: len(at)] + (end - at).astype(np.uint64))
+    return long, key.view(np.int64)
+
+
 def candidates(runs: DataFrame, ranks: DataFrame) -> DataFrame:
     """(tid, anchors): anchors whose suffix shares ``NEED`` bytes with a neighbour in suffix order."""
 
-    def prefixes(batch: pa.RecordBatch):
-        f = Flat(batch)
-        sums = prefix_values(f.syms)
-        # The first place by which NEED bytes have gone by, if the string reaches so far.
-        end = np.searchsorted(f.weight, f.weight[:-1] + NEED)
-        at = np.flatnonzero(end <= np.arange(len(f.syms)) + f.left)
-        back = shingles.powers(shingles._INVERSE, len(sums) + 1)
-        key = shingles.mix((sums[end[at]] - sums[at]) * back[at] + (end[at] - at).astype(np.uint64))
-        return {"seq": f.seq[at], "i": f.i[at], "prefix": key.view(np.int64)}
-
-    long = map_batches(runs.select("seq", "syms", "sizes"), "seq bigint, i int, prefix bigint", prefixes)
-    rows = long.join(ranks, ["seq", "i"])
+    rows = ranks.where("prefix is not null")
     dealt = rows.repartitionByRange("rank", "seq", "i").sortWithinPartitions("rank", "seq", "i")
     schema = "seq bigint, i int, prefix bigint, near boolean, part int, edge int"
     want = to_arrow_schema(T.StructType.fromDDL(schema))
@@ -523,9 +537,10 @@ def candidates(runs: DataFrame, ranks: DataFrame) -> DataFrame:
         edge = np.zeros(n, np.int32)
         edge[0] += 1
         edge[-1] += 2
+        at = np.flatnonzero(near | (edge > 0))
         yield from pa.table(
-            [table.column("seq"), table.column("i"), pa.array(p), pa.array(near),
-             pa.array(np.full(n, TaskContext.get().partitionId(), np.int32)), pa.array(edge)], schema=want,
+            [table.column("seq").take(pa.array(at)), table.column("i").take(pa.array(at)), pa.array(p[at]), pa.array(near[at]),
+             pa.array(np.full(len(at), TaskContext.get().partitionId(), np.int32)), pa.array(edge[at])], schema=want,
         ).to_batches(max_chunksize=50_000)
 
     bounded_batches(runs.sparkSession)

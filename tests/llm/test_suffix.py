@@ -103,6 +103,43 @@ def test_short_triples_do_not_recur(spark, monkeypatch):
     assert at[4, 2] < min(at[k, 2] for k in range(4))
 
 
+def test_ranks_of_strings_that_recur(spark, monkeypatch):
+    plain, depths = suffix.ranked, []
+    monkeypatch.setattr(suffix, "ranked", lambda seqs, depth=0: (depths.append(depth), plain(seqs, depth))[1])
+    r, sizes = random.Random(6), {5: 9, 7: 14, 9: 17}
+    rows = []
+    for k in range(24):
+        s = [r.choice((5, 5, 5, 7, 9)) for _ in range(r.choice((1, 2, 3, 30, 60)))]
+        rows.append((k, s, [sizes[x] for x in s]))
+    rows += [(24, *rows[3][1:]), (25, [5] * 50, [9] * 50)]
+    got = {(x["seq"], x["i"]): x for x in suffix.ranked(
+        spark.createDataFrame(rows, "seq bigint, syms array<bigint>, sizes array<int>")).collect()}
+    assert max(depths) > 0 and len(got) == sum(len(s) for _, s, _ in rows)
+    prefix = {}
+    for k, s, w in rows:
+        for i in range(len(s)):
+            ends = [j for j in range(i, len(s)) if sum(w[i:j + 1]) >= suffix.NEED]
+            assert (got[k, i]["prefix"] is not None) == bool(ends)
+            if ends:
+                prefix[k, i] = tuple(s[i:ends[0] + 1])
+    ordered = sorted(prefix, key=lambda p: got[p]["rank"])
+    assert [prefix[p] for p in ordered] == sorted(prefix.values())
+    assert len({got[p]["prefix"] for p in prefix}) == len(set(prefix.values()))
+
+
+def test_samples_are_sorted_once(spark):
+    rows = [(0, [5, 7, 9, 11, 13, 15, 17], [90] * 7, [(1, 1), (2, 2), (4, 3), (5, 4)])]
+    parts = spark.createDataFrame(
+        rows, "seq bigint, syms array<bigint>, sizes array<int>, places array<struct<i int, name bigint>>")
+    got = [x["i"] for x in suffix.merge_keys(parts).collect()]
+    assert sorted(got) == [0, 0, 1, 2, 3, 3, 4, 5, 6, 6]
+
+
+def test_only_empty_texts_in_a_fresh_worker(monkeypatch):
+    monkeypatch.setattr(suffix.shingles, "_POWERS", {})
+    assert len(suffix.Bytes([b"", b""], 11).first) == 0
+
+
 def test_order_counts_across_partitions(spark, conf):
     r = random.Random(5)
     rows = [(k, r.choice((1, 2, 2, 2, 2, 3, 9)), r.randint(0, 1)) for k in range(500)]
